@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from ..session import table
-from . import line_dedup, mixing, simhash_dedup
-from .sql import LINE_DEDUP_SQL, MIXING_SQL
+from . import line_dedup, mixing, pii, simhash_dedup
+from .sql import LINE_DEDUP_SQL, MIXING_SQL, PII_SQL
 
 
 def op4_line_dedup(spark, sf_dir):
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
+def op5_pii_spans(spark, sf_dir):
+    return pii.pii_report(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_dedup(spark, sf_dir):
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
@@ -19,5 +23,5 @@ def op7_source_mixing(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_line_dedup, op6_simhash_dedup, op7_source_mixing)}
-ORACLE_SQL = {"op4_line_dedup": LINE_DEDUP_SQL, "op7_source_mixing": MIXING_SQL}
+QUERIES = {f.__name__: f for f in (op4_line_dedup, op5_pii_spans, op6_simhash_dedup, op7_source_mixing)}
+ORACLE_SQL = {"op4_line_dedup": LINE_DEDUP_SQL, "op5_pii_spans": PII_SQL, "op7_source_mixing": MIXING_SQL}

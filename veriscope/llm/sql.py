@@ -53,3 +53,47 @@ SELECT doc_id, size, source_size, target, taken,
             ELSE (sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * (start / target)) - (1 - tilt)) / (2 * tilt) END END AS position
 FROM q
 """
+
+PII_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+k AS (SELECT * FROM (VALUES
+  (1, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+', 80, 'mail|contact|write'),
+  (2, 'ip', '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+', 60, 'ip|host|server|address'),
+  (3, 'card', '[0-9](?:[\x20-]?[0-9])+', 80, 'card|visa|credit|payment|account'),
+  (4, 'phone', '\+[0-9][\x20().0-9-]+[0-9]', 60, 'phone|tel|call|mobile|fax'),
+  (5, 'iban', '\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b', 80, 'iban|bank|account|transfer'),
+  (6, 'national_id', '\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b', 40, 'ssn|social security|national id|identity')
+  ) AS v(ord, kind, pattern, prior, words)),
+r AS (SELECT doc_id, text, ord, kind, prior, words, regexp_extract_all(text, pattern) AS found, string_split_regex(text, pattern) AS gaps FROM d, k),
+u AS (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM r WHERE len(found) > 0),
+s AS (
+  SELECT doc_id, text, ord, kind, prior, words, found[i] AS hit, regexp_replace(found[i], '[^0-9]', '', 'g') AS digits,
+         CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda f: length(f))), 0) AS BIGINT) AS b
+  FROM u),
+c AS (
+  SELECT *, b + length(hit) AS e, replace(hit, ' ', '') AS packed,
+         lower(substring(text, greatest(b - 40, 0) + 1, least(b, 40)) || ' ' || substring(text, b + length(hit) + 1, 40)) AS near
+  FROM s),
+t AS (
+  SELECT *, least(100, prior + CASE WHEN regexp_matches(near, '\b(?:' || words || ')') THEN 20 ELSE 0 END
+                 - CASE WHEN regexp_matches(near, '\b(?:version|isbn|order|serial|part no|example)') THEN 20 ELSE 0 END) AS score
+  FROM c
+  WHERE CASE kind
+    WHEN 'email' THEN true
+    WHEN 'ip' THEN list_bool_and(list_transform(string_split(hit, '.'), lambda p: CAST(p AS HUGEINT) <= 255))
+    WHEN 'card' THEN length(digits) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda i:
+        CASE WHEN i % 2 = 1 THEN CAST(digits[-i] AS INT) WHEN CAST(digits[-i] AS INT) > 4 THEN 2 * CAST(digits[-i] AS INT) - 9
+             ELSE 2 * CAST(digits[-i] AS INT) END)) % 10 = 0
+    WHEN 'phone' THEN length(digits) BETWEEN 9 AND 15
+    WHEN 'iban' THEN length(packed) BETWEEN 15 AND 34 AND list_reduce(
+        list_prepend(CAST(0 AS BIGINT), list_transform(string_split(packed[5:] || packed[1:4], ''), lambda x: CAST(instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', x) - 1 AS BIGINT))),
+        lambda a, v: (a * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97) = 1
+    ELSE NOT regexp_matches(hit, '^(?:000|666|9)|-00-|-0000$') END),
+f AS (SELECT *, kind || ':' || b || ':' || e AS span FROM t WHERE ord <= 4 OR score >= 60)
+SELECT d.doc_id, count(*) FILTER (WHERE kind = 'email') AS n_email, count(*) FILTER (WHERE kind = 'ip') AS n_ip,
+       count(*) FILTER (WHERE kind = 'card') AS n_card, count(*) FILTER (WHERE kind = 'phone') AS n_phone,
+       sha256(coalesce(string_agg(span, ',' ORDER BY ord, b) FILTER (WHERE ord <= 4), '')) AS base_sha256,
+       coalesce(string_agg(span, ',' ORDER BY ord, b), '') AS spans,
+       coalesce(string_agg(CAST(score AS VARCHAR), ',' ORDER BY ord, b), '') AS scores
+FROM d LEFT JOIN f ON d.doc_id = f.doc_id GROUP BY d.doc_id
+"""
