@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import table
-from . import line_dedup, mixing, pii, quality, simhash_dedup, toxicity
+from . import itq_dedup, line_dedup, mixing, pii, quality, simhash_dedup, toxicity
 from .sql import LINE_DEDUP_SQL, MIXING_SQL, PII_SQL
 
 
@@ -11,6 +11,10 @@ def op1_toxicity_crf(spark, sf_dir):
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_itq_dedup(spark, sf_dir):
+    return itq_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_line_dedup(spark, sf_dir):
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
@@ -31,5 +35,5 @@ def op8_quality_subword(spark, sf_dir):
     return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_crf, op4_line_dedup, op5_pii_spans, op6_simhash_dedup, op7_source_mixing, op8_quality_subword)}
+QUERIES = {f.__name__: f for f in (op1_toxicity_crf, op2_itq_dedup, op4_line_dedup, op5_pii_spans, op6_simhash_dedup, op7_source_mixing, op8_quality_subword)}
 ORACLE_SQL = {"op4_line_dedup": LINE_DEDUP_SQL, "op5_pii_spans": PII_SQL, "op7_source_mixing": MIXING_SQL}
