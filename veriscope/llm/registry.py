@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import table
-from . import itq_dedup, line_dedup, mixing, pii, quality, simhash_dedup, toxicity
+from . import itq_dedup, line_dedup, media_chunks, mixing, pii, quality, simhash_dedup, toxicity
 from .sql import LINE_DEDUP_SQL, MIXING_SQL, PII_SQL
 
 
@@ -15,6 +15,10 @@ def op2_itq_dedup(spark, sf_dir):
     return itq_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op3_media_chunks(spark, sf_dir):
+    return media_chunks.media_report(table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark, sf_dir):
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
@@ -35,5 +39,5 @@ def op8_quality_subword(spark, sf_dir):
     return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_crf, op2_itq_dedup, op4_line_dedup, op5_pii_spans, op6_simhash_dedup, op7_source_mixing, op8_quality_subword)}
+QUERIES = {f.__name__: f for f in (op1_toxicity_crf, op2_itq_dedup, op3_media_chunks, op4_line_dedup, op5_pii_spans, op6_simhash_dedup, op7_source_mixing, op8_quality_subword)}
 ORACLE_SQL = {"op4_line_dedup": LINE_DEDUP_SQL, "op5_pii_spans": PII_SQL, "op7_source_mixing": MIXING_SQL}
