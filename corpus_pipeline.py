@@ -4,29 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veriscope.llm import line_dedup, mixing, simhash_dedup
+from veriscope.llm import line_dedup, mixing, packing, quality, simhash_dedup
 from veriscope.session import cut, table
 
 
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
+
+
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that many documents repeat."""
     return line_dedup.drop_lines(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash_dedup.drop_near_duplicates(docs)
+    """One document of each group whose SimHash over five-word shingles is within four bits."""
+    return simhash_dedup.drop_near_duplicates(docs, shingle=5)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as the curriculum draws them, repeats included."""
     return mixing.mix_documents(docs)
 
 
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their length bucket and batch."""
+    return packing.packed(docs)
+
+
 STAGES = [
+    ("quality classifier", keep_good),
     ("line dedup", drop_repeated_lines),
     ("simhash near-dedup", drop_near_copies),
     ("source mixing", mix_sources),
+    ("packing", pack),
 ]
 
-#: The classifier is trained, so SQL cannot give the rows.
+#: The classifier is trained, so SQL cannot give the rows; tests hold them against a brute-force version.
 ORACLE_SQL = None
 
 

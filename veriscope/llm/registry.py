@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import table
-from . import itq_dedup, line_dedup, media_chunks, mixing, pii, quality, simhash_dedup, toxicity
+from . import itq_dedup, license_scan, line_dedup, media_chunks, mixing, packing, pii, quality, simhash_dedup, toxicity
 from .sql import LINE_DEDUP_SQL, MIXING_SQL, PII_SQL
 
 
@@ -39,5 +39,13 @@ def op8_quality_subword(spark, sf_dir):
     return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_crf, op2_itq_dedup, op3_media_chunks, op4_line_dedup, op5_pii_spans, op6_simhash_dedup, op7_source_mixing, op8_quality_subword)}
+def op9_license_scan(spark, sf_dir):
+    return license_scan.license_report(license_scan.document_paths(table(spark, sf_dir, "documents")))
+
+
+def op10_packing(spark, sf_dir):
+    return packing.pack_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity_crf, op2_itq_dedup, op3_media_chunks, op4_line_dedup, op5_pii_spans, op6_simhash_dedup, op7_source_mixing, op8_quality_subword, op9_license_scan, op10_packing)}
 ORACLE_SQL = {"op4_line_dedup": LINE_DEDUP_SQL, "op5_pii_spans": PII_SQL, "op7_source_mixing": MIXING_SQL}
