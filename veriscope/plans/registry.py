@@ -1,60 +1,8 @@
-"""Every registered query and the SQL that says the same to another engine."""
+"""Every registered query, by the modules that define them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from . import profile_queries, split_queries  # noqa: F401
+from .catalog import ORACLE_SQL, QUERIES
 
-from ..session import table
-
-QUERIES = {}
-ORACLE_SQL = {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return keep
-
-
-#: Engine-neutral buckets: the first 32 bits of an MD5, modulo.
-def bucket(text, modulus: int):
-    return F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), F.lit(modulus))
-
-
-def sql_bucket(text: str, modulus: int) -> str:
-    return f"(('0x' || substr(md5({text}), 1, 8))::BIGINT % {modulus})"
-
-
-@query(f"""
-WITH d AS (
-  SELECT CAST(doc_id % 200 AS VARCHAR) AS subject_id, md5(text) AS content_hash,
-         CASE WHEN {sql_bucket("'split:' || CAST(doc_id AS VARCHAR)", 10)} < 7 THEN 'train' ELSE 'test' END AS split
-  FROM documents WHERE text IS NOT NULL)
-SELECT 'subject' AS axis, subject_id AS key, CAST(count(DISTINCT split) AS BIGINT) AS n_splits, CAST(count(*) AS BIGINT) AS n_rows
-FROM d GROUP BY subject_id HAVING count(DISTINCT split) > 1
-UNION ALL
-SELECT 'hash', content_hash, CAST(count(DISTINCT split) AS BIGINT), CAST(count(*) AS BIGINT)
-FROM d GROUP BY content_hash HAVING count(DISTINCT split) > 1
-""")
-def split_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Subjects and content hashes that occur in more than one split."""
-    d = (
-        table(spark, sf_dir, "documents")
-        .where("text is not null")
-        .select(
-            (F.col("doc_id") % 200).cast("string").alias("subject_id"),
-            F.md5("text").alias("content_hash"),
-            F.when(bucket(F.concat(F.lit("split:"), F.col("doc_id").cast("string")), 10) < 7, "train").otherwise("test").alias("split"),
-        )
-    )
-
-    def spanning(axis: str, key: str) -> DataFrame:
-        counts = d.groupBy(F.col(key).alias("key")).agg(F.count_distinct("split").alias("n_splits"), F.count("*").alias("n_rows"))
-        return counts.where("n_splits > 1").select(F.lit(axis).alias("axis"), "key", "n_splits", "n_rows")
-
-    return spanning("subject", "subject_id").unionByName(spanning("hash", "content_hash"))
+__all__ = ["ORACLE_SQL", "QUERIES"]
