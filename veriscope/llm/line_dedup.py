@@ -130,12 +130,12 @@ def _drops(docs: DataFrame, n_batches: int, min_documents: int) -> DataFrame:
     hashes = cut(line_hashes(docs), "line-hashes")
     dropped = cut(repeated_keys(hashes, n_batches, min_documents), "line-repeated")
     held = hashes.join(dropped, KEY).where(F.col("doc_id") < F.col("last_doc"))
-    return held.select("doc_id", F.struct(*KEY).alias("key")).groupBy(F.col("doc_id").alias("drop_doc")).agg(F.collect_set("key").alias("drops"))
+    return held.select("doc_id", F.struct(*KEY).alias("key")).groupBy(F.col("doc_id").alias("__drop_doc")).agg(F.collect_set("key").alias("__drops"))
 
 
 def _filtered(docs: DataFrame, n_batches: int, min_documents: int) -> DataFrame:
     drops = _drops(docs, n_batches, min_documents)
-    return docs.join(drops, F.col("doc_id") == F.col("drop_doc"), "left")
+    return docs.join(drops, F.col("doc_id") == F.col("__drop_doc"), "left")
 
 
 def _keep(text: str | None, drops) -> tuple[list[bytes], int]:
@@ -162,7 +162,7 @@ def line_report(docs: DataFrame, n_batches: int = N_BATCHES, min_documents: int
             yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = _filtered(docs, n_batches, min_documents).select("doc_id", "text", "drops")
+    rows = _filtered(docs, n_batches, min_documents).select("doc_id", "text", "__drops")
     return rows.mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
@@ -180,7 +180,7 @@ def drop_lines(docs: DataFrame, n_batches: int = N_BATCHES, min_documents: int =
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
 
-    rows = _filtered(docs, n_batches, min_documents).select(*[F.col(c) for c in docs.columns], "drops")
+    rows = _filtered(docs, n_batches, min_documents).select(*[F.col(c) for c in docs.columns], "__drops")
     out = rows.mapInArrow(run, docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))

@@ -115,14 +115,14 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     begins = F.transform("epochs", lambda taken, k: F.when((taken > 0) & (taken * 2 >= F.col("size")), F.col("start") + k * F.col("source_size")))
     times = F.transform(F.filter(begins, lambda q: q.isNotNull()), lambda q: demand_time(q, F.col("target"), F.col("tilt")))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    turn = Window.partitionBy("mix_key").orderBy("source_key", "size", "start")
-    rows = rows.select(key.alias("mix_key"), "source_key", "size", "start", times.alias("mix_times"))
-    rows = rows.withColumn("mix_turn", F.row_number().over(turn)).where(F.size("mix_times") > 0).select("mix_key", "mix_turn", "mix_times")
+    turn = Window.partitionBy("__mix_key").orderBy("source_key", "size", "start")
+    rows = rows.select(key.alias("__mix_key"), "source_key", "size", "start", times.alias("__mix_times"))
+    rows = rows.withColumn("__mix_turn", F.row_number().over(turn)).where(F.size("__mix_times") > 0).select("__mix_key", "__mix_turn", "__mix_times")
     columns = [F.col(f"d.{c}") for c in docs.columns]
     # rows that repeat a doc_id pair up in the same order on both sides
     words = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
-    turn = Window.partitionBy("mix_key").orderBy(_source_key(), words, F.xxhash64("text"))
-    texts = docs.withColumn("mix_key", key).withColumn("mix_turn", F.row_number().over(turn)).alias("d")
-    drawn = texts.join(rows.alias("m"), (F.col("d.mix_key") == F.col("m.mix_key")) & (F.col("d.mix_turn") == F.col("m.mix_turn")))
-    drawn = drawn.select(*columns, F.explode("m.mix_times").alias("mix_time"))
-    return drawn.orderBy("mix_time", "doc_id").select(*docs.columns)
+    turn = Window.partitionBy("__mix_key").orderBy(_source_key(), words, F.xxhash64("text"))
+    texts = docs.withColumn("__mix_key", key).withColumn("__mix_turn", F.row_number().over(turn)).alias("d")
+    drawn = texts.join(rows.alias("m"), (F.col("d.__mix_key") == F.col("m.__mix_key")) & (F.col("d.__mix_turn") == F.col("m.__mix_turn")))
+    drawn = drawn.select(*columns, F.explode("m.__mix_times").alias("__mix_time"))
+    return drawn.orderBy("__mix_time", "doc_id").select(*docs.columns)

@@ -130,4 +130,4 @@ def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject, columns as they were."""
-    return with_score(docs, fit(docs, labels), "quality_score").where(F.col("quality_score") >= CUT).drop("quality_score")
+    return with_score(docs, fit(docs, labels), "__quality").where(F.col("__quality") >= CUT).drop("__quality")

@@ -97,3 +97,15 @@ SELECT d.doc_id, count(*) FILTER (WHERE kind = 'email') AS n_email, count(*) FIL
        coalesce(string_agg(CAST(score AS VARCHAR), ',' ORDER BY ord, b), '') AS scores
 FROM d LEFT JOIN f ON d.doc_id = f.doc_id GROUP BY d.doc_id
 """
+
+EMBEDDING_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND a.n > 0 AND b.n > 0 AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.95),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS low FROM r GROUP BY a),
+k AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(k.n, 0) AS n_links, least(vec_id, coalesce(c.low, vec_id)) AS component_id, vec_id <= coalesce(c.low, vec_id) AS kept
+FROM embeddings LEFT JOIN k ON vec_id = k.a LEFT JOIN c ON vec_id = c.a
+"""
