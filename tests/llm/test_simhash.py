@@ -82,6 +82,26 @@ def test_every_link_within_four_bits_is_found():
         assert {i: find(i) for i in label} == want
 
 
+def test_large_groups_are_split(spark):
+    rng = np.random.default_rng(7)
+    centre = int(rng.integers(0, 2**63, dtype=np.uint64))
+    fps = {centre ^ sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 5), replace=False)) for _ in range(160)}
+    fps |= {int(x) for x in rng.integers(0, 2**63, 40, dtype=np.uint64)}
+    rows = [(int(np.uint64(f).astype(np.int64)), i) for i, f in enumerate(sorted(fps))]
+    df = spark.createDataFrame(rows, "fp long, rep long").cache()
+
+    def label(links):
+        out = {i: i for _, i in rows}
+        for _ in out:
+            for a, b in links:
+                out[a] = out[b] = min(out[a], out[b])
+        return out
+
+    want = label([tuple(r) for r in S.near_links(df).collect()])
+    assert want == brute_components({i: f for i, f in enumerate(sorted(fps))})
+    assert want == label([tuple(r) for r in S.near_links(df, group_rows=25).collect()])
+
+
 def test_edges(documents):
     docs = documents([(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (1, "a b c d e f"), (None, None)])
     docs = docs.withColumns({"fp": F.lit(1), "rep": F.lit(2), "component_id": F.lit(3)})

@@ -7,7 +7,9 @@ leading bits, and fingerprints that share a variant are linked.
 
 What travels is not the variants but one row for each leading-bit pattern that a
 fingerprint's variants have (37 rows at 8 leading bits in place of 2,081): the
-task expands the rest of the bits itself. All fingerprints that share a variant
+task expands the rest of the bits itself. A pattern that gathers too many
+fingerprints (a group of close copies may hold a third of all) is split by further
+bits in the same way, so no task holds more than a few GROUP_ROWS at any size. All fingerprints that share a variant
 are within 2r bits of each other, so a chain to the smallest document of the run
 keeps every component whole, and a group of G close fingerprints gives at most
 G - 1 rows in a task, never G squared.
@@ -36,6 +38,9 @@ BITS = 64
 RADIUS = 2
 #: A task's group should hold about this many fingerprints.
 GROUP_ROWS = 50_000
+#: Further bits that split a group beyond four times that, up to this many bits in all.
+SPLIT_BITS = 8
+MAX_BITS = 60
 
 
 def fingerprint(text: str | None, shingle: int) -> int:
@@ -134,24 +139,39 @@ def _collisions(fp: np.ndarray, rep: np.ndarray, prefix: int, bits: int) -> tupl
     return rep[linked], rep[label[linked]]
 
 
-def near_links(distinct: DataFrame) -> DataFrame:
-    """``(src, dst)`` of representatives ``(fp, rep)`` whose fingerprints are linked, up to transitivity."""
-    import pandas as pd
+def _flips(width: int) -> list[int]:
+    return [int(m) for masks in _masks(width, RADIUS) for m in masks]
+
 
-    bits = leading_bits(distinct.count())
-    flips = [int(m) for masks in _masks(bits, RADIUS) for m in masks]
-    dealt = distinct.select(
-        "fp",
-        "rep",
-        F.shiftrightunsigned("fp", BITS - bits).alias("top"),
-        F.explode(F.array(*[F.lit(m) for m in flips]) if len(flips) < 200 else F.lit(flips)).alias("flip"),
-    ).select("fp", "rep", F.col("top").bitwiseXOR(F.col("flip")).alias("prefix"))
+def _patterns(rows: DataFrame, bits: int, more: int) -> DataFrame:
+    """Rows dealt by ``bits`` leading bits, dealt by ``more`` further ones; ``bits`` may be 0."""
+    flip = F.explode(F.lit(_flips(more)).cast("array<bigint>"))
+    at = F.shiftrightunsigned("fp", BITS - bits - more)
+    rows = rows.withColumn("flip", flip).withColumn("next", F.shiftleft("prefix", more).bitwiseOR(at.bitwiseAND(F.lit((1 << more) - 1)).bitwiseXOR(F.col("flip"))))
+    return rows.where(F.bit_count(at.bitwiseXOR(F.col("next"))) <= RADIUS).select("fp", "rep", F.col("next").alias("prefix"))
 
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = _collisions(pdf["fp"].to_numpy().view(np.uint64), pdf["rep"].to_numpy(), int(pdf["prefix"].iloc[0]), bits)
-        return pd.DataFrame({"src": a, "dst": b})
 
-    return dealt.groupBy("prefix").applyInPandas(meet, "src long, dst long").distinct()
+def near_links(distinct: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """``(src, dst)`` of representatives ``(fp, rep)`` whose fingerprints are linked, up to transitivity."""
+    import pandas as pd
+
+    def meeting(rows: DataFrame, bits: int) -> DataFrame:
+        def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+            a, b = _collisions(pdf["fp"].to_numpy().view(np.uint64), pdf["rep"].to_numpy(), int(pdf["prefix"].iloc[0]), bits)
+            return pd.DataFrame({"src": a, "dst": b})
+
+        return rows.groupBy("prefix").applyInPandas(meet, "src long, dst long")
+
+    bits, found = leading_bits(distinct.count()), None
+    rows = _patterns(distinct.withColumn("prefix", F.lit(0).cast("long")), 0, bits)
+    while True:
+        sizes = cut(rows.groupBy("prefix").agg(F.count("*").alias("n")).where(F.col("n") > 4 * group_rows).select("prefix"), "simhash-large")
+        large = sizes.count() if bits + SPLIT_BITS <= MAX_BITS else 0
+        here = meeting(rows.join(sizes, "prefix", "left_anti") if large else rows, bits)
+        found = here if found is None else found.unionByName(here)
+        if not large:
+            return found.distinct()
+        rows, bits = _patterns(rows.join(sizes, "prefix", "left_semi"), bits, SPLIT_BITS), bits + SPLIT_BITS
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
