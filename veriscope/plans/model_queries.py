@@ -135,7 +135,8 @@ def confusion_metrics(spark, sf_dir):
 WITH s AS ({SCREENING_SQL}), g AS (SELECT fold, score, count(*) FILTER (WHERE truth = 1) AS pos, count(*) FILTER (WHERE truth = 0) AS neg FROM s GROUP BY ALL),
 c AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp FROM g WINDOW w AS (PARTITION BY fold ORDER BY score ROWS UNBOUNDED PRECEDING))
 SELECT fold, CAST(sum(pos + neg) AS BIGINT) AS n, round(sum(pos) / sum(pos + neg), 6) AS prevalence,
-       round(sum(neg * (tp - pos / 2.0::DOUBLE)) / (sum(pos) * sum(neg)), 6) AS auroc, round(sum(pos * tp / (tp + fp)::DOUBLE) / sum(pos), 6) AS auprc
+       CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN round(sum(neg * (tp - pos / 2.0::DOUBLE)) / (sum(pos) * sum(neg)), 6) END AS auroc,
+       CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN round(sum(pos * tp / (tp + fp)::DOUBLE) / sum(pos), 6) END AS auprc
 FROM c GROUP BY fold
 """)
 def auroc_auprc(spark, sf_dir):
@@ -150,7 +151,7 @@ w AS (SELECT fold, score, sum(pos) OVER u AS tp, sum(neg) OVER u AS fp, sum(pos)
              coalesce((score + lead(score) OVER o) / 2.0::DOUBLE, score + 1) AS cut, row_number() OVER o AS i
       FROM g WINDOW p AS (PARTITION BY fold), o AS (PARTITION BY fold ORDER BY score), u AS (PARTITION BY fold ORDER BY score ROWS UNBOUNDED PRECEDING)),
 k AS (SELECT fold, cut, tp, fp, n_pos, n_neg FROM w UNION ALL SELECT fold, score - 1.0::DOUBLE, 0, 0, n_pos, n_neg FROM w WHERE i = 1),
-q AS (SELECT fold, cut, tp / n_pos::DOUBLE AS sensitivity, 1 - fp / n_neg::DOUBLE AS specificity FROM k),
+q AS (SELECT fold, cut, tp / nullif(n_pos, 0)::DOUBLE AS sensitivity, 1 - fp / nullif(n_neg, 0)::DOUBLE AS specificity FROM k),
 b AS (SELECT *, sensitivity >= 0.9 AS reached, row_number() OVER (PARTITION BY fold ORDER BY sensitivity >= 0.9 DESC,
       CASE WHEN sensitivity >= 0.9 THEN specificity ELSE sensitivity END DESC, cut) AS i FROM q)
 """
