@@ -209,3 +209,66 @@ def overlap_scores(counts: np.ndarray) -> dict[str, np.ndarray]:
     either = rows + cols - hit
     with np.errstate(invalid="ignore", divide="ignore"):
         return {"iou": np.where(either > 0, hit / either, np.nan), "dice": np.where(rows + cols > 0, 2 * hit / (rows + cols), np.nan)}
+
+
+def vessel_free(image: np.ndarray, mask: np.ndarray, percentile: float = 75.0) -> np.ndarray:
+    """The mask without its reddest pixels: red over green and blue above the mask's own percentile."""
+    red = image[..., 0] / np.maximum(image[..., 1] + image[..., 2], 1e-6)
+    return mask & (red <= np.percentile(red[mask], percentile)) if mask.any() else mask
+
+
+def region_quality(image: np.ndarray, mask: np.ndarray, saturated: float = 250.0, enough: int = 2000) -> dict[str, float]:
+    """Shares from 0 to 1 (area, exposure, evenness) of a region, and their product."""
+    pixels = image[mask].astype(float)
+    if not len(pixels):
+        return {"area": 0.0, "exposure": 0.0, "evenness": 0.0, "score": 0.0}
+    light = pixels.mean(axis=1)
+    area = min(1.0, len(pixels) / enough)
+    exposure = float(((pixels < saturated).all(axis=1) & (light > 10)).mean())
+    evenness = float(1 / (1 + light.std() / max(light.mean(), 1e-6)))
+    return {"area": area, "exposure": exposure, "evenness": evenness, "score": area * exposure * evenness}
+
+
+def halves(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A region left and right of its median column."""
+    columns = np.nonzero(mask)[1]
+    side = np.arange(mask.shape[1])[None] <= (np.median(columns) if len(columns) else 0)
+    return mask & side, mask & ~side
+
+
+def grown(mask: np.ndarray, by: int) -> np.ndarray:
+    """A mask dilated (by > 0) or eroded (by < 0) with a 3 x 3 square."""
+    out = mask if by >= 0 else ~mask
+    h, w = mask.shape
+    for _ in range(abs(by)):
+        padded = np.pad(out, 1)
+        out = np.any([padded[i : i + h, j : j + w] for i in range(3) for j in range(3)], axis=0)
+    return out if by >= 0 else ~out
+
+
+def centre_crop(image: np.ndarray, share: float) -> np.ndarray:
+    h, w = image.shape[:2]
+    ch, cw = max(1, round(h * share)), max(1, round(w * share))
+    return image[(h - ch) // 2 : (h - ch) // 2 + ch, (w - cw) // 2 : (w - cw) // 2 + cw]
+
+
+def near_black(image: np.ndarray, below: float = 8.0) -> float:
+    return float((image.max(axis=2) < below).mean())
+
+
+def chroma_clusters(colours: list[np.ndarray], tolerance: float = 0.04) -> int:
+    """Groups of chromaticities in order: a colour joins the first group whose running mean is within the tolerance."""
+    groups: list[list[np.ndarray]] = []
+    for c in colours:
+        chroma = np.asarray(c, float) / max(float(np.sum(c)), 1e-9)
+        home = next((g for g in groups if np.linalg.norm(np.mean(g, axis=0) - chroma) <= tolerance), None)
+        if home is None:
+            groups.append([chroma])
+        else:
+            home.append(chroma)
+    return len(groups)
+
+
+def channel_shares(r: Column, g: Column, b: Column) -> list[Column]:
+    """Channels over their sum, null for black."""
+    return [F.try_divide(c, r + g + b) for c in (r, g, b)]

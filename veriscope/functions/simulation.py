@@ -124,3 +124,62 @@ def one_at_a_time(f: Callable[[dict], float], ranges: dict[str, tuple[float, flo
         values = [f({**nominal, name: float(v)}) for v in np.linspace(lo, hi, points)]
         out[name] = max(values) - min(values)
     return out
+
+
+def layered_reflectance(layers: list[dict[str, np.ndarray | float]], deeper: float = 0.6, index: float = 1.4) -> np.ndarray:
+    """Reflectance of stacked layers (absorption, scattering, thickness): each layer's own diffuse reflectance, weighed by
+    what passes the layers above twice; layers below the first count ``deeper``."""
+    inner = -1.440 / index**2 + 0.710 / index + 0.668 + 0.0636 * index
+    k = (1 + inner) / (1 - inner)
+    total, passed = 0.0, 1.0
+    for depth, layer in enumerate(layers):
+        a, s = np.maximum(layer["absorption"], 1e-9), np.maximum(layer["scattering"], 1e-9)
+        w = s / (s + a)
+        own = w / (1 + 2 * k * (1 - w) + (1 + 2 * k / 3) * np.sqrt(3 * (1 - w)))
+        total = total + passed * own * (1.0 if depth == 0 else deeper)
+        passed = passed * np.exp(-2 * a * layer["thickness"])
+    return np.asarray(total)
+
+
+def blackbody(wavelengths: np.ndarray, kelvin: float) -> np.ndarray:
+    """Relative spectral power of a thermal light, 1 at 560 nm."""
+    power = lambda nm: nm**-5.0 / np.expm1(1.4387769e7 / (nm * kelvin))
+    return power(np.asarray(wavelengths, float)) / power(560.0)
+
+
+def spectrum_to_rgb(wavelengths: np.ndarray, reflectance: np.ndarray, light: np.ndarray, curves: np.ndarray) -> np.ndarray:
+    """Responses (rows of ``curves``) to reflected light by the trapezoid rule, against those to the light alone."""
+    seen = np.trapezoid(reflectance * light * curves, wavelengths, axis=1)
+    return seen / np.trapezoid(light * curves, wavelengths, axis=1)
+
+
+def interpolated(table: np.ndarray, wavelengths: np.ndarray, outside: float | None = None) -> np.ndarray:
+    """Column 1 of a table along column 0 by straight lines; beyond its ends the end values, or ``outside``."""
+    return np.interp(wavelengths, table[:, 0], table[:, 1], left=outside, right=outside)
+
+
+def perturbation(rng: np.random.Generator, target: float, difference: Callable[[np.ndarray], float], tolerance: float = 0.05, most: int = 60) -> np.ndarray:
+    """Channel gains in a random direction whose colour difference is ``target``: the scale is bracketed, then bisected."""
+    direction = rng.normal(size=3)
+    direction = direction - direction.mean()
+    direction /= np.linalg.norm(direction)
+    gains = lambda s: np.exp(s * direction)
+    low, high = 0.0, 0.01
+    while difference(gains(high)) < target and high < 10:
+        low, high = high, 2 * high
+    for _ in range(most):
+        middle = (low + high) / 2
+        found = difference(gains(middle))
+        if abs(found - target) <= tolerance:
+            return gains(middle)
+        low, high = (middle, high) if found < target else (low, middle)
+    return gains((low + high) / 2)
+
+
+def inversion_errors(grid: np.ndarray, chroma: np.ndarray, truth: np.ndarray, gains: np.ndarray) -> np.ndarray:
+    """|found - true| of each true value under each perturbation: the perturbed chromaticity's nearest entry of the table."""
+    at = np.abs(grid[None] - truth[:, None]).argmin(axis=1)
+    seen = chroma[at][:, None, :] * gains[None]
+    seen = seen / seen.sum(axis=2, keepdims=True)
+    distance = ((seen[:, :, None, :] - chroma[None, None]) ** 2).sum(axis=3)
+    return np.abs(grid[distance.argmin(axis=2)] - truth[:, None])
