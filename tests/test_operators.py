@@ -76,6 +76,35 @@ def test_hamming_pairs_match_brute_force(spark):
     assert got == want
 
 
+def test_hamming_links_join_the_same_groups(spark):
+    from veriscope.operators.components import connected_components
+
+    rng = np.random.default_rng(8)
+    base = rng.integers(-(2**63), 2**63 - 1, 30)
+    values = np.concatenate([base, base[:5], base[:5], [v ^ 5 for v in base[:8]], [v ^ 80 for v in base[:4]]])
+    df = spark.createDataFrame(pd.DataFrame({"k": np.arange(len(values)), "v": values}))
+    by_links = connected_components(similarity.hamming_links(df, "k", "v", 2)).collect()
+    by_pairs = connected_components(similarity.hamming_pairs(df, "k", "v", 2), "key_a", "key_b").collect()
+    assert by_links and sorted(by_links) == sorted(by_pairs)
+
+
+def test_running_sums(spark):
+    from veriscope.operators.running import running_sums
+
+    rng = np.random.default_rng(9)
+    rows = pd.DataFrame({"g": rng.choice(["a", "b", None], 300), "x": rng.permutation(300) / 7.0, "n": rng.integers(1, 9, 300)})
+    for slices in (2, 16, 512):
+        got = {r["x"]: r for r in running_sums(spark.createDataFrame(rows), ["g"], "x", ["n"], slices).collect()}
+        assert len(got) == 300
+        for g, part in rows.groupby("g", dropna=False):
+            part = part.sort_values("x")
+            total = part["n"].cumsum().tolist()
+            for k, x in enumerate(part["x"]):
+                after = part["x"].tolist()[k + 1] if k + 1 < len(part) else None
+                assert (got[x]["upto_n"], got[x]["all_n"], got[x]["next"]) == (total[k], total[-1], after)
+    assert running_sums(spark.createDataFrame(rows).limit(0), [], "x", ["n"]).count() == 0
+
+
 def test_cosine_nearest(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(150, 8))

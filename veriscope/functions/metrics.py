@@ -42,19 +42,14 @@ def metric_bundle(truth, pred, digits: int = 6) -> list[Column]:
     return [F.count("*").alias("n"), *[F.round(f(truth, pred), digits).alias(name) for name, f in parts.items()]]
 
 
-def average_rank(column: str, by: list[str] | None = None) -> Column:
-    """Rank from 1, ties sharing their mean rank."""
-    keys = by or []
-    return F.rank().over(Window.partitionBy(*keys).orderBy(column)) + (F.count("*").over(Window.partitionBy(*keys, column)) - 1) / 2
-
-
 def with_average_rank(df: DataFrame, column: str, out: str, by: list[str] | None = None) -> DataFrame:
-    """Average ranks from counts of distinct values: only the value table is ordered, and rows
-    join it by value, so the rows themselves are never sorted in one task."""
+    """Ranks from 1, ties sharing their mean rank, from running counts over the table of distinct values:
+    rows join it by value and are never sorted themselves. Rows without a value are left out."""
+    from ..operators.running import running_sums
+
     keys = by or []
     counts = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy(column))
-    ranks = counts.select(*keys, column, (upto - (F.col("_n") - 1) / 2).alias(out))
+    ranks = running_sums(counts, keys, column, ["_n"]).select(*keys, column, (F.col("upto__n") - (F.col("_n") - 1) / 2).alias(out))
     return df.join(ranks, [*keys, column])
 
 

@@ -10,11 +10,17 @@ def hopping_windows(df: DataFrame, key: str, order: list[str], value: str, size:
     """(key, window, i, value, z): full windows of ``size`` samples every ``stride``, standardised by their own
     mean and population SD; windows of hardly any spread are left out.
 
-    A sample is copied to its size / stride windows by arithmetic on its index, so nothing is collected into arrays."""
+    The index comes from slices of the first order column (a number or a time), so a key with most of the rows is not
+    ordered in one task; a sample is copied to its size / stride windows by arithmetic on its index."""
     from pyspark.sql import Window
+    from pyspark.sql import types as T
 
-    over = Window.partitionBy(key)
-    rows = df.where(F.col(value).isNotNull()).withColumns({"_i": F.row_number().over(over.orderBy(*order)) - 1, "_n": F.count("*").over(over)})
+    from ..operators.running import rank_in_slices, sliced
+
+    rows = df.where(F.col(value).isNotNull())
+    timed = isinstance(df.schema[order[0]].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))
+    at = F.unix_micros(F.col(order[0]).cast("timestamp")) if timed else F.col(order[0]).cast("double")
+    rows = rank_in_slices(sliced(rows.withColumn("_t", at), "_t"), [key], order, "_i", "_n").withColumn("_i", F.col("_i") - 1)
     last = F.floor((F.col("_n") - size) / stride)
     low = F.greatest(F.lit(0), F.ceil((F.col("_i") - size + 1) / stride))
     high = F.least(last, F.floor(F.col("_i") / stride))

@@ -56,14 +56,10 @@ def order_summary(df: DataFrame, value: str, by: list[str], tiebreak: str, fract
     """Mean, median, trimean, mean of the best and worst ``fraction`` (half-even rounded count, at least one), maximum."""
     from ..functions.metrics import trimean
 
-    group = Window.partitionBy(*by)
-    ranked = df.where(F.col(value).isNotNull()).withColumns(
-        {
-            "_rank": F.row_number().over(group.orderBy(value, tiebreak)),
-            "_take": F.greatest(F.lit(1), F.bround(F.count("*").over(group) * fraction, 0).cast("long")),
-            "_n": F.count("*").over(group),
-        }
-    )
+    from .running import rank_in_slices, sliced
+
+    ranked = rank_in_slices(sliced(df, value), by, [value, tiebreak], "_rank", "_n")
+    ranked = ranked.withColumn("_take", F.greatest(F.lit(1), F.bround(F.col("_n") * fraction, 0).cast("long")))
     best = F.when(F.col("_rank") <= F.col("_take"), F.col(value))
     worst = F.when(F.col("_rank") > F.col("_n") - F.col("_take"), F.col(value))
     return ranked.groupBy(*by).agg(
@@ -123,16 +119,19 @@ def linear_split(df: DataFrame, value: str, axis: str, by: list[str], least: int
 
 def two_way_variance(df: DataFrame, value: str, unit: str, first: str, second: str, least: int = 4) -> DataFrame:
     """Within-unit sums of squares of two factors' means and the rest; between-unit sum of squares; units under ``least`` rows are left out."""
-    mean = lambda *keys: F.avg(value).over(Window.partitionBy(unit, *keys))
-    rows = df.withColumns({"_m": mean(), "_a": mean(first), "_b": mean(second), "_n": F.count("*").over(Window.partitionBy(unit))}).where(F.col("_n") >= least)
-    square = lambda x: x * x
-    parts = rows.groupBy(unit).agg(
-        F.count("*").alias("n"),
-        F.first("_m").alias("mean"),
-        F.sum(square(F.col("_a") - F.col("_m"))).alias("ss_first"),
-        F.sum(square(F.col("_b") - F.col("_m"))).alias("ss_second"),
-        F.sum(square(F.col(value) - F.col("_m"))).alias("ss_within"),
-    )
+    cells = df.where(F.col(value).isNotNull()).groupBy(unit, first, second)
+    cells = cells.agg(F.count("*").alias("n"), F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("q"))
+    whole = cells.groupBy(unit).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).where(F.col("n") >= least)
+    whole = whole.withColumn("mean", F.col("s") / F.col("n"))
+
+    def between(factor: str, name: str) -> DataFrame:
+        """Sum of squares of the factor's level means about their unit's mean."""
+        levels = cells.groupBy(unit, factor).agg(F.sum("n").alias("ln"), F.sum("s").alias("ls")).join(whole.select(unit, "mean"), unit)
+        gap = F.col("ls") / F.col("ln") - F.col("mean")
+        return levels.groupBy(unit).agg(F.sum(F.col("ln") * gap * gap).alias(name))
+
+    parts = whole.withColumn("ss_within", F.col("q") - F.col("n") * F.col("mean") * F.col("mean"))
+    parts = parts.join(between(first, "ss_first"), unit).join(between(second, "ss_second"), unit)
     grand = (F.sum(F.col("mean") * F.col("n")) / F.sum("n")).alias("grand")
     totals = parts.agg(grand, F.sum(F.col("n") * F.col("mean") * F.col("mean")).alias("raw"), F.sum("n").alias("n"), F.count("*").alias("n_units"),
                        F.sum("ss_first").alias("ss_first"), F.sum("ss_second").alias("ss_second"), F.sum("ss_within").alias("ss_within"))

@@ -1,13 +1,16 @@
 """Screening by a score: cuts, ranking metrics, calls made out of fold.
 
 A row is called positive when its score lies strictly below the cut. Everything works on
-the table of distinct scores (counts of positives and negatives), so only that is ordered."""
+the table of distinct scores (counts of positives and negatives), and its running sums are dealt into
+slices of the score, so no task orders a whole fold."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .running import running_sums
+
 ADULT_AGE = 15
 #: Haemoglobin thresholds in g/dL by sex.
 THRESHOLDS = {"M": 13.0, "F": 12.0}
@@ -32,24 +35,20 @@ def score_table(df: DataFrame, truth: str, score: str, by: list[str]) -> DataFra
 def cuts(scores: DataFrame, by: list[str]) -> DataFrame:
     """(by, cut, tp, fp, n_pos, n_neg): every useful cut. Cuts are midpoints of consecutive scores and
     one beyond either end; tp and fp are what lies below."""
-    over = Window.partitionBy(*by)
-    ahead = over.orderBy("score")
-    upto = ahead.rowsBetween(Window.unboundedPreceding, 0)
-    rows = scores.withColumns(
-        {
-            "tp": F.sum("pos").over(upto),
-            "fp": F.sum("neg").over(upto),
-            "n_pos": F.sum("pos").over(over),
-            "n_neg": F.sum("neg").over(over),
-            "cut": F.coalesce((F.col("score") + F.lead("score").over(ahead)) / 2, F.col("score") + 1),
-            "first": F.row_number().over(ahead) == 1,
-        }
+    rows = running_sums(scores, by, "score", ["pos", "neg"]).select(
+        *by,
+        "score",
+        F.coalesce((F.col("score") + F.col("next")) / 2, F.col("score") + 1).alias("cut"),
+        F.col("upto_pos").alias("tp"),
+        F.col("upto_neg").alias("fp"),
+        F.col("all_pos").alias("n_pos"),
+        F.col("all_neg").alias("n_neg"),
     )
     inner = rows.select(*by, "cut", "tp", "fp", "n_pos", "n_neg")
-    below = rows.where("first").select(*by, (F.col("score") - 1).alias("cut"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"), "n_pos", "n_neg")
-    return inner.unionByName(below).withColumns(
-        {"sensitivity": F.try_divide("tp", "n_pos"), "specificity": 1 - F.try_divide("fp", "n_neg")}
-    )
+    zero = F.lit(0).cast("long")
+    ends = scores.groupBy(*by).agg((F.min("score") - 1).alias("cut"), zero.alias("tp"), zero.alias("fp"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    ends = ends.where("cut is not null")
+    return inner.unionByName(ends).withColumns({"sensitivity": F.try_divide("tp", "n_pos"), "specificity": 1 - F.try_divide("fp", "n_neg")})
 
 
 def cut_for_sensitivity(options: DataFrame, target: float | str, by: list[str]) -> DataFrame:
@@ -99,8 +98,7 @@ def nested_calls_matched(df: DataFrame, truth: str, score: str, reference: str,
 def ranking_metrics(df: DataFrame, truth: str, score: str, by: list[str]) -> DataFrame:
     """(by, n, prevalence, auroc, auprc), low scores meaning positive. AUROC is the Mann-Whitney statistic with ties
     counted half; AUPRC is the sum of precision times the step in recall. Null where a class is missing."""
-    upto = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
-    rows = score_table(df, truth, score, by).withColumns({"tp": F.sum("pos").over(upto), "fp": F.sum("neg").over(upto)})
+    rows = running_sums(score_table(df, truth, score, by), by, "score", ["pos", "neg"]).withColumnsRenamed({"upto_pos": "tp", "upto_neg": "fp"})
     above = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2))
     stats = rows.groupBy(*by).agg(
         F.sum(F.col("pos") + F.col("neg")).alias("n"),

@@ -1,7 +1,7 @@
 """Splits that keep groups whole, and the checks that they did.
 
 Order comes from MD5 of seed and key, so that a split is the same on every engine,
-partitioning and run; only tables of groups are ranked, never rows."""
+partitioning and run. Only tables of groups are ranked, in 4,096 slices of the hash, so no task orders all groups."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .running import rank_in_slices
 
 
 def hash_order(key: str, seed: int) -> Column:
@@ -47,7 +48,13 @@ def leakproof_groups(df: DataFrame, subject: str, content: str | None) -> DataFr
 
 def _ranked(df: DataFrame, group: str, seed: int) -> DataFrame:
     groups = df.where(F.col(group).isNotNull()).select(group).distinct()
-    return groups.withColumn("_i", F.row_number().over(Window.orderBy(hash_order(group, seed), group)))
+    return _in_hash_order(groups, [], group, seed)
+
+
+def _in_hash_order(groups: DataFrame, by: list[str], key: str, seed: int) -> DataFrame:
+    """``groups`` with ``_i``, the place in hash order, and ``_k``, the number of groups; both within ``by``."""
+    rows = groups.withColumn("_h", hash_order(key, seed)).withColumn("_slice", F.conv(F.substring("_h", 1, 3), 16, 10).cast("int"))
+    return rank_in_slices(rows, by, ["_h", key]).drop("_h")
 
 
 def group_kfold(df: DataFrame, group: str, k: int, seed: int = 0) -> DataFrame:
@@ -61,12 +68,11 @@ def grouped_split(df: DataFrame, group: str, fractions: dict[str, float], seed:
     With ``stratum``, groups are cut inside each stratum by their most frequent value, the smallest among ties."""
     groups = df.where(F.col(group).isNotNull())
     if stratum is None:
-        groups, over = groups.select(group).distinct().withColumn("_s", F.lit(0)), Window.partitionBy("_s")
+        ranked = _ranked(df, group, seed)
     else:
         counts = groups.groupBy(group, F.coalesce(F.col(stratum).cast("string"), F.lit("nan")).alias("_v")).agg(F.count("*").alias("_n"))
         groups = counts.groupBy(group).agg(F.min(F.struct((-F.col("_n")).alias("n"), F.col("_v").alias("v")))["v"].alias("_s"))
-        over = Window.partitionBy("_s")
-    ranked = groups.withColumns({"_i": F.row_number().over(over.orderBy(hash_order(group, seed), group)), "_k": F.count("*").over(over)})
+        ranked = _in_hash_order(groups, ["_s"], group, seed)
     names, total, choice = list(fractions), 0.0, F.lit(list(fractions)[-1])
     for upto in range(len(names) - 1, 0, -1):
         total = sum(list(fractions.values())[:upto])
@@ -76,10 +82,9 @@ def grouped_split(df: DataFrame, group: str, fractions: dict[str, float], seed:
 
 def stratified_sample(df: DataFrame, stratum: str, key: str, fraction: float, least: int = 4, seed: int = 0) -> DataFrame:
     """A fraction of each stratum in hash order, at least ``least`` rows where there are that many."""
-    over = Window.partitionBy(stratum)
-    ranked = df.withColumns({"_i": F.row_number().over(over.orderBy(hash_order(key, seed), key)), "_n": F.count("*").over(over)})
-    take = F.greatest(F.least(F.lit(least), F.col("_n")), F.bround(F.col("_n") * fraction, 0))
-    return ranked.where(F.col("_i") <= take).drop("_i", "_n")
+    ranked = _in_hash_order(df, [stratum], key, seed)
+    take = F.greatest(F.least(F.lit(least), F.col("_k")), F.bround(F.col("_k") * fraction, 0))
+    return ranked.where(F.col("_i") <= take).drop("_i", "_k")
 
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:

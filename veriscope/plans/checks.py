@@ -6,12 +6,13 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import information, metrics
 from ..operators import resample, ridge, similarity, splits
 from ..operators.components import connected_components
+from ..operators.running import rank_in_slices, sliced
 from ..session import cut
 from .contract import AuditFrame, encoded
 from .verdict import FAIL, INSUFFICIENT, PASS, CheckResult
@@ -70,8 +71,8 @@ def duplicates(frame: AuditFrame, limits: dict) -> CheckResult:
     if rows is None:
         return _result(INSUFFICIENT, "no readable content", missing=["image_path, or a table of content hashes"])
     n, unique = rows.agg(F.count("*"), F.count_distinct("md5")).first()
-    pairs = similarity.hamming_pairs(rows, "_row", "phash", PHASH_NEAR)
-    parts = connected_components(pairs, "key_a", "key_b").withColumnRenamed("node", "_row")
+    links = similarity.hamming_links(rows, "_row", "phash", PHASH_NEAR)
+    parts = connected_components(links, "src", "dst").withColumnRenamed("node", "_row")
     near = cut(rows.join(parts, "_row", "left").withColumn("component", F.coalesce("component", "_row")), "near")
     near_rate = 1 - near.agg(F.count_distinct("component")).first()[0] / n
     rate = 1 - unique / n
@@ -219,15 +220,14 @@ def subgroup_robustness(frame: AuditFrame, limits: dict) -> CheckResult:
     )
     errors = cut(errors, "errors")
     per = errors.groupBy("subject_id").agg(F.count("*").alias("n"), F.sum("_b").alias("b"), F.sum("_m").alias("m"))
-    everyone = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranked = per.withColumns({"i": F.row_number().over(Window.orderBy(F.col("m") / F.col("n"), "subject_id")), "k": F.count("*").over(everyone)})
-    take = F.greatest(F.lit(1), F.bround(F.col("k") * limits["drop_fraction"], 0).cast("long"))
-    kept = F.col("i") > take
+    ranked = rank_in_slices(sliced(per.withColumn("e", F.col("m") / F.col("n")), "e"), [], ["e", "subject_id"])
+    take = F.greatest(F.lit(1), F.bround(F.col("_k") * limits["drop_fraction"], 0).cast("long"))
+    kept = F.col("_i") > take
     row = ranked.agg(
         (F.sum(F.col("b") - F.col("m")) / F.sum("n")).alias("all"),
         (F.sum(F.when(kept, F.col("b") - F.col("m"))) / F.sum(F.when(kept, F.col("n")))).alias("kept"),
         F.max(take).alias("dropped"),
-        F.max("k").alias("subjects"),
+        F.max("_k").alias("subjects"),
     ).first()
     attributes = [c for c in ("device", "site", "sex") if frame.has(c)]
     table = []

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics, power, windows
 from ..operators import resample, ridge, screening, similarity
+from ..operators.running import rank_in_slices, sliced
 from ..session import table
 from .catalog import SCREENING_SQL, SUBMISSION_SQL, bucket, query, screening_table, sql_bucket, submission
 
@@ -56,10 +56,9 @@ FROM r
 def best_decile_drop(spark, sf_dir):
     """The advantage with and without the best tenth of the subjects."""
     g = _errors(spark, sf_dir).groupBy("subject_id").agg(F.count("*").alias("n"), F.sum("base_error").alias("b"), F.sum("model_error").alias("m"))
-    everyone = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    r = g.withColumns({"i": F.row_number().over(Window.orderBy(F.col("m") / F.col("n"), "subject_id")), "k": F.count("*").over(everyone)})
-    take = F.greatest(F.lit(1), F.bround(F.col("k") * 0.1, 0).cast("long"))
-    kept = F.col("i") > take
+    r = rank_in_slices(sliced(g.withColumn("e", F.col("m") / F.col("n")), "e"), [], ["e", "subject_id"])
+    take = F.greatest(F.lit(1), F.bround(F.col("_k") * 0.1, 0).cast("long"))
+    kept = F.col("_i") > take
     return r.agg(
         F.count("*").alias("n_subjects"),
         F.max(take).alias("n_dropped"),
