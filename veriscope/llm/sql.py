@@ -1,5 +1,7 @@
 """DuckDB SQL of those queries that SQL can express."""
 
+from .license_scan import ANCHOR, FILE_NAME, TEMPLATES, THRESHOLD, TOKEN
+
 SPACE = r"[\x20\x09-\x0D]+"
 
 LINE_DEDUP_SQL = r"""
@@ -109,3 +111,32 @@ k AS (SELECT a, count(*) AS n FROM l GROUP BY a)
 SELECT vec_id, coalesce(k.n, 0) AS n_links, least(vec_id, coalesce(c.low, vec_id)) AS component_id, vec_id <= coalesce(c.low, vec_id) AS kept
 FROM embeddings LEFT JOIN k ON vec_id = k.a LEFT JOIN c ON vec_id = c.a
 """
+
+_TEMPLATE_ROWS = ", ".join("({}, '{}', '{}')".format(k, name, text.replace("'", "''")) for k, (name, text) in enumerate(TEMPLATES))
+
+LICENSE_SQL = f"""
+WITH t AS (SELECT * FROM (VALUES {_TEMPLATE_ROWS}) AS v(tid, name, body)),
+tt AS (SELECT tid, name, token, count(*) AS n FROM (SELECT tid, name, unnest(regexp_extract_all(lower(body), '{TOKEN}')) AS token FROM t) GROUP BY ALL),
+vocab AS (SELECT DISTINCT token FROM tt),
+d AS (SELECT doc_id, text, concat_ws('/', source, lang, CAST(doc_id // 64 AS VARCHAR), CAST(doc_id AS VARCHAR)) AS path FROM documents),
+l AS (SELECT row_number() OVER () AS lid, doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{ANCHOR}')),
+lt AS (SELECT lid, token, count(*) AS n FROM (SELECT lid, unnest(regexp_extract_all(lower(line), '{TOKEN}')) AS token FROM l) GROUP BY ALL),
+total AS (SELECT (SELECT count(*) FROM l) + (SELECT count(*) FROM t) AS n),
+idf AS (SELECT token, ln((1 + (SELECT n FROM total)) / (1 + (SELECT count(*) FROM lt WHERE lt.token = vocab.token) + (SELECT count(*) FROM tt WHERE tt.token = vocab.token))::DOUBLE) + 1 AS w FROM vocab),
+tw AS (SELECT tid, name, token, tt.n * w / sqrt(sum(tt.n * w * tt.n * w) OVER (PARTITION BY tid)) AS w FROM tt JOIN idf USING (token)),
+norm AS (SELECT lid, sqrt(sum(CASE WHEN idf.w IS NULL THEN pow(ln(1 + (SELECT n FROM total)) + 1, 2) ELSE pow(lt.n * idf.w, 2) END)) AS norm FROM lt LEFT JOIN idf ON lt.token = idf.token GROUP BY lid),
+s AS (SELECT lt.lid, tw.name, tw.tid, round(sum(lt.n * idf.w * tw.w) / any_value(norm.norm), 6) AS score FROM lt JOIN idf ON lt.token = idf.token JOIN tw ON lt.token = tw.token JOIN norm ON lt.lid = norm.lid GROUP BY ALL),
+b AS (SELECT lid, score, name FROM (SELECT *, row_number() OVER (PARTITION BY lid ORDER BY score DESC, name) AS i FROM s) WHERE i = 1 AND score >= {THRESHOLD}),
+m AS (SELECT doc_id, score, name, length(line) AS chars FROM b JOIN l ON b.lid = l.lid),
+h AS (SELECT doc_id, max(score) AS score, min(name) FILTER (WHERE score = top) AS license, count(*) AS n, sum(chars) AS covered
+      FROM (SELECT *, max(score) OVER (PARTITION BY doc_id) AS top FROM m) GROUP BY doc_id),
+f AS (SELECT d.doc_id, d.path, regexp_extract(d.path, '^(.*)/[^/]*$', 1) AS dir, h.score, h.license, coalesce(h.n, 0) AS n,
+             h.n IS NOT NULL AND (regexp_matches(regexp_extract(d.path, '([^/]*)$', 1), '{FILE_NAME}') OR 2 * h.covered >= length(d.text)) AS is_file
+      FROM d LEFT JOIN h ON d.doc_id = h.doc_id),
+o AS (SELECT dir AS own, score, license FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY score DESC, license) AS i FROM f WHERE is_file) WHERE i = 1),
+a AS (SELECT dir, o.score, o.license FROM (SELECT DISTINCT dir FROM f) JOIN o ON dir = own OR own = '' OR starts_with(dir, own || '/')
+      QUALIFY row_number() OVER (PARTITION BY dir ORDER BY length(own) DESC) = 1)
+SELECT doc_id, path, coalesce(f.license, a.license) AS license, coalesce(f.score, a.score) AS score,
+       CASE WHEN f.license IS NOT NULL THEN 'header' WHEN a.license IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin, n AS n_header_lines
+FROM f LEFT JOIN a ON f.dir = a.dir
+"""
