@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..session import table
 from . import itq_dedup, license_scan, line_dedup, media_chunks, mixing, packing, pii, quality, simhash_dedup, toxicity
-from .sql import EMBEDDING_SQL, LICENSE_SQL, LINE_DEDUP_SQL, MIXING_SQL, PII_SQL
+from .sql import EMBEDDING_SQL, LICENSE_SQL, LINE_DEDUP_SQL, MIXING_SQL, PACKING_SQL, PII_SQL
 
 
 def op1_toxicity_crf(spark, sf_dir):
@@ -48,4 +48,4 @@ def op10_packing(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity_crf, op2_itq_dedup, op3_media_chunks, op4_line_dedup, op5_pii_spans, op6_simhash_dedup, op7_source_mixing, op8_quality_subword, op9_license_scan, op10_packing)}
-ORACLE_SQL = {"op2_itq_dedup": EMBEDDING_SQL, "op4_line_dedup": LINE_DEDUP_SQL, "op5_pii_spans": PII_SQL, "op7_source_mixing": MIXING_SQL, "op9_license_scan": LICENSE_SQL}
+ORACLE_SQL = {"op2_itq_dedup": EMBEDDING_SQL, "op4_line_dedup": LINE_DEDUP_SQL, "op5_pii_spans": PII_SQL, "op7_source_mixing": MIXING_SQL, "op9_license_scan": LICENSE_SQL, "op10_packing": PACKING_SQL}

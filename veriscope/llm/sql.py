@@ -1,6 +1,7 @@
 """DuckDB SQL of those queries that SQL can express."""
 
 from .license_scan import ANCHOR, FILE_NAME, TEMPLATES, THRESHOLD, TOKEN
+from .packing import N_BUCKETS, TOKEN_BUDGET
 
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -140,3 +141,22 @@ SELECT doc_id, path, coalesce(f.license, a.license) AS license, coalesce(f.score
        CASE WHEN f.license IS NOT NULL THEN 'header' WHEN a.license IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin, n AS n_header_lines
 FROM f LEFT JOIN a ON f.dir = a.dir
 """
+
+#: One layer of the dynamic program for each further bucket: the cheapest way to end at each length.
+_LAYERS = ",\n".join(
+    f"""b{k} AS (SELECT e.j, min(struct_pack(c := p.v.c + e.len * (e.cn - p.cn) - (e.cs - p.cs), i := p.j, b := list_append(p.v.b, e.len))) AS v, any_value(e.cn) AS cn, any_value(e.cs) AS cs
+     FROM b{k - 1} p JOIN h e ON p.j < e.j GROUP BY e.j)"""
+    for k in range(2, N_BUCKETS + 1)
+)
+
+PACKING_SQL = rf"""
+WITH d AS (SELECT doc_id, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key, CAST(coalesce(length(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS length FROM documents),
+g AS (SELECT length AS len, count(*) AS n FROM d GROUP BY length),
+h AS (SELECT row_number() OVER w AS j, len, CAST(sum(n) OVER w AS BIGINT) AS cn, CAST(sum(n * len) OVER w AS BIGINT) AS cs FROM g WINDOW w AS (ORDER BY len ROWS UNBOUNDED PRECEDING)),
+b1 AS (SELECT j, struct_pack(c := len * cn - cs, i := CAST(0 AS BIGINT), b := [len]) AS v, cn, cs FROM h),
+{_LAYERS},
+o AS (SELECT v FROM ({" UNION ALL ".join(f"SELECT {k} AS k, j, v FROM b{k}" for k in range(1, N_BUCKETS + 1))}) WHERE j = (SELECT max(j) FROM h) ORDER BY v.c, k LIMIT 1),
+x AS (SELECT d.*, o.v.b AS bounds, len(list_filter(o.v.b, lambda u: u < d.length)) AS bucket FROM d, o),
+y AS (SELECT *, bounds[bucket + 1] AS bound, row_number() OVER (PARTITION BY bucket ORDER BY key, doc_id, length) AS i FROM x)
+SELECT doc_id, length, CAST(bucket AS INTEGER) AS bucket, bound, CAST((i - 1) // greatest(1, {TOKEN_BUDGET} // greatest(bound, 1)) AS BIGINT) AS batch, bound - length AS padding FROM y
+"""
