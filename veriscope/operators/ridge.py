@@ -53,12 +53,14 @@ def grouped_ridge(df: DataFrame, features: list[str], truth: str, fold: str, out
     """``df`` with out-of-fold predictions. Rows need a truth; with no features the training mean is predicted."""
     p = len(features)
     folds = [r[0] for r in df.select(fold).distinct().orderBy(fold).collect()]
-    if p:
-        cells = [F.median(F.when(F.col(fold) != k, F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double")))) for k in folds for f in features]
+    medians = np.zeros((len(folds), p))
+    known = {f: F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double")) for f in features}
+    holes = df.agg(*[F.count_if(c.isNull()) for c in known.values()]).first() if p else []
+    partly = [j for j, n in enumerate(holes) if n]  # exact medians are dear, and only columns with holes need them
+    if partly:
+        cells = [F.median(F.when(F.col(fold) != k, known[features[j]])) for k in folds for j in partly]
         flat = df.agg(*[c.alias(f"m{i}") for i, c in enumerate(cells)]).first()
-        medians = np.array([0.0 if v is None else v for v in flat], float).reshape(len(folds), p)
-    else:
-        medians = np.zeros((len(folds), 0))
+        medians[:, partly] = np.array([0.0 if v is None else v for v in flat], float).reshape(len(folds), len(partly))
     rows = df.select(*[F.col(f).cast("double") for f in features], F.col(truth).cast("double").alias("_y"), F.col(fold).cast("long").alias("_fold"))
     rows = rows.where(F.col("_y").isNotNull())
 
