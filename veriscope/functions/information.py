@@ -99,7 +99,7 @@ def feature_table(df: DataFrame, features: list[str], truth: str, q: float, seed
     pearson = whole.agg(*[F.corr(f"x{i}", "y").alias(f"r{i}") for i in range(len(features))]).first()
     spearman = []
     for i in range(len(features)):
-        ranked = metrics.with_average_rank(metrics.with_average_rank(whole.select("y", f"x{i}"), "y", "ry"), f"x{i}", "rx")
+        ranked = metrics.with_average_ranks(whole.select("y", f"x{i}"), {"y": "ry", f"x{i}": "rx"})
         spearman.append(ranked.agg(F.corr("rx", "ry")).first()[0])
     p = [[correlation_p(r, n) for r in rs] for rs in (pearson, spearman)]
     adjusted = [bh(v) for v in p]

@@ -42,15 +42,29 @@ def metric_bundle(truth, pred, digits: int = 6) -> list[Column]:
     return [F.count("*").alias("n"), *[F.round(f(truth, pred), digits).alias(name) for name, f in parts.items()]]
 
 
-def with_average_rank(df: DataFrame, column: str, out: str, by: list[str] | None = None) -> DataFrame:
-    """Ranks from 1, ties sharing their mean rank, from running counts over the table of distinct values:
-    rows join it by value and are never sorted themselves. Rows without a value are left out."""
+def average_ranks(df: DataFrame, column: str, out: str, by: list[str] | None = None) -> DataFrame:
+    """(by, column, out): ranks from 1, ties sharing their mean rank, from running counts over the table of
+    distinct values, which is written once. Rows are not sorted themselves."""
     from ..operators.running import running_sums
+    from ..session import cut
 
     keys = by or []
-    counts = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("_n"))
-    ranks = running_sums(counts, keys, column, ["_n"]).select(*keys, column, (F.col("upto__n") - (F.col("_n") - 1) / 2).alias(out))
-    return df.join(ranks, [*keys, column])
+    counts = cut(df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("_n")), "values")
+    return running_sums(counts, keys, column, ["_n"]).select(*keys, column, (F.col("upto__n") - (F.col("_n") - 1) / 2).alias(out))
+
+
+def with_average_ranks(df: DataFrame, columns: dict[str, str], by: list[str] | None = None) -> DataFrame:
+    """``df`` with the average rank of each column under its name in ``columns``; rows without a value are left out.
+
+    Ranks join by value, each from ``df`` itself, so no rank is computed on top of another's joins."""
+    out = df
+    for column, name in columns.items():
+        out = out.join(average_ranks(df, column, name, by), [*(by or []), column])
+    return out
+
+
+def with_average_rank(df: DataFrame, column: str, out: str, by: list[str] | None = None) -> DataFrame:
+    return with_average_ranks(df, {column: out}, by)
 
 
 def benjamini_hochberg(df: DataFrame, p: str, out: str = "q", by: list[str] | None = None) -> DataFrame:

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 ALPHAS = np.logspace(-3, 3, 25)
 
 
@@ -39,7 +41,7 @@ class _Sums:
                 yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(total)], pa.binary())], ["part"])
 
         total = None
-        for row in df.mapInArrow(run, "part binary").toLocalIterator():
+        for row in df.mapInArrow(run, "part binary").collect():  # a row a task
             part = pickle.loads(bytes(row["part"]))
             total = part if total is None else add(total, part)
         return total
@@ -52,17 +54,17 @@ def _filled(x: np.ndarray, medians: np.ndarray) -> np.ndarray:
 def grouped_ridge(df: DataFrame, features: list[str], truth: str, fold: str, out: str = "ridge_pred") -> DataFrame:
     """``df`` with out-of-fold predictions. Rows need a truth; with no features the training mean is predicted."""
     p = len(features)
-    folds = [r[0] for r in df.select(fold).distinct().orderBy(fold).collect()]
+    missing = F.lit(None).cast("double")
+    rows = df.select(*[F.nanvl(F.col(f).cast("double"), missing).alias(f"_x{j}") for j, f in enumerate(features)], F.col(truth).cast("double").alias("_y"), F.col(fold).cast("long").alias("_fold"))
+    rows = cut(rows.where(F.col("_y").isNotNull()), "ridge")  # several passes follow
+    folds = [r[0] for r in rows.select("_fold").distinct().orderBy("_fold").collect()]
     medians = np.zeros((len(folds), p))
-    known = {f: F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double")) for f in features}
-    holes = df.agg(*[F.count_if(c.isNull()) for c in known.values()]).first() if p else []
+    holes = rows.agg(*[F.count_if(F.col(f"_x{j}").isNull()) for j in range(p)]).first() if p else []
     partly = [j for j, n in enumerate(holes) if n]  # exact medians are dear, and only columns with holes need them
     if partly:
-        cells = [F.median(F.when(F.col(fold) != k, known[features[j]])) for k in folds for j in partly]
-        flat = df.agg(*[c.alias(f"m{i}") for i, c in enumerate(cells)]).first()
+        cells = [F.median(F.when(F.col("_fold") != k, F.col(f"_x{j}"))) for k in folds for j in partly]
+        flat = rows.agg(*[c.alias(f"m{i}") for i, c in enumerate(cells)]).first()
         medians[:, partly] = np.array([0.0 if v is None else v for v in flat], float).reshape(len(folds), len(partly))
-    rows = df.select(*[F.col(f).cast("double") for f in features], F.col(truth).cast("double").alias("_y"), F.col(fold).cast("long").alias("_fold"))
-    rows = rows.where(F.col("_y").isNotNull())
 
     def gram(batch: pa.RecordBatch) -> list:
         x, y, at = _arrays(batch, p)

@@ -10,14 +10,14 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES = 512
+SLICES = 256
 
 
 def sliced(df: DataFrame, order: str, slices: int = SLICES) -> DataFrame:
     """``df`` without null ``order``, with an integer ``_slice`` that ascends with it."""
     known = df.where(F.col(order).isNotNull() & ~F.isnan(F.col(order).cast("double"))).withColumn("_order", F.col(order).cast("double"))
     at = F.array(*[F.lit(k / slices) for k in range(1, slices)])
-    found = known.agg(F.percentile_approx("_order", at, F.lit(10 * slices))).first()[0] or []
+    found = known.agg(F.percentile_approx("_order", at, F.lit(4 * slices))).first()[0] or []
     inner = sorted({float(v) for v in found if abs(v) != float("inf")})
     if not inner:
         return known.withColumn("_slice", F.lit(0)).drop("_order")

@@ -111,7 +111,7 @@ SELECT flag, count(*) AS n, round(corr(a, b), 6) AS pearson, round(corr(ra, rb),
 """)
 def pearson_spearman(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_quantity").alias("a"), F.col("l_extendedprice").alias("b"))
-    ranked = metrics.with_average_rank(metrics.with_average_rank(rows, "a", "ra", ["flag"]), "b", "rb", ["flag"])
+    ranked = metrics.with_average_ranks(rows, {"a": "ra", "b": "rb"}, ["flag"])
     return ranked.groupBy("flag").agg(F.count("*").alias("n"), F.round(F.corr("a", "b"), 6).alias("pearson"), F.round(F.corr("ra", "rb"), 6).alias("spearman"))
 
 
