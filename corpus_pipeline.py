@@ -19,7 +19,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose SimHash over five-word shingles is within four bits."""
+    """One document of each group linked by a similarity of 0.8 or more over five-word shingles."""
     return simhash_dedup.drop_near_duplicates(docs, shingle=5)
 
 

@@ -43,28 +43,36 @@ SPLIT_BITS = 8
 MAX_BITS = 60
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """The 64-bit SimHash of the XXH64 values of all word shingles."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The XXH64 values of all word shingles, in order; one for a text of fewer words, none without words."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, n = b" ".join(words), len(words)
     digest = xxhash.xxh64_intdigest
     if n <= shingle:
-        hashes = [digest(joined, SEED)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1)).tolist()
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist())]
+        return np.array([digest(joined, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1)).tolist()
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist())], np.uint64)
+
+
+def simhash(hashes: np.ndarray) -> int:
+    """The bits that more than half of ``hashes`` have; zero for none."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 16):
-        block = np.array(hashes[at : at + (1 << 16)], "<u8").view(np.uint8).reshape(-1, 8)
+        block = hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int) -> int:
+    """The 64-bit SimHash of the XXH64 values of all word shingles."""
+    return simhash(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``(doc_id, fp)``; fp is the fingerprint's bits as a signed long."""
 
@@ -186,8 +194,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, id_column: str = "doc_id"
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """``docs`` without all but the smallest doc_id of each component; rows that
-    repeat the kept doc_id are one document and stay, as do rows with a null doc_id."""
-    found = near_duplicates(docs, shingle)
+    """``docs`` without all but the smallest doc_id of each group of ``shingle_links.components``
+    (similarity 0.8 or more); rows that repeat the kept doc_id are one document and stay, as do
+    rows with a null doc_id."""
+    from . import shingle_links
+
+    found = shingle_links.components(docs, shingle)
     gone = found.where("component_id < doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
