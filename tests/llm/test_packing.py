@@ -63,3 +63,18 @@ def test_rounded_histogram(spark):
     sizes = spark.createDataFrame([(i,) for i in range(1000)], "pack_length long")
     lengths, counts = packing.histogram(sizes, max_bins=100)
     assert counts.sum() == 1000 and len(lengths) <= 101 and lengths.max() >= 999
+
+
+def test_one_long_document_moves_no_bound(documents):
+    import duckdb
+
+    from veriscope.llm.sql import PACKING_SQL
+
+    rng = np.random.default_rng(6)
+    sizes = [int(x) for x in rng.choice(900, 45, replace=False)]
+    data = [(i, "w " * sizes[int(rng.integers(45))]) for i in range(700)] + [(700, "w " * 1_000_000)]
+    got = sorted(tuple(r) for r in packing.pack_report(documents(data)).collect())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", data)
+    assert got == sorted(con.execute(PACKING_SQL).fetchall())

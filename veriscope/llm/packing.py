@@ -9,8 +9,8 @@ at least one.
 
 Places inside a bucket come from two levels of counts (4,096 slices of the order, then the rows of a
 slice), so one bucket with a third of all rows is dealt over all tasks. The histogram has a
-row for each distinct length; beyond MAX_BINS lengths they are first rounded up to
-a common step, so that what reaches the driver is bounded; no row is left out.
+row for each distinct length and is never rounded. What reaches the driver is bounded by
+the corpus, not by the longest document: n distinct lengths need n^2 / 2 words, a million of them 5 * 10^11.
 
 Defined cases: a null or empty text has length 0 and is packed like any other (a
 bucket with bound 0 is one batch per ``budget`` documents); no document is cut, and one longer than the budget is a batch of its own.
@@ -29,7 +29,6 @@ from .mixing import WORDS
 
 N_BUCKETS = 16
 TOKEN_BUDGET = 32_768
-MAX_BINS = 65_536
 SLICES = 4096
 
 
@@ -84,12 +83,13 @@ def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, n_buckets: int) -> l
     return sorted(set(bounds))
 
 
-def histogram(sizes: DataFrame, max_bins: int = MAX_BINS) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct lengths and their counts; lengths are rounded up to a step where there are more than ``max_bins``."""
-    most = sizes.agg(F.max("pack_length")).first()[0]
-    step = max(1, -(-(most or 0) // max_bins))
-    rounded = F.ceil(F.col("pack_length") / step) * step
-    rows = sizes.groupBy(rounded.cast("long").alias("length")).count().orderBy("length").toArrow()
+def histogram(sizes: DataFrame, max_bins: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct lengths and their counts. Only a caller that gives ``max_bins`` gets lengths rounded up to a step of the longest one over it."""
+    length = F.col("pack_length")
+    if max_bins is not None:
+        step = max(1, -(-(sizes.agg(F.max("pack_length")).first()[0] or 0) // max_bins))
+        length = F.ceil(length / step) * step
+    rows = sizes.groupBy(length.cast("long").alias("length")).count().orderBy("length").toArrow()
     return rows.column("length").to_numpy(), rows.column("count").to_numpy()
 
 
