@@ -56,3 +56,17 @@ def test_report(documents):
 
 def test_empty(documents):
     assert M.media_report(documents([])).count() == 0
+
+
+def test_every_document_has_a_stored_object(documents):
+    shared = " ".join(f"part{i}" for i in range(4000))
+    texts = [shared, "head " + shared, shared, "alone " * 900, "", None, "naïve ☃"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "no id")]
+    got = M.media_objects(documents(rows)).collect()
+    assert len(got) == len(rows)
+    want = {i: (t or "").encode() for i, t in rows}
+    report = {r["doc_id"]: r for r in M.media_report(documents(rows)).collect()}
+    for r in got:
+        data = b"".join(M.decode(bytes(r["media"])))
+        assert data[: r["n_bytes"]] == want[r["doc_id"]] and set(data[r["n_bytes"] :]) <= {255}
+        assert report[r["doc_id"]]["media_sha256"] == hashlib.sha256(r["media"]).hexdigest()

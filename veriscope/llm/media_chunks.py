@@ -8,12 +8,13 @@ a media object is an ordered list of chunk names with lengths, and the chunks.
 1. All chunk names are counted (partial aggregation); names held by more than one
    payload are the shared ones. They go into a bit filter of FILTER_BITS bits, a size that does not
    depend on the data; a false positive only sends a chunk the longer way.
-2. A payload without shared chunks is stored as one self-contained object and read
-   back at once: its bytes never leave the task.
+2. A payload without shared chunks is stored as one self-contained object, in the row of its document.
 3. Payloads with shared chunks are stored in parts: shared chunks once each in a pool keyed
    by digest, the rest inline. Ordered chunk lists are joined to the pool by digest, and
-   grouped by payload to rebuild the object. Equal payloads are rebuilt once, and
-   documents are joined to the rebuilt object by the payload's digest.
+   grouped by payload to rebuild the object. Equal payloads are rebuilt and stored once, and
+   documents are joined to the stored object by the payload's digest.
+4. Both kinds of objects are tables in the shared folder. ``media_objects`` returns every document's stored
+   form from them, and ``media_report`` describes what it reads back from them.
 
 The stored form is MAGIC, the number of chunks, (length, digest) for each chunk in order,
 then the chunks; reading it back checks every digest. It depends on the text alone, so
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, shared_dir
 
 FRAME = 576
 MIN_CHUNK = 512
@@ -44,6 +46,8 @@ MAX_CHUNK = 8192
 CUT_BITS = 11
 WINDOW = 32
 FILTER_BITS = 1 << 25
+#: A batch of stored forms is passed on from this size.
+OUT_BYTES = 8 << 20
 MAGIC = b"CDM1"
 _GEAR = np.random.Generator(np.random.PCG64(576)).integers(0, 1 << 32, 256, np.uint32)
 
@@ -165,8 +169,16 @@ def shared_filter(texts: DataFrame) -> np.ndarray:
     return out
 
 
-def media_report(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and the columns of FORM for every row of ``docs``."""
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """``cut`` for tables of stored forms, with closer compression."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The stored tables: ``(doc_id, payload_key, n_bytes, media)`` for every row, where media is null if the payload has
+    shared chunks, and ``(payload_key, n_bytes, media)`` for each of those payloads (payload_key is null for the others)."""
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(shared_filter(texts))
@@ -179,23 +191,18 @@ def media_report(docs: DataFrame) -> DataFrame:
         common = [bool(int(words[w]) >> b & 1) for w, b in (_filter_word(_name_halves(x)[0]) for x in names)]
         return parts, names, common, n
 
-    columns = [c.split()[0] for c in FORM.split(", ")]
-    form_types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Payloads of unshared chunks: described; others: the payload's name only."""
+        """Payloads of unshared chunks: stored forms; others: the payload's name only."""
         for batch in batches:
-            rows, keys = [], []
-            for text in batch.column(1):
+            start, held, rows = 0, 0, []
+            for at, text in enumerate(batch.column(1)):
                 parts, names, common, n = split(text.as_py())
-                if any(common):
-                    rows.append((None,) * len(columns))
-                    keys.append(digest(b"".join(names)))
-                else:
-                    rows.append(described(encode(parts, names), n))
-                    keys.append(None)
-            arrays = [pa.array(c, t) for c, t in zip(zip(*rows), form_types)] if rows else [pa.array([], t) for t in form_types]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), *arrays], ["doc_id", "payload_key", *columns])
+                rows.append((digest(b"".join(names)), n, None) if any(common) else (None, n, encode(parts, names)))
+                held += len(rows[-1][2] or b"")
+                if held >= OUT_BYTES or at + 1 == batch.num_rows:
+                    arrays = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), pa.int64(), pa.binary()))]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(rows)), *arrays], ["doc_id", "payload_key", "n_bytes", "media"])
+                    start, held, rows = at + 1, 0, []
 
     def in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Payloads with shared chunks, once for each batch: their lists, inline chunks, and shared chunks."""
@@ -222,17 +229,45 @@ def media_report(docs: DataFrame) -> DataFrame:
                 parts.append(zlib.decompress(r["chunk"]))
                 names.append(r["name"])
                 last = r["place"]
-        one = (key[0].as_py(), *described(encode(parts, names), rows[0]["n_bytes"]))
-        return pa.Table.from_arrays([pa.array([v], t) for v, t in zip(one, [pa.binary(), *form_types])], ["payload_key", *columns])
+        one = (key[0].as_py(), rows[0]["n_bytes"], encode(parts, names))
+        return pa.Table.from_arrays([pa.array([v], t) for v, t in zip(one, [pa.binary(), pa.int64(), pa.binary()])], ["payload_key", "n_bytes", "media"])
 
-    first = cut(texts.mapInArrow(alone, f"doc_id {kind}, payload_key binary, {FORM}"), "media-alone")
+    first = _stored(texts.mapInArrow(alone, f"doc_id {kind}, payload_key binary, n_bytes long, media binary"), "media-alone")
     pieces = texts.mapInArrow(in_parts, "key binary, n_bytes long, place int, name binary, chunk binary, common boolean")
     pieces = cut(pieces, "media-parts")
     pool = cut(pieces.where("common").groupBy("name").agg(F.min("chunk").alias("pooled")), "media-pool")
     lists = pieces.where("common").select("key", "n_bytes", "place", "name").distinct().join(pool, "name")
     lists = lists.select("key", "n_bytes", "place", "name", F.col("pooled").alias("chunk"))
     inline = pieces.where("not common").select("key", "n_bytes", "place", "name", "chunk")
-    objects = lists.unionByName(inline).groupBy("key").applyInArrow(rebuild, f"payload_key binary, {FORM}")
-    objects = cut(objects, "media-objects")
+    objects = lists.unionByName(inline).groupBy("key").applyInArrow(rebuild, "payload_key binary, n_bytes long, media binary")
+    return first, _stored(objects, "media-objects")
+
+
+def media_objects(docs: DataFrame) -> DataFrame:
+    """``(doc_id, n_bytes, media)`` for every row of ``docs``: the stored form, of which the first n_bytes of the payload are the text."""
+    first, objects = store(docs)
+    joined = first.where("payload_key is not null").select("doc_id", "payload_key").join(objects, "payload_key")
+    return first.where("payload_key is null").select("doc_id", "n_bytes", "media").unionByName(joined.select("doc_id", "n_bytes", "media"))
+
+
+def read_back(stored: DataFrame, key: str) -> DataFrame:
+    """``key`` and the columns of FORM, from a table with n_bytes and media."""
+    kind = stored.schema[key].dataType.simpleString()
+    columns = [c.split()[0] for c in FORM.split(", ")]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [described(form.as_py(), n.as_py()) for n, form in zip(batch.column(1), batch.column(2))]
+            arrays = [pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], [key, *columns])
+
+    return stored.select(key, "n_bytes", "media").mapInArrow(run, f"{key} {kind}, {FORM}")
+
+
+def media_report(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and the columns of FORM for every row of ``docs``, from the stored tables."""
+    first, objects = store(docs)
+    objects = cut(read_back(objects, "payload_key"), "media-described")
     joined = first.where("payload_key is not null").select("doc_id", "payload_key").join(objects, "payload_key")
-    return first.where("payload_key is null").drop("payload_key").unionByName(joined.select("doc_id", *columns))
+    return read_back(first.where("payload_key is null"), "doc_id").unionByName(joined.drop("payload_key"))
