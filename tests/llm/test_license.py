@@ -69,3 +69,19 @@ def test_native_and_empty(spark):
     plan = L.headers(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert L.license_report(df.limit(0)).count() == 0
+
+
+def test_wrapped_headers_and_whole_texts(spark):
+    import textwrap
+
+    body = "\n\n" + "some code\nand more of it\n" * 200
+    texts = dict(reversed(L.BLOCKS))  # the first of each name
+    wrapped = lambda name, mark: "\n".join(mark + x for x in textwrap.wrap(texts[name], 50))
+    rows = [
+        (1, "p/gpl.py", "#!/usr/bin/python\n# Copyright 2020 Some Body\n" + wrapped("GPL-3.0", "# ") + body), (2, "p/apache.c", texts["Apache-2.0"] + body),
+        (3, "p/lgpl.c", "/*\n" + wrapped("LGPL-3.0", " * ") + "\n */" + body), (4, "q/terms", "Copyright 2021 Any One\n\n" + wrapped("MIT", "")), (5, "q/r/code.py", body),
+        (6, "p/none.py", "# nothing is licensed here\n" + body),
+        (7, "p/long.py", "# licensed words\n" * 30_000), (8, "p/lines.txt", "licensed words\r\n" * 30_000),
+    ]
+    got = {r["doc_id"]: (r["license"], r["origin"]) for r in L.license_report(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == {1: ("GPL-3.0", "header"), 2: ("Apache-2.0", "header"), 3: ("LGPL-3.0", "header"), 4: ("MIT", "header"), 5: ("MIT", "inherited"), 6: (None, "none"), 7: (None, "none"), 8: (None, "none")}

@@ -7,6 +7,10 @@ the idf of a token never seen. A line's licence is the template of largest cosin
 THRESHOLD on. A document's licence is its best line's; a document is a licence file if its
 name says so or if matched lines make up half of its characters.
 
+Two blocks of a text that holds an anchor are vectors too: its leading comment block (or, without one, the
+lines up to the first blank one) and the whole text, against the notices and full texts of BLOCKS, with the idf of all such
+blocks. The best of lines and blocks is the document's licence; a whole text that matches is a licence file.
+
 A directory's licence is the best one among licence files directly in it. Directories
 resolve to their nearest ancestor (or themselves) with a licence: each distinct directory is exploded
 into its ancestors, joined by path, and the deepest match wins. Documents without a
@@ -58,12 +62,28 @@ TEMPLATES = [
 ]
 
 
+_WARRANTY = "{} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+#: Whole notices of file headers, and the full texts that are short enough to be given here.
+BLOCKS = [
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("BSD-3-Clause", 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'),
+    ("GPL-3.0", f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. {_WARRANTY.format('This program')} See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/"),
+    ("LGPL-3.0", f"This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. {_WARRANTY.format('This library')} See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this library. If not, see https://www.gnu.org/licenses/"),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+]
+#: Possessive, so that long blocks take neither stack nor backtracking.
+COMMENT = r"\A((?:[ \t]*+(?:#|//|/\*|\*|--|;|<!--|%)[^\n]*+(?:\n|\z))++)"
+FIRST_LINES = r"\A\s*+((?:[ \t\r]*+\S[^\n]*+(?:\n|\z))++)"
+
+
 def template_tokens(text: str) -> list[str]:
     return re.findall(TOKEN, text.lower())
 
 
-def vocabulary() -> list[str]:
-    return sorted({t for _, text in TEMPLATES for t in template_tokens(text)})
+def vocabulary(templates: list[tuple[str, str]] = TEMPLATES) -> list[str]:
+    return sorted({t for _, text in templates for t in template_tokens(text)})
 
 
 def candidate_lines(text: str = "text") -> Column:
@@ -76,23 +96,31 @@ def _tokens(line: Column) -> Column:
     return F.regexp_extract_all(F.lower(line), F.lit(TOKEN), F.lit(0))
 
 
-def inverse_frequencies(docs: DataFrame) -> tuple[dict[str, float], float]:
-    """(idf of each template token, idf of a token never seen), over all candidate lines and the templates."""
-    words = vocabulary()
-    lines = docs.select(F.explode(candidate_lines()).alias("line"))
+def blocks(text: str = "text") -> Column:
+    """The leading block and the whole of a text that holds an anchor, as an array; no block that has no anchor."""
+    column = F.col(text)
+    comment = F.regexp_extract(column, COMMENT, 1)
+    lead = F.when(comment != "", comment).otherwise(F.regexp_extract(column, FIRST_LINES, 1))
+    return F.when(column.rlike(ANCHOR), F.filter(F.array(lead, column), lambda b: b.rlike(ANCHOR))).otherwise(F.array().cast("array<string>"))
+
+
+def inverse_frequencies(docs: DataFrame, lines: Column | None = None, templates: list[tuple[str, str]] = TEMPLATES) -> tuple[dict[str, float], float]:
+    """(idf of each template token, idf of a token never seen), over all candidate lines (or the arrays ``lines``) and the templates."""
+    words = vocabulary(templates)
+    lines = docs.select(F.explode(candidate_lines() if lines is None else lines).alias("line"))
     found = lines.select(F.explode(F.concat(F.array(F.lit("")), F.array_intersect(_tokens(F.col("line")), F.lit(words)))).alias("token"))
     seen = {r["token"]: r["count"] for r in found.groupBy("token").count().collect()}  # one row a template token, and "" for all lines
-    n = seen.get("", 0) + len(TEMPLATES)
-    for _, text in TEMPLATES:
+    n = seen.get("", 0) + len(templates)
+    for _, text in templates:
         for token in set(template_tokens(text)):
             seen[token] = seen.get(token, 0) + 1
     return {w: math.log((1 + n) / (1 + seen[w])) + 1 for w in words}, math.log(1 + n) + 1
 
 
-def template_weights(idf: dict[str, float]) -> list[dict[str, float]]:
+def template_weights(idf: dict[str, float], templates: list[tuple[str, str]] = TEMPLATES) -> list[dict[str, float]]:
     """Unit TF-IDF vectors of the templates."""
     out = []
-    for _, text in TEMPLATES:
+    for _, text in templates:
         tokens = template_tokens(text)
         raw = {t: tokens.count(t) * idf[t] for t in set(tokens)}
         norm = math.sqrt(sum(v * v for v in raw.values()))
@@ -100,10 +128,10 @@ def template_weights(idf: dict[str, float]) -> list[dict[str, float]]:
     return out
 
 
-def line_match(line: Column, idf: dict[str, float], unseen: float) -> Column:
+def line_match(line: Column, idf: dict[str, float], unseen: float, templates: list[tuple[str, str]] = TEMPLATES) -> Column:
     """struct(score, license) of a line's nearest template."""
     words = sorted(idf)
-    weights = template_weights(idf)
+    weights = template_weights(idf, templates)
     table = F.map_from_arrays(F.lit(words), F.lit([[idf[w], *[t.get(w, 0.0) for t in weights]] for w in words]))
     tokens = _tokens(line)
 
@@ -120,7 +148,7 @@ def line_match(line: Column, idf: dict[str, float], unseen: float) -> Column:
 
         def finish(acc: Column) -> Column:
             norm = F.sqrt(acc[0] + rare * F.lit(unseen * unseen))
-            options = [F.struct((-F.round(acc[k + 1] / norm, 6)).alias("s"), F.lit(name).alias("l")) for k, (name, _) in enumerate(TEMPLATES)]
+            options = [F.struct((-F.round(acc[k + 1] / norm, 6)).alias("s"), F.lit(name).alias("l")) for k, (name, _) in enumerate(templates)]
             best = F.array_min(F.array(*options))
             return F.struct((-best["s"]).alias("score"), best["l"].alias("license"))
 
@@ -137,17 +165,22 @@ def headers(docs: DataFrame) -> DataFrame:
         lambda line: F.struct(line_match(line, idf, unseen).alias("m"), F.char_length(line).alias("n")),
     )
     matched = F.filter(matched, lambda x: x["m"]["score"] >= THRESHOLD)
-    rows = docs.withColumn("lic_matched", matched)
-    best = F.array_min(F.transform("lic_matched", lambda x: F.struct((-x["m"]["score"]).alias("s"), x["m"]["license"].alias("l"))))
+    block_idf, block_unseen = inverse_frequencies(docs, blocks(), BLOCKS)
+    whole = F.transform(blocks(), lambda b: F.struct(line_match(b, block_idf, block_unseen, BLOCKS).alias("m"), (b == F.col("text")).alias("whole")))
+    rows = docs.withColumns({"lic_matched": matched, "lic_blocks": F.filter(whole, lambda x: x["m"]["score"] >= THRESHOLD)})
+    scores = lambda c: F.transform(c, lambda x: F.struct((-x["m"]["score"]).alias("s"), x["m"]["license"].alias("l")))
+    best = F.array_min(F.concat(scores("lic_matched"), scores("lic_blocks")))
+    is_text = F.exists("lic_blocks", lambda x: x["whole"])
+    any_match = F.size("lic_matched") + F.size("lic_blocks") > 0
     covered = F.aggregate("lic_matched", F.lit(0), lambda acc, x: acc + x["n"])
     named = F.coalesce(F.element_at(F.split("path", "/"), -1).rlike(FILE_NAME), F.lit(False))
     return rows.withColumns(
         {
-            "lic_best": F.when(F.size("lic_matched") > 0, F.struct((-best["s"]).alias("score"), best["l"].alias("license"))),
+            "lic_best": F.when(any_match, F.struct((-best["s"]).alias("score"), best["l"].alias("license"))),
             "lic_lines": F.size("lic_matched").cast("long"),
-            "lic_file": (F.size("lic_matched") > 0) & (named | (2 * covered >= F.char_length("text"))),
+            "lic_file": any_match & (named | is_text | (2 * covered >= F.char_length("text"))),
         }
-    ).drop("lic_matched")
+    ).drop("lic_matched", "lic_blocks")
 
 
 def directory(path: Column) -> Column:
