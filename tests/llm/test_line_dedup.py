@@ -47,6 +47,31 @@ def test_batches_and_levels_do_not_matter(documents):
     assert one and one == {tuple(r) for r in line_dedup.repeated_keys(hashes, 5).collect()}
 
 
+def label(rows):
+    return {(r["hi"], r["lo"]): (r["n_docs"], r["last_doc"]) for r in rows}
+
+
+def test_runs_hold_a_key_once(spark):
+    """Keys of earlier batches must not enter a new run: totals go wrong if the anti-join lets them through."""
+    batches = [[(1, 10), (2, 11)], [(1, 20), (3, 21)], [(1, 5), (2, 30), (3, 31)], [(4, 40)], [(1, 50), (4, 41)]]
+    runs = line_dedup.LineRuns(spark)
+    for rows in batches:
+        runs.add(spark.createDataFrame([(k, -k, 1, d) for k, d in rows], "hi long, lo long, n_docs long, last_doc long"))
+    held = [r["hi"] for run in runs.runs() for r in run.collect()]
+    assert sorted(held) == [1, 2, 3, 4] and [len(level) for level in runs.levels] == [1, 0, 1]
+    assert label(runs.totals().collect()) == {(1, -1): (4, 50), (2, -2): (2, 30), (3, -3): (2, 31), (4, -4): (2, 41)}
+    runs.forget()
+
+
+def test_merging_runs_shuffles_nothing(spark):
+    runs = line_dedup.LineRuns(spark)
+    rows = spark.range(200).selectExpr("id as hi", "id as lo", "1L as n_docs", "id as last_doc")
+    a, b = (runs._written(rows.groupBy("hi", "lo").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))) for _ in range(2))
+    plan = a.join(b.select("hi", "lo").hint("merge"), ["hi", "lo"], "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    runs.forget()
+
+
 def test_drop_lines_keeps_columns(spark, documents):
     docs = documents(cases()).withColumns({"__extra": F.lit(1), "drops": F.lit("x"), "hi": F.lit(2)})
     out = line_dedup.drop_lines(docs)

@@ -1,37 +1,45 @@
 """Line dedup over levelled sorted runs of line hashes.
 
 Documents arrive in batches. A batch counts its own line keys (documents that
-hold the key, largest such doc_id), keyed by a 128-bit hash. Keys that no run
-holds yet are found by a merge anti-join against the runs; they and the counts of
-the known keys are added as a new sorted run on level 0. When a level has
-``fan_in`` runs they are compacted: merged into one sorted run of the next level,
-adding counts. Runs are Parquet tables in the shared folder, range-sorted by
-hash. After the last batch the runs together hold each key's counts; the keys
-found in at least ``min_documents`` documents lose all lines but those of the
-largest document.
+hold the key, largest such doc_id), keyed by a 128-bit hash. A merge anti-join against the runs
+leaves the keys that no run holds yet; these alone become a new sorted run on level 0,
+so over all runs a key has exactly one entry, made by the batch that saw it first.
+The batch's other keys are increments: they add to the entry of their key when the runs are read.
+When a level has ``fan_in`` runs they are compacted: merge-joined into one sorted run of the
+next level. Keys found in at least ``min_documents`` documents lose all lines but those of
+the largest document.
+
+Runs and batch counts are Parquet tables in the shared folder, bucketed and sorted by hash into as many
+buckets as a shuffle has partitions. Buckets of two tables hold the same keys, so an anti-join or a
+compaction reads bucket against bucket and shuffles nothing; a batch is shuffled once on its keys
+when it is counted, after partial counts.
 
 Defined cases: a null or empty text is one empty line; nothing is dropped from a
 document with a null doc_id, and it counts for no key. Rows that repeat a doc_id
-count as one document, and a kept key stays in each of them. Extra columns pass
-through ``drop_lines`` unread.
+count as one document, and a kept key stays in each of them. Equal keys tie on the largest doc_id. A long text is hashed line by line
+and its keys are passed on in slices. Extra columns pass through ``drop_lines`` unread.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, shared_dir
 
 MIN_CHARS = 40
 MIN_DOCUMENTS = 5
 N_BATCHES = 4
 FAN_IN = 2
 KEY = ["hi", "lo"]
+#: Keys that leave a Python worker at once.
+OUT_ROWS = 1 << 16
 
 
 def line_key(line: bytes) -> bytes | None:
@@ -42,11 +50,10 @@ def line_key(line: bytes) -> bytes | None:
     return key
 
 
-def _digest(key: bytes) -> tuple[int, int]:
+def _digest(key: bytes) -> bytes:
     import xxhash
 
-    both = xxhash.xxh3_128_digest(key)
-    return int.from_bytes(both[:8], "little", signed=True), int.from_bytes(both[8:], "little", signed=True)
+    return xxhash.xxh3_128_digest(key)
 
 
 def _lines(text: str | None) -> list[bytes]:
@@ -55,80 +62,116 @@ def _lines(text: str | None) -> list[bytes]:
 
 def line_hashes(docs: DataFrame) -> DataFrame:
     """``(doc_id, hi, lo)``: the distinct line keys of every document."""
+    names = ["doc_id", "hi", "lo"]
+
+    def batch_of(ids: list[int], sizes: list[int], digests: list[bytes]) -> pa.RecordBatch:
+        both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+        columns = (np.repeat(np.array(ids, np.int64), sizes), both[:, 0].copy(), both[:, 1].copy())
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sizes, digests = [], [], []
         for batch in batches:
-            ids, hi, lo = [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                keys = {k for line in _lines(text.as_py()) if (k := line_key(line)) is not None}
-                for h, l in map(_digest, keys):
-                    ids.append(doc_id)
-                    hi.append(h)
-                    lo.append(l)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, hi, lo)], ["doc_id", "hi", "lo"])
+            for doc_id, text in zip(batch.column(0), batch.column(1)):
+                keys = {_digest(k) for line in _lines(text.as_py()) if (k := line_key(line)) is not None}
+                ids.append(doc_id.as_py())
+                sizes.append(len(keys))
+                digests += keys
+                if len(digests) >= OUT_ROWS:
+                    yield batch_of(ids, sizes, digests)
+                    ids, sizes, digests = [], [], []
+        yield batch_of(ids, sizes, digests)
 
     picked = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return picked.mapInArrow(run, "doc_id long, hi long, lo long")
 
 
 class LineRuns:
-    """The levelled runs: ``(hi, lo, n_docs, last_doc)`` tables sorted by hash."""
+    """The levelled runs: bucketed ``(hi, lo, n_docs, last_doc)`` tables, a key in one of them only."""
 
-    def __init__(self, fan_in: int = FAN_IN):
-        self.fan_in = fan_in
+    def __init__(self, spark, fan_in: int = FAN_IN):
+        self.spark, self.fan_in = spark, fan_in
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[DataFrame]] = [[]]
+        self.increments: list[DataFrame] = []
+        self._tables: list[str] = []
 
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
 
-    @staticmethod
-    def _merged(parts: list[DataFrame]) -> DataFrame:
-        whole = parts[0]
-        for part in parts[1:]:
-            whole = whole.unionByName(part)
-        return whole.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
+    def _written(self, rows: DataFrame) -> DataFrame:
+        """A bucketed, sorted table of ``rows``; each bucket is one file if a task holds whole buckets."""
+        name = f"line_run_{uuid.uuid4().hex}"
+        path = f"{shared_dir(self.spark)}/{name}"
+        rows.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).format("parquet").option("path", path).saveAsTable(name)
+        self._tables.append(name)
+        return self.spark.table(name)
 
     def add(self, counts: DataFrame) -> None:
-        """Add a batch's counts: new keys by anti-join, known ones as increments, in one sorted run."""
-        new = counts
+        """Add a batch's counts (a row a key): keys that no run holds as a new run, the others as increments."""
+        counts = self._written(counts)
+        fresh = counts
         for run in self.runs():
-            new = new.join(run.select(*KEY), KEY, "left_anti")
-        known = counts
+            fresh = fresh.join(run.select(*KEY).hint("merge"), KEY, "left_anti")
         if self.runs():
-            seen = self.runs()[0].select(*KEY)
-            for run in self.runs()[1:]:
-                seen = seen.unionByName(run.select(*KEY))
-            known = counts.join(seen.distinct(), KEY, "left_semi")
-            counts = new.unionByName(known)
-        self.levels[0].append(cut(counts.sortWithinPartitions(*KEY), "line-run"))
-        self.compact()
-
-    def compact(self) -> None:
+            fresh = self._written(fresh)
+            self.increments.append(counts.join(fresh.select(*KEY).hint("merge"), KEY, "left_anti"))
+        self.levels[0].append(fresh)
+        self._compact()
+
+    def _compact(self) -> None:
         for level, runs in enumerate(self.levels):
             if len(runs) >= self.fan_in:
                 if level + 1 == len(self.levels):
                     self.levels.append([])
-                self.levels[level + 1].append(cut(self._merged(runs).sortWithinPartitions(*KEY), "line-run"))
+                merged = runs[0]
+                for run in runs[1:]:
+                    other = run.select(*KEY, F.col("n_docs").alias("n"), F.col("last_doc").alias("last"))
+                    merged = merged.join(other.hint("merge"), KEY, "full_outer").select(*KEY, F.coalesce("n_docs", "n").alias("n_docs"), F.coalesce("last_doc", "last").alias("last_doc"))
+                self.levels[level + 1].append(self._written(merged))
                 self.levels[level] = []
 
     def totals(self) -> DataFrame:
-        return self._merged(self.runs())
+        """``(hi, lo, n_docs, last_doc)`` of every key: its entry and all increments to it."""
+        whole = self.runs()[0]
+        for run in self.runs()[1:]:
+            whole = whole.unionByName(run)
+        if not self.increments:
+            return whole
+        more = self.increments[0]
+        for rows in self.increments[1:]:
+            more = more.unionByName(rows)
+        more = more.groupBy(*KEY).agg(F.sum("n_docs").alias("n"), F.max("last_doc").alias("last"))
+        n_docs = F.col("n_docs") + F.coalesce("n", F.lit(0))
+        return whole.join(more, KEY, "left").select(*KEY, n_docs.alias("n_docs"), F.greatest("last_doc", "last").alias("last_doc"))
+
+    def forget(self) -> None:
+        """Drop the tables' names; their files stay in the shared folder."""
+        for name in self._tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self._tables = []
+
+
+def batch_counts(hashes: DataFrame) -> DataFrame:
+    """``(hi, lo, n_docs, last_doc)`` of a batch of ``(doc_id, hi, lo)``; repeats of a doc_id count once."""
+    once = hashes.groupBy(*KEY, "doc_id").agg(F.lit(1)).groupBy(*KEY)
+    return once.agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
 
 
 def repeated_keys(hashes: DataFrame, n_batches: int = N_BATCHES, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
-    """``(hi, lo, last_doc)`` of keys that at least ``min_documents`` documents hold."""
-    runs = LineRuns()
+    """``(hi, lo, last_doc)`` of keys that at least ``min_documents`` documents hold, written once."""
+    runs = LineRuns(hashes.sparkSession)
     for batch in range(n_batches):
-        part = hashes.where(F.pmod(F.xxhash64("doc_id"), F.lit(n_batches)) == batch)
-        counts = part.groupBy(*KEY, "doc_id").agg(F.lit(1)).groupBy(*KEY)
-        runs.add(counts.agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc")))
-    return runs.totals().where(F.col("n_docs") >= min_documents).select(*KEY, "last_doc")
+        runs.add(batch_counts(hashes.where(F.pmod(F.xxhash64("doc_id"), F.lit(n_batches)) == batch)))
+    found = cut(runs.totals().where(F.col("n_docs") >= min_documents).select(*KEY, "last_doc"), "line-repeated")
+    runs.forget()
+    return found
 
 
 def _drops(docs: DataFrame, n_batches: int, min_documents: int) -> DataFrame:
-    """``(doc_id, drops)``: the keys, packed as 16 bytes each, that a document loses."""
+    """``(__drop_doc, __drops)``: the keys, 16 bytes each, that a document loses."""
     hashes = cut(line_hashes(docs), "line-hashes")
-    dropped = cut(repeated_keys(hashes, n_batches, min_documents), "line-repeated")
+    dropped = repeated_keys(hashes, n_batches, min_documents)
     held = hashes.join(dropped, KEY).where(F.col("doc_id") < F.col("last_doc"))
     return held.select("doc_id", F.struct(*KEY).alias("key")).groupBy(F.col("doc_id").alias("__drop_doc")).agg(F.collect_set("key").alias("__drops"))
 
@@ -138,11 +181,13 @@ def _filtered(docs: DataFrame, n_batches: int, min_documents: int) -> DataFrame:
     return docs.join(drops, F.col("doc_id") == F.col("__drop_doc"), "left")
 
 
-def _keep(text: str | None, drops) -> tuple[list[bytes], int]:
+def _keep(text: str | None, drops: pa.StructScalar) -> tuple[list[bytes], int]:
     lines = _lines(text)
-    if not drops:
+    if not drops.is_valid:
         return lines, 0
-    gone = {(d["hi"], d["lo"]) for d in drops}
+    keys = drops.values
+    both = np.stack([keys.field(k).to_numpy() for k in range(2)], axis=1).astype("<i8").tobytes()
+    gone = {both[at : at + 16] for at in range(0, len(both), 16)}
     kept = [line for line in lines if (k := line_key(line)) is None or _digest(k) not in gone]
     return kept, len(lines) - len(kept)
 
@@ -154,7 +199,7 @@ def line_report(docs: DataFrame, n_batches: int = N_BATCHES, min_documents: int
         for batch in batches:
             total, gone, sha = [], [], []
             for text, drops in zip(batch.column(1), batch.column(2)):
-                kept, n = _keep(text.as_py(), drops.as_py())
+                kept, n = _keep(text.as_py(), drops)
                 total.append(len(kept) + n)
                 gone.append(n)
                 sha.append(hashlib.sha256(b"\n".join(kept)).hexdigest())
@@ -173,8 +218,8 @@ def drop_lines(docs: DataFrame, n_batches: int = N_BATCHES, min_documents: int =
         for batch in batches:
             at = batch.schema.get_field_index("text")
             texts = [
-                text if not drops else b"\n".join(_keep(text, drops)[0]).decode("utf-8", "surrogatepass")
-                for text, drops in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())
+                b"\n".join(_keep(text.as_py(), drops)[0]).decode("utf-8", "surrogatepass") if drops.is_valid else text.as_py()
+                for text, drops in zip(batch.column(at), batch.column(batch.num_columns - 1))
             ]
             columns = list(batch.columns[:-1])
             columns[at] = pa.array(texts, pa.string())
