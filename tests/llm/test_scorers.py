@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veriscope.llm import quality, toxicity
+from veriscope.llm import labels as labels_of
+from veriscope.llm import quality, textfeatures, toxicity
 from veriscope.llm.textfeatures import Words, batched, pieces
 
 BAD = ("zorka", "zorkis", "mulvat", "grelb")
@@ -119,6 +120,108 @@ def test_blocks_do_not_matter():
     assert np.allclose(whole, want)
 
 
+def long_texts(rng):
+    """Texts of many pieces once PIECE is small: spans over edges, wide gaps, and words longer than a piece."""
+    word = lambda: rng.choice(("zorka", "mulvat", "and", "thé", "ora", "x"))
+    texts = [" ".join(word() for _ in range(400)), "zorka " * 300, "and" + " " * 700 + "zorka\tmulvat\n\n" * 40]
+    return texts + ["q" * 900 + " zorka " + "é" * 500, "z" * 2000, " " * 2000, "\t".join(word() for _ in range(300)), None, "zorka"]
+
+
+def test_pieces_change_nothing(monkeypatch):
+    """Spans, expectations, scores and features of texts read in small pieces and slices are those of whole texts."""
+    texts = long_texts(random.Random(4))
+    rng = np.random.default_rng(8)
+    weight = rng.normal(0, 0.5, 1 << toxicity.BUCKET_BITS).astype(np.float32)
+    for word in (b"zorka", b"mulvat"):
+        weight[toxicity.token_features(Words([word]))[0, 0]] = 6.0
+    model = toxicity.ToxicityModel(weight, -2.0, np.array([[1.0, -1.0], [-0.5, 1.5]]), None)
+    scorer = quality.QualityModel(rng.normal(0, 1, 1 << quality.BUCKET_BITS).astype(np.float32), 0.1)
+
+    def features(text):
+        reader = quality.Reader()
+        return sorted(b for owners, parts in batched([text]) for _, found in reader.features(owners, parts) for b in found.tolist())
+
+    whole, scores, buckets = model.documents(texts), scorer.scores(texts), [features(t) for t in texts]
+    assert sum(map(len, whole[2])) > 100
+    for piece, batch, part in ((64, 128, 1 << 12), (200, 300, 256), (1 << 18, 1 << 19, 100)):
+        monkeypatch.setattr(textfeatures, "PIECE", piece)
+        monkeypatch.setattr(textfeatures, "BATCH", batch)
+        monkeypatch.setattr(textfeatures, "SLICE", part)
+        got = model.documents(texts)
+        assert np.allclose(got[0], whole[0]) and np.allclose(got[1], whole[1]) and got[2] == whole[2]
+        assert np.allclose(scorer.scores(texts), scores, atol=1e-12) and [features(t) for t in texts] == buckets
+
+
+def test_training_rows_are_whole_and_bounded(spark):
+    """Long labelled texts train where short ones are too few; held-out, unlabelled and text-less rows never do."""
+    rows = [(i, ("x" * 10 + f" {i}") if i < 40 else "y" * (100 + i)) for i in range(80)] + [(90, None), (41, "y" * 500), (None, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("wanted", F.lit(5))
+    known = spark.createDataFrame([(i, int(i >= 40)) for i in range(100) if i != 50] + [(None, 1)], "doc_id long, toxic int")
+    got = labels_of.training_rows(docs, known, "toxic", per_class=10, max_chars=60)
+    texts = {t: i for i, t in rows if t and i != 41} | {"y" * 500: 41}
+    assert sum(not y for _, y in got) == 10 and all(not held(texts[t]) and texts[t] != 50 for t, _ in got)
+    long = [len(t) for t, y in got if y]
+    want = [n for i, n in sorted((i, len(t)) for t, i in texts.items() if i is not None and i >= 40 and not held(i) and i != 50)]
+    assert sorted(long) == sorted(want)[: len(long)] and sum(long) <= 600 and 3 <= len(long)
+    assert labels_of.chosen([(1, 10**6), (2, 5)], 1, 10) == [1]
+
+
+def brute_quality(text):
+    """Buckets of words, neighbouring words' pairs and n-grams, one by one."""
+    parts = (text or "").encode().split()
+    at = lambda h: int(h) >> (64 - quality.BUCKET_BITS)
+    h = [Words([w]).hashes()[0] for w in parts]
+    found = [at(x) for x in h] + [at(textfeatures.mixed(np.array([b]) - np.array([a]) + np.uint64(1))[0]) for a, b in zip(h, h[1:])]
+    whole = b"\n" + (text or "").encode() + b"\n"
+    space = b" \t\n\x0b\x0c\r"
+    for n in quality.GRAMS:
+        for i in range(len(whole) - n + 1):
+            gram = whole[i : i + n]
+            if not any(c in space for c in gram[1:-1]):
+                value = np.uint64(128 + n)
+                for k, c in enumerate(gram):
+                    value ^= textfeatures._TABLE[k][32 if c in space else c]
+                found.append(at(textfeatures.mixed(np.array([value]))[0]))
+    return found
+
+
+def test_queries_match_brute_force(tables):
+    """op8's scores from features taken one by one; op1's from a forward-backward pass over plain lists."""
+    rows, docs, labels = tables
+    rows = rows[:40]
+    docs = docs.where("doc_id < 40")
+    model = quality.train([(t, q) for _, t, q, _ in corpus(60, 5)])
+    got = {r["doc_id"]: r["score"] for r in quality.with_score(docs, model).collect()}
+    for i, text, _, _ in rows:
+        z = np.mean([float(model.weight[b]) for b in brute_quality(text)]) + model.bias
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-6
+    model = toxicity.train([(t, x) for _, t, _, x in corpus(200, 5)])
+    expected, largest, spans = model.documents([t for _, t, _, _ in rows])
+    a = np.exp(model.transition)
+    for k, (_, text, _, _) in enumerate(rows):
+        words = text.lower().split(" ")
+        x = [np.exp(np.clip(model.emission(Words([w.encode()]))[0], -30, 30)) for w in words]
+        ahead, back = [np.array([1.0, 0.0])], np.ones(2)
+        for e in x:
+            v = ahead[-1] @ a * np.array([1, e])
+            ahead.append(v / v.sum())
+        p = []
+        for t in range(len(x) - 1, -1, -1):
+            both = ahead[t + 1] * back
+            p.insert(0, both[1] / both.sum())
+            back = a @ (back * np.array([1, x[t]]))
+            back /= back.sum()
+        want, at, last = [], 0, -2
+        for t, w in enumerate(words):
+            if p[t] >= 0.5:
+                want = [*want[:-1], (want[-1][0], at + len(w))] if last == t - 1 else [*want, (at, at + len(w))]
+                last = t
+            at += len(w) + 1
+        assert spans[k] == want and abs(expected[k] - sum(v for v in p if v >= 0.5)) < 1e-9 and abs(largest[k] - max(p)) < 1e-9
+    z = toxicity.document_statistics(expected, largest) @ model.layer
+    assert np.allclose(model.scores(expected, largest), 1 / (1 + np.exp(-z)))
+
+
 def test_words_and_pieces():
     parts = [b"one two", b"", b" three\n", b"two"]
     w = Words(parts)

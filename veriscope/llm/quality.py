@@ -10,8 +10,9 @@ For scoring, the output layer is multiplied into the vectors once (the average a
 product commute), which leaves one number for each bucket; that table is broadcast
 and has a fixed size.
 
-Defined cases: a null or empty text has no features and gets the bias alone, a
-number from 0 to 1 like any other; equal texts get equal scores. With no labelled rows of
+Defined cases: a null or empty text has the features of an empty line and gets a
+number from 0 to 1 like any other; equal texts get equal scores. A text of any length is read whole, in pieces that
+lose no word, pair or n-gram. Repeated rows and tied scores need no rule. With no labelled rows of
 both classes nothing is learned and every score is 0.5 (accepted). Extra columns
 pass through ``accepted``. doc_id, lang, source and labels are no inputs.
 """
@@ -36,18 +37,27 @@ GRAMS = (3, 4, 5)
 CUT = 0.5
 
 
-def _pieces_features(parts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(piece number, bucket) arrays, one for each kind of feature."""
-    words = Words(parts)
-    shift = np.uint64(64 - BUCKET_BITS)
-    h = words.hashes()
-    yield words.doc, (h >> shift).astype(np.int64)
-    if len(h) > 1:
-        same = words.doc[1:] == words.doc[:-1]
-        yield words.doc[1:][same], (mixed((h[1:] - h[:-1])[same] + np.uint64(1)) >> shift).astype(np.int64)
-    for n in GRAMS:
-        at, g = words.grams(n)
-        yield np.searchsorted(words.first, at + 1, side="right") - 1, (g >> shift).astype(np.int64)
+class Reader:
+    """Features of pieces that come in order. A word's pair with the one before it crosses the edge of a piece."""
+
+    def __init__(self):
+        self.owner, self.last = -1, np.zeros(0, np.uint64)
+
+    def features(self, owners: list[int], parts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(piece number, bucket) arrays, in an order that depends on each piece and the word before it only."""
+        words = Words(parts)
+        shift = np.uint64(64 - BUCKET_BITS)
+        h, owner, doc = words.hashes(), np.asarray(owners)[words.doc], words.doc
+        yield doc, (h >> shift).astype(np.int64)
+        if len(h):
+            if owner[0] == self.owner:
+                h, owner, doc = np.concatenate((self.last, h)), np.append(self.owner, owner), np.append(0, doc)
+            self.owner, self.last = int(owner[-1]), h[-1:]
+            same = owner[1:] == owner[:-1]
+            yield doc[1:][same], (mixed((h[1:] - h[:-1])[same] + np.uint64(1)) >> shift).astype(np.int64)
+        for n in GRAMS:
+            for at, g in words.grams(n):
+                yield np.maximum(np.searchsorted(words.first, at + 1, side="right") - 1, 0), (g >> shift).astype(np.int64)
 
 
 class QualityModel:
@@ -58,11 +68,11 @@ class QualityModel:
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         total, count = np.zeros(len(texts)), np.zeros(len(texts))
+        reader = Reader()
         for owners, parts in batched(texts):
             mine = np.asarray(owners)
-            for doc, bucket in _pieces_features(parts):
+            for doc, bucket in reader.features(owners, parts):
                 if len(doc):
-                    doc = np.maximum(doc, 0)
                     np.add.at(total, mine, np.bincount(doc, self.weight[bucket], len(parts)))
                     np.add.at(count, mine, np.bincount(doc, minlength=len(parts)))
         return 1 / (1 + np.exp(-np.clip(total / np.maximum(count, 1) + self.bias, -60, 60)))
@@ -76,7 +86,8 @@ def train(rows: list[tuple[str, int]], seed: int = 7) -> QualityModel:
     rng = np.random.Generator(np.random.PCG64(seed))
     documents = []
     for text, y in rows:
-        found = [b for _, parts in batched([text]) for _, b in _pieces_features(parts)]
+        reader = Reader()
+        found = [b for owners, parts in batched([text]) for _, b in reader.features(owners, parts)]
         buckets, n = np.unique(np.concatenate(found), return_counts=True)
         documents.append((buckets, (n / max(n.sum(), 1)).astype(np.float32)[:, None], y))
     share = np.array([1.0, len(rows) / 2 / max(1, sum(y for _, y in rows))])

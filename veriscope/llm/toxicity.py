@@ -7,12 +7,13 @@ training sample count once. The field has hashed word and beginning features for
 toxic state and a 2 x 2 transition table, trained by AdaGrad on forward-backward
 marginals. In scoring, forward-backward runs exactly over each whole document, in
 blocks of BLOCK tokens: block products first, then a scan over blocks, then inside
-all blocks at once. Marginals aggregate to a document score (logistic in the expected
+all blocks at once. A long text is read in pieces that end at white space; the forward vector goes from piece to
+piece and the backward vector back, so pieces change nothing. Marginals aggregate to a document score (logistic in the expected
 number of toxic tokens among those that are likelier toxic than not, and the largest
 marginal), and runs of such tokens are the offending spans, in code points.
 
 Defined cases: a null or empty text has no tokens and no spans and gets the score
-of an expectation of zero. With no labelled rows of both classes nothing is learned and all
+of an expectation of zero. A text of any length is scored whole. With no labelled rows of both classes nothing is learned and all
 scores are 0. Equal texts get equal scores; repeated rows, ties and clashing extra
 columns do not matter. doc_id, lang, source and labels are no inputs of a score.
 """
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labels import held_out, training_rows
-from .textfeatures import Words, batched
+from .textfeatures import Words, batched, pieces
 
 BUCKET_BITS = 20
 BLOCK = 64
@@ -65,68 +66,105 @@ class Blocks:
         return out.reshape(self.real.shape)
 
 
-def _scan(blocks: Blocks, product: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Forward vector before, and backward vector after, each block of its document."""
-    n = len(product)
-    before, after = np.zeros((n, 2)), np.ones((n, 2))
+def _scan(blocks: Blocks, product: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Forward vector before, and backward vector after, each block of its document; then the forward vector
+    after, and the backward vector before, each document. Vectors are (2, number)."""
+    n = product.shape[2]
+    before, after = np.zeros((2, n)), np.ones((2, n))
     most = int(blocks.per_doc.max(initial=0))
     order = np.argsort(-blocks.per_doc, kind="stable")
     sizes, first = blocks.per_doc[order], blocks.first[order]
     live = np.searchsorted(-sizes, -np.arange(most), side="left")  # documents with more than k blocks
-    state = np.tile([1.0, 0.0], (len(sizes), 1))
+    ahead, back = begin[:, order].copy(), stop[:, order].copy()
     for k in range(most):
-        at = first[: live[k]] + k
-        before[at] = state[: live[k]]
-        moved = np.einsum("di,dij->dj", state[: live[k]], product[at])
-        state[: live[k]] = moved / moved.sum(axis=1, keepdims=True)
-    state = np.ones((len(sizes), 2))
+        at, now = first[: live[k]] + k, ahead[:, : live[k]]
+        before[:, at] = now
+        step = product[:, :, at]
+        moved = now[0] * step[0] + now[1] * step[1]
+        ahead[:, : live[k]] = moved / (moved[0] + moved[1])
     for k in range(most - 1, -1, -1):
-        at = first[: live[k]] + k
-        after[at] = state[: live[k]]
-        moved = np.einsum("dij,dj->di", product[at], state[: live[k]])
-        state[: live[k]] = moved / moved.sum(axis=1, keepdims=True)
-    return before, after
+        at, now = first[: live[k]] + k, back[:, : live[k]]
+        after[:, at] = now
+        step = product[:, :, at]
+        moved = step[:, 0] * now[0] + step[:, 1] * now[1]
+        back[:, : live[k]] = moved / (moved[0] + moved[1])
+    inverse = np.argsort(order)
+    return before, after, ahead[:, inverse], back[:, inverse]
+
+
+class Field:
+    """The chains of some documents: block products, then marginals from any forward and backward vectors at the ends.
+
+    ``emission`` is each token's log-potential of the toxic state over the clean one."""
+
+    def __init__(self, emission: np.ndarray, blocks: Blocks, transition: np.ndarray):
+        self.blocks, self.a = blocks, np.exp(transition)
+        self.x = np.exp(np.clip(blocks.spread(emission, 0.0), -30, 30))
+        a, n = self.a, len(self.x)
+        product = np.zeros((2, 2, n))
+        product[0, 0] = product[1, 1] = 1.0
+        for t in range(BLOCK):
+            real = blocks.real[:, t]
+            if not real.any():
+                break
+            clean = product[:, 0] * a[0, 0] + product[:, 1] * a[1, 0]
+            toxic = (product[:, 0] * a[0, 1] + product[:, 1] * a[1, 1]) * self.x[:, t]
+            total = clean[0] + clean[1] + toxic[0] + toxic[1]
+            product = np.where(real, np.stack([clean / total, toxic / total], axis=1), product)
+        self.product = product
+
+    def passed(self, begin: np.ndarray) -> np.ndarray:
+        """The forward vectors after the documents."""
+        return _scan(self.blocks, self.product, begin, np.ones_like(begin))[2]
+
+    def marginals(self, begin: np.ndarray, stop: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(marginal of the toxic state by token, backward vectors before the documents, and, if ``pairs``, the expected
+        transitions 2 x 2 summed over tokens)."""
+        blocks, x, a = self.blocks, self.x, self.a
+        n = len(x)
+        before, back, _, early = _scan(blocks, self.product, begin, stop)
+        forward = np.zeros((BLOCK + 1, 2, n))
+        forward[0] = before
+        for t in range(BLOCK):
+            clean = forward[t, 0] * a[0, 0] + forward[t, 1] * a[1, 0]
+            toxic = (forward[t, 0] * a[0, 1] + forward[t, 1] * a[1, 1]) * x[:, t]
+            forward[t + 1] = np.where(blocks.real[:, t], np.stack([clean, toxic]) / (clean + toxic), forward[t])
+        marginal, expected = np.zeros((n, BLOCK)), np.zeros((2, 2))
+        for t in range(BLOCK - 1, -1, -1):
+            real = blocks.real[:, t]
+            both = forward[t + 1] * back
+            marginal[:, t] = both[1] / (both[0] + both[1])
+            clean, toxic = back[0], back[1] * x[:, t]
+            if pairs:
+                pair = forward[t][:, None] * a[:, :, None] * np.stack([clean, toxic])[None]
+                expected += (pair / pair.sum(axis=(0, 1)))[:, :, real].sum(axis=2)
+            moved = np.stack([clean * a[0, 0] + toxic * a[0, 1], clean * a[1, 0] + toxic * a[1, 1]])
+            back = np.where(real, moved / (moved[0] + moved[1]), back)
+        return marginal.ravel()[blocks.place], early, expected
+
+
+def ends(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Forward vectors before, and backward vectors after, n whole documents: each begins after a virtual clean token."""
+    return np.tile([[1.0], [0.0]], (1, n)), np.ones((2, n))
 
 
 def forward_backward(emission: np.ndarray, blocks: Blocks, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(marginals of the toxic state by token, expected transitions 2 x 2 summed over tokens).
-
-    ``emission`` is each token's log-potential of the toxic state over the clean one; a
-    document begins after a virtual clean token.
-    """
-    a = np.exp(transition)
-    x = np.exp(np.clip(blocks.spread(emission, 0.0), -30, 30))
-    n = len(x)
-    product = np.tile(np.eye(2), (n, 1, 1))
-    for t in range(BLOCK):
-        real = blocks.real[:, t]
-        if not real.any():
-            break
-        moved = product[real] @ a
-        moved[:, :, 1] *= x[real, t][:, None]
-        product[real] = moved / moved.sum(axis=(1, 2), keepdims=True)
-    before, after = _scan(blocks, product)
-    forward = np.zeros((BLOCK + 1, n, 2))
-    forward[0] = before
-    for t in range(BLOCK):
-        moved = forward[t] @ a
-        moved[:, 1] *= x[:, t]
-        moved /= moved.sum(axis=1, keepdims=True)
-        forward[t + 1] = np.where(blocks.real[:, t][:, None], moved, forward[t])
-    marginal = np.zeros((n, BLOCK))
-    expected = np.zeros((2, 2))
-    back = after
-    for t in range(BLOCK - 1, -1, -1):
-        real = blocks.real[:, t]
-        both = forward[t + 1] * back
-        marginal[:, t] = both[:, 1] / both.sum(axis=1)
-        weighed = back.copy()
-        weighed[:, 1] *= x[:, t]
-        pair = forward[t][:, :, None] * a[None] * weighed[:, None, :]
-        expected += (pair / pair.sum(axis=(1, 2), keepdims=True))[real].sum(axis=0)
-        moved = weighed @ a.T
-        back = np.where(real[:, None], moved / moved.sum(axis=1, keepdims=True), back)
-    return marginal.ravel()[blocks.place], expected
+    """(marginals of the toxic state by token, expected transitions 2 x 2 summed over tokens) of whole documents."""
+    p, _, expected = Field(emission, blocks, transition).marginals(*ends(len(blocks.per_doc)), pairs=True)
+    return p, expected
+
+
+def _points(data: np.ndarray) -> np.ndarray:
+    """Code points that begin at or before each byte."""
+    return np.cumsum((data & 0xC0) != 0x80)
+
+
+def _runs(p: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last token of each run of tokens that are likelier toxic than not."""
+    hot = np.nonzero(p >= 0.5)[0]
+    glue = (np.diff(hot) == 1) & (doc[hot[1:]] == doc[hot[:-1]])
+    edge = np.array([True])[: len(hot)]
+    return hot[np.concatenate((edge, ~glue))], hot[np.concatenate((~glue, edge))]
 
 
 class ToxicityModel:
@@ -135,44 +173,62 @@ class ToxicityModel:
     def __init__(self, weight: np.ndarray, bias: float, transition: np.ndarray, layer: np.ndarray | None):
         self.weight, self.bias, self.transition, self.layer = weight, bias, transition, layer
 
+    def emission(self, words: Words) -> np.ndarray:
+        return self.weight[token_features(words)].sum(axis=1, dtype=np.float64) + self.bias
+
     def documents(self, texts: list[str | None], spans: bool = True) -> tuple[np.ndarray, np.ndarray, list[list[tuple[int, int]]]]:
         """(expected toxic tokens, largest marginal, spans) of each text."""
         expected, largest = np.zeros(len(texts)), np.zeros(len(texts))
         found: list[list[tuple[int, int]]] = [[] for _ in texts]
-        offset = np.zeros(len(texts), np.int64)
-        for owners, parts in batched(texts):
+        short: list[int] = []
+        for i, text in enumerate(texts):
+            parts = list(pieces(text))
+            if len(parts) == 1:
+                short.append(i)
+            else:
+                expected[i], largest[i], found[i] = self._long(parts)
+        for owners, parts in batched([texts[i] for i in short]):
             words = Words(parts, lower=True)
-            counts = words.counts()
-            if len(words.start):
-                emission = self.weight[token_features(words)].sum(axis=1) + self.bias
-                p, _ = forward_backward(emission, Blocks(counts), self.transition)
-                owner = np.asarray(owners)[words.doc]
-                np.add.at(expected, owner, np.where(p >= 0.5, p, 0.0))
-                np.maximum.at(largest, owner, p)
-                hot = np.nonzero(p >= 0.5)[0]
-                if spans and len(hot):
-                    glue = (np.diff(hot) == 1) & (words.doc[hot[1:]] == words.doc[hot[:-1]])
-                    heads = hot[np.concatenate(([True], ~glue))]
-                    tails = hot[np.concatenate((~glue, [True]))]
-                    for h, t in zip(heads, tails):
-                        part = words.doc[h]
-                        raw = words.data[words.first[part] : words.end[t]]
-                        points = np.cumsum((raw & 0xC0) != 0x80)
-                        begin = int(points[words.start[h] - words.first[part] - 1]) if words.start[h] > words.first[part] else 0
-                        base = int(offset[owners[part]]) + self._earlier(owners, parts, part)
-                        found[owners[part]].append((base + begin, base + int(points[-1])))
-            offset[owners[-1]] += self._earlier(owners, parts, len(parts))
+            if not len(words.start):
+                continue
+            p, _, _ = Field(self.emission(words), Blocks(words.counts()), self.transition).marginals(*ends(len(parts)))
+            owner = np.array(short)[np.array(owners)[words.doc]]
+            np.add.at(expected, owner, np.where(p >= 0.5, p, 0.0))
+            np.maximum.at(largest, owner, p)
+            if spans:
+                heads, tails = _runs(p, words.doc)
+                points = _points(words.data)
+                base = points[words.first[words.doc[heads]] - 1]
+                for i, a, b in zip(owner[heads].tolist(), (points[words.start[heads] - 1] - base).tolist(), (points[words.end[tails] - 1] - base).tolist()):
+                    found[i].append((a, b))
         return expected, largest, found
 
-    @staticmethod
-    def _earlier(owners: list[int], parts: list[bytes], part: int) -> int:
-        """Code points of the same text's pieces that stand before this one in the batch."""
-        mine = owners[min(part, len(owners) - 1)]
-        total, at = 0, part - 1
-        while at >= 0 and owners[at] == mine:
-            total += int(np.count_nonzero((np.frombuffer(parts[at], np.uint8) & 0xC0) != 0x80))
-            at -= 1
-        return total
+    def _long(self, parts: list[bytes]) -> tuple[float, float, list[tuple[int, int]]]:
+        """The same for a text of several pieces: forward vectors are carried over the pieces in order, backward
+        vectors in turn, so the field is that of the whole text."""
+        begin, stop = ends(1)
+        begins, bases = [begin], [0]
+        for part in parts:
+            words = Words([part], lower=True)
+            field = Field(self.emission(words), Blocks(words.counts()), self.transition)
+            begins.append(field.passed(begins[-1]))
+            bases.append(bases[-1] + int(_points(words.data[1:-1])[-1]))
+        total, most, late, late_hot = 0.0, 0.0, [], False
+        for part, begin, base in zip(parts[::-1], begins[-2::-1], bases[-2::-1]):
+            words = Words([part], lower=True)
+            if not len(words.start):
+                continue
+            p, stop, _ = Field(self.emission(words), Blocks(words.counts()), self.transition).marginals(begin, stop)
+            total += float(p[p >= 0.5].sum())
+            most = max(most, float(p.max()))
+            heads, tails = _runs(p, words.doc)
+            points = _points(words.data)
+            here = list(zip((points[words.start[heads] - 1] - 1 + base).tolist(), (points[words.end[tails] - 1] - 1 + base).tolist()))
+            if late_hot and p[-1] >= 0.5:  # a run that goes on in the next piece
+                here[-1] = (here[-1][0], late.pop()[1])
+            late += here[::-1]
+            late_hot = bool(p[0] >= 0.5)
+        return total, most, late[::-1]
 
     def scores(self, expected: np.ndarray, largest: np.ndarray) -> np.ndarray:
         if self.layer is None:
