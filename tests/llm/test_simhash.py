@@ -99,7 +99,8 @@ def test_large_groups_are_split(spark):
 
     want = label([tuple(r) for r in S.near_links(df).collect()])
     assert want == brute_components({i: f for i, f in enumerate(sorted(fps))})
-    assert want == label([tuple(r) for r in S.near_links(df, group_rows=25).collect()])
+    for volume in (30_000, 2_000):  # groups are split once, and down to MAX_BITS
+        assert want == label([tuple(r) for r in S.near_links(df, volume=volume).collect()])
 
 
 def test_edges(documents):

@@ -7,16 +7,17 @@ leading bits, and fingerprints that share a variant are linked.
 
 What travels is not the variants but one row for each leading-bit pattern that a
 fingerprint's variants have (37 rows at 8 leading bits in place of 2,081): the
-task expands the rest of the bits itself. A pattern that gathers too many
-fingerprints (a group of close copies may hold a third of all) is split by further
-bits in the same way, so no task holds more than a few GROUP_ROWS at any size. All fingerprints that share a variant
+task expands the rest of the bits itself. A pattern under which more than VOLUME variants would
+be expanded (a group of close copies may hold a third of all rows) is split by further
+bits in the same way, until it is below that or all but 4 bits are leading ones, where a group can't hold more. So no task's
+memory depends on the size of the input; in the limit the variants themselves travel. All fingerprints that share a variant
 are within 2r bits of each other, so a chain to the smallest document of the run
 keeps every component whole, and a group of G close fingerprints gives at most
 G - 1 rows in a task, never G squared.
 
 Defined cases: a null or empty text (or one of white space only) has fingerprint
 zero and links like any other; a text of fewer words than the shingle is one
-shingle. Repeated rows share a fingerprint. Rows with a null doc_id get their
+shingle, and a text of any length is read whole. Repeated rows share a fingerprint; ties go to the smallest doc_id. Rows with a null doc_id get their
 fingerprint, a null component_id, and link nothing. Extra columns are ignored.
 """
 
@@ -24,10 +25,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -36,9 +38,9 @@ from ..session import cut
 SEED = 42
 BITS = 64
 RADIUS = 2
-#: A task's group should hold about this many fingerprints.
-GROUP_ROWS = 50_000
-#: Further bits that split a group beyond four times that, up to this many bits in all.
+#: A task expands at most this many variants at once; groups start at about half of it.
+VOLUME = 2_000_000
+#: Further bits that split a group beyond that, up to this many bits in all.
 SPLIT_BITS = 8
 MAX_BITS = 60
 
@@ -92,11 +94,15 @@ def _masks(width: int, most: int) -> list[np.ndarray]:
     ]
 
 
-def leading_bits(n_fingerprints: int) -> int:
-    """Leading bits that deal groups of about GROUP_ROWS fingerprints."""
+def _within(width: int, most: int) -> int:
+    """Masks over ``width`` bits with at most ``most`` bits set."""
+    return sum(comb(width, k) for k in range(most + 1))
+
+
+def leading_bits(n_fingerprints: int, volume: int = VOLUME) -> int:
+    """Leading bits under which evenly spread fingerprints expand about half of ``volume`` variants."""
     for bits in range(6, 29, 2):
-        copies = 1 + bits + bits * (bits - 1) // 2
-        if n_fingerprints * copies <= GROUP_ROWS << bits:
+        if n_fingerprints * _within(BITS, RADIUS) <= (volume // 2) << bits:
             return bits
     return 28
 
@@ -114,7 +120,7 @@ def _collisions(fp: np.ndarray, rep: np.ndarray, prefix: int, bits: int) -> tupl
         mine = np.nonzero(used == spent)[0]
         for mask in low_masks[: RADIUS - spent + 1]:
             values.append((low[mine][:, None] ^ mask[None, :]).ravel())
-            owners.append(np.repeat(mine, len(mask)))
+            owners.append(np.repeat(mine.astype(np.int32), len(mask)))
     value, owner = np.concatenate(values), np.concatenate(owners)
     ranked = np.sort(value)
     met = ranked[1:][ranked[1:] == ranked[:-1]]
@@ -159,7 +165,7 @@ def _patterns(rows: DataFrame, bits: int, more: int) -> DataFrame:
     return rows.where(F.bit_count(at.bitwiseXOR(F.col("next"))) <= RADIUS).select("fp", "rep", F.col("next").alias("prefix"))
 
 
-def near_links(distinct: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+def near_links(distinct: DataFrame, volume: int = VOLUME) -> DataFrame:
     """``(src, dst)`` of representatives ``(fp, rep)`` whose fingerprints are linked, up to transitivity."""
     import pandas as pd
 
@@ -170,11 +176,19 @@ def near_links(distinct: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
 
         return rows.groupBy("prefix").applyInPandas(meet, "src long, dst long")
 
-    bits, found = leading_bits(distinct.count()), None
+    def expanded(bits: int) -> Column:
+        """Variants that a row expands: those within what its flips among the leading bits leave of the radius."""
+        spent = F.bit_count(F.shiftrightunsigned("fp", BITS - bits).bitwiseXOR(F.col("prefix")))
+        return F.element_at(F.array(*[F.lit(_within(BITS - bits, RADIUS - k)) for k in range(RADIUS + 1)]), spent + 1)
+
+    bits, found = leading_bits(distinct.count(), volume), None
     rows = _patterns(distinct.withColumn("prefix", F.lit(0).cast("long")), 0, bits)
     while True:
-        sizes = cut(rows.groupBy("prefix").agg(F.count("*").alias("n")).where(F.col("n") > 4 * group_rows).select("prefix"), "simhash-large")
-        large = sizes.count() if bits + SPLIT_BITS <= MAX_BITS else 0
+        large = 0
+        if bits + SPLIT_BITS <= MAX_BITS:
+            sizes = rows.groupBy("prefix").agg(F.sum(expanded(bits)).alias("n")).where(F.col("n") > volume)
+            sizes = cut(sizes.select("prefix"), "simhash-large")
+            large = sizes.count()
         here = meeting(rows.join(sizes, "prefix", "left_anti") if large else rows, bits)
         found = here if found is None else found.unionByName(here)
         if not large:
