@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -49,6 +50,24 @@ def test_checksums_and_context(documents):
     assert (alone[1]["scores"], alone[2]["scores"]) == ("100", "60")
 
 
+def test_many_matches_take_linear_time(documents):
+    """One text with 40,000 matches of three kinds: offsets are exact, and the time is of another order than with quadratic sums."""
+    text = "".join(f"é u{i}@h{i}.org, 10.0.{i % 256}.7 +1 555 010 {i % 9000 + 1000};\n" for i in range(13_500))
+    docs = documents([(1, text)])
+    pii.pii_report(documents([(0, TEXTS[3])])).collect()
+    began = time.perf_counter()
+    got = [tuple(r) for r in pii.pii_report(docs).select("n_email", "n_ip", "n_card", "n_phone", "base_sha256").collect()]
+    assert got == [brute(text)] and sum(got[0][:4]) > 40_000
+    assert time.perf_counter() - began < 60
+
+
+def test_context_next_to_chunk_edges(documents):
+    """The words around a span count wherever the pieces of the text end."""
+    rows = [(i, "é" * i + " visa " + CARD + " order") for i in range(470, 515)] + [(1000, "x" * 2000 + " visa" + " " * 34 + CARD), (1001, "visa" + " " * 41 + CARD)]
+    got = {r["doc_id"]: r["scores"] for r in pii.pii_report(documents(rows)).collect()}
+    assert {got[i] for i in range(470, 515)} == {"80"} and got[1000] == "100" and got[1001] == "80"
+
+
 def test_no_python_in_the_plan(documents):
     plan = pii.pii_report(documents([(1, "a")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan

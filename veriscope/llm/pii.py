@@ -2,7 +2,8 @@ r"""Personal data: patterns propose, checksums confirm, context words weigh.
 
 Everything is built-in functions. A pattern's matches come from
 ``regexp_extract_all`` and the text between them from ``split``; running sums of
-their lengths give code point offsets. Patterns are possessive and may begin only
+their lengths, by doubling, give code point offsets, and context is cut from pieces of the text, so a text with
+very many matches takes n log n steps. Patterns are possessive and may begin only
 at the edge of their character class or where the last match ended (``\G``), which
 leaves the leftmost matches as they are but makes a scan linear in the text's
 length and free of recursion, so very long texts without white space are safe.
@@ -33,6 +34,7 @@ NATIONAL = r"(?<![A-Za-z0-9_])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9_])"
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "national_id")
 CONTEXT = 40
+CHUNK = 512
 KEEP = 60
 #: Percent: the kind's prior, and what a passed checksum adds.
 PRIOR = {"email": (80, 0), "ip": (60, 0), "card": (40, 40), "phone": (60, 0), "iban": (30, 50), "national_id": (40, 0)}
@@ -59,26 +61,31 @@ PATTERN = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "iban": IBAN,
 ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+def running_totals(values: Column) -> Column:
+    """Running sums of an array of longs by doubling: n log n steps, and no array grows element by element."""
+
+    def double(acc: Column, shift: Column) -> Column:
+        shifted = F.concat(F.array_repeat(F.lit(0).cast("long"), shift), F.slice(acc, F.lit(1), F.greatest(F.size(acc) - shift, F.lit(0))))
+        return F.when(shift < F.size(acc), F.zip_with(acc, shifted, lambda x, y: x + y)).otherwise(acc)
+
+    return F.aggregate(F.lit([1 << k for k in range(31)]), values, double)
+
+
 def matches(kind: str) -> Column:
     """All raw matches of a kind in ``text``: array of (start, end, found), code points from 0."""
     text, pattern = F.col("text"), PATTERN[kind]
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.zip_with(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-        F.split(text, pattern, -1),
-        lambda found, gap: F.struct(F.char_length(gap).cast("long").alias("gap"), F.char_length(found).cast("long").alias("n"), found.alias("found")),
+        found,
+        F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)),
+        lambda found, gap: F.struct((F.char_length(gap) + F.char_length(found)).cast("long").alias("step"), F.char_length(found).cast("long").alias("n"), found.alias("found")),
     )
-    row = "struct<start:bigint,end:bigint,found:string>"
-    empty = F.array().cast(f"array<{row}>")
-
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + pair["gap"]
-        end = start + pair["n"]
-        span = F.struct(start.alias("start"), end.alias("end"), pair["found"].alias("found"))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
-
-    known = F.filter(pairs, lambda p: p["found"].isNotNull())
-    walked = F.aggregate(known, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("spans")), step, lambda acc: acc["spans"])
-    return F.when(F.expr(HINT[kind]), walked).otherwise(empty)
+    spans = F.zip_with(
+        pairs,
+        running_totals(F.transform(pairs, lambda p: p["step"])),
+        lambda p, end: F.struct((end - p["n"]).alias("start"), end.alias("end"), p["found"].alias("found")),
+    )
+    return F.when(F.expr(HINT[kind]), spans).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,found:string>>"))
 
 
 def _digits(found: Column) -> Column:
@@ -122,13 +129,25 @@ def confirmed(kind: str, spans: Column) -> Column:
     return F.filter(spans, tests[kind])
 
 
-def scored(kind: str, spans: Column) -> Column:
+def chunked() -> Column:
+    """``text`` in pieces of CHUNK code points, so that a span's context is cut from at most two of them and not counted from the text's start."""
+    return F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def _window(chunks: Column, start: Column, length: Column) -> Column:
+    """The ``length`` (at most CHUNK) code points from ``start`` on."""
+    k = F.floor(start / CHUNK).cast("int")
+    piece = lambda i: F.coalesce(F.get(chunks, i), F.lit(""))
+    return F.substring(F.concat(piece(k), piece(k + 1)), (start - k * CHUNK).cast("int") + 1, length.cast("int"))
+
+
+def scored(kind: str, spans: Column, chunks: Column) -> Column:
     """Each span with its kind and its score in percent after its context."""
     prior, checksum = PRIOR[kind]
 
     def one(span: Column) -> Column:
-        before = F.substring(F.col("text"), F.greatest(span["start"] - CONTEXT, F.lit(0)).cast("int") + 1, F.least(span["start"], F.lit(CONTEXT)).cast("int"))
-        after = F.substring(F.col("text"), span["end"].cast("int") + 1, F.lit(CONTEXT))
+        before = _window(chunks, F.greatest(span["start"] - CONTEXT, F.lit(0)), F.least(span["start"], F.lit(CONTEXT)))
+        after = _window(chunks, span["end"], F.lit(CONTEXT))
         near = F.lower(F.concat(before, F.lit(" "), after))
         score = F.lit(prior + checksum) + F.when(near.rlike(rf"(?<![a-z0-9_])(?:{FOR[kind]})"), 20).otherwise(0) - F.when(near.rlike(rf"(?<![a-z0-9_])(?:{AGAINST})"), 20).otherwise(0)
         return F.struct(F.lit(kind).alias("kind"), span["start"].alias("start"), span["end"].alias("end"), F.least(F.lit(100), score).cast("int").alias("score"))
@@ -140,9 +159,12 @@ def find_spans(docs: DataFrame) -> DataFrame:
     """``docs`` and, by kind, an array of (kind, start, end, score): base spans, and added ones that reach KEEP."""
     raw = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
     raw = raw.withColumns({kind: matches(kind) for kind in PATTERN})
-    kept = raw.withColumns({kind: F.when(F.size(kind) > 0, scored(kind, confirmed(kind, F.col(kind)))) for kind in PATTERN})
+    raw = raw.withColumns({kind: F.when(F.size(kind) > 0, confirmed(kind, F.col(kind))) for kind in PATTERN})
+    some = F.coalesce(*[F.when(F.size(kind) > 0, F.lit(True)) for kind in PATTERN])
+    raw = raw.withColumn("pii_chunks", F.when(some, chunked()))
+    kept = raw.withColumns({kind: F.when(F.size(kind) > 0, scored(kind, F.col(kind), F.col("pii_chunks"))) for kind in PATTERN})
     empty = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,score:int>>")
-    kept = kept.withColumns({kind: F.coalesce(kind, empty) for kind in PATTERN})
+    kept = kept.withColumns({kind: F.coalesce(kind, empty) for kind in PATTERN}).drop("pii_chunks")
     return kept.withColumns({kind: F.filter(kind, lambda s: s["score"] >= KEEP) for kind in ADDED})
 
 
