@@ -64,11 +64,18 @@ def test_matches_brute_force(spark):
     assert got[16, "gpl/t/u/v"]["origin"] == "inherited" and got[13, "z/talk.md"]["origin"] == "none"
 
 
+def test_null_parts_of_paths(spark, documents):
+    docs = documents([(1, "Released under the MIT License.", None), (2, "code", None), (3, "code", "en"), (None, "code", None)])
+    got = {r["path"]: r["origin"] for r in L.license_report(L.document_paths(docs)).collect()}
+    assert got == {"(null)/en/0/1": "header", "(null)/en/0/2": "inherited", "en/en/0/3": "none", "(null)/en/(null)/(null)": "none"}
+
+
 def test_native_and_empty(spark):
     df = spark.createDataFrame(cases()[:2], "doc_id long, path string, text string")
     plan = L.headers(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert L.license_report(df.limit(0)).count() == 0
+    assert all(re.search("|".join(L.HINTS), alternative) for alternative in ("licens", "licenc", *re.sub(r"^\(\?i\)licen\[cs\]\|", "", L.ANCHOR).split("|")))
 
 
 def test_wrapped_headers_and_whole_texts(spark):

@@ -10,6 +10,8 @@ name says so or if matched lines make up half of its characters.
 Two blocks of a text that holds an anchor are vectors too: its leading comment block (or, without one, the
 lines up to the first blank one) and the whole text, against the notices and full texts of BLOCKS, with the idf of all such
 blocks. The best of lines and blocks is the document's licence; a whole text that matches is a licence file.
+A vector's terms are read from its sorted tokens in one walk, so a long text takes time in proportion to its length. Texts
+are searched for anchors once, and only those that hold one are written for the passes that follow.
 
 A directory's licence is the best one among licence files directly in it. Directories
 resolve to their nearest ancestor (or themselves) with a licence: each distinct directory is exploded
@@ -19,7 +21,7 @@ joins on directories are of plain tables, so AQE can split a directory that hold
 
 Defined cases: a null or empty text has no header and can only inherit; a null path is
 the root directory's nameless file; equal scores go to the licence first by name; repeated rows
-each get their row. Extra columns pass through ``with_license``.
+each get their row; texts of any length are read whole. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,8 +35,12 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 THRESHOLD = 0.6
+#: Every text that matches ANCHOR holds one of these in lower case.
+HINTS = ("licens", "licenc", "copyright", "spdx", "permission is hereby", "redistribution and use", "public domain")
 ANCHOR = r"(?i)licen[cs]|copyright|spdx|permission is hereby|redistribution and use|public domain"
 TOKEN = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
+#: Stands for a null part of a path.
+NO_NAME = "(null)"
 FILE_NAME = r"(?i)^(licen[cs]e|copying|unlicense|notice)([.-].*)?$"
 
 #: Names by SPDX, and the usual wording of headers and of the files' first lines.
@@ -132,29 +138,37 @@ def line_match(line: Column, idf: dict[str, float], unseen: float, templates: li
     """struct(score, license) of a line's nearest template."""
     words = sorted(idf)
     weights = template_weights(idf, templates)
-    table = F.map_from_arrays(F.lit(words), F.lit([[idf[w], *[t.get(w, 0.0) for t in weights]] for w in words]))
-    tokens = _tokens(line)
+    table = F.map_from_arrays(F.lit(words), F.lit([[idf[w] ** 2, *[idf[w] * t.get(w, 0.0) for t in weights]] for w in words]))
+
+    def add(acc: Column, token: Column) -> Column:
+        """One more token of the sorted ones: the n-th of a kind adds 2n - 1 to the square of its count."""
+        n = F.when(acc["token"] == token, acc["n"] + 1).otherwise(F.lit(1))
+        terms = F.transform(table[token], lambda w, k: F.when(k == 0, w * (2 * n - 1)).otherwise(w))
+        return F.struct(token.alias("token"), n.alias("n"), F.zip_with(acc["sums"], terms, lambda a, b: a + b).alias("sums"))
 
     def weighed(tokens: Column) -> Column:
-        known = F.array_intersect(tokens, F.lit(words))
         rare = F.size(F.array_except(tokens, F.lit(words))).cast("double")
-        start = F.array(*[F.lit(0.0)] * (1 + len(weights)))
-
-        def add(acc: Column, token: Column) -> Column:
-            row = table[token]
-            value = F.size(F.filter(tokens, lambda x: x == token)) * row[0]
-            terms = F.transform(row, lambda w, k: F.when(k == 0, value * value).otherwise(value * w))
-            return F.zip_with(acc, terms, lambda a, b: a + b)
+        start = F.struct(F.lit("").alias("token"), F.lit(0).alias("n"), F.array(*[F.lit(0.0)] * (1 + len(weights))).alias("sums"))
 
         def finish(acc: Column) -> Column:
-            norm = F.sqrt(acc[0] + rare * F.lit(unseen * unseen))
-            options = [F.struct((-F.round(acc[k + 1] / norm, 6)).alias("s"), F.lit(name).alias("l")) for k, (name, _) in enumerate(templates)]
+            norm = F.sqrt(acc["sums"][0] + rare * F.lit(unseen * unseen))
+            options = [F.struct((-F.round(acc["sums"][k + 1] / norm, 6)).alias("s"), F.lit(name).alias("l")) for k, (name, _) in enumerate(templates)]
             best = F.array_min(F.array(*options))
             return F.struct((-best["s"]).alias("score"), best["l"].alias("license"))
 
+        known = F.array_sort(F.filter(tokens, lambda t: F.array_contains(F.lit(words), t)))
         return F.aggregate(known, start, add, finish)
 
-    return weighed(tokens)
+    return F.transform(F.array(_tokens(line)), weighed)[0]  # a lambda's variable, so that tokens are found once
+
+
+def anchored(docs: DataFrame) -> DataFrame:
+    """``(doc_id, path, text)`` with the texts that hold an anchor; null ones in the others' place. Written once."""
+    rows = docs.select("doc_id", "path", F.col("text").cast("string").alias("text")).withColumn("lic_lower", F.lower("text"))
+    some = F.col("lic_lower").contains(HINTS[0])
+    for hint in HINTS[1:]:
+        some = some | F.col("lic_lower").contains(hint)
+    return cut(rows.select("doc_id", "path", F.when(some & F.col("text").rlike(ANCHOR), F.col("text")).alias("text")), "license-texts")
 
 
 def headers(docs: DataFrame) -> DataFrame:
@@ -203,7 +217,7 @@ def license_report(docs: DataFrame) -> DataFrame:
     """``(doc_id, path, license, score, origin, n_header_lines)`` for every row of ``docs`` (doc_id, path, text).
 
     origin is ``header``, ``inherited`` or ``none``."""
-    found = headers(docs.select("doc_id", "path", "text")).withColumn("lic_dir", directory(F.col("path")))
+    found = headers(anchored(docs)).withColumn("lic_dir", directory(F.col("path")))
     found = cut(found.drop("text"), "license-headers")
     own = found.where("lic_file").groupBy("lic_dir").agg(F.min(F.struct((-F.col("lic_best.score")).alias("s"), F.col("lic_best.license").alias("l"))).alias("b"))
     own = cut(own.select("lic_dir", F.col("b.l").alias("license"), (-F.col("b.s")).alias("score")), "license-owned")
@@ -221,7 +235,8 @@ def license_report(docs: DataFrame) -> DataFrame:
 
 
 def document_paths(docs: DataFrame) -> DataFrame:
-    """``(doc_id, path, text)``: documents as files source/lang/block of 64 ids/id."""
-    block = F.floor(F.col("doc_id") / 64).cast("string")
-    path = F.concat_ws("/", F.col("source"), F.col("lang"), block, F.col("doc_id").cast("string"))
+    """``(doc_id, path, text)``: documents as files source/lang/block of 64 ids/id; a null part is a name of its own."""
+    block = F.floor(F.col("doc_id") / 64)
+    named = lambda c: F.coalesce(c.cast("string"), F.lit(NO_NAME))
+    path = F.concat_ws("/", named(F.col("source")), named(F.col("lang")), named(block), named(F.col("doc_id")))
     return docs.select("doc_id", path.alias("path"), F.col("text").cast("string").alias("text"))

@@ -1,6 +1,6 @@
 """DuckDB SQL of those queries that SQL can express."""
 
-from .license_scan import ANCHOR, FILE_NAME, TEMPLATES, THRESHOLD, TOKEN
+from .license_scan import ANCHOR, FILE_NAME, NO_NAME, TEMPLATES, THRESHOLD, TOKEN
 from .packing import N_BUCKETS, TOKEN_BUDGET
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -119,7 +119,7 @@ LICENSE_SQL = f"""
 WITH t AS (SELECT * FROM (VALUES {_TEMPLATE_ROWS}) AS v(tid, name, body)),
 tt AS (SELECT tid, name, token, count(*) AS n FROM (SELECT tid, name, unnest(regexp_extract_all(lower(body), '{TOKEN}')) AS token FROM t) GROUP BY ALL),
 vocab AS (SELECT DISTINCT token FROM tt),
-d AS (SELECT doc_id, text, concat_ws('/', source, lang, CAST(doc_id // 64 AS VARCHAR), CAST(doc_id AS VARCHAR)) AS path FROM documents),
+d AS (SELECT doc_id, text, concat_ws('/', coalesce(source, '{NO_NAME}'), coalesce(lang, '{NO_NAME}'), coalesce(CAST(doc_id // 64 AS VARCHAR), '{NO_NAME}'), coalesce(CAST(doc_id AS VARCHAR), '{NO_NAME}')) AS path FROM documents),
 l AS (SELECT row_number() OVER () AS lid, doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{ANCHOR}')),
 lt AS (SELECT lid, token, count(*) AS n FROM (SELECT lid, unnest(regexp_extract_all(lower(line), '{TOKEN}')) AS token FROM l) GROUP BY ALL),
 total AS (SELECT (SELECT count(*) FROM l) + (SELECT count(*) FROM t) AS n),
