@@ -20,7 +20,8 @@ The stored form is MAGIC, the number of chunks, (length, digest) for each chunk
 then the chunks; reading it back checks every digest. It depends on the text alone, so
 equal texts have equal forms.
 
-Defined cases: a null text is empty, and its payload is FRAME bytes of 255. Rows that
+Defined cases: a null text is empty, and its payload is FRAME bytes of 255. A long text is chunked whole, block by block. Ties
+do not arise: equal chunks have one name. Rows that
 repeat a doc_id, and null ids, each give their row. Extra columns are ignored.
 """
 
@@ -51,6 +52,7 @@ OUT_BYTES = 8 << 20
 MAGIC = b"CDM1"
 _GEAR = np.random.Generator(np.random.PCG64(576)).integers(0, 1 << 32, 256, np.uint32)
 
+STORED = ["doc_id", "payload_key", "n_bytes", "media", "place", "name", "chunk", "common"]
 FORM = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
@@ -191,35 +193,38 @@ def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         common = [bool(int(words[w]) >> b & 1) for w, b in (_filter_word(_name_halves(x)[0]) for x in names)]
         return parts, names, common, n
 
-    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Payloads of unshared chunks: stored forms; others: the payload's name only."""
+    part_types = [pa.int32(), pa.binary(), pa.binary(), pa.bool_()]
+
+    def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents' rows (place is null): the stored form of a payload of unshared chunks, the payload's name alone for others.
+        Parts' rows, once for each batch and payload with shared chunks: its list, inline chunks, and shared chunks."""
         for batch in batches:
-            start, held, rows = 0, 0, []
+            seen, pooled, start, held, rows, parts_rows = set(), set(), 0, 0, [], []
+            ids = batch.column(0)
             for at, text in enumerate(batch.column(1)):
                 parts, names, common, n = split(text.as_py())
-                rows.append((digest(b"".join(names)), n, None) if any(common) else (None, n, encode(parts, names)))
-                held += len(rows[-1][2] or b"")
+                if not any(common):
+                    rows.append((None, n, encode(parts, names)))
+                    held += len(rows[-1][2])
+                else:
+                    key = digest(b"".join(names))
+                    rows.append((key, n, None))
+                    if key not in seen:
+                        seen.add(key)
+                        for k, (part, name, is_common) in enumerate(zip(parts, names, common)):
+                            sent = is_common and name in pooled
+                            pooled.add(name)
+                            parts_rows.append((key, n, k, name, None if sent else zlib.compress(part, 1), is_common))
+                            held += 64 + len(parts_rows[-1][4] or b"")
                 if held >= OUT_BYTES or at + 1 == batch.num_rows:
                     arrays = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), pa.int64(), pa.binary()))]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(rows)), *arrays], ["doc_id", "payload_key", "n_bytes", "media"])
-                    start, held, rows = at + 1, 0, []
-
-    def in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Payloads with shared chunks, once for each batch: their lists, inline chunks, and shared chunks."""
-        for batch in batches:
-            rows, seen, pooled = [], set(), set()
-            for text in batch.column(1):
-                parts, names, common, n = split(text.as_py())
-                if not any(common) or (key := digest(b"".join(names))) in seen:
-                    continue
-                seen.add(key)
-                for k, (part, name, is_common) in enumerate(zip(parts, names, common)):
-                    sent = is_common and name in pooled
-                    pooled.add(name)
-                    rows.append((key, n, k, name, None if sent else zlib.compress(part, 1), is_common))
-            types = [pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.bool_()]
-            arrays = [pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types]
-            yield pa.RecordBatch.from_arrays(arrays, ["key", "n_bytes", "place", "name", "chunk", "common"])
+                    arrays += [pa.nulls(len(rows), t) for t in part_types]
+                    yield pa.RecordBatch.from_arrays([ids.slice(start, len(rows)), *arrays], STORED)
+                    if parts_rows:
+                        key, n, *rest = zip(*parts_rows)
+                        arrays = [pa.nulls(len(key), ids.type), pa.array(key, pa.binary()), pa.array(n, pa.int64()), pa.nulls(len(key), pa.binary())]
+                        yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(c, t) for c, t in zip(rest, part_types))], STORED)
+                    start, held, rows, parts_rows = at + 1, 0, [], []
 
     def rebuild(key, group):
         rows = sorted(group.select(["place", "n_bytes", "name", "chunk"]).to_pylist(), key=lambda r: r["place"])
@@ -232,9 +237,10 @@ def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         one = (key[0].as_py(), rows[0]["n_bytes"], encode(parts, names))
         return pa.Table.from_arrays([pa.array([v], t) for v, t in zip(one, [pa.binary(), pa.int64(), pa.binary()])], ["payload_key", "n_bytes", "media"])
 
-    first = _stored(texts.mapInArrow(alone, f"doc_id {kind}, payload_key binary, n_bytes long, media binary"), "media-alone")
-    pieces = texts.mapInArrow(in_parts, "key binary, n_bytes long, place int, name binary, chunk binary, common boolean")
-    pieces = cut(pieces, "media-parts")
+    whole = texts.mapInArrow(stored, f"doc_id {kind}, payload_key binary, n_bytes long, media binary, place int, name binary, chunk binary, common boolean")
+    whole = _stored(whole, "media-stored")
+    first = whole.where("place is null").select("doc_id", "payload_key", "n_bytes", "media")
+    pieces = whole.where("place is not null").select(F.col("payload_key").alias("key"), "n_bytes", "place", "name", "chunk", "common")
     pool = cut(pieces.where("common").groupBy("name").agg(F.min("chunk").alias("pooled")), "media-pool")
     lists = pieces.where("common").select("key", "n_bytes", "place", "name").distinct().join(pool, "name")
     lists = lists.select("key", "n_bytes", "place", "name", F.col("pooled").alias("chunk"))
