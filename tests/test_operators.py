@@ -1,10 +1,12 @@
 """Operators against brute force in numpy, and their properties."""
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from veriscope.functions import colour, information, metrics, power, signals, simulation
 from veriscope.operators import resample, ridge, screening, similarity, splits
@@ -144,13 +146,15 @@ def test_rates(spark):
 
 
 def test_permutations_and_bootstrap(spark, monkeypatch):
-    subjects = np.array(list("aabbcc"))
-    moved = np.array([10, 10, 12, 12, 14, 14])[resample.subject_permutation(subjects, 5)]
-    assert (moved[::2] == moved[1::2]).all() and sorted(moved) == [10, 10, 12, 12, 14, 14]
-    assert (resample.subject_permutation(subjects, 5) == resample.subject_permutation(subjects, 5)).all()
-    rows = pd.DataFrame({"subject": [f"s{i}" for i in range(60)], "truth": np.arange(60.0), "good": np.arange(60.0) + 0.5})
-    null = resample.permuted_errors(spark, rows, ["good"], 99)
-    p = resample.empirical_p(null, "good", 0.5)
+    assert sorted(resample.subject_order(50, 5).tolist()) == list(range(50)) and (resample.subject_order(50, 5) != resample.subject_order(50, 6)).any()
+    rows = pd.DataFrame({"subject": [f"s{i // 2}" for i in range(120)], "at": np.arange(120), "truth": np.arange(120.0), "good": np.arange(120.0) + 0.5})
+    null = resample.permuted_errors(spark.createDataFrame(rows).repartition(3), "subject", "truth", "at", {"good": "good"}, 99)
+    names = sorted(set(rows["subject"]))
+    first = {s: t for s, t in zip(rows["subject"][::-1], rows["truth"][::-1])}
+    for r in null.where("replicate < 3").collect():
+        swapped = dict(zip(names, np.array([first[s] for s in names])[resample.subject_order(60, r["replicate"])]))
+        assert r["good"] == pytest.approx(np.mean([abs(g - swapped[s]) for g, s in zip(rows["good"], rows["subject"])]))
+    p = resample.empirical_p(null, "good", 0.75)
     assert p["p"] == p["floor"] == 0.01 and p["at_floor"]
     values = resample.bootstrap(spark, pd.DataFrame({"x": np.arange(100.0)}), lambda s: s["x"].mean(), 300)
     ci = resample.interval(values)
@@ -160,11 +164,18 @@ def test_permutations_and_bootstrap(spark, monkeypatch):
         resample.bounded(spark.range(10), ["id"])
 
 
-def test_power():
-    assert power.multiplier(0.8) == pytest.approx(2.8016, abs=1e-4) and power.multiplier(0.9) == pytest.approx(3.2415, abs=1e-4)
-    assert power.power_at(2.8016, 1.0) == pytest.approx(0.8, abs=1e-3) and math.isnan(power.power_at(1, 0))
-    assert power.verdict(0.5, 1.0) == "ADEQUATELY POWERED" and power.verdict(2.0, 1.0) == "UNDERPOWERED" and power.verdict(math.nan, 1.0) == "INDETERMINATE"
-    assert power.required_group(100, 0.2, 0.1) == pytest.approx(400) and power.total_for_group(40, 0.8, False) == pytest.approx(200)
+def test_power(spark):
+    test = power.TwoSided()
+    assert test.reach(0.8) == pytest.approx(2.8016, abs=1e-4) and test.reach(0.9) == pytest.approx(3.2415, abs=1e-4)
+    rows = [(1.0, test.reach(0.8), 100, 0.25), (2.0, 1.0, 50, 0.0), (float("nan"), 1.0, 10, 0.5), (None, 1.0, 10, 0.5), (0.0, 0.5, 10, 0.5), (0.1, float("inf"), 10, None), (1.0, -3.0, 10, 0.5)]
+    got = power.assessed(spark.createDataFrame(rows, "se double, yardstick double, n long, share double"), share="share").collect()
+    assert got[0]["power"] == pytest.approx(0.8, abs=1e-12) and got[0]["group_needed"] == pytest.approx(100) and got[0]["cohort_needed"] == pytest.approx(400)
+    assert [r["adequacy"] for r in got] == ["ADEQUATELY POWERED", "UNDERPOWERED", "INDETERMINATE", "INDETERMINATE", "ADEQUATELY POWERED", "INDETERMINATE", "ADEQUATELY POWERED"]
+    assert got[1]["group_needed"] == pytest.approx(50 * (2 * test.reach(0.8)) ** 2) and got[1]["cohort_needed"] is None and got[1]["subjects_moved"] == 50 and got[1]["crosses_band"]
+    assert [got[k]["power"] for k in (2, 3, 4, 5)] == [None] * 4 and got[6]["power"] == pytest.approx(0.8508, abs=1e-4)
+    xs = [-9.0, -7.5, -3.0, -0.1, 0.0, 1.0, 2.5, 6.0]
+    cdf = spark.createDataFrame([(x,) for x in xs], "x double").select(power.normal_cdf(F.col("x"))).collect()
+    assert [r[0] for r in cdf] == pytest.approx([NormalDist().cdf(x) for x in xs], abs=1e-13)
 
 
 def test_log_slope(spark):
@@ -203,6 +214,45 @@ def test_filters():
             assert gain(edge) == pytest.approx(2**-0.5, abs=1e-6)
 
 
+def brute_peaks(x, distance, prominence):
+    """Maxima one by one: plateaus count at their first sample, prominence is looked for sample by sample."""
+    tops = []
+    for i in range(1, len(x) - 1):
+        j = i
+        while j < len(x) - 1 and x[j + 1] == x[i]:
+            j += 1
+        if x[i - 1] < x[i] and j < len(x) - 1 and x[j + 1] < x[i]:
+            tops.append(i)
+    kept = []
+    for i in sorted(tops, key=lambda i: (-x[i], i)):
+        if all(abs(i - k) >= distance for k in kept):
+            kept.append(i)
+    out = []
+    for i in sorted(kept):
+        left, right = i, i
+        while left > 0 and x[left - 1] <= x[i]:
+            left -= 1
+        while right < len(x) - 1 and x[right + 1] <= x[i]:
+            right += 1
+        if x[i] - max(min(x[left : i + 1]), min(x[i : right + 1])) >= prominence:
+            out.append(i)
+    return out
+
+
+def test_peaks_and_block_filters():
+    rng = np.random.default_rng(11)
+    for n, distance, prominence in ((400, 1, 0.0), (400, 9, 0.5), (90, 30, 1.0), (5, 1, 0.0), (2, 1, 0.0)):
+        x = np.round(np.cumsum(rng.normal(size=n)), 1)
+        assert signals.peaks(x, distance, prominence).tolist() == brute_peaks(x, distance, prominence)
+    section, state = signals.butterworth(4, (0.5, 8.0), 200.0)[1], np.array([0.3, -0.2])
+    x, want, (s0, s1) = rng.normal(size=1000), [], state
+    b0, b1, b2, _, a1, a2 = section
+    for v in x:
+        want.append(b0 * v + s0)
+        s0, s1 = b1 * v - a1 * want[-1] + s1, b2 * v - a2 * want[-1]
+    assert np.allclose(signals._filter(section, x, state), want, atol=1e-12)
+
+
 def test_subject_features(spark):
     rows = [("s1", c, i, float(v)) for k, c in enumerate(signals.CHANNELS) for i, v in enumerate(pulse(70, 6, seed=k))] + [("s2", 660, i, 1.0) for i in range(2000)]
     wide = signals.per_subject(signals.per_channel(spark.createDataFrame(rows, "s string, c int, i int, v double"), "s", "c", "i", "v"), "s", "c")

@@ -12,9 +12,6 @@ from . import metrics
 
 NEIGHBOURS = 3
 NULL_REPEATS = 5
-#: Rows that the neighbour-based estimate uses at most, in hash order: a documented sample for an estimate
-#: whose cost is the square of its rows. Correlations use all rows.
-MI_ROWS = 5000
 
 
 def incomplete_beta(a: float, b: float, x: float) -> float:
@@ -71,6 +68,39 @@ def digamma(x: np.ndarray) -> np.ndarray:
     return out + np.log(x) - 0.5 / x - z * (1 / 12 - z * (1 / 120 - z * (1 / 252 - z / 240)))
 
 
+def neighbour_distances(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
+    """Max-norm distance of each point to its k-th nearest other one.
+
+    Points walk outwards along x, all at once and one step a side at a time; a point stops when the next ones are farther
+    along x than its k-th best so far. With evenly spread points that takes about sqrt(k n) steps, not n."""
+    n = len(x)
+    order = np.argsort(x, kind="stable")
+    xs, ys = x[order], y[order]
+    best = np.full((n, k), np.inf)
+    live = np.arange(n)
+    step = 0
+    while len(live):
+        step += 1
+        going = np.zeros(len(live), bool)
+        for side in (-step, step):
+            other = live + side
+            there = (other >= 0) & (other < n)
+            mine, other = live[there], other[there]
+            along = np.abs(xs[other] - xs[mine])
+            near = along < best[mine, -1]
+            going[np.nonzero(there)[0][near]] = True
+            mine, other, along = mine[near], other[near], along[near]
+            found = np.maximum(along, np.abs(ys[other] - ys[mine]))
+            better = found < best[mine, -1]
+            rows = best[mine[better]]
+            rows[:, -1] = found[better]
+            best[mine[better]] = np.sort(rows, axis=1)
+        live = live[going]
+    out = np.empty(n)
+    out[order] = best[:, -1]
+    return out
+
+
 def mutual_information(x: np.ndarray, y: np.ndarray, k: int = NEIGHBOURS, seed: int = 0) -> float:
     """Nearest-neighbour estimate for two continuous columns (max-norm balls), never below 0. Ties are broken
     by noise of a ten-billionth of the spread."""
@@ -81,16 +111,39 @@ def mutual_information(x: np.ndarray, y: np.ndarray, k: int = NEIGHBOURS, seed:
     x, y = (v / (v.std() or 1) for v in (x, y))
     x, y = (v + 1e-10 * np.maximum(1, np.abs(v).mean()) * rng.normal(size=n) for v in (x, y))
     xs, ys = np.sort(x), np.sort(y)
-    radius = np.empty(n)
-    for at in range(0, n, 512):
-        d = np.maximum(np.abs(x[at : at + 512, None] - x[None]), np.abs(y[at : at + 512, None] - y[None]))
-        radius[at : at + 512] = np.partition(d, k, axis=1)[:, k]
+    radius = neighbour_distances(x, y, k)
     inside = lambda v, s: np.searchsorted(s, v + radius * (1 - 1e-12), "left") - np.searchsorted(s, v - radius * (1 - 1e-12), "right")
     nx, ny = np.maximum(inside(x, xs), 1), np.maximum(inside(y, ys), 1)
     value = float(digamma(np.array([n]))[0] + digamma(np.array([k]))[0] - np.mean(digamma(nx) + digamma(ny)))
     return max(0.0, value)
 
 
+def information_and_null(whole: DataFrame, n_features: int, seed: int) -> tuple[list[float], list[float]]:
+    """Mutual information of y and each x over all rows, and of NULL_REPEATS shuffled y with each; a task for each estimate.
+
+    Every estimate needs all rows of two columns; the table is broadcast, and refused beyond ``resample.MAX_SUBJECTS`` rows."""
+    from ..operators import resample
+
+    names = [f"x{i}" for i in range(n_features)]
+    rows = resample.bounded(whole.orderBy("y", *names), ["y", *names], "rows")
+    spark = whole.sparkSession
+    shared = spark.sparkContext.broadcast((rows["y"].to_numpy(float), [rows[c].to_numpy(float) for c in names]))
+
+    def estimate(batches):
+        y, columns = shared.value
+        for pdf in batches:
+            out = []
+            for i in pdf["id"].tolist():
+                turn, feature = divmod(i, n_features)
+                moved = y if turn == 0 else np.random.default_rng([seed, turn]).permutation(y)
+                out.append(mutual_information(columns[feature], moved, seed=seed + turn))
+            yield pdf.assign(value=out)
+
+    n = n_features * (1 + NULL_REPEATS)
+    found = spark.range(0, n, 1, n).mapInPandas(estimate, "id long, value double").orderBy("id").toPandas()["value"].tolist()
+    return found[:n_features], found[n_features:]
+
+
 def feature_table(df: DataFrame, features: list[str], truth: str, q: float, seed: int = 20_260_911) -> dict:
     """Per feature: Pearson and Spearman with p and adjusted p (all rows), mutual information and its shuffled null's 95th percentile."""
     n = df.count()
@@ -103,12 +156,7 @@ def feature_table(df: DataFrame, features: list[str], truth: str, q: float, seed
         spearman.append(ranked.agg(F.corr("rx", "ry")).first()[0])
     p = [[correlation_p(r, n) for r in rs] for rs in (pearson, spearman)]
     adjusted = [bh(v) for v in p]
-    sample = whole.orderBy(F.xxhash64(*whole.columns)).limit(MI_ROWS).toPandas()
-    y = sample["y"].to_numpy(float)
-    columns = [sample[f"x{i}"].to_numpy(float) for i in range(len(features))]
-    mi = [mutual_information(x, y, seed=seed) for x in columns]
-    rng = np.random.default_rng(seed)
-    null = [mutual_information(x, shuffled, seed=seed + i) for i in range(NULL_REPEATS) for shuffled in [rng.permutation(y)] for x in columns]
+    mi, null = information_and_null(whole, len(features), seed)
     rows = [
         {"feature": c, "pearson": pearson[i] or 0.0, "spearman": spearman[i] or 0.0, "p_pearson": p[0][i], "p_spearman": p[1][i], "q_pearson": adjusted[0][i], "q_spearman": adjusted[1][i], "mi": mi[i]}
         for i, c in enumerate(features)
@@ -116,16 +164,23 @@ def feature_table(df: DataFrame, features: list[str], truth: str, q: float, seed
     return {"features": rows, "null_p95": float(np.percentile(null, 95))}
 
 
+def majority(df: DataFrame, label: str, by: list[str]) -> DataFrame:
+    """(by, n, majority, base_rate): the commonest label, the smallest among ties, and its share; null labels are left out."""
+    counts = df.where(F.col(label).isNotNull()).groupBy(*by, F.col(label).alias("_label")).agg(F.count("*").alias("_n"))
+    best = F.min(F.struct((-F.col("_n")).alias("n"), F.col("_label").alias("label")))
+    out = counts.groupBy(*by).agg(F.sum("_n").alias("n"), best.alias("_best"))
+    return out.select(*by, "n", F.col("_best.label").alias("majority"), (-F.col("_best.n") / F.col("n")).alias("base_rate"))
+
+
 def grouped_probe(df: DataFrame, columns: list[str], label: str, fold: str) -> dict:
     """Out-of-fold accuracy of a logistic probe of ``label`` against the majority's share. Folds whose training rows have one class are skipped."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StringIndexer, VectorAssembler
 
     rows = df.where(F.col(label).isNotNull()).select(*[F.col(c).cast("double").alias(f"p{i}") for i, c in enumerate(columns)], F.col(label).cast("string").alias("lab"), F.col(fold).alias("f")).na.drop()
-    counts = {r["lab"]: r["count"] for r in rows.groupBy("lab").count().limit(10_001).collect()}
-    n = sum(counts.values())
-    if len(counts) < 2:
-        return {"accuracy": None, "base_rate": 1.0 if n else None, "margin": None, "n_classes": len(counts)}
+    n_classes, n, most = rows.groupBy("lab").count().agg(F.count("*"), F.coalesce(F.sum("count"), F.lit(0)), F.max("count")).first()
+    if n_classes < 2:
+        return {"accuracy": None, "base_rate": 1.0 if n else None, "margin": None, "n_classes": n_classes}
     rows = StringIndexer(inputCol="lab", outputCol="y", stringOrderType="alphabetAsc").fit(rows).transform(rows)
     rows = VectorAssembler(inputCols=[f"p{i}" for i in range(len(columns))], outputCol="x").transform(rows).select("x", "y", "f").cache()
     good = scored = 0
@@ -138,6 +193,6 @@ def grouped_probe(df: DataFrame, columns: list[str], label: str, fold: str) -> d
         hit, total = model.transform(test).agg(F.count_if(F.col("prediction") == F.col("y")), F.count("*")).first()
         good, scored = good + hit, scored + total
     rows.unpersist()
-    base = max(counts.values()) / n
+    base = most / n
     accuracy = good / scored if scored else None
-    return {"accuracy": accuracy, "base_rate": base, "margin": None if accuracy is None else accuracy - base, "n_classes": len(counts)}
+    return {"accuracy": accuracy, "base_rate": base, "margin": None if accuracy is None else accuracy - base, "n_classes": n_classes}

@@ -69,14 +69,18 @@ def with_average_rank(df: DataFrame, column: str, out: str, by: list[str] | None
 
 def benjamini_hochberg(df: DataFrame, p: str, out: str = "q", by: list[str] | None = None) -> DataFrame:
     """Adds the adjusted p: the smallest p * n / rank at this rank or beyond, at most 1. Null p stays null."""
+    from ..operators.running import least_from_here, running_sums
+    from ..session import cut
+
     keys = by or []
-    known = F.col(p).isNotNull()
-    group = Window.partitionBy(*keys, known)
-    rank = F.row_number().over(group.orderBy(p))
-    scaled = F.col(p) * F.count(p).over(group) / F.col("_rank")
-    ranked = df.withColumn("_rank", F.when(known, rank)).withColumn("_scaled", F.when(known, scaled))
-    tail = Window.partitionBy(*keys, known).orderBy(F.col("_rank").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn(out, F.when(known, F.least(F.min("_scaled").over(tail), F.lit(1.0)))).drop("_rank", "_scaled")
+    names = {k: f"_by{i}" for i, k in enumerate(keys)}
+    # equal p-values share one adjusted value, that of the last of them, so distinct ones are ranked, in slices
+    values = df.where(F.col(p).isNotNull()).groupBy(*[F.col(k).alias(n) for k, n in names.items()], F.col(p).cast("double").alias("_p")).agg(F.count("*").alias("_n"))
+    ranked = cut(running_sums(values, list(names.values()), "_p", ["_n"]), "bh-ranks")
+    scaled = ranked.select(*names.values(), "_p", (F.col("_p") * F.col("all__n") / F.col("upto__n")).alias("_scaled"))
+    found = least_from_here(scaled, list(names.values()), "_p", "_scaled", "_least")
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()] + [F.col(p).cast("double") == F.col("_p")]
+    return df.join(found, same, "left").select(*df.columns, F.least("_least", F.lit(1.0)).alias(out))
 
 
 def confusion(truth, called) -> list[Column]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, discard
 
 
 def _fingerprint(df: DataFrame) -> tuple:
@@ -28,19 +28,24 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         F.col(src).isNotNull() & F.col(dst).isNotNull()
     )
     e = cut(e.distinct(), "edges")
-    loops = e.where("u = v").select(F.col("u").alias("node"))
-    e = e.where("u <> v")
+    loops = cut(e.where("u = v").select(F.col("u").alias("node")), "loops")
+    e, whole = cut(e.where("u <> v"), "edges"), e
+    discard(whole)
     before = _fingerprint(e)
     while before[0] and max_rounds:
         max_rounds -= 1
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        round_tables = [e]
         low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        round_tables.append(low)
         large = e.join(low.withColumnRenamed("u", "v"), "v").select("u", F.col("m").alias("v")).where("u <> v")
         large = cut(large.distinct(), "large")
         low = cut(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        round_tables += [large, low]
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         e = cut(small.unionByName(low.withColumnRenamed("m", "v")).distinct(), "small")
         after = _fingerprint(e)
+        discard(*round_tables)
         if after == before:
             break
         before = after

@@ -152,3 +152,30 @@ def conditional_counts(by: str, df: DataFrame, tests: dict[str, Column]) -> Data
 
 def top_per_cell(df: DataFrame, cell: list[str], order: list, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*cell).orderBy(*order))).where(F.col("rank") <= k)
+
+
+def rates_by_dimension(df: DataFrame, dimensions: list[str], hit: str, size: str) -> DataFrame:
+    """(dimension, level, n, rate_pct, median_area) for each level of each dimension, from one pass."""
+    cells = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("level")) for d in dimensions]))
+    rows = df.select(cells.alias("cell"), F.col(hit).alias("_hit"), F.col(size).alias("_size")).groupBy("cell.dimension", "cell.level")
+    return rows.agg(F.count("*").alias("n"), (100.0 * F.count_if("_hit") / F.count("*")).alias("rate_pct"), F.median("_size").alias("median_area"))
+
+
+def category_counts(df: DataFrame, criteria: dict[str, str], by: str, classes: list[str]) -> DataFrame:
+    """(criterion, category, one count for each of ``classes``): criteria are names of columns; a null category is left out."""
+    cells = F.explode(F.array(*[F.struct(F.lit(name).alias("criterion"), F.col(c).cast("string").alias("category")) for name, c in criteria.items()]))
+    rows = df.select(cells.alias("cell"), F.col(by).alias("_class")).where("cell.category is not null").groupBy("cell.criterion", "cell.category")
+    return rows.agg(*[F.count_if(F.col("_class") == k).alias(k) for k in classes])
+
+
+def row_mean(columns: list[str]) -> Column:
+    """The mean over columns of a row; null if one is."""
+    total = F.aggregate(F.array(*columns), F.lit(0.0), lambda acc, v: acc + v)
+    return total / len(columns)
+
+
+def weighted_channels(df: DataFrame, key: str, channel: str, value: str, weights: dict[str, tuple[float, float]], longest: float, out: str = "mixed") -> DataFrame:
+    """(key, out): the sum of values by channel weight; ``weights`` gives (weight, wavelength), and beyond ``longest`` nothing counts."""
+    used = {name: weight if length <= longest else 0.0 for name, (weight, length) in weights.items()}
+    weight = F.create_map(*[F.lit(x) for kv in used.items() for x in kv])[F.col(channel)]
+    return df.where(weight.isNotNull()).groupBy(key).agg(F.sum(weight * F.col(value)).alias(out))

@@ -1,6 +1,6 @@
 """Bootstrap and permutation: one Spark task range over replicate numbers.
 
-Each replicate's draws depend on its number alone, so any task can redo any of them. What
+Each replicate's draws are hashes of its number and a place, so any task, and any SQL engine, can redo any of them. What
 the replicates share (one row a subject) is broadcast, and its size is checked first."""
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 MAX_SUBJECTS = 5_000_000
 PERMUTATION_SEED = 770_000
 BOOTSTRAP_SEED = 20_260_911
+#: The odd constants of the 64-bit mixing function.
+MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
 def bounded(df: DataFrame, columns: list[str], what: str = "subjects") -> pd.DataFrame:
@@ -38,24 +40,52 @@ def replicates(spark: SparkSession, n: int, draw: Callable[[int], dict[str, floa
     return spark.range(n).mapInPandas(run, schema)
 
 
-def subject_permutation(subjects: np.ndarray, i: int) -> np.ndarray:
-    """For each row the position of the row whose label it gets: subjects swap labels as wholes."""
-    names, first, inverse = np.unique(subjects, return_index=True, return_inverse=True)
-    order = np.random.default_rng(PERMUTATION_SEED + i).permutation(len(names))
-    return first[order][inverse]
+def scattered(stream: int, i: int, n: int) -> np.ndarray:
+    """Unsigned 64-bit hashes of places 0 to n - 1 in replicate i: a mixing function of stream + 2^32 i + place."""
+    z = (np.arange(n, dtype=np.uint64) + np.uint64(((i << 32) + stream) % (1 << 64))) * np.uint64(MIX[0])
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(MIX[1])
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(MIX[2])
+    return z ^ (z >> np.uint64(31))
 
 
-def permuted_errors(spark: SparkSession, rows: pd.DataFrame, candidates: list[str], n: int) -> DataFrame:
-    """(replicate, *candidates): mean absolute error of each candidate under permuted truths."""
-    subjects, truth = rows["subject"].to_numpy(), rows["truth"].to_numpy(float)
-    shared = spark.sparkContext.broadcast((subjects, truth, rows[candidates].to_numpy(float)))
+def scattered_sql(stream: int, i: str, place: str) -> str:
+    """The same hash in SQL with 128-bit integers."""
+    wrap = "18446744073709551616"
+    x = f"(({place})::UHUGEINT + ({i})::UHUGEINT * 4294967296 + {stream}) % {wrap} * {MIX[0]} % {wrap}"
+    for shift, factor in ((30, MIX[1]), (27, MIX[2])):
+        x = f"xor(({x}), ({x}) // {1 << shift}) * {factor} % {wrap}"
+    return f"xor(({x}), ({x}) // {1 << 31})"
 
-    def draw(i: int) -> dict[str, float]:
-        subjects, truth, preds = shared.value
-        moved = truth[subject_permutation(subjects, i)]
-        return dict(zip(candidates, np.abs(preds - moved[:, None]).mean(axis=0).tolist()))
 
-    return replicates(spark, n, draw, candidates)
+def subject_order(n: int, i: int) -> np.ndarray:
+    """The i-th permutation of n subjects: which one's label each gets."""
+    return np.argsort(scattered(PERMUTATION_SEED, i, n), kind="stable")
+
+
+def permuted_errors(rows: DataFrame, subject: str, truth: str, order: str, candidates: dict[str, str], n: int) -> DataFrame:
+    """(replicate, *candidates): mean absolute error of each candidate (name to column) under truths that whole subjects swap.
+
+    A subject stands for its first row's truth. One row a subject is broadcast; the rows stay where they are: each task adds up
+    its rows' errors under every permutation, and Spark adds the tasks' sums."""
+    spark = rows.sparkSession
+    names = list(candidates)
+    held = bounded(rows.groupBy(F.col(subject).cast("string").alias("subject")).agg(F.min_by(truth, order).cast("double").alias("truth")), ["subject", "truth"])
+    held = held.sort_values("subject", ignore_index=True)
+    shared = spark.sparkContext.broadcast((held["subject"].to_numpy(str), held["truth"].to_numpy(float)))
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, truths = shared.value
+        parts = [(np.searchsorted(known, pdf["subject"].to_numpy(str)), pdf[names].to_numpy(float)) for pdf in batches]
+        if not parts:
+            return
+        at, preds = np.concatenate([a for a, _ in parts]), np.concatenate([p for _, p in parts])
+        for i in range(n):
+            moved = truths[subject_order(len(known), i)][at]
+            yield pd.DataFrame([[i, len(at), *np.abs(preds - moved[:, None]).sum(axis=0).tolist()]], columns=["replicate", "n", *names])
+
+    picked = rows.select(F.col(subject).cast("string").alias("subject"), *[F.col(f"`{c}`").cast("double").alias(name) for name, c in candidates.items()])
+    sums = picked.repartition(spark.sparkContext.defaultParallelism).mapInPandas(add, "replicate long, n long, " + ", ".join(f"`{name}` double" for name in names))
+    return sums.groupBy("replicate").agg(*[(F.sum(f"`{name}`") / F.sum("n")).alias(name) for name in names])
 
 
 def empirical_p(null: DataFrame, column: str, real: float, lower: bool = True) -> dict:
@@ -75,7 +105,7 @@ def bootstrap(spark: SparkSession, rows: pd.DataFrame, statistic: Callable[[pd.D
 
     def draw(i: int) -> dict[str, float]:
         rows = shared.value
-        at = np.random.default_rng([seed, i]).integers(0, len(rows), len(rows))
+        at = scattered(seed, i, len(rows)) % np.uint64(max(len(rows), 1))
         return {"value": float(statistic(rows.iloc[at]))}
 
     return replicates(spark, n, draw, ["value"])
@@ -88,3 +118,29 @@ def interval(values: DataFrame, column: str = "value", level: float = 0.95) -> d
     row = values.agg(q.alias("q"), F.count_if(good).alias("n"), F.count_if(~good).alias("skipped"), F.stddev_samp(F.when(good, F.col(column))).alias("se")).first()
     lo, hi = row["q"] if row["q"] else (None, None)
     return {"lo": lo, "hi": hi, "n": row["n"], "skipped": row["skipped"], "se": row["se"]}
+
+
+def paired_gain(df: DataFrame, key: str, a: str, b: str, n: int = 2000) -> dict:
+    """Mean of a - b over rows (one a subject) with the percentile interval of resamples drawn with replacement."""
+    rows = bounded(df.select(key, (F.col(a) - F.col(b)).alias("gap")).where("gap is not null").orderBy(key), [key, "gap"])
+    found = interval(bootstrap(df.sparkSession, rows[["gap"]], lambda s: s["gap"].mean(), n))
+    return {**found, "n": len(rows), "gain": float(rows["gap"].mean()) if len(rows) else float("nan")}
+
+
+def rate_intervals(counts: DataFrame, by: list[str], hits: str, total: str, n: int = 2000, level: float = 0.95) -> DataFrame:
+    """``counts`` with rate, lo and hi: resampling ``total`` rows of which ``hits`` are hits needs the two counts alone, so no row
+    travels; a task draws one replicate of one group."""
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            size = pdf["_total"].to_numpy()
+            hit = [int((scattered(BOOTSTRAP_SEED, i, k) % np.uint64(k) < np.uint64(h)).sum()) for i, k, h in zip(pdf["_i"].tolist(), size.tolist(), pdf["_hits"].tolist())]
+            yield pdf.assign(_rate=np.array(hit) / size)
+
+    rows = counts.where(F.col(total) > 0).select(*by, F.col(hits).cast("long").alias("_hits"), F.col(total).cast("long").alias("_total"))
+    rows = rows.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).repartition(counts.sparkSession.sparkContext.defaultParallelism, *by, "_i")
+    schema = rows.withColumn("_rate", F.lit(0.0)).schema
+    q = F.percentile("_rate", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))
+    found = rows.mapInPandas(draw, schema).groupBy(*by).agg(q.alias("_q"))
+    out = counts.join(found, by, "left")
+    return out.select(*counts.columns, (F.col(hits) / F.nullif(F.col(total), F.lit(0))).alias("rate"), F.col("_q")[0].alias("lo"), F.col("_q")[1].alias("hi"))

@@ -25,26 +25,21 @@ def _arrays(batch: pa.RecordBatch, p: int) -> tuple[np.ndarray, np.ndarray, np.n
     return x, batch.column(p).to_numpy(zero_copy_only=False).astype(float), batch.column(p + 1).to_numpy()
 
 
-class _Sums:
-    """Pickled sums of each task, added on the driver: a few folds of p x p numbers."""
-
-    @staticmethod
-    def over(df: DataFrame, make, add) -> list:
-        import pickle
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = None
-            for batch in batches:
-                part = make(batch)
-                total = part if total is None else add(total, part)
-            if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(total)], pa.binary())], ["part"])
-
-        total = None
-        for row in df.mapInArrow(run, "part binary").collect():  # a row a task
-            part = pickle.loads(bytes(row["part"]))
-            total = part if total is None else add(total, part)
-        return total
+def _summed(df: DataFrame, make, shape: tuple[int, ...]) -> np.ndarray:
+    """Sums over all batches of the arrays ``make`` gives: a task adds its own, Spark adds the tasks' by place,
+    and the driver gets one number for each place, whatever the number of rows and tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape)
+        for batch in batches:
+            total += make(batch)
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], ["part"])
+
+    places = df.mapInArrow(run, "part array<double>").select(F.posexplode("part").alias("place", "value"))
+    found = places.groupBy("place").agg(F.sum("value").alias("value")).toArrow()
+    out = np.zeros(int(np.prod(shape)))
+    out[found.column("place").to_numpy()] = found.column("value").to_numpy()
+    return out.reshape(shape)
 
 
 def _filled(x: np.ndarray, medians: np.ndarray) -> np.ndarray:
@@ -66,15 +61,15 @@ def grouped_ridge(df: DataFrame, features: list[str], truth: str, fold: str, out
         flat = rows.agg(*[c.alias(f"m{i}") for i, c in enumerate(cells)]).first()
         medians[:, partly] = np.array([0.0 if v is None else v for v in flat], float).reshape(len(folds), len(partly))
 
-    def gram(batch: pa.RecordBatch) -> list:
+    def gram(batch: pa.RecordBatch) -> np.ndarray:
         x, y, at = _arrays(batch, p)
         parts = []
         for i, k in enumerate(folds):
             z = np.column_stack([np.ones(int((at != k).sum())), _filled(x, medians[i])[at != k], y[at != k]])
             parts.append(z.T @ z)
-        return parts
+        return np.array(parts)
 
-    grams = _Sums.over(rows, gram, lambda a, b: [u + v for u, v in zip(a, b)]) or []
+    grams = _summed(rows, gram, (len(folds), p + 2, p + 2)) if folds else []
     models = []
     for g in grams:
         n = max(g[0, 0], 1.0)
@@ -97,7 +92,7 @@ def grouped_ridge(df: DataFrame, features: list[str], truth: str, fold: str, out
             total[i] = np.sum((residual / np.maximum(1 - 1 / n - (u * u) @ shrink, 1e-12)) ** 2, axis=0)
         return total
 
-    losses = _Sums.over(rows, errors, lambda a, b: a + b) if p and grams else None
+    losses = _summed(rows, errors, (len(folds), len(ALPHAS))) if p and folds else None
     alphas = [float(ALPHAS[int(row.argmin())]) for row in losses] if losses is not None else [1.0] * len(folds)
     weights = {}
     for k, (n, mean, sd, y_mean, values, vectors, slope), a in zip(folds, models, alphas):
@@ -112,3 +107,24 @@ def grouped_ridge(df: DataFrame, features: list[str], truth: str, fold: str, out
             value = value + F.coalesce(column, F.lit(float(medians[at[k]][j]))) * F.lit(beta[j])
         guess = F.when(F.col(fold) == k, value).otherwise(guess)
     return df.withColumn(out, guess)
+
+
+def transfer_ridge(train: DataFrame, test: DataFrame, features: list[str], truth: str, alpha: float, out: str = "ridge_pred") -> DataFrame:
+    """``test`` with predictions of a ridge at ``alpha`` on ``train``: features standardised and missing ones filled by the training means."""
+    value = {f: F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double")) for f in features}
+    known = train.where(F.col(truth).isNotNull())
+    means = known.agg(F.count("*").alias("n"), F.avg(truth).alias("y"), *[F.avg(value[f]).alias(f"m{j}") for j, f in enumerate(features)]).first()
+    filled = [F.coalesce(value[f], F.lit(float(means[f"m{j}"] or 0.0))) - float(means[f"m{j}"] or 0.0) for j, f in enumerate(features)]
+    pairs = [(i, j) for i in range(len(features)) for j in range(i, len(features))]
+    sums = known.agg(*[F.sum(filled[i] * filled[j]).alias(f"g{i}_{j}") for i, j in pairs], *[F.sum(filled[j] * F.col(truth)).alias(f"c{j}") for j in range(len(features))]).first()
+    gram = np.zeros((len(features), len(features)))
+    for i, j in pairs:
+        gram[i, j] = gram[j, i] = sums[f"g{i}_{j}"] or 0.0
+    sd = np.sqrt(np.diag(gram) / max(means["n"], 1))
+    sd = np.where(sd > 1e-12, sd, 1.0)
+    against = np.array([sums[f"c{j}"] or 0.0 for j in range(len(features))]) / sd
+    beta = np.linalg.solve(gram / np.outer(sd, sd) + alpha * np.eye(len(features)), against) / sd if features else np.zeros(0)
+    guess = F.lit(None if means["y"] is None else float(means["y"])).cast("double")
+    for b, centred in zip(beta.tolist(), filled):
+        guess = guess + b * centred
+    return test.withColumn(out, guess)

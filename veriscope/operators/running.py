@@ -53,6 +53,18 @@ def running_sums(df: DataFrame, by: list[str], order: str, columns: list[str], s
     )
 
 
+def least_from_here(df: DataFrame, by: list[str], order: str, value: str, out: str, slices: int = SLICES) -> DataFrame:
+    """``(*by, order, out)``: the least ``value`` of the group's rows from this one on along ``order``, which is unique within a group."""
+    rows = sliced(df, order, slices)
+    later = Window.partitionBy(*by).orderBy(F.col("_slice").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    beyond = rows.groupBy(*by, "_slice").agg(F.min(value).alias("_m")).select(*by, "_slice", F.min("_m").over(later).alias("_beyond"))
+    inside = Window.partitionBy(*by, "_slice").orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_in", F.min(value).over(inside))
+    keys = [*by, "_slice"]
+    joined = rows.join(beyond.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)}), [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    return joined.select(*by, order, F.least("_in", "_beyond").alias(out))
+
+
 def rank_in_slices(df: DataFrame, by: list[str], order: list, out: str = "_i", total: str = "_k") -> DataFrame:
     """``df`` (with ``_slice`` ascending along ``order``) with its place from 1 in each group, and the group's number of rows."""
     counts = df.groupBy(*by, "_slice").agg(F.count("*").alias("_n"))

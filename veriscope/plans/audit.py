@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .checks import CHECKS
 from .contract import AuditFrame
-from .prereg import PreRegistration
+from .prereg import Record, declared_for, standing
 from .verdict import FAIL, INSUFFICIENT, PASS, SEVERITY, CheckResult, canonical, plain
 
 
@@ -65,7 +65,7 @@ def run_audit(
     frame: AuditFrame,
     checks: list[str] | None = None,
     thresholds: dict[str, dict] | None = None,
-    preregistration: PreRegistration | None = None,
+    preregistration: Record | None = None,
     uploaded_at: str | None = None,
     unsupported: dict[str, str] | None = None,
     progress: Callable[[float, str], None] | None = None,
@@ -78,11 +78,11 @@ def run_audit(
     unknown = [c for c in ids if c not in CHECKS]
     if unknown:
         raise ValueError(f"unknown checks: {', '.join(unknown)}")
-    declared = preregistration is not None and preregistration.intact() and (uploaded_at is None or preregistration.declared_before(uploaded_at))
+    stands = None if preregistration is None else standing(preregistration, uploaded_at)
     results = []
     for i, check_id in enumerate(ids):
         check, began = CHECKS[check_id], time.monotonic()
-        wanted = preregistration.for_check(check_id) if preregistration else {}
+        wanted, named = declared_for(preregistration, check_id)
         if unsupported and check_id in unsupported:
             result = CheckResult(check_id, check.title, INSUFFICIENT, "the source cannot support this check", threshold=check.defaults, missing=[unsupported[check_id]])
         else:
@@ -90,13 +90,13 @@ def run_audit(
                 result = check.run(frame, {**wanted, **(thresholds or {}).get(check_id, {})})
             except Exception as e:  # reported as its result
                 result = CheckResult(check_id, check.title, INSUFFICIENT, f"the check failed: {type(e).__name__}", threshold=check.defaults, missing=["a run without errors"], details={"traceback": traceback.format_exc()[-4000:]})
-        result.preregistered = declared and bool(wanted) and not (thresholds or {}).get(check_id)
+        result.preregistered = named and stands.counts and not (thresholds or {}).get(check_id)
         result.seconds = time.monotonic() - began
         results.append(result)
         if progress:
             progress((i + 1) / len(ids), check_id)
     results.sort(key=lambda r: SEVERITY[r.verdict])
-    told = None if preregistration is None else {**preregistration.__dict__, "intact": preregistration.intact(), "before_upload": declared}
+    told = None if stands is None else {**preregistration, "intact": stands.intact, "before_upload": stands.counts}
     return AuditReport(results, frame.summary, told, frame.warnings)
 
 

@@ -181,12 +181,10 @@ def permutation(frame: AuditFrame, limits: dict) -> CheckResult:
     broken = [name for name, k in zip(columns, holes) if k]
     if broken:  # a missing prediction would make every null draw undefined and the p-value its floor
         return _result(INSUFFICIENT, "candidates with missing predictions cannot be permuted", {"candidates": broken}, ["predictions for every row of every candidate"])
-    keep = ["_row", "subject_id", "y_true", *columns.values()]
-    rows = resample.bounded(frame.df.select(*[F.col(f"`{c}`") for c in keep]), keep, "rows").sort_values("_row", ignore_index=True)
-    rows = rows.rename(columns={"subject_id": "subject", "y_true": "truth", **{c: f"c{i}" for i, c in enumerate(columns.values())}})
     names = [f"c{i}" for i in range(len(columns))]
-    null = cut(resample.permuted_errors(frame.df.sparkSession, rows, names, n), "null")
-    real = {name: float((rows[c] - rows["truth"]).abs().mean()) for name, c in zip(columns, names)}
+    null = cut(resample.permuted_errors(frame.df, "subject_id", "y_true", "_row", dict(zip(names, columns.values())), n), "null")
+    mae = frame.df.agg(*[metrics.mae("y_true", F.col(f"`{c}`")).alias(k) for k, c in zip(names, columns.values())]).first()
+    real = {name: float(mae[k]) for name, k in zip(columns, names)}
     null = null.withColumn("best", F.least(*names) if len(names) > 1 else F.col("c0"))
     best = min(real, key=lambda k: (real[k], k))
     alone = resample.empirical_p(null, "c0", real["submitted"])
@@ -212,6 +210,10 @@ def seed_stability(frame: AuditFrame, limits: dict, effect: float | None = None)
     return _result(PASS if good else FAIL, f"effect is {ratio:.2f} times the spread over seeds", measured)
 
 
+#: Levels that a report lists; it says how many more there are.
+SUBGROUPS = 1000
+
+
 @check("subgroup_robustness", "The advantage does not rest on a few subjects", min_retained_advantage_fraction=0.5, drop_fraction=0.10)
 def subgroup_robustness(frame: AuditFrame, limits: dict) -> CheckResult:
     means = splits.training_means(frame.folded, "_fold", "y_true")
@@ -235,8 +237,11 @@ def subgroup_robustness(frame: AuditFrame, limits: dict) -> CheckResult:
         pairs = F.explode(F.array(*[F.struct(F.lit(a).alias("variable"), F.coalesce(F.col(a), F.lit("nan")).alias("level")) for a in attributes]))
         levels = errors.select(pairs.alias("g"), "subject_id", "_b", "_m").groupBy("g.variable", "g.level")
         levels = levels.agg(F.count("*").alias("n_rows"), F.count_distinct("subject_id").alias("n_subjects"), F.avg("_b").alias("baseline_mae"), F.avg("_m").alias("model_mae"))
-        shown = levels.where("n_rows >= 5").withColumn("advantage", F.col("baseline_mae") - F.col("model_mae")).orderBy("variable", "level").limit(1000)
-        table = [r.asDict() for r in shown.collect()]
+        shown = levels.where("n_rows >= 5").withColumn("advantage", F.col("baseline_mae") - F.col("model_mae")).orderBy("variable", "level")
+        table = [r.asDict() for r in shown.limit(SUBGROUPS).collect()]
+        more = shown.count() - len(table) if len(table) == SUBGROUPS else 0
+        if more:
+            table.append({"variable": "not listed", "level": f"{more} more levels"})
     retained = row["kept"] / row["all"] if row["all"] and row["all"] > 0 and row["kept"] is not None else None
     floor = limits["min_retained_advantage_fraction"]
     measured = {"advantage": row["all"], "advantage_kept": row["kept"], "retained": retained, "n_subjects": row["subjects"], "n_dropped": row["dropped"],

@@ -15,6 +15,7 @@ NEED_SUBJECTS = ("split_integrity", "subgroup_robustness")
 IMPLAUSIBLE_MEDIAN = 30.0
 SEXES = {"m": "M", "male": "M", "man": "M", "f": "F", "female": "F", "woman": "F"}
 SPLITS = {"training": "train", "validation": "val", "valid": "val", "testing": "test"}
+EXAMPLES = 25
 
 
 class NotAuditable(ValueError):
@@ -79,16 +80,17 @@ def ingest(df: DataFrame, spec: IngestSpec) -> tuple[AuditFrame, IngestRecord]:
         raise NotAuditable(["a declared unit"], f"a median of {facts['middle']:.4g} is implausible in {spec.unit}; declare g/L if that is the unit")
     if "sex" in df.columns:
         df = df.withColumn("sex", F.coalesce(F.create_map(*[F.lit(x) for kv in SEXES.items() for x in kv])[F.lower(F.trim("sex"))], F.col("sex")))
-        odd = [r[0] for r in df.where(F.col("sex").isNotNull() & ~F.col("sex").isin("M", "F")).select("sex").distinct().orderBy("sex").limit(25).collect()]
+        odd = [r[0] for r in df.where(F.col("sex").isNotNull() & ~F.col("sex").isin("M", "F")).select("sex").distinct().orderBy("sex").limit(EXAMPLES).collect()]
         if odd:
             record.warnings.append("sex left as it is: " + ", ".join(map(str, odd)))
     if "split" in df.columns:
         table = {**SPLITS, **spec.split_values}
-        before = {r[0] for r in df.select("split").distinct().limit(100).collect()}
         df = df.withColumn("split", _mapped(F.col("split").cast("string"), table))
-        unknown = sorted(str(v) for v in before if table.get(v, v) not in ("train", "val", "test"))
-        if unknown:
-            record.warnings.append("split values kept: " + ", ".join(unknown))
+        unknown = df.where(F.col("split").isNull() | ~F.col("split").isin("train", "val", "test")).select(F.coalesce("split", F.lit("None")).alias("v")).distinct()
+        shown = [r["v"] for r in unknown.orderBy("v").limit(EXAMPLES + 1).collect()]
+        if shown:
+            more = f" and {unknown.count() - EXAMPLES} more" if len(shown) > EXAMPLES else ""
+            record.warnings.append("split values kept: " + ", ".join(shown[:EXAMPLES]) + more)
     if spec.subject_pattern:
         name = "image_path" if "image_path" in df.columns else "subject_id"
         base = F.regexp_extract(F.col(name), r"([^/\\]*)$", 1)

@@ -47,29 +47,32 @@ def diffuse_reflectance(spark, sf_dir):
 
 @query()
 def signal_features(spark, sf_dir):
-    """Pulse features of each event type's values read as a signal at 20 Hz."""
-    rows = table(spark, sf_dir, "events").where("value is not null").select("event_type", F.lit("value").alias("channel"), "event_id", "value")
-    out = signals.per_channel(rows, "event_type", "channel", "event_id", "value", rate=20.0)
-    return out.select("event_type", "channel", *[F.round(c, 4).alias(c) for c in signals.FEATURES])
+    """Pulse features of the values of ten users at a time, read as a signal at 20 Hz; signals are as many as the data has users."""
+    subject = F.floor(F.col("user_id") / 10).alias("subject")
+    rows = table(spark, sf_dir, "events").where("value is not null and user_id is not null").select(subject, F.lit("value").alias("channel"), "event_id", "value")
+    out = signals.per_channel(rows, "subject", "channel", "event_id", "value", rate=20.0)
+    return out.select("subject", "channel", *[F.round(c, 4).alias(c) for c in signals.FEATURES])
 
 
 @query()
 def illuminant_estimates(spark, sf_dir):
-    """Four illuminant estimates of each vector read as a small image, as angles from grey."""
+    """Four illuminant estimates of each vector read as a small square image (filled up from its start), as angles from grey."""
     import pandas as pd
 
     names = ("grey_world", "max_rgb", "shades_of_grey", "grey_edge")
 
     def run(batches):
         for pdf in batches:
-            rows = []
-            for i, v in zip(pdf["vec_id"], pdf["embedding"]):
-                image = np.abs(np.asarray(v, float)[:48]).reshape(4, 4, 3)
-                found = [getattr(colour, n)(image) for n in names]
-                rows.append((i, *[round(float(np.degrees(np.arccos(np.clip(f.sum() / np.sqrt(3), -1, 1)))), 4) for f in found]))
-            yield pd.DataFrame(rows, columns=["vec_id", *names])
-
-    return table(spark, sf_dir, "embeddings").where("size(embedding) >= 48").select("vec_id", "embedding").mapInPandas(run, "vec_id long, " + ", ".join(f"{n} double" for n in names))
+            angles = np.empty((len(pdf), len(names)))
+            for k, v in enumerate(pdf["embedding"]):
+                side = max(2, int(np.ceil(np.sqrt(len(v) / 3))))
+                image = np.abs(np.resize(np.asarray(v, float), (side, side, 3)))
+                angles[k] = [(colour_of / np.linalg.norm(colour_of)).sum() for colour_of in (getattr(colour, n)(image) for n in names)]
+            angles = np.round(np.degrees(np.arccos(np.clip(angles / np.sqrt(3), -1, 1))), 4)
+            yield pd.DataFrame({"vec_id": pdf["vec_id"].to_numpy(), **{n: angles[:, k] for k, n in enumerate(names)}})
+
+    rows = table(spark, sf_dir, "embeddings").where("size(embedding) > 0").select("vec_id", "embedding")
+    return rows.mapInPandas(run, "vec_id long, " + ", ".join(f"{n} double" for n in names))
 
 
 @query()

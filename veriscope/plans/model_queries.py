@@ -79,12 +79,21 @@ def seed_spread(spark, sf_dir):
     return long.agg(F.count("*").alias("n_seeds"), F.round(F.avg("mae"), 2).alias("mean_mae"), F.round(F.stddev_samp("mae"), 3).alias("sd"))
 
 
-@query()
+_PERMUTED = 60
+
+
+@query(f"""
+WITH s AS ({SUBMISSION_SQL}),
+u AS (SELECT subject_id, avg(y_true) AS truth, avg(y_pred) AS submitted, avg(quantity) AS other, row_number() OVER (ORDER BY subject_id) - 1 AS j FROM s GROUP BY subject_id),
+h AS (SELECT i, j, {resample.scattered_sql(resample.PERMUTATION_SEED, "i", "j")} AS h FROM u, range({_PERMUTED}) r(i)),
+o AS (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY h) - 1 AS r FROM h),
+e AS (SELECT i, avg(abs(a.submitted - b.truth)) AS submitted, avg(abs(a.other - b.truth)) AS other FROM o JOIN u a ON a.j = o.r JOIN u b ON b.j = o.j GROUP BY i)
+SELECT count(*) AS n_permutations, round(avg(least(submitted, other)), 4) AS null_mean, round(min(least(submitted, other)), 4) AS null_min FROM e
+""")
 def permutation_check(spark, sf_dir):
     """Null distribution of the best of two candidates under subject-wise label permutation, summarised."""
     rows = submission(spark, sf_dir).groupBy(F.col("subject_id").alias("subject")).agg(F.avg("y_true").alias("truth"), F.avg("y_pred").alias("submitted"), F.avg("quantity").alias("other"))
-    rows = resample.bounded(rows, ["subject", "truth", "submitted", "other"])
-    null = resample.permuted_errors(spark, rows, ["submitted", "other"], 200)
+    null = resample.permuted_errors(rows, "subject", "truth", "subject", {"submitted": "submitted", "other": "other"}, _PERMUTED)
     return null.agg(
         F.count("*").alias("n_permutations"),
         F.round(F.avg(F.least("submitted", "other")), 4).alias("null_mean"),
@@ -173,17 +182,27 @@ def nested_calls(spark, sf_dir):
     return screening.nested_calls(screening_table(spark, sf_dir), "truth", "score", "fold", 0.9).select("row_id", "fold", "cut", "called")
 
 
-@query()
+_RESAMPLES = 200
+
+
+@query(f"""
+WITH s AS ({SCREENING_SQL}),
+t AS (SELECT truth, score, row_number() OVER (ORDER BY row_id, truth, score) - 1 AS j, count(*) OVER () AS n FROM s),
+d AS (SELECT i, CAST({resample.scattered_sql(resample.BOOTSTRAP_SEED, "i", "j")} % n::UHUGEINT AS BIGINT) AS pick FROM t, range({_RESAMPLES}) r(i)),
+v AS (SELECT i, CASE WHEN sum(truth) BETWEEN 1 AND count(*) - 1 THEN avg(CASE WHEN score < 70 THEN 1.0 ELSE 0.0 END) FILTER (WHERE truth = 1) END AS v FROM d JOIN t ON t.j = d.pick GROUP BY i)
+SELECT count(v) AS n, count(*) - count(v) AS skipped, round(quantile_cont(v, 0.025), 9) AS lo, round(quantile_cont(v, 0.975), 9) AS hi FROM v
+""")
 def bootstrap_ci(spark, sf_dir):
     """Percentile interval of the sensitivity at a fixed cut; one-class resamples are counted as skipped."""
-    rows = resample.bounded(screening_table(spark, sf_dir).select("row_id", "truth", "score"), ["row_id", "truth", "score"])
+    rows = resample.bounded(screening_table(spark, sf_dir).select("row_id", "truth", "score").orderBy("row_id", "truth", "score"), ["row_id", "truth", "score"])
 
     def sensitivity(sample) -> float:
         positive = sample["truth"] == 1
         return float((sample["score"][positive] < 70).mean()) if 0 < positive.sum() < len(sample) else float("nan")
 
-    found = resample.interval(resample.bootstrap(spark, rows, sensitivity, 500))
-    return spark.createDataFrame([(found["n"], found["skipped"], found["lo"], found["hi"])], "n long, skipped long, lo double, hi double")
+    found = resample.interval(resample.bootstrap(spark, rows, sensitivity, _RESAMPLES))
+    digits = lambda v: None if v is None else round(v, 9)
+    return spark.createDataFrame([(found["n"], found["skipped"], digits(found["lo"]), digits(found["hi"]))], "n long, skipped long, lo double, hi double")
 
 
 @query(f"""
@@ -194,11 +213,31 @@ SELECT sex, count(*) AS n, round(avg(base_error - model_error), 2) AS diff, roun
        round(3.241515550 * stddev_samp(base_error - model_error) / sqrt(count(*)), 2) AS mde_90 FROM e GROUP BY sex
 """)
 def paired_se_mde(spark, sf_dir):
-    out = power.with_detectable(power.paired_errors(_errors(spark, sf_dir), "base_error", "model_error", ["sex"]))
+    out = power.paired_errors(_errors(spark, sf_dir), "base_error", "model_error", ["sex"])
+    out = out.withColumns({f"mde_{round(100 * p)}": power.detectable(F.col("se"), p) for p in power.POWERS})
     digits = {"diff": 2, "se": 3, "se_unpaired": 3, "correlation": 6, "mde_80": 2, "mde_90": 2}
     return out.select("sex", "n", *[F.round(c, d).alias(c) for c, d in digits.items()])
 
 
+_INTEGRAL = "list_sum(list_transform(range(0, 2001), lambda i: (CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-pow(x * i / 2000, 2) / 2)))"
+
+
+@query(f"""
+WITH {_ADVANTAGE_SQL},
+stat AS (SELECT sex, count(*) AS n, stddev_samp(base_error - model_error) / sqrt(count(*)) AS se, CASE sex WHEN 'N' THEN 300.0::DOUBLE WHEN 'A' THEN 100.0::DOUBLE ELSE 0.5::DOUBLE END AS yardstick FROM e GROUP BY sex),
+ask AS (SELECT *, yardstick / se - 1.959963984540054 AS x, 2.801585218112969 * se AS mde FROM stat)
+SELECT sex, round(0.5 + x / 6000 / sqrt(2 * pi()) * {_INTEGRAL}, 6) AS power, CASE WHEN mde <= yardstick THEN 'ADEQUATELY POWERED' ELSE 'UNDERPOWERED' END AS adequacy,
+       round(n * pow(mde / yardstick, 2), 2) AS group_needed, round(n * pow(mde / yardstick, 2) / 0.25, 2) AS cohort_needed, yardstick >= 1.0 AS crosses_band, round(yardstick * n, 4) AS subjects_moved FROM ask
+""")
+def power_design(spark, sf_dir):
+    """Power at a yardstick declared in advance, and the sizes at which it would be found."""
+    rows = power.paired_errors(_errors(spark, sf_dir), "base_error", "model_error", ["sex"])
+    rows = rows.withColumns({"yardstick": F.when(F.col("sex") == "N", 300.0).when(F.col("sex") == "A", 100.0).otherwise(0.5), "share": F.lit(0.25)})
+    out = power.assessed(rows, share="share")
+    digits = {"power": 6, "group_needed": 2, "cohort_needed": 2, "subjects_moved": 4}
+    return out.select("sex", "adequacy", "crosses_band", *[F.round(c, d).alias(c) for c, d in digits.items()])
+
+
 _HASH_SQL = "SELECT p_partkey AS k, (('0x' || substr(md5(p_brand || p_type), 1, 15))::BIGINT & ~63::BIGINT) + (p_size % 16) AS h FROM part"
 
 

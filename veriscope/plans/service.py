@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import uuid
-from datetime import UTC, datetime
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,15 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.files import preview
 from .audit import availability, catalogue, markdown, run_audit
 from .contract import AuditFrame, ContractError, load
-from .prereg import STAMP, PreRegistration
+from .prereg import Record, dumps, loads, stamped, utc_now
 
 RECENT = 50
 
 
-def _now() -> str:
-    return datetime.now(UTC).strftime(STAMP)
-
-
 class AuditService:
     """Submissions are Parquet tables below ``root``; declarations and runs are JSON documents beside them."""
 
@@ -39,21 +34,22 @@ class AuditService:
     def checks(self) -> list[dict]:
         return catalogue()
 
-    def declare(self, title: str, thresholds: dict) -> dict:
-        plan = PreRegistration(title, thresholds)
-        return self._write("preregistrations", plan.fingerprint[:16], {**plan.__dict__, "id": plan.fingerprint[:16]})
+    def declare(self, title: str, thresholds: dict, **rest) -> dict:
+        """Store a declaration; its id is the head of its fingerprint. ``rest``: notes, checks_planned."""
+        record = stamped(title, thresholds, **rest)
+        key = record["fingerprint"][:16]
+        (self.root / "preregistrations" / f"{key}.json").write_text(dumps(record))
+        return {**record, "id": key}
 
-    def declaration(self, key: str) -> PreRegistration:
-        body = self._read("preregistrations", key)
-        body.pop("id")
-        return PreRegistration(**body)
+    def declaration(self, key: str) -> Record:
+        return loads((self.root / "preregistrations" / f"{key}.json").read_text())
 
     def submit(self, source: DataFrame | str) -> dict:
         """Validate and store a submission; raises ContractError and stores nothing if it is not one."""
         frame = load(source, self.spark)
         key = uuid.uuid4().hex[:16]
         frame.df.write.parquet(str(self.root / "submissions" / key))
-        return self._write("submissions", key, {"id": key, "uploaded_at": _now(), "summary": frame.summary, "warnings": frame.warnings, "dropped": frame.dropped, "available": availability(frame)})
+        return self._write("submissions", key, {"id": key, "uploaded_at": utc_now(), "summary": frame.summary, "warnings": frame.warnings, "dropped": frame.dropped, "available": availability(frame)})
 
     def submission(self, key: str) -> dict:
         return self._read("submissions", key)
@@ -68,7 +64,7 @@ class AuditService:
 
     def run(self, submission: str, checks: list[str] | None = None, thresholds: dict | None = None, preregistration: str | None = None) -> dict:
         """Run checks under a Spark job group of the run's id; an error is stored with the run."""
-        key, began = uuid.uuid4().hex[:16], _now()
+        key, began = uuid.uuid4().hex[:16], utc_now()
         self.spark.sparkContext.setJobGroup(key, f"audit of {submission}")
         body = {"id": key, "submission": submission, "started_at": began, "status": "done", "error": None}
         try:

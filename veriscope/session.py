@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,9 +25,12 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, or a
-    local one where the setting is absent (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS).rstrip("/")
+    """Folder that driver and executors share: ``spark.checkpoint.dir``. Where the setting is absent, a session
+    in one JVM (tests) takes a local folder, and any other raises: its executors would not share one."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (found or LOCAL_CHECKPOINTS).rstrip("/")
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
@@ -34,7 +38,16 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     lineage ends there and any executor can reread every part of it."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.__dict__["cut_path"] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables made by ``cut`` that nothing will read again."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.__dict__["cut_path"])
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
