@@ -1,10 +1,10 @@
 """Each stage against a brute-force version of its decisions, on its own input."""
 
 import random
+import re
+import string
 
 import corpus_pipeline as P
-from test_line_dedup import brute as brute_lines
-from test_simhash import brute_components, brute_fingerprint
 from veriscope.llm import mixing, packing, quality
 from veriscope.session import cut
 
@@ -31,6 +31,59 @@ def build(spark, tmp_path):
     return rows
 
 
+def brute_texts(rows):
+    """Text of each document after the line stage, line by line."""
+    key = lambda line: line.strip("\x20\t\n\x0b\x0c\r").translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase))
+    holders = {}
+    for r in rows:
+        for line in (r["text"] or "").split("\n"):
+            if r["doc_id"] is not None and len(key(line)) >= 40:
+                holders.setdefault(key(line), set()).add(r["doc_id"])
+
+    def stays(i, line):
+        held = holders.get(key(line), ())
+        return i is None or len(held) < 5 or i == max(held)
+
+    return {r["doc_id"]: r["text"] and "\n".join(x for x in r["text"].split("\n") if stays(r["doc_id"], x)) for r in rows}
+
+
+def brute_groups(texts):
+    """Smallest document of each group of texts with a shingle similarity of 0.8 or more, pair by pair."""
+
+    def shingles(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase)))
+        return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    sets = {i: shingles(t) for i, t in texts.items()}
+    label = {i: i for i in texts}
+    close = [(i, j) for i in texts for j in texts if i < j and (sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))]
+    for _ in label:
+        for i, j in close:
+            label[i] = label[j] = min(label[i], label[j])
+    return label
+
+
+def test_odd_rows(spark, tmp_path):
+    """Null ids and texts, repeated rows, clashing names, a very long text, no labels, and an empty table."""
+    long = "\n".join(f"line {i} of a long text with words of its own" for i in range(30_000))
+    rows = [(1, "a few words that stay here", "s0"), (1, "a few words that stay here", "s0"), (2, None, None), (3, "", "s1"), (None, "no id but some words", "s1"), (4, long, "s2"), (5, long + " more", "s2"), (6, " \n", "s1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs = docs.selectExpr("doc_id", "text", "'en' as lang", "source", "length(text) as n_chars", "1 as component_id", "'x' as hi", "2 as pack_bound", "3 as size", "'y' as fp")
+    for name, table in (("full", docs), ("none", docs.limit(0))):
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    kept = spark.read.parquet(f"{tmp_path}/full/documents.parquet")
+    for name, stage in P.STAGES[:3]:
+        kept = cut(stage(spark, kept, f"{tmp_path}/full"), "stage")
+        assert kept.columns == docs.columns
+        got = kept.collect()
+        assert len(got) == (5 if name == "simhash near-dedup" else 8)
+    assert sorted(str(r["doc_id"]) for r in got) == ["1", "1", "2", "4", "None"]
+    out = P.run(spark, f"{tmp_path}/full").collect()
+    assert {r["doc_id"] for r in out} <= {1, 4, None} and any(r["pack_length"] > 250_000 for r in out)
+    assert P.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_stages(spark, tmp_path):
     rows = build(spark, tmp_path)
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
@@ -47,17 +100,13 @@ def test_stages(spark, tmp_path):
     clean = {i for i in range(240) if i % 5}
     assert len(kept & clean) >= 0.98 * len(clean) and len(kept & (set(range(240)) - clean)) <= 2
 
-    want = {w[0]: w for w in brute_lines([(r["doc_id"], r["text"]) for r in stages[1]])}
-    after = {r["doc_id"]: r for r in stages[2]}
-    assert after.keys() == want.keys()
-    assert sum(w[2] for w in want.values()) > 10
-    for r in stages[1]:
-        gone = want[r["doc_id"]][2]
-        assert len((r["text"] or "").split("\n")) - gone == len((after[r["doc_id"]]["text"] or "").split("\n")) or gone == len((r["text"] or "").split("\n"))
-
-    fps = {r["doc_id"]: brute_fingerprint(r["text"], 5) for r in stages[2]}
-    label = brute_components(fps)
-    assert {r["doc_id"] for r in stages[3]} == {i for i in fps if label[i] == i}
+    want = brute_texts(stages[1])
+    after = {r["doc_id"]: r["text"] for r in stages[2]}
+    assert after == want and sum(after[r["doc_id"]] != r["text"] for r in stages[1]) > 10
+    assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in stages[2])
+
+    label = brute_groups({r["doc_id"]: r["text"] for r in stages[2]})
+    assert {r["doc_id"] for r in stages[3]} == {i for i in label if label[i] == i} and len(stages[3]) < len(stages[2])
 
     taken = {r["doc_id"]: (r["taken"], r["size"]) for r in mixing.mix_report(inputs[3]).collect()}
     copies = {}

@@ -67,6 +67,29 @@ def test_groups_beyond_a_block(spark, documents):
         assert found == label
 
 
+def test_members_far_from_the_smallest_one(spark, documents):
+    """Chains away from the smallest document, two groups in one candidate component, and members that belong to none."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(200)]
+    rows, words = [], list(base)
+    for i in range(30):  # each close to the one before it, the last far from the first
+        rows.append((i, " ".join(words)))
+        words[rng.randrange(200)] = f"y{i}"
+        words[rng.randrange(200)] = f"z{i}"
+    other = [f"v{i}" for i in range(150)]
+    rows += [(100 + i, " ".join([*other[:-1], f"u{i}"])) for i in range(25)] + [(200 + i, " ".join(f"t{i}-{k}" for k in range(80))) for i in range(8)]
+    parts = spark.createDataFrame([(i, 0) for i, _ in rows], "node long, component long")
+    label = brute(rows)
+    assert len(set(label.values())) == 10
+    for block in (4, 16, 256):
+        links = [(r["src"], r["dst"]) for r in L.exact_links(documents(rows).select("doc_id", "text"), parts, 5, block).collect()]
+        found = {i: i for i in label}
+        for _ in rows:
+            for a, b in links:
+                found[a] = found[b] = min(found[a], found[b])
+        assert found == label
+
+
 def test_band_keys():
     rng = np.random.default_rng(4)
     met = 0

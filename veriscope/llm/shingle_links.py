@@ -3,9 +3,10 @@
 Candidates come from MinHash bands: BANDS keys of BAND_ROWS minima each, so a pair of similarity s shares
 a key with probability 1 - (1 - s^BAND_ROWS)^BANDS (at 0.8 all but 5 in a million). A key's documents are
 linked to its smallest one, together with the SimHash links of ``simhash_dedup``; the components of these loose links
-hold every pair that must be looked at. Inside a component all pairs are then compared by
-their exact sets of 64-bit shingle hashes; components beyond BLOCK documents are dealt as
-pairs of blocks. A task returns at most one link for each of its documents.
+hold every pair that must be looked at, compared by exact sets of 64-bit shingle hashes. First each
+member of a component is compared with its smallest document, one row each: in a group of close copies that settles nearly all of them, and
+they are one group. Only members that stay alone are then compared with each other and with the settled ones, in
+pairs of blocks of BLOCK documents; pairs of settled members need no look. A task returns at most one link for each of its documents.
 
 Defined cases: texts with equal sets are one node; texts without words are one group; a text of fewer
 words than the shingle is one shingle.
@@ -88,26 +89,55 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in kept), "shingles binary"]))
 
 
+def _settled(rows: DataFrame) -> DataFrame:
+    """``(node, component, settled)``: whether a member is similar to its component's smallest document; ``rows`` has shingles."""
+    leads = rows.where("node = component").select("component", F.col("shingles").alias("lead"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flags = []
+            for own, lead in zip(batch.column(2), batch.column(3)):
+                mine, other = (np.frombuffer(v.as_py(), np.uint64) for v in (own, lead))
+                both = len(np.intersect1d(mine, other, assume_unique=True))
+                flags.append(both * LEAST[1] >= LEAST[0] * (len(mine) + len(other) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(flags, pa.bool_())], ["node", "component", "settled"])
+
+    joined = rows.join(leads, "component").select("node", "component", "shingles", "lead")
+    return joined.mapInArrow(run, "node long, component long, settled boolean")
+
+
 def exact_links(docs: DataFrame, parts: DataFrame, shingle: int, block: int = BLOCK) -> DataFrame:
     """``(src, dst)`` that connect the groups in ``docs`` (doc_id, text) inside the components ``parts`` (node, component)."""
     import pandas as pd
 
-    sizes = cut(parts.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("n_blocks")), "near-sizes")
-    members = cut(parts.join(sizes, "component"), "near-members")
-    rows = docs.join(members, docs["doc_id"] == members["node"]).select("node", "component", "n_blocks", "text")
-    rows = shingle_sets(rows, shingle).withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    rows = rows.select("node", "component", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "shingles")
+    rows = docs.join(parts, docs["doc_id"] == parts["node"]).select("node", "component", "text")
+    rows = cut(shingle_sets(rows, shingle), "near-members")
+    flags = cut(_settled(rows), "near-settled")
+    stars = flags.where("settled and node <> component").select(F.col("node").alias("src"), F.col("component").alias("dst"))
+    blocks = lambda c: F.ceil(F.count_if(c) / block).cast("int")
+    open_parts = flags.groupBy("component").agg(blocks(~F.col("settled")).alias("alone"), blocks(F.col("settled")).alias("others")).where("alone > 0")
+    open_parts = cut(open_parts, "near-open")
+    dealt = flags.join(open_parts, "component").withColumn("at", F.pmod(F.xxhash64("node"), F.when(F.col("settled"), F.col("others")).otherwise(F.col("alone"))).cast("int"))
+    each = lambda n: F.sequence(F.lit(0), n - 1)
+    place = lambda against, lo, hi: F.struct(F.lit(against).alias("against"), lo.alias("lo"), hi.alias("hi"))
+    among = F.transform(each(F.col("alone")), lambda k: place("alone", F.least(F.col("at"), k), F.greatest(F.col("at"), k)))
+    with_settled = F.transform(each(F.col("others")), lambda k: place("settled", F.col("at"), k))
+    from_settled = F.transform(each(F.col("alone")), lambda k: place("settled", k, F.col("at")))
+    dealt = dealt.withColumn("meeting", F.explode(F.when(F.col("settled"), from_settled).otherwise(F.concat(among, with_settled))))
+    dealt = dealt.select("component", "node", "settled", "at", "meeting.against", "meeting.lo", "meeting.hi")
+    dealt = dealt.join(rows.select("node", "shingles"), "node")
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node", kind="stable")
         sets = [np.frombuffer(b, np.uint64) for b in pdf["shingles"]]
         node = pdf["node"].to_numpy()
-        first = similar(sets, (pdf["block"] == pdf["lo"]).to_numpy())
+        left = ~pdf["settled"] if pdf["against"].iloc[0] == "settled" else pdf["at"] == pdf["lo"]
+        first = similar(sets, left.to_numpy(bool))
         linked = np.nonzero(node != node[first])[0]
         return pd.DataFrame({"src": node[linked], "dst": node[first[linked]]})
 
-    return rows.groupBy("component", "lo", "hi").applyInPandas(meet, "src long, dst long")
+    met = dealt.groupBy("component", "against", "lo", "hi").applyInPandas(meet, "src long, dst long")
+    return stars.unionByName(met)
 
 
 def loose_links(nodes: DataFrame) -> DataFrame:
