@@ -152,3 +152,23 @@ def test_service(spark, tmp_path):
     assert [r["check_id"] for r in listed(run["report"]["results"], {"PASS"})] == ["permutation"] and len(listed(run["report"]["results"], by="duration")) == 2
     with pytest.raises(ContractError):
         service.submit(spark.createDataFrame([(1,)], "x int"))
+
+
+def test_csv_and_zip(spark, tmp_path):
+    import zipfile
+
+    from veriscope.sources import files
+
+    rows = spark.createDataFrame([(1, 'a "quoted", text\nof two lines', [1, 2]), (2, None, None)], "i int, t string, v array<int>")
+    files.guarded_csv(rows, f"{tmp_path}/out", f"{tmp_path}/raw")
+    back = spark.read.csv(f"{tmp_path}/out", header=True, multiLine=True, escape='"').orderBy("i").collect()
+    assert [tuple(r) for r in back] == [("1", 'a "quoted", text\nof two lines', "[1,2]"), ("2", None, None)]
+    with pytest.raises(PermissionError):
+        files.guarded_csv(rows, f"{tmp_path}/raw/../raw/x", f"{tmp_path}/raw")
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        for name in ("ok.csv", "deep/er.CSV", "../out.csv", "/root.csv", "c:/x.csv", "skip.txt", "folder/"):
+            z.writestr(name, name * 3)
+    got = {r["member"]: bytes(r["content"]) for r in files.zip_members(spark, f"{tmp_path}/a.zip", ("csv",)).collect()}
+    assert got == {"ok.csv": b"ok.csv" * 3, "deep/er.CSV": b"deep/er.CSV" * 3}
+    with pytest.raises(Exception, match="unpacks to"):
+        files.zip_members(spark, f"{tmp_path}/a.zip", largest=5).collect()

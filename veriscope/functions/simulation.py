@@ -24,7 +24,7 @@ def diffuse_reflectance(absorption: Column, scattering: Column, index: float = 1
 def nearest_on_table(obs: DataFrame, lut: DataFrame, columns: list[str], value: str) -> DataFrame:
     """``obs`` with the ``value`` of the nearest row of a lookup table, refined by a parabola through its neighbours.
 
-    The table is one array literal of at most 10,000 rows, so the search is a row-local expression."""
+    The table, of at most 10,000 rows, goes to every task; each batch of rows is searched as arrays (``mapInPandas``)."""
     rows = lut.orderBy(value).select(value, *columns).limit(10_001).collect()
     if len(rows) > 10_000:
         raise ValueError("the lookup table has more than 10,000 rows")
