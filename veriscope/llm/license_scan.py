@@ -217,7 +217,9 @@ def license_report(docs: DataFrame) -> DataFrame:
     """``(doc_id, path, license, score, origin, n_header_lines)`` for every row of ``docs`` (doc_id, path, text).
 
     origin is ``header``, ``inherited`` or ``none``."""
-    found = headers(anchored(docs)).withColumn("lic_dir", directory(F.col("path")))
+    # the written texts are few bytes and much work, which file sizes would put into few tasks
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = headers(anchored(docs).repartition(tasks)).withColumn("lic_dir", directory(F.col("path")))
     found = cut(found.drop("text"), "license-headers")
     own = found.where("lic_file").groupBy("lic_dir").agg(F.min(F.struct((-F.col("lic_best.score")).alias("s"), F.col("lic_best.license").alias("l"))).alias("b"))
     own = cut(own.select("lic_dir", F.col("b.l").alias("license"), (-F.col("b.s")).alias("score")), "license-owned")
