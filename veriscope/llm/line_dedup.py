@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, shared_dir
+from ..session import cut, discard, shared_dir
 
 MIN_CHARS = 40
 MIN_DOCUMENTS = 5
@@ -94,7 +94,7 @@ class LineRuns:
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[DataFrame]] = [[]]
         self.increments: list[DataFrame] = []
-        self._tables: list[str] = []
+        self._tables: dict[str, DataFrame] = {}
 
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
@@ -104,8 +104,9 @@ class LineRuns:
         name = f"line_run_{uuid.uuid4().hex}"
         path = f"{shared_dir(self.spark)}/{name}"
         rows.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).format("parquet").option("path", path).saveAsTable(name)
-        self._tables.append(name)
-        return self.spark.table(name)
+        self._tables[name] = self.spark.table(name)
+        self._tables[name].__dict__["cut_path"] = path
+        return self._tables[name]
 
     def add(self, counts: DataFrame) -> None:
         """Add a batch's counts (a row a key): keys that no run holds as a new run, the others as increments."""
@@ -146,10 +147,11 @@ class LineRuns:
         return whole.join(more, KEY, "left").select(*KEY, n_docs.alias("n_docs"), F.greatest("last_doc", "last").alias("last_doc"))
 
     def forget(self) -> None:
-        """Drop the tables' names; their files stay in the shared folder."""
-        for name in self._tables:
+        """Drop the tables and delete their files; nothing that reads the runs works after that."""
+        for name, rows in self._tables.items():
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        self._tables = []
+            discard(rows)
+        self._tables = {}
 
 
 def batch_counts(hashes: DataFrame) -> DataFrame:
@@ -161,11 +163,12 @@ def batch_counts(hashes: DataFrame) -> DataFrame:
 def repeated_keys(hashes: DataFrame, n_batches: int = N_BATCHES, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """``(hi, lo, last_doc)`` of keys that at least ``min_documents`` documents hold, written once."""
     runs = LineRuns(hashes.sparkSession)
-    for batch in range(n_batches):
-        runs.add(batch_counts(hashes.where(F.pmod(F.xxhash64("doc_id"), F.lit(n_batches)) == batch)))
-    found = cut(runs.totals().where(F.col("n_docs") >= min_documents).select(*KEY, "last_doc"), "line-repeated")
-    runs.forget()
-    return found
+    try:
+        for batch in range(n_batches):
+            runs.add(batch_counts(hashes.where(F.pmod(F.xxhash64("doc_id"), F.lit(n_batches)) == batch)))
+        return cut(runs.totals().where(F.col("n_docs") >= min_documents).select(*KEY, "last_doc"), "line-repeated")
+    finally:
+        runs.forget()
 
 
 def _drops(docs: DataFrame, n_batches: int, min_documents: int) -> DataFrame:
