@@ -51,7 +51,7 @@ def test_report(documents):
     word = lambda: "".join(rng.choice("abcdeé") for _ in range(6))
     passage = " ".join(word() for _ in range(6000))
     texts = [" ".join(word() for _ in range(n)) for n in (1, 50, 400, 3000, 30_000)]
-    texts += [texts[3], texts[3], passage, word() + " " + passage, passage + " " + word(), None, "", "é" * 288, "a" * 576, "a" * 20_000]
+    texts += [texts[3], texts[3], passage, word() + " " + passage, passage + " " + word(), None, "", "é" * 288, "a" * 576, "a" * 20_000, " ".join(f"{i}é☃" for i in range(150_000))]
     rows = [*enumerate(texts), (None, texts[2]), (1, texts[1])]
     docs = documents(rows).withColumns({"key": F.lit(1), "place": F.lit(2), "n_bytes": F.lit(3)})
     got = M.media_report(docs).collect()

@@ -59,12 +59,6 @@ def test_packed_keeps_rows_and_columns(documents):
     assert packing.pack_report(documents([])).count() == 0
 
 
-def test_rounded_histogram(spark):
-    sizes = spark.createDataFrame([(i,) for i in range(1000)], "pack_length long")
-    lengths, counts = packing.histogram(sizes, max_bins=100)
-    assert counts.sum() == 1000 and len(lengths) <= 101 and lengths.max() >= 999
-
-
 def test_one_long_document_moves_no_bound(documents):
     import duckdb
 

@@ -83,13 +83,9 @@ def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, n_buckets: int) -> l
     return sorted(set(bounds))
 
 
-def histogram(sizes: DataFrame, max_bins: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct lengths and their counts. Only a caller that gives ``max_bins`` gets lengths rounded up to a step of the longest one over it."""
-    length = F.col("pack_length")
-    if max_bins is not None:
-        step = max(1, -(-(sizes.agg(F.max("pack_length")).first()[0] or 0) // max_bins))
-        length = F.ceil(length / step) * step
-    rows = sizes.groupBy(length.cast("long").alias("length")).count().orderBy("length").toArrow()
+def histogram(sizes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct lengths and their counts, exact."""
+    rows = sizes.groupBy(F.col("pack_length").alias("length")).count().orderBy("length").toArrow()
     return rows.column("length").to_numpy(), rows.column("count").to_numpy()
 
 
