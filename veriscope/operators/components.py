@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..session import cut, discard
 
+#: Rows of a round's table that one task writes.
+ROWS_A_FILE = 250_000
+
 
 def _fingerprint(df: DataFrame) -> tuple:
     row = df.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
@@ -27,25 +30,23 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     e = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where(
         F.col(src).isNotNull() & F.col(dst).isNotNull()
     )
-    e = cut(e.distinct(), "edges")
-    loops = cut(e.where("u = v").select(F.col("u").alias("node")), "loops")
-    e, whole = cut(e.where("u <> v"), "edges"), e
-    discard(whole)
-    before = _fingerprint(e)
+    whole = cut(e.distinct(), "edges")
+    loops, e = whole.where("u = v").select(F.col("u").alias("node")), whole.where("u <> v")
+    before, used = _fingerprint(e), []
+    # no table of a round has more rows than twice the edges, so it needs no more files than that
+    few = lambda df: df.coalesce(max(1, -(-2 * before[0] // ROWS_A_FILE)))
     while before[0] and max_rounds:
         max_rounds -= 1
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        round_tables = [e]
-        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
-        round_tables.append(low)
+        low = cut(few(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))), "low")
         large = e.join(low.withColumnRenamed("u", "v"), "v").select("u", F.col("m").alias("v")).where("u <> v")
-        large = cut(large.distinct(), "large")
-        low = cut(large.groupBy("u").agg(F.min("v").alias("m")), "low")
-        round_tables += [large, low]
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = cut(small.unionByName(low.withColumnRenamed("m", "v")).distinct(), "small")
+        large = cut(few(large.distinct()), "large")
+        least = cut(few(large.groupBy("u").agg(F.min("v").alias("m"))), "low")
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        e = cut(few(small.unionByName(least.withColumnRenamed("m", "v")).distinct()), "small")
         after = _fingerprint(e)
-        discard(*round_tables)
+        discard(low, large, least, *used)
+        used = [e]
         if after == before:
             break
         before = after
