@@ -18,7 +18,7 @@ of a slice), so a source with a third of all rows is dealt over all tasks. All o
 it is built-in DataFrame functions.
 
 Defined cases: a null text has size 0 and is never taken; a null source is a source
-of its own; a null doc_id orders as the empty string; repeated rows each count and
+of its own; a row without a doc_id orders by its text; repeated rows each count and
 take their own place (among equal rows the places are exchangeable). Extra columns
 pass through ``mix_documents``.
 """
@@ -42,15 +42,26 @@ def _source_key(column: str = "source"):
     return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit(""))
 
 
+def order_key():
+    """What a row's fixed place comes from: the MD5 of its id, or of its text where it has none, so rows without ids do not meet in one slice."""
+    return F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text").cast("string"), F.lit("")))
+
+
+def row_key():
+    """Equal for rows that repeat a doc_id, and for rows without one that repeat a text."""
+    return F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.concat(F.lit("~"), F.md5(F.col("text").cast("string"))), F.lit(""))
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    """``(doc_id, source, size, source_key, place, slice)``, written once."""
-    place = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    """``(doc_id, source, size, source_key, row_key, place, slice)``, written once."""
+    place = order_key()
     return cut(
         docs.select(
             "doc_id",
             "source",
             F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
             _source_key().alias("source_key"),
+            row_key().alias("row_key"),
             place.alias("place"),
             F.conv(F.substring(place, 1, 3), 16, 10).cast("int").alias("slice"),
         ),
@@ -114,15 +125,14 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     rows = placed(sized(docs))
     begins = F.transform("epochs", lambda taken, k: F.when((taken > 0) & (taken * 2 >= F.col("size")), F.col("start") + k * F.col("source_size")))
     times = F.transform(F.filter(begins, lambda q: q.isNotNull()), lambda q: demand_time(q, F.col("target"), F.col("tilt")))
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     turn = Window.partitionBy("__mix_key").orderBy("source_key", "size", "start")
-    rows = rows.select(key.alias("__mix_key"), "source_key", "size", "start", times.alias("__mix_times"))
+    rows = rows.select(F.col("row_key").alias("__mix_key"), "source_key", "size", "start", times.alias("__mix_times"))
     rows = rows.withColumn("__mix_turn", F.row_number().over(turn)).where(F.size("__mix_times") > 0).select("__mix_key", "__mix_turn", "__mix_times")
     columns = [F.col(f"d.{c}") for c in docs.columns]
     # rows that repeat a doc_id pair up in the same order on both sides
     words = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
     turn = Window.partitionBy("__mix_key").orderBy(_source_key(), words, F.xxhash64("text"))
-    texts = docs.withColumn("__mix_key", key).withColumn("__mix_turn", F.row_number().over(turn)).alias("d")
+    texts = docs.withColumn("__mix_key", row_key()).withColumn("__mix_turn", F.row_number().over(turn)).alias("d")
     drawn = texts.join(rows.alias("m"), (F.col("d.__mix_key") == F.col("m.__mix_key")) & (F.col("d.__mix_turn") == F.col("m.__mix_turn")))
     drawn = drawn.select(*columns, F.explode("m.__mix_times").alias("__mix_time"))
     return drawn.orderBy("__mix_time", "doc_id").select(*docs.columns)

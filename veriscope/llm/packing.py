@@ -14,7 +14,7 @@ the corpus, not by the longest document: n distinct lengths need n^2 / 2 words,
 
 Defined cases: a null or empty text has length 0 and is packed like any other (a
 bucket with bound 0 is one batch per ``budget`` documents); no document is cut, and one longer than the budget is a batch of its own.
-Repeated rows each take a place; equal rows are exchangeable. Null ids order as the empty string. Extra
+Repeated rows each take a place; equal rows are exchangeable. Rows without an id order by their text. Extra
 columns pass through ``packed``; its own columns are named pack_*, and columns of those names are replaced.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .mixing import WORDS
+from .mixing import WORDS, order_key
 
 N_BUCKETS = 16
 TOKEN_BUDGET = 32_768
@@ -92,7 +92,7 @@ def histogram(sizes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def lengths(docs: DataFrame) -> DataFrame:
     """``(pack_key, pack_length)``: the order key and the number of words of every row, written once."""
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORDS)), F.lit(0)).cast("long")
-    return cut(docs.select("doc_id", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("pack_key"), size.alias("pack_length")), "pack-lengths")
+    return cut(docs.select("doc_id", order_key().alias("pack_key"), size.alias("pack_length")), "pack-lengths")
 
 
 def batches(sizes: DataFrame, n_buckets: int = N_BUCKETS, budget: int = TOKEN_BUDGET) -> DataFrame:
@@ -124,9 +124,8 @@ def packed(docs: DataFrame, n_buckets: int = N_BUCKETS, budget: int = TOKEN_BUDG
     turn = Window.partitionBy("pack_key").orderBy("pack_length", "pack_batch")
     found = batches(lengths(docs), n_buckets, budget).drop("doc_id").withColumn("pack_turn", F.row_number().over(turn))
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORDS)), F.lit(0)).cast("long")
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     added = ("pack_length", "pack_bucket", "pack_bound", "pack_batch", "pack_padding")
     docs = docs.drop(*added)
-    texts = docs.withColumn("__pack_key", key).withColumn("__pack_turn", F.row_number().over(Window.partitionBy("__pack_key").orderBy(size)))
+    texts = docs.withColumn("__pack_key", order_key()).withColumn("__pack_turn", F.row_number().over(Window.partitionBy("__pack_key").orderBy(size)))
     found = found.withColumnsRenamed({"pack_key": "__pack_key", "pack_turn": "__pack_turn"})
     return texts.join(found, ["__pack_key", "__pack_turn"]).select(*docs.columns, *added)

@@ -27,7 +27,7 @@ FROM m GROUP BY doc_id
 MIXING_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(length(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS place
+         md5(coalesce(CAST(doc_id AS VARCHAR), text, '')) AS place
   FROM documents),
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS i
@@ -150,7 +150,7 @@ _LAYERS = ",\n".join(
 )
 
 PACKING_SQL = rf"""
-WITH d AS (SELECT doc_id, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key, CAST(coalesce(length(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS length FROM documents),
+WITH d AS (SELECT doc_id, md5(coalesce(CAST(doc_id AS VARCHAR), text, '')) AS key, CAST(coalesce(length(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS length FROM documents),
 g AS (SELECT length AS len, count(*) AS n FROM d GROUP BY length),
 h AS (SELECT row_number() OVER w AS j, len, CAST(sum(n) OVER w AS BIGINT) AS cn, CAST(sum(n * len) OVER w AS BIGINT) AS cs FROM g WINDOW w AS (ORDER BY len ROWS UNBOUNDED PRECEDING)),
 b1 AS (SELECT j, struct_pack(c := len * cn - cs, i := CAST(0 AS BIGINT), b := [len]) AS v, cn, cs FROM h),
