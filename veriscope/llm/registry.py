@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from ..session import table
-from . import itq_dedup, license_scan, line_dedup, media_chunks, mixing, packing, pii, quality, simhash_dedup, toxicity
-from .sql import EMBEDDING_SQL, LICENSE_SQL, LINE_DEDUP_SQL, MIXING_SQL, PACKING_SQL, PII_SQL
+from . import fill_middle, itq_dedup, license_scan, line_dedup, media_chunks, mixing, packing, pii, quality, simhash_dedup, toxicity
+from .sql import EMBEDDING_SQL, FILL_MIDDLE_SQL, LICENSE_SQL, LINE_DEDUP_SQL, MIXING_SQL, PACKING_SQL, PII_SQL
 
 
 def op1_toxicity_crf(spark, sf_dir):
@@ -47,5 +47,9 @@ def op10_packing(spark, sf_dir):
     return packing.pack_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_crf, op2_itq_dedup, op3_media_chunks, op4_line_dedup, op5_pii_spans, op6_simhash_dedup, op7_source_mixing, op8_quality_subword, op9_license_scan, op10_packing)}
-ORACLE_SQL = {"op2_itq_dedup": EMBEDDING_SQL, "op4_line_dedup": LINE_DEDUP_SQL, "op5_pii_spans": PII_SQL, "op7_source_mixing": MIXING_SQL, "op9_license_scan": LICENSE_SQL, "op10_packing": PACKING_SQL}
+def op13_fill_middle(spark, sf_dir):
+    return fill_middle.fim_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity_crf, op2_itq_dedup, op3_media_chunks, op4_line_dedup, op5_pii_spans, op6_simhash_dedup, op7_source_mixing, op8_quality_subword, op9_license_scan, op10_packing, op13_fill_middle)}
+ORACLE_SQL = {"op2_itq_dedup": EMBEDDING_SQL, "op4_line_dedup": LINE_DEDUP_SQL, "op5_pii_spans": PII_SQL, "op7_source_mixing": MIXING_SQL, "op9_license_scan": LICENSE_SQL, "op10_packing": PACKING_SQL, "op13_fill_middle": FILL_MIDDLE_SQL}

@@ -160,3 +160,23 @@ x AS (SELECT d.*, o.v.b AS bounds, len(list_filter(o.v.b, lambda u: u < d.length
 y AS (SELECT *, bounds[bucket + 1] AS bound, row_number() OVER (PARTITION BY bucket ORDER BY key, doc_id, length) AS i FROM x)
 SELECT doc_id, length, CAST(bucket AS INTEGER) AS bucket, bound, CAST((i - 1) // greatest(1, {TOKEN_BUDGET} // greatest(bound, 1)) AS BIGINT) AS batch, bound - length AS padding FROM y
 """
+
+FILL_MIDDLE_SQL = r"""
+WITH t AS (
+    SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+        sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d
+    FROM documents),
+h AS (
+    SELECT *, len(u) AS n, CAST('0x' || substr(d, 1, 8) AS BIGINT) % (len(u) + 1) AS c1, CAST('0x' || substr(d, 9, 8) AS BIGINT) % (len(u) + 1) AS c2,
+        CAST('0x' || substr(d, 17, 8) AS BIGINT) % 100 AS h3, CAST('0x' || substr(d, 25, 8) AS BIGINT) % 100 AS h4
+    FROM t),
+p AS (
+    SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 >= 50 THEN 'plain' WHEN h4 < 80 THEN 'spm' ELSE 'psm' END AS form,
+        coalesce(array_to_string(u[1 : least(c1, c2)], ''), '') AS pre, coalesce(array_to_string(u[least(c1, c2) + 1 : greatest(c1, c2)], ''), '') AS mid, coalesce(array_to_string(u[greatest(c1, c2) + 1 :], ''), '') AS suf
+    FROM h)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+    CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+    sha256(CASE form WHEN 'plain' THEN text ELSE pre || mid || suf END) AS restored_sha256
+FROM p
+"""
