@@ -4,10 +4,10 @@ A text (with a space before it) is encoded by A, a byte-level BPE, and by B, a s
 their tokens are ranges of the same bytes. Where tokens of both end at one byte a group ends; a token of A and one of B that
 overlap are a link. A link's key is one packed int64, A's id << 32 | B's id, and a key's count is the number of documents that hold it.
 
-1. Texts are encoded in ``mapInArrow``. Neither tokenizer merges across the start of a run of white space (checked on both vocabularies
-   when they are loaded; a carriage return is no such start), so a text is the chain of its chunks, white space with the word after it, and each distinct chunk is encoded and
-   aligned once while it is among the last CACHED ones. A slice of at most about SLICE_KEYS keys of documents shares an id; ``np.unique`` gives its partial
-   counts. Documents (keys sorted, packed by differences) and partial counts are written to the shared folder.
+1. Texts are encoded and aligned in ``mapInArrow``. Neither tokenizer merges across the start of a run of white space (B's pieces are looked through for
+   that when it is loaded; a carriage return is no such start), so a text is the chain of its chunks, white space with the word after it, and the ids of the chunks met last are
+   kept, a bounded number of them. Token ends are marks over the text's bytes. A slice of at most about SLICE_KEYS keys of documents shares an id;
+   ``np.unique`` gives its partial counts. Documents (keys sorted, packed by differences) and partial counts are written to the shared folder.
 2. A task sums the partial counts it holds (``np.unique``); what is left is range-partitioned on the key and sorted, and runs of a key are summed: sorted
    count shards, a key in one of them only. The highest count of each id of A is a table of at most as many rows as A has ids.
 3. The keys of a slice are joined to their counts. A task that looks up a slice writes its sorted keys and counts to a memory-mapped file, deleted
@@ -17,7 +17,7 @@ A's merges are applied by the faster of two libraries that read the same vocabul
 
 Defined cases: null and empty texts, and texts that either tokenizer does not give back byte for byte, have no tokens: zeros and an empty
 groups_sha256; they hold no key. Every row is a document, so rows that repeat a doc_id (or have none) count one by one; ties for the highest count are
-all best. Long texts are encoded whole; a chunk longer than CACHED_CHARS is not kept. Extra columns are ignored.
+all best. Long texts are encoded whole. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import hashlib
 import json
 import re
 import tempfile
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,10 +40,11 @@ from ..session import cut
 FOLDER = "/opt/tokenizers"
 FILE_A, FILE_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 SLICE_KEYS = 1_000_000
-CACHED, CACHED_CHARS = 100_000, 64
 #: Fixed value: how the byte-level BPE splits a text before it merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Unicode's White_Space, and the sign that stands for a space in pieces.
+#: Chunks whose ids a worker keeps, in two generations of this many, and the longest of them.
+CACHED, CACHED_CHARS = 150_000, 64
+#: Unicode's White_Space, and the sign that stands for a space in pieces.
 SPACES = "".join(map(chr, (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 MARK = chr(0x2581)
 #: A chunk begins where white space other than a carriage return follows something else: pieces do join a carriage return to what stands before it.
@@ -61,7 +62,7 @@ def byte_letters() -> dict[str, int]:
 
 
 class Tokenizers:
-    """Both tokenizers, the bytes of their tokens, and the chunks aligned last."""
+    """Both tokenizers, the bytes of their tokens, and the decimal ids that a group is written in."""
 
     def __init__(self, folder: str):
         import sentencepiece
@@ -75,52 +76,59 @@ class Tokenizers:
         if merged != sorted(merged):
             raise ValueError("the ids of A do not follow its merges")
         self.a = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.bytes_a = {i: b for b, i in ranks.items()}
         self.b = sentencepiece.SentencePieceProcessor(model_file=f"{folder}/{FILE_B}")
-        self.bytes_b = {}
-        for i in range(self.b.get_piece_size()):
+        self.bytes_b = [b""] * self.b.get_piece_size()
+        for i in range(len(self.bytes_b)):
             piece = self.b.id_to_piece(i)
-            if not self.b.is_control(i) and not self.b.is_unknown(i):
-                self.bytes_b[i] = bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace(MARK, " ").encode()
-                if not self.b.is_byte(i) and _CROSSING.search(piece):
+            if self.b.is_byte(i):
+                self.bytes_b[i] = bytes([int(piece[3:5], 16)])
+            elif not self.b.is_control(i) and not self.b.is_unknown(i):
+                self.bytes_b[i] = piece.replace(MARK, " ").encode()
+                if _CROSSING.search(piece):
                     raise ValueError("a piece of B crosses the start of white space")
-        self.kept: dict[str, tuple | None] = {}
-
-    def encoded(self, chunk: str) -> tuple[list[int], list[int]]:
-        """Ids of a chunk that begins with white space; B's mark before a text is set against a letter, which is taken off again."""
-        return self.a.encode_ordinary(chunk), self.b.encode("a" + chunk)[1:]
-
-    def chunk(self, chunk: str) -> tuple | None:
-        """(n_a, n_b, n_groups, keys of links, groups as bytes), or None if the bytes differ."""
-        found = self.kept.get(chunk, self)
-        if found is self:
-            found = self._aligned(chunk)
-            if len(chunk) <= CACHED_CHARS:
-                if len(self.kept) >= CACHED:
-                    self.kept.clear()
-                self.kept[chunk] = found
-        return found
-
-    def _aligned(self, chunk: str) -> tuple | None:
-        a, b = self.encoded(chunk)
-        raw = chunk.encode("utf-8", "surrogatepass")
-        if b"".join(self.bytes_a.get(i, b"") for i in a) != raw or b"".join(self.bytes_b.get(i, b"") for i in b) != raw:
+        self.size_a, self.size_b = np.zeros(max(ranks.values()) + 1, np.int64), np.array(list(map(len, self.bytes_b)))
+        for raw, i in ranks.items():
+            self.size_a[i] = len(raw)
+        #: Decimal ids with the sign that follows, zeros behind: A's with a comma, A's with a bar, B's with a comma, B's with a semicolon.
+        written = [f"{i}{sign}".encode() for n, signs in ((len(self.size_a), ",|"), (len(self.size_b), ",;")) for sign in signs for i in range(n)]
+        self.digits = np.array(written).view(np.uint8).reshape(len(written), -1)
+
+        self.kept: dict[str, tuple] = {}
+        self.before: dict[str, tuple] = {}
+
+    def _new(self, chunks: list[str]) -> dict[str, tuple]:
+        """Ids of chunks, as bytes of int32, by A and B; by B none where they do not give back the chunk. B's mark before a text is set against a letter, which is taken off again."""
+        out = {}
+        for chunk, b in zip(chunks, self.b.encode(["a" + c for c in chunks], num_threads=1)):
+            raw = chunk.encode("utf-8", "surrogatepass")
+            ids = array("i", b[1:]).tobytes() if b"".join([self.bytes_b[i] for i in b[1:]]) == raw else None
+            out[chunk] = array("i", self.a.encode_ordinary(chunk)).tobytes(), ids
+        return out
+
+    def encoded(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of a space and ``text``; None if either tokenizer gives back other bytes."""
+        chunks = _CHUNK.findall(" " + text)
+        found = list(map(self.kept.get, chunks))
+        if None in found:
+            missing = {c: self.before.get(c) for c, x in zip(chunks, found) if x is None}
+            missing |= self._new([c for c, x in missing.items() if x is None])
+            found = [x or missing[c] for c, x in zip(chunks, found)]
+            self.kept.update((c, x) for c, x in missing.items() if len(c) <= CACHED_CHARS)
+            if len(self.kept) > CACHED:
+                self.kept, self.before = {}, self.kept
+        if any(b is None for _, b in found):
             return None
-        keys, groups, i, j, from_a, from_b = [], [], 0, 0, 0, 0
-        end_a, end_b = len(self.bytes_a[a[0]]), len(self.bytes_b[b[0]])
-        while True:
-            keys.append(a[i] << 32 | b[j])
-            step_a, step_b = end_a <= end_b, end_b <= end_a
-            i, j = i + step_a, j + step_b
-            if step_a and step_b:
-                groups.append(f"{','.join(map(str, a[from_a:i]))}|{','.join(map(str, b[from_b:j]))}")
-                from_a, from_b = i, j
-                if i == len(a):
-                    return len(a), len(b), len(groups), keys, ";".join(groups).encode()
-            if step_a:
-                end_a += len(self.bytes_a[a[i]])
-            if step_b:
-                end_b += len(self.bytes_b[b[j]])
+        return tuple(np.frombuffer(b"".join([x[k] for x in found]), np.int32).astype(np.int64) for k in range(2))
+
+    def groups(self, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> bytes:
+        """The groups as text; ``last_*``: tokens that end one."""
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        upto_a, upto_b = np.nonzero(last_a)[0] + 1, np.nonzero(last_b)[0] + 1
+        codes = np.zeros(len(a) + len(b), np.int64)
+        codes[np.arange(len(a)) + np.append(0, upto_b)[group_a]] = a + last_a * len(self.size_a)
+        codes[np.arange(len(b)) + upto_a[group_b]] = 2 * len(self.size_a) + b + last_b * len(self.size_b)
+        out = self.digits[codes].ravel()
+        return out[out != 0][:-1].tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -131,25 +139,20 @@ def tokenizers(folder: str) -> Tokenizers:
 def aligned(text: str | None, tools: Tokenizers) -> tuple:
     """(n_a, n_b, n_groups, n_links, groups_sha256, keys ascending, times of each)."""
     nothing = (0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64))
-    if not text:
+    raw = (" " + text).encode("utf-8", "surrogatepass") if text else b""
+    ids = tools.encoded(text) if text else None
+    if ids is None or tools.size_a[ids[0]].sum() != len(raw):
         return nothing
-    chunks = _CHUNK.findall(" " + text)
-    times = Counter(chunks)
-    found = {}
-    for c in times:
-        found[c] = tools.chunk(c)
-        if found[c] is None:
-            return nothing
-    sizes, keys, weights = [0, 0, 0, 0], [], []
-    for c, m in times.items():
-        n_a, n_b, n_groups, links, _ = found[c]
-        for k, v in enumerate((n_a, n_b, n_groups, len(links))):
-            sizes[k] += m * v
-        keys += links
-        weights += [m] * len(links)
-    distinct, at = np.unique(np.array(keys, np.int64), return_inverse=True)
-    sha = hashlib.sha256(b";".join([found[c][4] for c in chunks])).hexdigest()
-    return *sizes, sha, distinct, np.bincount(at, weights, len(distinct)).astype(np.int64)
+    a, b = ids
+    end_a, end_b = np.cumsum(tools.size_a[a]), np.cumsum(tools.size_b[b])
+    is_a, is_b = np.zeros(len(raw) + 1, bool), np.zeros(len(raw) + 1, bool)
+    is_a[end_a] = is_b[end_b] = True
+    ends = np.nonzero(is_a | is_b)[0]  # a link ends where either token does
+    at_a, at_b = is_a[ends], is_b[ends]
+    keys = a[np.cumsum(at_a) - at_a] << 32 | b[np.cumsum(at_b) - at_b]
+    distinct, times = np.unique(keys, return_counts=True)
+    sha = hashlib.sha256(tools.groups(a, b, is_b[end_a], is_a[end_b])).hexdigest()
+    return len(a), len(b), int((at_a & at_b).sum()), len(keys), sha, distinct, times
 
 
 def packed(*columns: np.ndarray) -> bytes:
