@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from veriscope.llm import shingle_links as L
 from veriscope.llm import simhash_dedup as S
@@ -47,28 +48,16 @@ def test_every_pair_of_eight_tenths_is_linked(documents):
     assert kept == {i for i in label if label[i] == i}
 
 
-def test_groups_beyond_a_block(spark, documents):
-    rng = random.Random(8)
-    words = [f"w{i}" for i in range(100)]
-    rows = [(0, "quite another text that stands on its own here")]
-    for i in range(1, 60):  # each within 0.8 of the first one, few within 0.8 of each other
-        copy = list(words)
-        for at in rng.sample(range(100), 2 if i > 1 else 0):
-            copy[at] = f"x{i}"
-        rows.append((i, " ".join(copy)))
-    parts = spark.createDataFrame([(i, 0) for i, _ in rows], "node long, component long")
-    label = brute(rows)
-    for block in (7, 256):
-        links = [(r["src"], r["dst"]) for r in L.exact_links(documents(rows).select("doc_id", "text"), parts, 5, block).collect()]
-        found = {i: i for i in label}
-        for _ in rows:
-            for a, b in links:
-                found[a] = found[b] = min(found[a], found[b])
-        assert found == label
+def labels_of(links, label):
+    found = {i: i for i in label}
+    for _ in label:
+        for a, b in links:
+            found[a] = found[b] = min(found[a], found[b])
+    return found
 
 
-def test_members_far_from_the_smallest_one(spark, documents):
-    """Chains away from the smallest document, two groups in one candidate component, and members that belong to none."""
+def test_blocks(spark):
+    """Chains away from the smallest document, two groups in one list, and members that belong to none."""
     rng = random.Random(9)
     base = [f"w{i}" for i in range(200)]
     rows, words = [], list(base)
@@ -78,23 +67,60 @@ def test_members_far_from_the_smallest_one(spark, documents):
         words[rng.randrange(200)] = f"z{i}"
     other = [f"v{i}" for i in range(150)]
     rows += [(100 + i, " ".join([*other[:-1], f"u{i}"])) for i in range(25)] + [(200 + i, " ".join(f"t{i}-{k}" for k in range(80))) for i in range(8)]
-    parts = spark.createDataFrame([(i, 0) for i, _ in rows], "node long, component long")
     label = brute(rows)
     assert len(set(label.values())) == 10
-    for block in (4, 16, 256):
-        links = [(r["src"], r["dst"]) for r in L.exact_links(documents(rows).select("doc_id", "text"), parts, 5, block).collect()]
-        found = {i: i for i in label}
-        for _ in rows:
-            for a, b in links:
-                found[a] = found[b] = min(found[a], found[b])
-        assert found == label
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes = docs.select(F.col("doc_id").alias("node"))
+    for block in (4, 256):
+        links = L.block_links(nodes.select(F.lit(7).cast("long").alias("token"), "node"), L.shingle_sets(docs, nodes, 5), block)
+        assert labels_of([tuple(r) for r in links.collect()], label) == label
 
 
-def test_band_keys():
+def test_wide_lists_give_the_same(spark, monkeypatch, documents):
+    """A list whose pairs are too many to write goes through blocks."""
+    rows = corpus(12)
+    label = brute(rows)
+    for wide in (0, 64):
+        monkeypatch.setattr(L, "WIDE", wide)
+        monkeypatch.setattr(L, "open_lists", lambda r, g, _open=L.open_lists.__wrapped__ if hasattr(L.open_lists, "__wrapped__") else L.open_lists, w=wide: _open(r, spark.createDataFrame([], "node long, component long"), w))
+        got = {r["doc_id"]: r["component_id"] for r in L.components(documents(rows).select("doc_id", "text"), 5).collect()}
+        monkeypatch.undo()
+        assert got == label
+
+
+def templated(n, seed=3):
+    """Pages of one common block and as many words of their own, with copies of every 50th one."""
+    rng = random.Random(seed)
+    block = " ".join(f"menu{i}" for i in range(200))
+    rows = []
+    for i in range(n):
+        own = [f"w{rng.randrange(10**7)}" for _ in range(100)]
+        rows.append((i, block + " " + " ".join(own)))
+        if i % 50 == 0:
+            own[rng.randrange(100)] = "changed"
+            rows.append((10**6 + i, block + " " + " ".join(own)))
+    return rows
+
+
+def test_templated_pages_do_not_meet(spark, monkeypatch):
+    compared = []
+    for n in (300, 1500):
+        monkeypatch.setattr(L, "similar_pairs", lambda p, s, _f=L.similar_pairs: (compared.append(p.count()), _f(p, s))[1])
+        rows = templated(n)
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = {r["doc_id"]: r["component_id"] for r in L.components(docs, 5).collect()}
+        monkeypatch.undo()
+        assert got == {i: i % 10**6 for i, _ in rows}
+    assert sum(compared[:2]) <= 2 * 300 and sum(compared[2:]) <= 2 * 1500
+
+
+def test_prefix_filter_loses_no_pair():
     rng = np.random.default_rng(4)
-    met = 0
+    sketch = rng.integers(0, 255, L.SKETCH, dtype=np.uint8)
     for _ in range(300):
-        whole = rng.integers(0, 2**64, 110, dtype=np.uint64)
-        a, b = whole[:99], whole[11:]  # 88 of 110: exactly 0.8
-        met += bool(np.intersect1d(L.band_keys(a), L.band_keys(b)).size)
-    assert met == 300 and not len(L.band_keys(whole[:0]))
+        whole = np.unique(rng.integers(0, 2**64, 110, dtype=np.uint64))
+        a, b = np.delete(whole, rng.choice(110, 11, False)), whole
+        a, b = a, np.delete(b, rng.choice(110, 11, False))
+        close = 5 * np.intersect1d(a, b).size >= 4 * np.union1d(a, b).size
+        assert not close or np.intersect1d(L.prefix(a, sketch), L.prefix(b, sketch)).size
+    assert not len(L.prefix(whole[:0], sketch)) and [L.prefix_length(n) for n in (1, 4, 5, 10)] == [1, 1, 2, 3]

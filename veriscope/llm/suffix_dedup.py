@@ -38,12 +38,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .bits import bit_filter, passes
 from .textfeatures import mixed
 
 STRING, GRAM = 200, 104
 SPAN = STRING - GRAM + 1
 BLOCK = 1 << 20
-FILTER_BITS = 1 << 25
 LARGE = 2000
 MAX_LEVELS = 5
 _LOW = np.uint64((1 << 21) - 1)
@@ -125,28 +125,18 @@ def anchored_texts(keyed: DataFrame) -> DataFrame:
     return each.withColumn("tid", F.monotonically_increasing_id())
 
 
-def _filter(hot: DataFrame) -> np.ndarray:
-    """A bit for each hash modulo FILTER_BITS: a table of fixed size."""
-    place = F.pmod("h", F.lit(FILTER_BITS))
-    words = hot.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(h, {FILTER_BITS}) & 63 as int))")).alias("bits")).toArrow()
-    out = np.zeros(FILTER_BITS >> 6, np.uint64)
-    out[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
-    return out
-
-
 def hot_anchors(texts: DataFrame) -> DataFrame:
     """Rows of _ANCHORS whose string occurs at least twice; ``sym`` is null at a text's last anchor."""
     hashes = texts.select(F.explode("hashes").alias("h"))
     hot = cut(hashes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "suffix-hot")
-    shared = texts.sparkSession.sparkContext.broadcast(_filter(hot))
+    shared = texts.sparkSession.sparkContext.broadcast(bit_filter(hot, "h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for batch in batches:
             for tid, n_bytes, *lists in zip(*(batch.column(k) for k in range(5))):
                 h, place, start = (np.asarray(x.values) for x in lists)
-                at = np.mod(h, FILTER_BITS)
-                kept = np.nonzero(bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1))[0]
+                kept = np.nonzero(passes(bits, h))[0]
                 step = np.diff(place, append=n_bytes.as_py())
                 last = np.append(start[1:], n_bytes.as_py() - STRING + 1) - 1
                 u = h.view(np.uint64)
