@@ -75,11 +75,16 @@ def test_anchors_in_blocks(monkeypatch):
     rng = random.Random(13)
     raw = (words(rng, 3000) + "a" * 3000 + words(rng, 300) + "abc" * 400).encode()
     whole = S.anchors(raw)
+    hashes = S.string_hashes(np.frombuffer(raw, np.uint8), 104)
+    assert len(set(hashes.tolist())) == len({raw[i : i + 104] for i in range(len(raw) - 103)})
     monkeypatch.setattr(S, "BLOCK", 777)
+    S._scales.cache_clear()
+    assert (hashes == S.string_hashes(np.frombuffer(raw, np.uint8), 104)).all()
     assert all((a == b).all() for a, b in zip(whole, S.anchors(raw)))
     _, place, start = whole
     last = np.append(start[1:], len(raw) - S.STRING + 1) - 1
     assert (np.diff(place) >= 1).all() and (np.diff(place) <= S.SPAN).all() and (place >= last).all() and (place - start < S.SPAN).all() and start[0] == 0
+    S._scales.cache_clear()
 
 
 def test_long_empty_and_repeated(spark):

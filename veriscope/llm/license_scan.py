@@ -7,9 +7,9 @@ the idf of a token never seen. A line's licence is the template of largest cosin
 THRESHOLD on. A document's licence is its best line's; a document is a licence file if its
 name says so or if matched lines make up half of its characters.
 
-Two blocks of a text that holds an anchor are vectors too: its leading comment block (or, without one, the
-lines up to the first blank one) and the whole text, against the notices and full texts of BLOCKS, with the idf of all such
-blocks. The best of lines and blocks is the document's licence; a whole text that matches is a licence file.
+Blocks of a text that hold an anchor are vectors too: its leading comment block (or, without one, the
+lines up to the first blank one), every paragraph (between blank lines, or lines of comment signs alone) and the whole text, against the titles, openings, notices and full texts
+of BLOCKS, with the idf of all such blocks. So a title that the real files wrap over lines, and a notice below a shebang or inside a docstring, are found as well. The best of lines and blocks is the document's licence; a whole text that matches is a licence file.
 A vector's terms are read from its sorted tokens in one walk, so a long text takes time in proportion to its length. Texts
 are searched for anchors once, and only those that hold one are written for the passes that follow.
 
@@ -69,19 +69,36 @@ TEMPLATES = [
 
 
 _WARRANTY = "{} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
-#: Whole notices of file headers, and the full texts that are short enough to be given here.
+_CREATIVE = 'By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons {0} 4.0 International Public License ("Public License"). To the extent this Public License may be interpreted as a contract, You are granted the Licensed Rights in consideration of Your acceptance of these terms and conditions, and the Licensor grants You such rights in consideration of benefits the Licensor receives from making the Licensed Material available under these terms and conditions.'
+_GRANT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'
+#: Titles and openings of the licence files, whole notices of file headers, and the full texts that are short enough to be given here.
 BLOCKS = [
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    *[(f"CC-{short}-4.0", text.format(name)) for short, name in (("BY", "Attribution"), ("BY-NC", "Attribution-NonCommercial"), ("BY-SA", "Attribution-ShareAlike")) for text in ("Creative Commons {0} 4.0 International Public License", _CREATIVE)],
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-3.0", "The GNU General Public License is a free, copyleft license for software and other kinds of works."),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-3.0", "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below."),
+    ("MIT", "The MIT License (MIT)"),
+    ("MIT", _GRANT),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
     ("BSD-3-Clause", 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'),
     ("GPL-3.0", f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. {_WARRANTY.format('This program')} See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/"),
     ("LGPL-3.0", f"This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. {_WARRANTY.format('This library')} See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this library. If not, see https://www.gnu.org/licenses/"),
-    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
+    ("MIT", f'{_GRANT} The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
 ]
 #: Possessive, so that long blocks take neither stack nor backtracking.
 COMMENT = r"\A((?:[ \t]*+(?:#|//|/\*|\*|--|;|<!--|%)[^\n]*+(?:\n|\z))++)"
-FIRST_LINES = r"\A\s*+((?:[ \t\r]*+\S[^\n]*+(?:\n|\z))++)"
+FIRST_LINES = r"\A[ \t\n\f\r]*+((?:[ \t\r]*+\S[^\n]*+(?:\n|\z))++)"
+#: What stands between paragraphs: lines that are blank but for comment signs.
+BETWEEN = r"\n(?:[ \t\r#*/;%<>!-]*+\n)++"
 
 
 def template_tokens(text: str) -> list[str]:
@@ -103,11 +120,11 @@ def _tokens(line: Column) -> Column:
 
 
 def blocks(text: str = "text") -> Column:
-    """The leading block and the whole of a text that holds an anchor, as an array; no block that has no anchor."""
+    """The leading block, the whole and the paragraphs of a text that holds an anchor, as an array without repeats; no block that has no anchor."""
     column = F.col(text)
     comment = F.regexp_extract(column, COMMENT, 1)
     lead = F.when(comment != "", comment).otherwise(F.regexp_extract(column, FIRST_LINES, 1))
-    return F.when(column.rlike(ANCHOR), F.filter(F.array(lead, column), lambda b: b.rlike(ANCHOR))).otherwise(F.array().cast("array<string>"))
+    return F.when(column.rlike(ANCHOR), F.array_distinct(F.filter(F.concat(F.array(lead, column), F.split(column, BETWEEN, -1)), lambda b: b.rlike(ANCHOR)))).otherwise(F.array().cast("array<string>"))
 
 
 def inverse_frequencies(docs: DataFrame, lines: Column | None = None, templates: list[tuple[str, str]] = TEMPLATES) -> tuple[dict[str, float], float]:

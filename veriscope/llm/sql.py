@@ -1,6 +1,6 @@
 """DuckDB SQL of those queries that SQL can express."""
 
-from .license_scan import ANCHOR, FILE_NAME, NO_NAME, TEMPLATES, THRESHOLD, TOKEN
+from .license_scan import ANCHOR, BETWEEN, BLOCKS, COMMENT, FILE_NAME, FIRST_LINES, NO_NAME, TEMPLATES, THRESHOLD, TOKEN
 from .packing import N_BUCKETS, TOKEN_BUDGET
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -113,26 +113,43 @@ SELECT vec_id, coalesce(k.n, 0) AS n_links, least(vec_id, coalesce(c.low, vec_id
 FROM embeddings LEFT JOIN k ON vec_id = k.a LEFT JOIN c ON vec_id = c.a
 """
 
-_TEMPLATE_ROWS = ", ".join("({}, '{}', '{}')".format(k, name, text.replace("'", "''")) for k, (name, text) in enumerate(TEMPLATES))
+
+
+def _plain(pattern: str) -> str:
+    """A pattern without possessive marks, which change no match here, and quoted for SQL."""
+    return pattern.replace("*+", "*").replace("++", "+").replace("'", "''")
+
+
+def _matching(p: str, templates: list[tuple[str, str]]) -> str:
+    """Tables that find the best template of each row of {p}c(lid, line), all named with the prefix."""
+    rows = ", ".join("({}, '{}', '{}')".format(k, name, text.replace("'", "''")) for k, (name, text) in enumerate(templates))
+    return f"""
+{p}t AS (SELECT * FROM (VALUES {rows}) AS v(tid, name, body)),
+{p}tt AS (SELECT tid, name, token, count(*) AS n FROM (SELECT tid, name, unnest(regexp_extract_all(lower(body), '{TOKEN}')) AS token FROM {p}t) GROUP BY ALL),
+{p}vocab AS (SELECT DISTINCT token FROM {p}tt),
+{p}lt AS (SELECT lid, token, count(*) AS n FROM (SELECT lid, unnest(regexp_extract_all(lower(line), '{TOKEN}')) AS token FROM {p}c) GROUP BY ALL),
+{p}total AS (SELECT (SELECT count(*) FROM {p}c) + (SELECT count(*) FROM {p}t) AS n),
+{p}seen AS (SELECT token, count(*) AS n FROM (SELECT token FROM {p}lt UNION ALL SELECT token FROM {p}tt) GROUP BY token),
+{p}idf AS (SELECT token, ln((1 + (SELECT n FROM {p}total)) / (1 + n)::DOUBLE) + 1 AS w FROM {p}vocab JOIN {p}seen USING (token)),
+{p}tw AS (SELECT tid, name, token, q.n * w / sqrt(sum(q.n * w * q.n * w) OVER (PARTITION BY tid)) AS w FROM {p}tt q JOIN {p}idf USING (token)),
+{p}norm AS (SELECT lid, sqrt(sum(CASE WHEN i.w IS NULL THEN pow(ln(1 + (SELECT n FROM {p}total)) + 1, 2) ELSE pow(q.n * i.w, 2) END)) AS norm FROM {p}lt q LEFT JOIN {p}idf i ON q.token = i.token GROUP BY lid),
+{p}s AS (SELECT q.lid, w.name, w.tid, round(sum(q.n * i.w * w.w) / any_value(z.norm), 6) AS score FROM {p}lt q JOIN {p}idf i ON q.token = i.token JOIN {p}tw w ON q.token = w.token JOIN {p}norm z ON q.lid = z.lid GROUP BY ALL),
+{p}b AS (SELECT lid, score, name FROM (SELECT *, row_number() OVER (PARTITION BY lid ORDER BY score DESC, name) AS i FROM {p}s) WHERE i = 1 AND score >= {THRESHOLD}),"""
+
 
 LICENSE_SQL = f"""
-WITH t AS (SELECT * FROM (VALUES {_TEMPLATE_ROWS}) AS v(tid, name, body)),
-tt AS (SELECT tid, name, token, count(*) AS n FROM (SELECT tid, name, unnest(regexp_extract_all(lower(body), '{TOKEN}')) AS token FROM t) GROUP BY ALL),
-vocab AS (SELECT DISTINCT token FROM tt),
-d AS (SELECT doc_id, text, concat_ws('/', coalesce(source, '{NO_NAME}'), coalesce(lang, '{NO_NAME}'), coalesce(CAST(doc_id // 64 AS VARCHAR), '{NO_NAME}'), coalesce(CAST(doc_id AS VARCHAR), '{NO_NAME}')) AS path FROM documents),
-l AS (SELECT row_number() OVER () AS lid, doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{ANCHOR}')),
-lt AS (SELECT lid, token, count(*) AS n FROM (SELECT lid, unnest(regexp_extract_all(lower(line), '{TOKEN}')) AS token FROM l) GROUP BY ALL),
-total AS (SELECT (SELECT count(*) FROM l) + (SELECT count(*) FROM t) AS n),
-idf AS (SELECT token, ln((1 + (SELECT n FROM total)) / (1 + (SELECT count(*) FROM lt WHERE lt.token = vocab.token) + (SELECT count(*) FROM tt WHERE tt.token = vocab.token))::DOUBLE) + 1 AS w FROM vocab),
-tw AS (SELECT tid, name, token, tt.n * w / sqrt(sum(tt.n * w * tt.n * w) OVER (PARTITION BY tid)) AS w FROM tt JOIN idf USING (token)),
-norm AS (SELECT lid, sqrt(sum(CASE WHEN idf.w IS NULL THEN pow(ln(1 + (SELECT n FROM total)) + 1, 2) ELSE pow(lt.n * idf.w, 2) END)) AS norm FROM lt LEFT JOIN idf ON lt.token = idf.token GROUP BY lid),
-s AS (SELECT lt.lid, tw.name, tw.tid, round(sum(lt.n * idf.w * tw.w) / any_value(norm.norm), 6) AS score FROM lt JOIN idf ON lt.token = idf.token JOIN tw ON lt.token = tw.token JOIN norm ON lt.lid = norm.lid GROUP BY ALL),
-b AS (SELECT lid, score, name FROM (SELECT *, row_number() OVER (PARTITION BY lid ORDER BY score DESC, name) AS i FROM s) WHERE i = 1 AND score >= {THRESHOLD}),
-m AS (SELECT doc_id, score, name, length(line) AS chars FROM b JOIN l ON b.lid = l.lid),
-h AS (SELECT doc_id, max(score) AS score, min(name) FILTER (WHERE score = top) AS license, count(*) AS n, sum(chars) AS covered
+WITH d AS (SELECT doc_id, text, concat_ws('/', coalesce(source, '{NO_NAME}'), coalesce(lang, '{NO_NAME}'), coalesce(CAST(doc_id // 64 AS VARCHAR), '{NO_NAME}'), coalesce(CAST(doc_id AS VARCHAR), '{NO_NAME}')) AS path FROM documents),
+lc AS (SELECT row_number() OVER () AS lid, doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{ANCHOR}')),
+g AS (SELECT doc_id, text, CASE WHEN regexp_extract(text, '{_plain(COMMENT)}', 1) <> '' THEN regexp_extract(text, '{_plain(COMMENT)}', 1) ELSE regexp_extract(text, '{_plain(FIRST_LINES)}', 1) END AS lead,
+             regexp_split_to_array(text, '{_plain(BETWEEN)}') AS parts FROM d WHERE regexp_matches(text, '{ANCHOR}')),
+bc AS (SELECT row_number() OVER () AS lid, doc_id, line, whole FROM (SELECT doc_id, line, bool_or(line = text) AS whole FROM (SELECT doc_id, text, unnest(list_concat([lead, text], parts)) AS line FROM g) GROUP BY doc_id, line) WHERE regexp_matches(line, '{ANCHOR}')),
+{_matching("l", TEMPLATES)}{_matching("b", BLOCKS)}
+m AS (SELECT doc_id, score, name, length(line) AS chars, 1 AS n, false AS whole FROM lb JOIN lc ON lb.lid = lc.lid
+      UNION ALL SELECT doc_id, score, name, 0, 0, whole FROM bb JOIN bc ON bb.lid = bc.lid),
+h AS (SELECT doc_id, max(score) AS score, min(name) FILTER (WHERE score = top) AS license, CAST(sum(n) AS BIGINT) AS n, sum(chars) AS covered, bool_or(whole) AS whole
       FROM (SELECT *, max(score) OVER (PARTITION BY doc_id) AS top FROM m) GROUP BY doc_id),
 f AS (SELECT d.doc_id, d.path, regexp_extract(d.path, '^(.*)/[^/]*$', 1) AS dir, h.score, h.license, coalesce(h.n, 0) AS n,
-             h.n IS NOT NULL AND (regexp_matches(regexp_extract(d.path, '([^/]*)$', 1), '{FILE_NAME}') OR 2 * h.covered >= length(d.text)) AS is_file
+             h.n IS NOT NULL AND (h.whole OR regexp_matches(regexp_extract(d.path, '([^/]*)$', 1), '{FILE_NAME}') OR 2 * h.covered >= length(d.text)) AS is_file
       FROM d LEFT JOIN h ON d.doc_id = h.doc_id),
 o AS (SELECT dir AS own, score, license FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY score DESC, license) AS i FROM f WHERE is_file) WHERE i = 1),
 a AS (SELECT dir, o.score, o.license FROM (SELECT DISTINCT dir FROM f) JOIN o ON dir = own OR own = '' OR starts_with(dir, own || '/')

@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,8 @@ from .textfeatures import mixed
 
 STRING, GRAM = 200, 104
 SPAN = STRING - GRAM + 1
-BLOCK = 1 << 20
+#: Bytes that are hashed at once, so that tables of powers and temporary arrays stay small.
+BLOCK = 1 << 17
 LARGE = 2000
 MAX_LEVELS = 5
 _LOW = np.uint64((1 << 21) - 1)
@@ -51,29 +53,27 @@ _BYTES = np.random.Generator(np.random.PCG64(200)).integers(0, 1 << 63, (2, 256)
 _STEP = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _TEXTS = "text_key binary, n_bytes long, hashes array<bigint>, places array<bigint>, starts array<bigint>"
 _ANCHORS = "tid long, at long, h long, place long, start long, last long, step long, sym long"
-_powers: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _scales(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of a step and of its inverse modulo 2^64, at least ``n`` of them."""
-    size = max(1 << 12, 1 << int(n - 1).bit_length())
-    if (which, size) not in _powers:
-        step = _STEP[which]
-        up, down = np.full(size, step, np.uint64), np.full(size, pow(step, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        _powers[which, size] = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-    return _powers[which, size]
+@lru_cache(maxsize=2)
+def _scales(which: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a step and of its inverse modulo 2^64, for a block and a string."""
+    up, down = (np.full(2 * BLOCK, step, np.uint64) for step in (_STEP[which], pow(_STEP[which], -1, 1 << 64)))
+    up[0] = down[0] = 1
+    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
 
 def string_hashes(data: np.ndarray, width: int, which: int = 0) -> np.ndarray:
     """A 64-bit hash of each string of ``width`` bytes."""
-    if len(data) < width:
-        return np.zeros(0, np.uint64)
-    up, down = _scales(which, len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTES[which][data] * up[: len(data)], out=sums[1:])
-    found = sums[width:] - sums[:-width]
-    return mixed(found * down[: len(found)])
+    up, down = _scales(which)
+    out = np.zeros(max(0, len(data) - width + 1), np.uint64)
+    for at in range(0, len(out), BLOCK):
+        part = data[at : at + BLOCK + width - 1]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTES[which][part] * up[: len(part)], out=sums[1:])
+        found = sums[width:] - sums[:-width]
+        out[at : at + len(found)] = mixed(found * down[: len(found)])
+    return out
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
