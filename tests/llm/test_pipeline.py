@@ -63,12 +63,16 @@ def brute_groups(texts):
     return label
 
 
+#: Columns of the user with names that the stages could want for themselves.
+RESERVED = ["'a' as quality_score", "'b' as drop_doc", "'c' as drop_keys", "'d' as mix_key", "'e' as MIX_TIMES", "'f' as pack_key", "'g' as pack_turn", "'h' as __quality", "'i' as __drops", "'j' as __drop_doc", "'k' as __mix_key", "'l' as __pack_key"]
+
+
 def test_odd_rows(spark, tmp_path):
     """Null ids and texts, repeated rows, clashing names, a very long text, no labels, and an empty table."""
     long = "\n".join(f"line {i} of a long text with words of its own" for i in range(30_000))
     rows = [(1, "a few words that stay here", "s0"), (1, "a few words that stay here", "s0"), (2, None, None), (3, "", "s1"), (None, "no id but some words", "s1"), (4, long, "s2"), (5, long + " more", "s2"), (6, " \n", "s1")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    docs = docs.selectExpr("doc_id", "text", "'en' as lang", "source", "length(text) as n_chars", "1 as component_id", "'x' as hi", "2 as pack_bound", "3 as size", "'y' as fp")
+    docs = docs.selectExpr("doc_id", "text", "'en' as lang", "source", "length(text) as n_chars", "1 as component_id", "'x' as hi", "2 as pack_bound", "3 as size", "'y' as fp", *RESERVED)
     for name, table in (("full", docs), ("none", docs.limit(0))):
         table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
         spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
@@ -80,6 +84,8 @@ def test_odd_rows(spark, tmp_path):
         assert len(got) == (5 if name == "simhash near-dedup" else 8)
     assert sorted(str(r["doc_id"]) for r in got) == ["1", "1", "2", "4", "None"]
     out = P.run(spark, f"{tmp_path}/full").collect()
+    mine = [x.split(" as ") for x in RESERVED]
+    assert all(r[name] == value.strip("'") for r in [*got, *out] for value, name in mine)
     assert {r["doc_id"] for r in out} <= {1, 4, None} and any(r["pack_length"] > 250_000 for r in out)
     assert P.run(spark, f"{tmp_path}/none").count() == 0
 

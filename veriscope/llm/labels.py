@@ -50,3 +50,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int
     sample = F.broadcast(docs.sparkSession.createDataFrame(wanted, f"doc_id {known.schema['doc_id'].dataType.simpleString()}, wanted int"))  # 2 * per_class rows at most
     rows = texts.join(sample, "doc_id").groupBy("doc_id", "wanted").agg(F.max(F.struct(F.char_length("text"), "text"))["text"].alias("text"))
     return [(r["text"], r["wanted"]) for r in sorted(rows.collect(), key=lambda r: (r["wanted"], r["doc_id"]))]
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """``names`` with marks before them until no column has them, whatever its case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out

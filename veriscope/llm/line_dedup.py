@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut, discard, shared_dir
+from .labels import unused
 
 MIN_CHARS = 40
 MIN_DOCUMENTS = 5
@@ -172,16 +173,18 @@ def repeated_keys(hashes: DataFrame, n_batches: int = N_BATCHES, min_documents:
 
 
 def _drops(docs: DataFrame, n_batches: int, min_documents: int) -> DataFrame:
-    """``(__drop_doc, __drops)``: the keys, 16 bytes each, that a document loses."""
+    """``(doc, keys)``: the keys, 16 bytes each, that a document loses."""
     hashes = cut(line_hashes(docs), "line-hashes")
     dropped = repeated_keys(hashes, n_batches, min_documents)
     held = hashes.join(dropped, KEY).where(F.col("doc_id") < F.col("last_doc"))
-    return held.select("doc_id", F.struct(*KEY).alias("key")).groupBy(F.col("doc_id").alias("__drop_doc")).agg(F.collect_set("key").alias("__drops"))
+    return held.select(F.col("doc_id").alias("doc"), F.struct(*KEY).alias("key")).groupBy("doc").agg(F.collect_set("key").alias("keys"))
 
 
 def _filtered(docs: DataFrame, n_batches: int, min_documents: int) -> DataFrame:
-    drops = _drops(docs, n_batches, min_documents)
-    return docs.join(drops, F.col("doc_id") == F.col("__drop_doc"), "left")
+    """``docs`` and, as the last column, the keys that each loses."""
+    doc, keys = unused(docs.columns, "drop_doc", "drop_keys")
+    drops = _drops(docs, n_batches, min_documents).toDF(doc, keys)
+    return docs.join(drops, F.col("doc_id") == F.col(doc), "left").drop(doc)
 
 
 def _keep(text: str | None, drops: pa.StructScalar) -> tuple[list[bytes], int]:
@@ -210,7 +213,7 @@ def line_report(docs: DataFrame, n_batches: int = N_BATCHES, min_documents: int
             yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = _filtered(docs, n_batches, min_documents).select("doc_id", "text", "__drops")
+    rows = _filtered(docs, n_batches, min_documents)
     return rows.mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
@@ -228,7 +231,7 @@ def drop_lines(docs: DataFrame, n_batches: int = N_BATCHES, min_documents: int =
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
 
-    rows = _filtered(docs, n_batches, min_documents).select(*[F.col(c) for c in docs.columns], "__drops")
+    rows = _filtered(docs, n_batches, min_documents)
     out = rows.mapInArrow(run, docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .labels import unused
 
 WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
@@ -125,14 +126,13 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     rows = placed(sized(docs))
     begins = F.transform("epochs", lambda taken, k: F.when((taken > 0) & (taken * 2 >= F.col("size")), F.col("start") + k * F.col("source_size")))
     times = F.transform(F.filter(begins, lambda q: q.isNotNull()), lambda q: demand_time(q, F.col("target"), F.col("tilt")))
-    turn = Window.partitionBy("__mix_key").orderBy("source_key", "size", "start")
-    rows = rows.select(F.col("row_key").alias("__mix_key"), "source_key", "size", "start", times.alias("__mix_times"))
-    rows = rows.withColumn("__mix_turn", F.row_number().over(turn)).where(F.size("__mix_times") > 0).select("__mix_key", "__mix_turn", "__mix_times")
-    columns = [F.col(f"d.{c}") for c in docs.columns]
+    key, number, when, time = unused(docs.columns, "mix_key", "mix_turn", "mix_times", "mix_time")
+    turn = Window.partitionBy(key).orderBy("source_key", "size", "start")
+    rows = rows.select(F.col("row_key").alias(key), "source_key", "size", "start", times.alias(when))
+    rows = rows.withColumn(number, F.row_number().over(turn)).where(F.size(when) > 0).select(key, number, when)
     # rows that repeat a doc_id pair up in the same order on both sides
     words = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
-    turn = Window.partitionBy("__mix_key").orderBy(_source_key(), words, F.xxhash64("text"))
-    texts = docs.withColumn("__mix_key", row_key()).withColumn("__mix_turn", F.row_number().over(turn)).alias("d")
-    drawn = texts.join(rows.alias("m"), (F.col("d.__mix_key") == F.col("m.__mix_key")) & (F.col("d.__mix_turn") == F.col("m.__mix_turn")))
-    drawn = drawn.select(*columns, F.explode("m.__mix_times").alias("__mix_time"))
-    return drawn.orderBy("__mix_time", "doc_id").select(*docs.columns)
+    turn = Window.partitionBy(key).orderBy(_source_key(), words, F.xxhash64("text"))
+    texts = docs.withColumn(key, row_key()).withColumn(number, F.row_number().over(turn))
+    drawn = texts.join(rows, [key, number]).select(*docs.columns, F.explode(when).alias(time))
+    return drawn.orderBy(time, "doc_id").select(*docs.columns)

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .labels import unused
 from .mixing import WORDS, order_key
 
 N_BUCKETS = 16
@@ -126,6 +127,7 @@ def packed(docs: DataFrame, n_buckets: int = N_BUCKETS, budget: int = TOKEN_BUDG
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORDS)), F.lit(0)).cast("long")
     added = ("pack_length", "pack_bucket", "pack_bound", "pack_batch", "pack_padding")
     docs = docs.drop(*added)
-    texts = docs.withColumn("__pack_key", order_key()).withColumn("__pack_turn", F.row_number().over(Window.partitionBy("__pack_key").orderBy(size)))
-    found = found.withColumnsRenamed({"pack_key": "__pack_key", "pack_turn": "__pack_turn"})
-    return texts.join(found, ["__pack_key", "__pack_turn"]).select(*docs.columns, *added)
+    key, number = unused(docs.columns, "pack_key", "pack_turn")
+    texts = docs.withColumn(key, order_key()).withColumn(number, F.row_number().over(Window.partitionBy(key).orderBy(size)))
+    found = found.withColumnsRenamed({"pack_key": key, "pack_turn": number})
+    return texts.join(found, [key, number]).select(*docs.columns, *added)

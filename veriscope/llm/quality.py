@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labels import held_out, training_rows
+from .labels import held_out, training_rows, unused
 from .textfeatures import Words, batched, mixed
 
 BUCKET_BITS = 18
@@ -141,4 +141,5 @@ def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject, columns as they were."""
-    return with_score(docs, fit(docs, labels), "__quality").where(F.col("__quality") >= CUT).drop("__quality")
+    (score,) = unused(docs.columns, "quality_score")
+    return with_score(docs, fit(docs, labels), score).where(F.col(score) >= CUT).drop(score)
