@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from veriscope.operators.components import connected_components
 
 
@@ -28,3 +30,10 @@ def test_components_match_brute_force(spark):
 def test_components_of_nothing(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
     assert connected_components(spark.createDataFrame([(None, 1)], "src long, dst long")).count() == 0
+
+
+def test_components_that_are_not_final_raise(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(50)], "src long, dst long")
+    with pytest.raises(RuntimeError, match="1 rounds"):
+        connected_components(path, max_rounds=1).count()
+    assert {r.component for r in connected_components(path).collect()} == {0}

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.quantiles import medians
 from . import metrics
 
 NEIGHBOURS = 3
@@ -147,8 +148,8 @@ def information_and_null(whole: DataFrame, n_features: int, seed: int) -> tuple[
 def feature_table(df: DataFrame, features: list[str], truth: str, q: float, seed: int = 20_260_911) -> dict:
     """Per feature: Pearson and Spearman with p and adjusted p (all rows), mutual information and its shuffled null's 95th percentile."""
     n = df.count()
-    medians = df.agg(*[F.median(F.col(f"`{c}`")).alias(f"m{i}") for i, c in enumerate(features)]).first()
-    whole = df.select(F.col(truth).alias("y"), *[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(float(m or 0))).alias(f"x{i}") for i, (c, m) in enumerate(zip(features, medians))])
+    middle = medians(df, features) if features else {}
+    whole = df.select(F.col(truth).alias("y"), *[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(float(middle[c] or 0))).alias(f"x{i}") for i, c in enumerate(features)])
     pearson = whole.agg(*[F.corr(f"x{i}", "y").alias(f"r{i}") for i in range(len(features))]).first()
     spearman = []
     for i in range(len(features)):

@@ -107,7 +107,3 @@ def screening_rates(tp="tp", fp="fp", tn="tn", fn="fn") -> dict[str, Column]:
         "needed_to_screen": F.try_divide(total, tp),
     }
 
-
-def trimean(column) -> Column:
-    q = F.percentile(_c(column), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return (q[0] + 2 * q[1] + q[2]) / 4

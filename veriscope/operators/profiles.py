@@ -54,23 +54,21 @@ def overlap(df: DataFrame, key: str, side: str) -> DataFrame:
 
 def order_summary(df: DataFrame, value: str, by: list[str], tiebreak: str, fraction: float = 0.25) -> DataFrame:
     """Mean, median, trimean, mean of the best and worst ``fraction`` (half-even rounded count, at least one), maximum."""
-    from ..functions.metrics import trimean
-
+    from .quantiles import quantiles
     from .running import rank_in_slices, sliced
 
     ranked = rank_in_slices(sliced(df, value), by, [value, tiebreak], "_rank", "_n")
     ranked = ranked.withColumn("_take", F.greatest(F.lit(1), F.bround(F.col("_n") * fraction, 0).cast("long")))
     best = F.when(F.col("_rank") <= F.col("_take"), F.col(value))
     worst = F.when(F.col("_rank") > F.col("_n") - F.col("_take"), F.col(value))
-    return ranked.groupBy(*by).agg(
-        F.count("*").alias("n"),
-        F.avg(value).alias("mean"),
-        F.percentile(value, F.lit(0.5)).alias("median"),
-        trimean(value).alias("trimean"),
-        F.avg(best).alias("best"),
-        F.avg(worst).alias("worst"),
-        F.max(value).alias("max"),
-    )
+    out = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.avg(best).alias("best"), F.avg(worst).alias("worst"), F.max(value).alias("max"))
+    q = quantiles(df, by, value, [0.25, 0.5, 0.75], "_quarters").withColumnsRenamed({c: f"_by{i}" for i, c in enumerate(by)})
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    quarter = lambda k: F.col("_quarters")[k]
+    trimean = (quarter(0) + 2 * quarter(1) + quarter(2)) / 4
+    return out.join(q, same).select(*by, "n", "mean", quarter(1).alias("median"), trimean.alias("trimean"), "best", "worst", "max")
 
 
 def histogram(df: DataFrame, value: str, bins: int = 60) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .quantiles import quantiles
 
 ALPHAS = np.logspace(-3, 3, 25)
 
@@ -55,11 +56,12 @@ def grouped_ridge(df: DataFrame, features: list[str], truth: str, fold: str, out
     folds = [r[0] for r in rows.select("_fold").distinct().orderBy("_fold").collect()]
     medians = np.zeros((len(folds), p))
     holes = rows.agg(*[F.count_if(F.col(f"_x{j}").isNull()) for j in range(p)]).first() if p else []
-    partly = [j for j, n in enumerate(holes) if n]  # exact medians are dear, and only columns with holes need them
+    partly = [j for j, n in enumerate(holes) if n]  # exact medians take rounds, and only columns with holes need them
     if partly:
-        cells = [F.median(F.when(F.col("_fold") != k, F.col(f"_x{j}"))) for k in folds for j in partly]
-        flat = rows.agg(*[c.alias(f"m{i}") for i, c in enumerate(cells)]).first()
-        medians[:, partly] = np.array([0.0 if v is None else v for v in flat], float).reshape(len(folds), len(partly))
+        # a row counts for every fold but its own
+        cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.when(F.col("_fold") != k, F.col(f"_x{j}")).alias("v")) for i, k in enumerate(folds) for j in partly])
+        for cell in quantiles(rows.select(F.explode(cells).alias("c")).select("c.*"), ["i", "j"], "v", [0.5], "m").collect():  # folds x columns
+            medians[cell["i"], cell["j"]] = cell["m"][0] or 0.0
 
     def gram(batch: pa.RecordBatch) -> np.ndarray:
         x, y, at = _arrays(batch, p)

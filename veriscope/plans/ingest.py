@@ -7,6 +7,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.quantiles import medians
 from .contract import CANDIDATE, SEED, AuditFrame, load, number
 
 #: Checks that a table without real subjects cannot support.
@@ -68,7 +69,7 @@ def ingest(df: DataFrame, spec: IngestSpec) -> tuple[AuditFrame, IngestRecord]:
 
         df = cut(df.withColumn("_row", F.monotonically_increasing_id()), "ingest")
     df = df.withColumns({c: number(c) for c in df.columns if c in ("y_true", "y_pred", "age") or CANDIDATE.match(c) or SEED.match(c)})
-    facts = df.agg(F.bool_and(F.col("y_true").isin(0.0, 1.0)).alias("binary"), F.median("y_true").alias("middle"), F.count("y_true").alias("n")).first()
+    facts = df.agg(F.bool_and(F.col("y_true").isin(0.0, 1.0)).alias("binary"), F.count("y_true").alias("n")).first()
     if not facts["n"]:
         raise NotAuditable(["y_true"], "no value of the truth is a number")
     if facts["binary"]:
@@ -76,8 +77,8 @@ def ingest(df: DataFrame, spec: IngestSpec) -> tuple[AuditFrame, IngestRecord]:
     if spec.unit == "g/L":
         df = df.withColumns({c: F.col(c) / 10 for c in df.columns if c in ("y_true", "y_pred") or CANDIDATE.match(c) or SEED.match(c)})
         record.assumptions.append("divided by ten, from the declared g/L to g/dL")
-    elif facts["middle"] > IMPLAUSIBLE_MEDIAN:
-        raise NotAuditable(["a declared unit"], f"a median of {facts['middle']:.4g} is implausible in {spec.unit}; declare g/L if that is the unit")
+    elif (middle := medians(df, ["y_true"])["y_true"]) is not None and middle > IMPLAUSIBLE_MEDIAN:
+        raise NotAuditable(["a declared unit"], f"a median of {middle:.4g} is implausible in {spec.unit}; declare g/L if that is the unit")
     if "sex" in df.columns:
         df = df.withColumn("sex", F.coalesce(F.create_map(*[F.lit(x) for kv in SEXES.items() for x in kv])[F.lower(F.trim("sex"))], F.col("sex")))
         odd = [r[0] for r in df.where(F.col("sex").isNotNull() & ~F.col("sex").isin("M", "F")).select("sex").distinct().orderBy("sex").limit(EXAMPLES).collect()]

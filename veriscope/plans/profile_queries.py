@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics, parse
 from ..operators import profiles
+from ..operators.quantiles import quantiles
 from ..session import table
 from .catalog import MEASUREMENT_SQL, SUBMISSION_SQL, bucket, measurements, query, sql_bucket, submission
 
@@ -163,8 +164,7 @@ FROM orders GROUP BY o_orderstatus
 """)
 def quantile_vector(spark, sf_dir):
     levels = (10, 25, 50, 75, 90)
-    found = F.percentile("o_totalprice", F.array(*[F.lit(q / 100) for q in levels]))
-    out = table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(found.alias("q"))
+    out = quantiles(table(spark, sf_dir, "orders").withColumnRenamed("o_orderstatus", "status"), ["status"], "o_totalprice", [q / 100 for q in levels], "q")
     return out.select("status", *[F.round(F.col("q")[i], 2).alias(f"p{q}") for i, q in enumerate(levels)])
 
 
