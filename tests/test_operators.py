@@ -156,9 +156,20 @@ def test_permutations_and_bootstrap(spark, monkeypatch):
         assert r["good"] == pytest.approx(np.mean([abs(g - swapped[s]) for g, s in zip(rows["good"], rows["subject"])]))
     p = resample.empirical_p(null, "good", 0.75)
     assert p["p"] == p["floor"] == 0.01 and p["at_floor"]
-    values = resample.bootstrap(spark, pd.DataFrame({"x": np.arange(100.0)}), lambda s: s["x"].mean(), 300)
-    ci = resample.interval(values)
+    sums = resample.replicate_sums(spark.range(100).repartition(3), F.col("id"), {"x": F.col("id"), "none": F.lit(None)}, 300)
+    ci = resample.interval(sums.select((F.col("x") / F.col("drawn")).alias("value")))
     assert ci["lo"] < 49.5 < ci["hi"] and ci["n"] == 300 and 2 < ci["se"] < 4
+    first = sums.where("replicate = 7").first()
+    times = resample.times_drawn(np.arange(100), 7)
+    assert first["x"] == times @ np.arange(100) and first["drawn"] == times.sum() and first["none"] == 0
+    drawn = resample.times_drawn(np.arange(200_000), 3)
+    assert drawn.mean() == pytest.approx(1, abs=0.02) and drawn.var() == pytest.approx(1, abs=0.03) and (drawn == 0).mean() == pytest.approx(np.exp(-1), abs=0.005)
+    assert resample.replicate_sums(spark.range(0), F.col("id"), {}, 5).count() == 0
+    assert [resample.drawn_hits(4, 5000, 1200, block) for block in (77, 1 << 20)] == [int((resample.scattered(resample.BOOTSTRAP_SEED, 4, 5000) % np.uint64(5000) < 1200).sum())] * 2
+    line = spark.range(400).select("id", (F.col("id") % 20).cast("double").alias("x"), (F.col("id") % 20 * 3.0 + F.col("id") % 7).alias("y"), F.lit(5.0).alias("same"))
+    found = {r["term"]: r for r in resample.least_squares_intervals(line, F.col("id"), ["y"], ["x"], 100).collect()}
+    assert found["x"]["lo"] < 3 < found["x"]["hi"] and found["x"]["hi"] - found["x"]["lo"] < 0.3 and found["intercept"]["n"] == 100
+    assert {r["skipped"] for r in resample.least_squares_intervals(line, F.col("id"), ["y"], ["x", "same"], 10).collect()} == {10}
     monkeypatch.setattr(resample, "MAX_SUBJECTS", 9)
     with pytest.raises(ValueError):
         resample.bounded(spark.range(10), ["id"])

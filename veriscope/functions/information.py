@@ -109,6 +109,8 @@ def mutual_information(x: np.ndarray, y: np.ndarray, k: int = NEIGHBOURS, seed:
     n = len(x)
     if n <= k + 1:
         return 0.0
+    if len(np.unique(x)) < len(np.unique(y)):  # the estimate is symmetric, and along a column of few values no walk would end early
+        x, y = y, x
     x, y = (v / (v.std() or 1) for v in (x, y))
     x, y = (v + 1e-10 * np.maximum(1, np.abs(v).mean()) * rng.normal(size=n) for v in (x, y))
     xs, ys = np.sort(x), np.sort(y)

@@ -131,9 +131,11 @@ def transfer_error(spark, sf_dir):
 
 
 @query(f"""
-WITH s AS ({SUBMISSION_SQL}), u AS (SELECT subject_id, avg(abs(y_pred - y_true)) AS m, avg(abs(20000 + 100 * quantity - y_true)) AS b, row_number() OVER (ORDER BY subject_id) - 1 AS j, count(*) OVER () AS n FROM s GROUP BY subject_id),
-d AS (SELECT i, CAST({resample.scattered_sql(resample.BOOTSTRAP_SEED, "i", "j")} % n::UHUGEINT AS BIGINT) AS pick FROM u, range({_REPLICATES}) r(i)),
-v AS (SELECT i, avg(u.b - u.m) AS v FROM d JOIN u ON u.j = d.pick GROUP BY i)
+WITH s AS ({SUBMISSION_SQL}), u AS (SELECT subject_id, avg(abs(y_pred - y_true)) AS m, avg(abs(20000 + 100 * quantity - y_true)) AS b FROM s GROUP BY subject_id),
+k AS (SELECT *, {resample.text_key_sql("subject_id")} AS key FROM u),
+h AS (SELECT i, b - m AS gap, {resample.scattered_sql(resample.BOOTSTRAP_SEED, "i", "key")} AS h FROM k, range({_REPLICATES}) r(i)),
+d AS (SELECT i, gap, {resample.times_drawn_sql("h")} AS w FROM h),
+v AS (SELECT i, sum(w * gap) / nullif(sum(w), 0) AS v FROM d GROUP BY i)
 SELECT (SELECT count(*) FROM u) AS n_subjects, (SELECT round(avg(b - m), 4) FROM u) AS gain, round(quantile_cont(v, 0.025), 4) AS lo, round(quantile_cont(v, 0.975), 4) AS hi, quantile_cont(v, 0.025) > 0 AS better FROM v
 """)
 def baseline_comparison(spark, sf_dir):

@@ -183,28 +183,42 @@ def nested_calls(spark, sf_dir):
 
 
 _RESAMPLES = 200
+_FITS = 40
 
 
 @query(f"""
 WITH s AS ({SCREENING_SQL}),
-t AS (SELECT truth, score, row_number() OVER (ORDER BY row_id, truth, score) - 1 AS j, count(*) OVER () AS n FROM s),
-d AS (SELECT i, CAST({resample.scattered_sql(resample.BOOTSTRAP_SEED, "i", "j")} % n::UHUGEINT AS BIGINT) AS pick FROM t, range({_RESAMPLES}) r(i)),
-v AS (SELECT i, CASE WHEN sum(truth) BETWEEN 1 AND count(*) - 1 THEN avg(CASE WHEN score < 70 THEN 1.0 ELSE 0.0 END) FILTER (WHERE truth = 1) END AS v FROM d JOIN t ON t.j = d.pick GROUP BY i)
+h AS (SELECT i, truth, score, {resample.scattered_sql(resample.BOOTSTRAP_SEED, "i", "row_id")} AS h FROM s, range({_RESAMPLES}) r(i)),
+d AS (SELECT i, truth, score, {resample.times_drawn_sql("h")} AS w FROM h),
+v AS (SELECT i, CASE WHEN sum(w * truth) > 0 AND sum(w * (1 - truth)) > 0 THEN sum(CASE WHEN score < 70 THEN w * truth ELSE 0 END) / sum(w * truth)::DOUBLE END AS v FROM d GROUP BY i)
 SELECT count(v) AS n, count(*) - count(v) AS skipped, round(quantile_cont(v, 0.025), 9) AS lo, round(quantile_cont(v, 0.975), 9) AS hi FROM v
 """)
 def bootstrap_ci(spark, sf_dir):
     """Percentile interval of the sensitivity at a fixed cut; one-class resamples are counted as skipped."""
-    rows = resample.bounded(screening_table(spark, sf_dir).select("row_id", "truth", "score").orderBy("row_id", "truth", "score"), ["row_id", "truth", "score"])
-
-    def sensitivity(sample) -> float:
-        positive = sample["truth"] == 1
-        return float((sample["score"][positive] < 70).mean()) if 0 < positive.sum() < len(sample) else float("nan")
-
-    found = resample.interval(resample.bootstrap(spark, rows, sensitivity, _RESAMPLES))
+    positive = F.col("truth").cast("double")
+    columns = {"positives": positive, "caught": F.when(F.col("score") < 70, positive)}
+    sums = resample.replicate_sums(screening_table(spark, sf_dir), F.col("row_id"), columns, _RESAMPLES)
+    value = F.when((F.col("positives") > 0) & (F.col("positives") < F.col("drawn")), F.col("caught") / F.col("positives"))
+    found = resample.interval(sums.select(value.alias("value")))
     digits = lambda v: None if v is None else round(v, 9)
     return spark.createDataFrame([(found["n"], found["skipped"], digits(found["lo"]), digits(found["hi"]))], "n long, skipped long, lo double, hi double")
 
 
+@query(f"""
+WITH s AS (SELECT l_extendedprice::DOUBLE AS y, l_quantity::DOUBLE AS x, l_orderkey * 10 + l_linenumber AS row_id FROM lineitem),
+h AS (SELECT i, x, y, {resample.scattered_sql(resample.BOOTSTRAP_SEED, "i", "row_id")} AS h FROM s, range({_FITS}) r(i)),
+d AS (SELECT i, x, y, {resample.times_drawn_sql("h")} AS w FROM h),
+q AS (SELECT i, sum(w) AS n, sum(w * x) AS x, sum(w * y) AS y, sum(w * x * x) AS xx, sum(w * x * y) AS xy FROM d GROUP BY i),
+b AS (SELECT (n * xy - x * y) / (n * xx - x * x) AS slope, (y - (n * xy - x * y) / (n * xx - x * x) * x) / n AS intercept FROM q)
+SELECT t.term, round(quantile_cont(t.v, 0.025), 3) AS lo, round(quantile_cont(t.v, 0.975), 3) AS hi, count(*) AS n FROM (SELECT 'intercept' AS term, intercept AS v FROM b UNION ALL SELECT 'l_quantity', slope FROM b) t GROUP BY t.term
+""")
+def least_squares_intervals(spark, sf_dir):
+    """Intervals of a least-squares line's coefficients over resampled rows."""
+    rows = table(spark, sf_dir, "lineitem").withColumn("row_id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    found = resample.least_squares_intervals(rows, F.col("row_id"), ["l_extendedprice"], ["l_quantity"], _FITS)
+    return found.select("term", F.round("lo", 3).alias("lo"), F.round("hi", 3).alias("hi"), "n")
+
+
 @query(f"""
 WITH {_ADVANTAGE_SQL}
 SELECT sex, count(*) AS n, round(avg(base_error - model_error), 2) AS diff, round(stddev_samp(base_error - model_error) / sqrt(count(*)), 3) AS se,
