@@ -51,7 +51,8 @@ MAX_LEVELS = 5
 _LOW = np.uint64((1 << 21) - 1)
 _BYTES = np.random.Generator(np.random.PCG64(200)).integers(0, 1 << 63, (2, 256), np.uint64)
 _STEP = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_TEXTS = "text_key binary, n_bytes long, hashes array<bigint>, places array<bigint>, starts array<bigint>"
+#: ``steps``: bytes from each anchor to the one before it (the first one: from the start); ``backs``: bytes from an anchor back to its first window. Both are at most SPAN.
+_TEXTS = "text_key binary, n_bytes long, hashes array<bigint>, steps array<tinyint>, backs array<tinyint>"
 _ANCHORS = "tid long, at long, h long, place long, start long, last long, step long, sym long"
 
 
@@ -111,17 +112,22 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def anchored_texts(keyed: DataFrame) -> DataFrame:
-    """``(tid, text_key, n_bytes, copies, hashes, places, starts)`` of each distinct text of at least STRING bytes."""
+    """``(tid, text_key, n_bytes, copies, hashes, steps, backs)`` of each distinct text of at least STRING bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(at, 256) for at in range(0, batch.num_rows, 256)):
-                rows = [(key, len(raw := text.as_py().encode("utf-8", "surrogatepass")), *(a.view(np.int64) for a in anchors(raw))) for key, text in zip(part.column(0).to_pylist(), part.column(1))]
-                key, size, *arrays = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(size, pa.int64()), *(pa.array(a, pa.list_(pa.int64())) for a in arrays)], ["text_key", "n_bytes", "hashes", "places", "starts"])
+                rows = []
+                for text in part.column(1):
+                    raw = text.as_py().encode("utf-8", "surrogatepass")
+                    h, place, start = anchors(raw)
+                    rows.append((len(raw), h.view(np.int64), np.diff(place, prepend=0).astype(np.int8), (place - start).astype(np.int8)))
+                size, h, steps, backs = zip(*rows)
+                lists = (pa.array(h, pa.list_(pa.int64())), *(pa.array(a, pa.list_(pa.int8())) for a in (steps, backs)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), *lists], ["text_key", "n_bytes", "hashes", "steps", "backs"])
 
     found = keyed.where(F.octet_length("text") >= STRING).select("text_key", "text").mapInArrow(run, _TEXTS)
-    each = found.groupBy("text_key").agg(*[F.first(c).alias(c) for c in ("n_bytes", "hashes", "places", "starts")], F.count("*").alias("copies"))
+    each = found.groupBy("text_key").agg(*[F.first(c).alias(c) for c in ("n_bytes", "hashes", "steps", "backs")], F.count("*").alias("copies"))
     return each.withColumn("tid", F.monotonically_increasing_id())
 
 
@@ -135,7 +141,9 @@ def hot_anchors(texts: DataFrame) -> DataFrame:
         bits = shared.value
         for batch in batches:
             for tid, n_bytes, *lists in zip(*(batch.column(k) for k in range(5))):
-                h, place, start = (np.asarray(x.values) for x in lists)
+                h, steps, backs = (np.asarray(x.values) for x in lists)
+                place = np.cumsum(steps.astype(np.int64))
+                start = place - backs
                 kept = np.nonzero(passes(bits, h))[0]
                 step = np.diff(place, append=n_bytes.as_py())
                 last = np.append(start[1:], n_bytes.as_py() - STRING + 1) - 1
@@ -145,7 +153,7 @@ def hot_anchors(texts: DataFrame) -> DataFrame:
                 columns = [pa.array(np.full(len(kept), tid.as_py())), *(pa.array(c[kept]) for c in (np.arange(len(h)), h, place, start, last, step)), pa.array(sym[kept], mask=null)]
                 yield pa.RecordBatch.from_arrays(columns, ["tid", "at", "h", "place", "start", "last", "step", "sym"])
 
-    passing = texts.select("tid", "n_bytes", "hashes", "places", "starts").mapInArrow(run, _ANCHORS)
+    passing = texts.select("tid", "n_bytes", "hashes", "steps", "backs").mapInArrow(run, _ANCHORS)
     return passing.join(hot, "h", "left_semi")
 
 
@@ -189,11 +197,11 @@ def repeated_suffixes(string: DataFrame, level: int = 0) -> DataFrame:
     of ``(tid, at, sym, step, first)``: step is a symbol's bytes, first those of its first symbol on the lowest level. Sound, and complete but
     for matches that end within a triple."""
     rest = SPAN - 2
-    follow = cut(_following(string), "suffix-string")
-    triple = ["sym", "sym1", "sym2"]
-    sampled = follow.where("at % 3 <> 0 and sym1 is not null and sym2 is not null")
-    names = numbered(sampled.groupBy(*triple).agg(F.count("*").alias("n")).where("n > 1").drop("n"), triple, "name")
-    named = cut(sampled.join(names, triple).select("tid", "at", "name", (F.col("step") + F.col("step1") + F.col("step2")).alias("size"), "first"), "suffix-named")
+    follow = _following(string).withColumn("triple", F.when(F.col("sym2").isNotNull(), F.xxhash64("sym", "sym1", "sym2"))).drop("sym2")
+    follow = cut(follow, "suffix-string")
+    sampled = follow.where("at % 3 <> 0 and triple is not null")
+    names = numbered(sampled.groupBy("triple").agg(F.count("*").alias("n")).where("n > 1").drop("n"), ["triple"], "name")
+    named = cut(sampled.join(names, "triple").select("tid", "at", "name", (F.col("step") + F.col("step1") + F.col("step2")).alias("size"), "first"), "suffix-named")
     long = F.col("size") - F.col("first") >= rest
     found = named.where(long).select("tid", "at")
     if level < MAX_LEVELS and not named.where(~long).isEmpty():
@@ -208,8 +216,8 @@ def repeated_suffixes(string: DataFrame, level: int = 0) -> DataFrame:
     next_name = lambda k: named.select("tid", (F.col("at") - k).alias("at"), F.col("name").alias("next"), "size")
     near = follow.where("at % 3 <> 2 and sym1 is not null").join(next_name(1), ["tid", "at"]).where(F.col("size") >= rest)
     far = follow.where("at % 3 <> 1 and sym1 is not null").join(next_name(2), ["tid", "at"]).where(F.col("size") + F.col("step1") >= rest)
-    found = found.unionByName(_repeated(near.select("tid", "at", "sym", "next"), ["sym", "next"]).select("tid", "at"))
-    found = found.unionByName(_repeated(far.select("tid", "at", "sym", "sym1", "next"), ["sym", "sym1", "next"]).select("tid", "at"))
+    found = found.unionByName(_repeated(near.select("tid", "at", F.xxhash64("sym", "next").alias("key")), ["key"]).select("tid", "at"))
+    found = found.unionByName(_repeated(far.select("tid", "at", F.xxhash64("sym", "sym1", "next").alias("key")), ["key"]).select("tid", "at"))
     return found.distinct()
 
 
@@ -257,11 +265,23 @@ def settled(hot: DataFrame, inner: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "tid long, h long, place long, start long, last long, open boolean, from long, to long")
 
 
+def _passing(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The ``rows`` (text_key, text) whose key is among the ``wanted`` ones, and few others."""
+    shared = rows.sparkSession.sparkContext.broadcast(bit_filter(wanted.select(F.xxhash64("text_key").alias("k")), "k"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.select(["text_key", "text"]).filter(pa.array(passes(shared.value, batch.column(2).to_numpy())))
+
+    return rows.withColumn("k", F.xxhash64("text_key")).mapInArrow(run, "text_key binary, text string")
+
+
 def contexts(keyed: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
     """``(h, tid, place, start, open, bytes)``: the bytes under the windows of each anchor in ``members``."""
     lists = members.groupBy("tid").agg(F.collect_list(F.struct("h", "place", "start", "last", "open")).alias("anchors"))
-    lists = lists.join(texts.select("tid", "text_key"), "tid")
-    once = keyed.where(F.octet_length("text") >= STRING).groupBy("text_key").agg(F.first("text").alias("text"))
+    lists = cut(lists.join(texts.select("tid", "text_key"), "tid"), "suffix-lists")
+    some = _passing(keyed.where(F.octet_length("text") >= STRING).select("text_key", "text"), lists)
+    once = some.groupBy("text_key").agg(F.first("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["h", "tid", "place", "start", "open", "bytes"]
@@ -332,7 +352,7 @@ def repeated_spans(keyed: DataFrame) -> DataFrame:
     open_strings = rows.where("open").select("h").distinct()
     members = rows.join(open_strings, "h", "left_semi")
     large = cut(members.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > LARGE).select("h"), "suffix-large")
-    edges = edge_spans(contexts(keyed, members, texts), large)
+    edges = edge_spans(cut(contexts(keyed, members, texts), "suffix-contexts"), large)
     spans = edges.unionByName(rows.where("from is not null").select("tid", "from", "to")).unionByName(texts.where("copies > 1").select("tid", F.lit(0).cast("long").alias("from"), F.col("n_bytes").alias("to")))
     lists = spans.groupBy("tid").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
     return cut(lists.join(texts.select("tid", "text_key"), "tid").select("text_key", "spans"), "suffix-spans")
@@ -357,20 +377,31 @@ def _kept(raw: bytes, spans: pa.StructScalar) -> tuple[bytes, int, int]:
 
 def suffix_report(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` for every row of ``docs``."""
-    keyed = _keyed(docs)
+    keyed, names = _keyed(docs), ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    spans = repeated_spans(keyed)
+    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(spans.select(F.xxhash64("text_key").alias("k")), "k"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What a text without spans comes to; the texts that may have some go on."""
         for batch in batches:
-            size, gone, n, sha = [], [], [], []
-            for text, spans in zip(batch.column(1), batch.column(2)):
+            rows = []
+            for text, some in zip(batch.column(2), passes(shared.value, batch.column(3).to_numpy())):
                 raw = text.as_py().encode("utf-8", "surrogatepass")
-                kept, removed, runs = _kept(raw, spans)
-                size.append(len(raw))
+                rows.append((len(raw), None, text.as_py()) if some else (len(raw), hashlib.sha256(raw).hexdigest(), None))
+            size, sha, texts = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(sha, pa.string()), pa.array(texts, pa.string())], ["doc_id", "text_key", "n_bytes", "sha", "text"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gone, n, sha = [], [], []
+            for known, text, found in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4)):
+                kept, removed, runs = _kept(text.as_py().encode("utf-8", "surrogatepass"), found) if known is None else (b"", 0, 0)
                 gone.append(removed)
                 n.append(runs)
-                sha.append(hashlib.sha256(kept).hexdigest())
-            columns = [batch.column(0), *(pa.array(c, pa.int64()) for c in (size, gone, n)), pa.array(sha, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                sha.append(known or hashlib.sha256(kept).hexdigest())
+            columns = [batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in (gone, n)), pa.array(sha, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    rows = keyed.join(repeated_spans(keyed), "text_key", "left").select("doc_id", "text", "spans")
+    rows = keyed.select("doc_id", "text_key", "text", F.xxhash64("text_key").alias("k")).mapInArrow(whole, "doc_id long, text_key binary, n_bytes long, sha string, text string")
+    rows = rows.join(spans, "text_key", "left").select("doc_id", "n_bytes", "sha", "text", "spans")
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
