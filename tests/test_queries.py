@@ -74,6 +74,25 @@ def test_ridge_errors_by_fold(spark):
         assert got.loc[k, "n"] == (~tr).sum() and got.loc[k, "mae"] == pytest.approx(error.mean(), abs=0.02)
 
 
+def test_boosted_errors_by_fold(spark):
+    """Fold by fold with a booster that grows its trees row by row."""
+    from test_boosting import plain
+
+    from veriscope.operators.boosting import BINS, bin_edges
+    from veriscope.plans.model_queries import _TREES
+
+    df = submission(spark, SF)
+    s = df.toPandas()
+    x = np.column_stack([s["quantity"], s["sex"] == "A", s["sex"] == "N"]).astype(float)
+    y, fold = s["y_true"].to_numpy(float), s["fold"].to_numpy()
+    edges = bin_edges(spark.createDataFrame(x.tolist(), "a double, b double, c double"), ["a", "b", "c"], BINS)
+    got = pandas(spark, "boosted_trees_cv").set_index("fold")
+    for k in np.unique(fold):
+        test = np.nonzero(fold == k)[0]
+        want = plain(x, y, edges, np.nonzero(fold != k)[0], test, _TREES, 2, 0.3)
+        assert got.loc[k, "n"] == len(test) and got.loc[k, "mae"] == pytest.approx(np.abs(want - y[test]).mean(), abs=0.02)
+
+
 def test_illuminants_of_vectors(spark, duck):
     got = pandas(spark, "illuminant_estimates").set_index("vec_id")
     rows = duck.sql("select vec_id, embedding from embeddings").fetchall()
@@ -104,7 +123,7 @@ def test_audit_gives_every_check_a_verdict(spark):
 
 
 def test_every_query_without_sql_is_named_here():
-    assert set(QUERIES) - set(ORACLE_SQL) == {"sobol_indices", "grouped_ridge_cv", "illuminant_estimates", "signal_features", "audit_report"}
+    assert set(QUERIES) - set(ORACLE_SQL) == {"sobol_indices", "grouped_ridge_cv", "boosted_trees_cv", "illuminant_estimates", "signal_features", "audit_report"}
 
 
 def test_entry(spark):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import parse, power, simulation
+from ..operators import positional
 from ..session import table
 from ..sources import files, manifest
 from .catalog import SUBMISSION_SQL, bucket, query, sql_bucket, submission
@@ -104,3 +105,17 @@ def error_bands(spark, sf_dir):
     error = F.abs(F.col("l_extendedprice") / 1000 - F.col("l_quantity")) / 10
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), simulation.band(error).alias("band"))
     return rows.groupBy("flag", "band").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH a AS (SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS position, o_orderkey AS order_key, o_totalprice AS price FROM orders),
+b AS (SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS position, o_orderkey AS file_key, o_custkey AS customer FROM orders)
+SELECT position, order_key, price, file_key, customer FROM a JOIN b USING (position)
+""")
+def positional_pairs(spark, sf_dir):
+    """Two tables that only their order ties together, joined by position after their orders are found to agree."""
+    orders = table(spark, sf_dir, "orders")
+    left = orders.select(F.col("o_orderkey").alias("order_key"), F.col("o_totalprice").alias("price"), F.col("o_orderdate").alias("dated"))
+    right = orders.select(F.col("o_orderkey").alias("file_key"), F.col("o_custkey").alias("customer"), F.col("o_orderdate").alias("filed"))
+    found = positional.positional_join(left, right, ["dated", "order_key"], ["filed", "file_key"], {"order_key": "file_key"})
+    return found.select("position", "order_key", "price", "file_key", "customer")

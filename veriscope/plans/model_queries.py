@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import metrics, power, windows
-from ..operators import resample, ridge, screening, similarity
+from ..operators import boosting, resample, ridge, screening, similarity
 from ..operators.running import rank_in_slices, sliced
 from ..session import table
 from .catalog import SCREENING_SQL, SUBMISSION_SQL, bucket, query, screening_table, sql_bucket, submission
@@ -19,6 +19,17 @@ def grouped_ridge_cv(spark, sf_dir):
     return out.groupBy("fold").agg(F.count("*").alias("n"), F.round(metrics.mae("y_true", "ridge_pred"), 2).alias("mae"), F.round(metrics.r2("y_true", "ridge_pred"), 4).alias("r2"))
 
 
+_TREES = 10
+
+
+@query()
+def boosted_trees_cv(spark, sf_dir):
+    """Out-of-fold error of boosted trees on the columns of the ridge, by fold: what a linear model misses."""
+    s = submission(spark, sf_dir).withColumns({"is_a": (F.col("sex") == "A").cast("double"), "is_n": (F.col("sex") == "N").cast("double")})
+    out = boosting.boosted_trees(s, ["quantity", "is_a", "is_n"], "y_true", "fold", trees=_TREES, rate=0.3)
+    return out.groupBy("fold").agg(F.count("*").alias("n"), F.round(metrics.mae("y_true", "boost_pred"), 2).alias("mae"), F.round(metrics.r2("y_true", "boost_pred"), 4).alias("r2"))
+
+
 _ADVANTAGE_SQL = f"""
 s AS ({SUBMISSION_SQL}), t AS (SELECT avg(y_true) AS mean FROM s),
 e AS (SELECT s.*, abs(mean - y_true) AS base_error, abs(y_pred - y_true) AS model_error FROM s, t)
