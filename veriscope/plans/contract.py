@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..operators import splits
 from ..session import cut
+from ..sources import tables
 
 REQUIRED = ("subject_id", "y_true", "y_pred")
 OPTIONAL = ("split", "age", "sex", "device", "site", "group", "image_path")
@@ -129,9 +130,9 @@ def validate(df: DataFrame) -> tuple[list[str], list[str], int]:
 
 
 def load(source: DataFrame | str, spark: SparkSession | None = None, content: DataFrame | None = None) -> AuditFrame:
-    """A validated AuditFrame from a DataFrame or a CSV path; raises ContractError."""
+    """A validated AuditFrame from a DataFrame, a CSV path or a workbook (.xlsx, its first sheet); raises ContractError."""
     if isinstance(source, str):
-        source = spark.read.csv(source, header=True, inferSchema=False)
+        source = tables.spreadsheet(spark, source) if source.lower().endswith(".xlsx") else spark.read.csv(source, header=True, inferSchema=False)
     df = source.toDF(*[c.strip() for c in source.columns])
     errors, warnings, dropped = validate(df)
     if errors:

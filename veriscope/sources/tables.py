@@ -8,14 +8,17 @@ import struct
 import zipfile
 import zlib
 from collections.abc import Iterator
+from datetime import datetime, time, timedelta
 from xml.etree import ElementTree
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.parse import stem
+from ..session import cut
 from .files import IMAGE_SUFFIXES, files
 
 
@@ -46,36 +49,115 @@ def _column(reference: str) -> int:
     return n - 1
 
 
-def sheet_rows(content: bytes, sheet: int = 1) -> list[list[str | None]]:
-    """The cells of a spreadsheet (XLSX) as text, row by row."""
+#: The number formats that every spreadsheet has for dates and times.
+_DATE_FORMATS = {14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47}
+_DAY_ZERO = datetime(1899, 12, 30)
+
+
+def _local(element: ElementTree.Element) -> str:
+    return element.tag.rpartition("}")[2]
+
+
+def _texts(z: zipfile.ZipFile, member: str, tag: str) -> Iterator[ElementTree.Element]:
+    """The elements of one name in a member, one at a time; each is forgotten once it was used."""
+    if member in z.namelist():
+        with z.open(member) as f:
+            for _, element in ElementTree.iterparse(f):
+                if _local(element) == tag:
+                    yield element
+                    element.clear()
+
+
+def sheets(content: bytes) -> list[tuple[str, str]]:
+    """(name, member of the archive) of a workbook's sheets, in order."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        local = lambda e: e.tag.rpartition("}")[2]
-        shared = []
-        if "xl/sharedStrings.xml" in z.namelist():
-            for item in ElementTree.fromstring(z.read("xl/sharedStrings.xml")):
-                shared.append("".join(t.text or "" for t in item.iter() if local(t) == "t"))
-        rows = []
-        for row in ElementTree.fromstring(z.read(f"xl/worksheets/sheet{sheet}.xml")).iter():
-            if local(row) != "row":
-                continue
+        if "xl/workbook.xml" not in z.namelist():  # a bare sheet
+            return [(m.rpartition("/")[2].removesuffix(".xml"), m) for m in sorted(z.namelist()) if m.startswith("xl/worksheets/sheet")]
+        targets = {e.get("Id"): e.get("Target") for e in _texts(z, "xl/_rels/workbook.xml.rels", "Relationship")}
+        out = []
+        for k, e in enumerate(_texts(z, "xl/workbook.xml", "sheet"), 1):
+            link = next((v for name, v in e.attrib.items() if name.endswith("}id")), None)
+            target = targets.get(link, f"worksheets/sheet{k}.xml")
+            out.append((e.get("name"), target.lstrip("/") if target.startswith("/") else f"xl/{target}"))
+        return out
+
+
+def _date_styles(z: zipfile.ZipFile) -> set[int]:
+    """Numbers of the cell styles that show a number as a date."""
+    if "xl/styles.xml" not in z.namelist():
+        return set()
+    dated, styles = set(_DATE_FORMATS), set()
+    for part in ElementTree.fromstring(z.read("xl/styles.xml")):
+        if _local(part) == "numFmts":
+            dated |= {int(e.get("numFmtId")) for e in part if re.search("[ymdh]", re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", e.get("formatCode", "").lower()))}
+        if _local(part) == "cellXfs":
+            styles = {k for k, e in enumerate(part) if int(e.get("numFmtId", 0)) in dated}
+    return styles
+
+
+def sheet_cells(content: bytes, member: str) -> Iterator[list[str | None]]:
+    """The rows of a sheet as text, read as a stream: shared strings resolved, dates as ISO text, errors null."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        joined = lambda e: "".join(t.text or "" for t in e.iter() if _local(t) == "t")
+        shared, dated = [joined(e) for e in _texts(z, "xl/sharedStrings.xml", "si")], _date_styles(z)
+        for row in _texts(z, member, "row"):
             cells: dict[int, str | None] = {}
             for k, cell in enumerate(row):
-                value = next((c.text for c in cell if local(c) == "v"), None)
-                if cell.get("t") == "s" and value is not None:
+                kind, value = cell.get("t"), next((c.text for c in cell if _local(c) == "v"), None)
+                if kind == "s" and value is not None:
                     value = shared[int(value)]
-                elif cell.get("t") == "inlineStr":
-                    value = "".join(t.text or "" for t in cell.iter() if local(t) == "t")
+                elif kind == "inlineStr":
+                    value = joined(cell)
+                elif kind == "b":
+                    value = {"1": "true", "0": "false"}.get(value)
+                elif kind == "e":
+                    value = None
+                elif kind in (None, "n") and value is not None and int(cell.get("s", 0)) in dated:
+                    moment = _DAY_ZERO + timedelta(days=float(value))
+                    value = moment.date().isoformat() if moment.time() == time.min else moment.isoformat(sep=" ", timespec="seconds")
                 cells[_column(cell.get("r")) if cell.get("r") else k] = value
-            rows.append([cells.get(k) for k in range(max(cells, default=-1) + 1)])
-    return rows
+            yield [cells.get(k) for k in range(max(cells, default=-1) + 1)]
 
 
-def spreadsheet(spark: SparkSession, path: str, sheet: int = 1) -> DataFrame:
-    """A spreadsheet's rows under the names in its first row, all as text. Sheets hold a million rows at most, so one is read on the driver."""
-    rows = sheet_rows(bytes(spark.read.format("binaryFile").load(path).select("content").first()[0]), sheet)
-    names = [str(c or f"_{k}").strip() for k, c in enumerate(rows[0])] if rows else []
-    data = [tuple((r + [None] * len(names))[: len(names)]) for r in rows[1:] if any(v is not None for v in r)]
-    return spark.createDataFrame(data, ", ".join(f"`{n}` string" for n in names))
+def sheet_rows(content: bytes, sheet: int = 1) -> list[list[str | None]]:
+    """The cells of a workbook's n-th sheet."""
+    return list(sheet_cells(content, sheets(content)[sheet - 1][1]))
+
+
+def workbook_rows(spark: SparkSession, path: str, sheet: str | int = 1, batch: int = 5000) -> DataFrame:
+    """``(path, sheet, row, cells)``: the rows of the sheet of that name or number in each workbook of ``path`` (a file, folder or pattern). A task reads a
+    workbook; its rows leave it in batches. A workbook without the sheet gives no rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("path", pa.string()), ("sheet", pa.string()), ("row", pa.int64()), ("cells", pa.list_(pa.string()))])
+        for files_read in batches:
+            for name, content in zip(files_read.column(0).to_pylist(), files_read.column(1).to_pylist()):
+                found = [(s, m) for k, (s, m) in enumerate(sheets(content), 1) if sheet in (k, s)]
+                for title, member in found[:1]:
+                    held: list[list[str | None]] = []
+                    at = 0
+                    for cells in sheet_cells(content, member):
+                        held.append(cells)
+                        if len(held) == batch:
+                            yield pa.RecordBatch.from_arrays([pa.array([name] * batch), pa.array([title] * batch), pa.array(np.arange(at, at + batch)), pa.array(held, pa.list_(pa.string()))], schema=schema)
+                            at, held = at + batch, []
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(held), pa.string()), pa.array([title] * len(held), pa.string()), pa.array(np.arange(at, at + len(held))), pa.array(held, pa.list_(pa.string()))], schema=schema)
+
+    books = spark.read.format("binaryFile").load(path).select("path", "content")
+    return books.mapInArrow(run, "path string, sheet string, row long, cells array<string>")
+
+
+def spreadsheet(spark: SparkSession, path: str, sheet: str | int = 1) -> DataFrame:
+    """The rows of a sheet under the names in its first row, all as text; rows without any value are left out, a name that is missing is
+    ``_<k>``, and one that is there already gets its place behind it. Of several workbooks the names are those of the first by path."""
+    rows = cut(workbook_rows(spark, path, sheet), "workbook")
+    head = rows.where("row = 0").orderBy("path").select("cells").first()
+    names: list[str] = []
+    for k, cell in enumerate(head[0] if head else []):
+        name = (cell or "").strip() or f"_{k}"
+        names.append(f"{name}_{k + 1}" if name in names else name)
+    body = rows.where("row > 0 and exists(cells, c -> c is not null and trim(c) <> '')")
+    return body.select(*[F.get("cells", k).alias(name) for k, name in enumerate(names)])
 
 
 def image_header(content: bytes) -> dict:
