@@ -27,6 +27,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a similarity of 0.8 or more over five-word shingles, the smallest doc_id.
 
+    SimHash fingerprints within four bits lead documents to each other first; since four bits do not reach down to 0.8, an exact prefix filter over
+    the shingles finds the other pairs, and exact sets decide on all of them (``shingle_links``).
     Texts without words (null, empty, white space) are one group; rows that repeat the kept doc_id all stay, as do rows with a
     null doc_id; long texts count whole."""
     return simhash_dedup.drop_near_duplicates(docs, shingle=5)
