@@ -82,7 +82,7 @@ def test_wide_lists_give_the_same(spark, monkeypatch, documents):
     label = brute(rows)
     for wide in (0, 64):
         monkeypatch.setattr(L, "WIDE", wide)
-        monkeypatch.setattr(L, "open_lists", lambda r, g, _open=L.open_lists.__wrapped__ if hasattr(L.open_lists, "__wrapped__") else L.open_lists, w=wide: _open(r, spark.createDataFrame([], "node long, component long"), w))
+        monkeypatch.setattr(L, "open_lists", lambda r, g, _open=L.open_lists, w=wide, **kw: _open(r, spark.createDataFrame([], "node long, component long"), w, **kw))
         got = {r["doc_id"]: r["component_id"] for r in L.components(documents(rows).select("doc_id", "text"), 5).collect()}
         monkeypatch.undo()
         assert got == label
@@ -114,6 +114,14 @@ def test_templated_pages_do_not_meet(spark, monkeypatch):
     assert sum(compared[:2]) <= 2 * 300 and sum(compared[2:]) <= 2 * 1500
 
 
+def test_tables_go(monkeypatch, documents, tmp_path):
+    """What a run has written is gone when its components are, but for them and what the components' own rounds end with."""
+    monkeypatch.setattr("veriscope.session.LOCAL_CHECKPOINTS", str(tmp_path))
+    assert L.components(documents(corpus(4)).select("doc_id", "text"), 5).count() == 33
+    left = {p.name.rpartition("-")[0] for p in tmp_path.iterdir()}
+    assert left <= {"near-components", "edges", "small"}
+
+
 def test_prefix_filter_loses_no_pair():
     rng = np.random.default_rng(4)
     sketch = rng.integers(0, 255, L.SKETCH, dtype=np.uint8)

@@ -20,7 +20,7 @@ words than the shingle is one shingle.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..session import cut
+from ..session import cut, discard
 from .bits import bit_filter, passes
 
 SKETCH = 1 << 22
@@ -148,9 +148,9 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, shingle: int) -> DataFrame:
     return docs.mapInArrow(run, "token long, doc long, n long")
 
 
-def shared_prefixes(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+def shared_prefixes(rows: DataFrame, nodes: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = cut) -> DataFrame:
     """The ``rows`` of documents in ``nodes`` (rep) whose token is in more than one row."""
-    again = cut(rows.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token"), "near-tokens")
+    again = keep(rows.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token"), "near-tokens")
     shared = rows.sparkSession.sparkContext.broadcast(bit_filter(again, "token"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,14 +232,14 @@ def block_links(groups: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataF
     return dealt.groupBy("token", "lo", "hi").applyInPandas(meet, "src long, dst long")
 
 
-def open_lists(rows: DataFrame, groups: DataFrame, wide: int = WIDE) -> tuple[DataFrame, DataFrame]:
+def open_lists(rows: DataFrame, groups: DataFrame, wide: int = WIDE, keep: Callable[[DataFrame, str], DataFrame] = cut) -> tuple[DataFrame, DataFrame]:
     """Of lists that hold nodes of several ``groups`` (node, component): the pairs (src, dst) that could be similar, and the lists with too many pairs
     as ``(token, node)``. A pair that shares such a list is left to it."""
     own = groups.select(F.col("node").alias("doc"), "component")
     rows = rows.join(own, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     sizes = rows.groupBy("token", "component").agg(F.count("*").alias("k")).groupBy("token")
     sizes = sizes.agg(F.count("*").alias("parts"), F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("squares")).where("parts > 1")
-    rows = cut(rows.join(sizes.select("token", (F.col("k") * F.col("k") - F.col("squares") > 2 * wide * F.col("k")).alias("wide")), "token"), "near-open")
+    rows = keep(rows.join(sizes.select("token", (F.col("k") * F.col("k") - F.col("squares") > 2 * wide * F.col("k")).alias("wide")), "token"), "near-open")
     few = rows.where("not wide").select("token", F.col("doc").alias("src"), F.col("n"), F.col("component").alias("a"))
     other = few.select("token", F.col("src").alias("dst"), F.col("n").alias("m"), F.col("a").alias("b"))
     met = few.join(other, "token").where((F.col("src") > F.col("dst")) & (F.col("a") != F.col("b")) & _comparable(F.col("n"), F.col("m")))
@@ -251,23 +251,32 @@ def components(docs: DataFrame, shingle: int) -> DataFrame:
     """``(doc_id, component_id)`` for every row of ``docs`` (doc_id, text) with a doc_id."""
     from .simhash_dedup import near_links
 
+    tables: list[DataFrame] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        """A written table that goes when the components are written."""
+        tables.append(cut(df, name))
+        return tables[-1]
+
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    first = cut(described(docs, shingle), "near-first")
+    first = keep(described(docs, shingle), "near-first")
     found = first.where("segment is null").select("doc_id", "fp", "set_a", "set_b")
-    sets = cut(found.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp")), "near-sets")
-    rows = cut(shared_prefixes(cut(prefixes(docs, sketch_of(first), shingle), "near-prefixes"), sets), "near-lists")
-    distinct = cut(sets.groupBy("fp").agg(F.min("rep").alias("rep")), "near-fp")
+    sets = keep(found.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp")), "near-sets")
+    rows = keep(shared_prefixes(keep(prefixes(docs, sketch_of(first), shingle), "near-prefixes"), sets, keep), "near-lists")
+    distinct = keep(sets.groupBy("fp").agg(F.min("rep").alias("rep")), "near-fp")
     same = sets.join(distinct.withColumnRenamed("rep", "dst"), "fp").select(F.col("rep").alias("src"), "dst").where("src <> dst")
     close = connected_components(near_links(distinct).unionByName(same)).where("node <> component").select(F.col("node").alias("src"), F.col("component").alias("dst"))
-    pairs = cut(leads(rows).unionByName(close).distinct(), "near-pairs")
+    pairs = keep(leads(rows).unionByName(close).distinct(), "near-pairs")
     ends = lambda p: p.select(F.explode(F.array("src", "dst")).alias("node"))
-    links = cut(similar_pairs(pairs, cut(shingle_sets(docs, ends(pairs).distinct(), shingle), "near-members")), "near-links")
+    links = keep(similar_pairs(pairs, keep(shingle_sets(docs, ends(pairs).distinct(), shingle), "near-members")), "near-links")
     groups = connected_components(links)
-    pairs, lists = open_lists(rows, groups)
-    pairs, lists = cut(pairs, "near-pairs"), cut(lists, "near-wide")
-    members = cut(shingle_sets(docs, ends(pairs).unionByName(lists.select("node")).distinct(), shingle), "near-members")
+    pairs, lists = open_lists(rows, groups, keep=keep)
+    pairs, lists = keep(pairs, "near-pairs"), keep(lists, "near-wide")
+    members = keep(shingle_sets(docs, ends(pairs).unionByName(lists.select("node")).distinct(), shingle), "near-members")
     links = links.unionByName(similar_pairs(pairs, members)).unionByName(block_links(lists, members))
     exact = connected_components(links)
     labels = sets.join(exact.withColumnRenamed("node", "rep"), "rep", "left")
-    labels = cut(labels.select("set_a", "set_b", F.coalesce("component", "rep").alias("component_id")), "near-labels")
-    return found.select("doc_id", "set_a", "set_b").join(labels, ["set_a", "set_b"]).select("doc_id", "component_id")
+    labels = keep(labels.select("set_a", "set_b", F.coalesce("component", "rep").alias("component_id")), "near-labels")
+    out = cut(found.select("doc_id", "set_a", "set_b").join(labels, ["set_a", "set_b"]).select("doc_id", "component_id"), "near-components")
+    discard(*tables)
+    return out
