@@ -30,7 +30,7 @@ valid UTF-8. Long texts are read whole, in blocks. Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, discard
 from .bits import bit_filter, passes
 from .textfeatures import mixed
 
@@ -47,6 +47,8 @@ SPAN = STRING - GRAM + 1
 #: Bytes that are hashed at once, so that tables of powers and temporary arrays stay small.
 BLOCK = 1 << 17
 LARGE = 2000
+#: Writes a table, as ``cut`` does.
+Keep = Callable[[DataFrame, str], DataFrame]
 MAX_LEVELS = 5
 _LOW = np.uint64((1 << 21) - 1)
 _BYTES = np.random.Generator(np.random.PCG64(200)).integers(0, 1 << 63, (2, 256), np.uint64)
@@ -131,10 +133,10 @@ def anchored_texts(keyed: DataFrame) -> DataFrame:
     return each.withColumn("tid", F.monotonically_increasing_id())
 
 
-def hot_anchors(texts: DataFrame) -> DataFrame:
+def hot_anchors(texts: DataFrame, keep: Keep = cut) -> DataFrame:
     """Rows of _ANCHORS whose string occurs at least twice; ``sym`` is null at a text's last anchor."""
     hashes = texts.select(F.explode("hashes").alias("h"))
-    hot = cut(hashes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "suffix-hot")
+    hot = keep(hashes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "suffix-hot")
     shared = texts.sparkSession.sparkContext.broadcast(bit_filter(hot, "h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +159,7 @@ def hot_anchors(texts: DataFrame) -> DataFrame:
     return passing.join(hot, "h", "left_semi")
 
 
-def numbered(rows: DataFrame, key: list[str], out: str) -> DataFrame:
+def numbered(rows: DataFrame, key: list[str], out: str, keep: Keep = cut) -> DataFrame:
     """``rows`` with their place from 1 on in the sort on ``key``, which is unique: sorted ranges, and the sizes of the ranges before."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = rows.repartitionByRange(parts, *key).sortWithinPartitions(*key)
@@ -172,7 +174,7 @@ def numbered(rows: DataFrame, key: list[str], out: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, part)), pa.array(place)], [*batch.schema.names, "part", out])
 
     schema = ranged.select("*", F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias(out)).schema
-    sorted_rows = cut(ranged.mapInArrow(run, schema), "suffix-names")
+    sorted_rows = keep(ranged.mapInArrow(run, schema), "suffix-names")
     sizes = dict(sorted(map(tuple, sorted_rows.groupBy("part").count().collect())))
     before = np.concatenate(([0], np.cumsum(list(sizes.values()))))[:-1].tolist()
     offset = F.element_at(F.create_map(*[F.lit(v) for pair in zip(sizes, before) for v in pair]), F.col("part")) if sizes else F.lit(0)
@@ -192,16 +194,16 @@ def _repeated(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.join(again, key, "left_semi")
 
 
-def repeated_suffixes(string: DataFrame, level: int = 0) -> DataFrame:
+def repeated_suffixes(string: DataFrame, level: int = 0, keep: Keep = cut) -> DataFrame:
     """``(tid, at)`` of places from which symbols of at least SPAN - 2 bytes beyond the first one repeat elsewhere, in a string
     of ``(tid, at, sym, step, first)``: step is a symbol's bytes, first those of its first symbol on the lowest level. Sound, and complete but
     for matches that end within a triple."""
     rest = SPAN - 2
     follow = _following(string).withColumn("triple", F.when(F.col("sym2").isNotNull(), F.xxhash64("sym", "sym1", "sym2"))).drop("sym2")
-    follow = cut(follow, "suffix-string")
+    follow = keep(follow, "suffix-string")
     sampled = follow.where("at % 3 <> 0 and triple is not null")
-    names = numbered(sampled.groupBy("triple").agg(F.count("*").alias("n")).where("n > 1").drop("n"), ["triple"], "name")
-    named = cut(sampled.join(names, "triple").select("tid", "at", "name", (F.col("step") + F.col("step1") + F.col("step2")).alias("size"), "first"), "suffix-named")
+    names = numbered(sampled.groupBy("triple").agg(F.count("*").alias("n")).where("n > 1").drop("n"), ["triple"], "name", keep)
+    named = keep(sampled.join(names, "triple").select("tid", "at", "name", (F.col("step") + F.col("step1") + F.col("step2")).alias("size"), "first"), "suffix-named")
     long = F.col("size") - F.col("first") >= rest
     found = named.where(long).select("tid", "at")
     if level < MAX_LEVELS and not named.where(~long).isEmpty():
@@ -210,7 +212,7 @@ def repeated_suffixes(string: DataFrame, level: int = 0) -> DataFrame:
         wanted = named.where(~long).select(F.explode(F.array(low(0), low(3), low(6))).alias("p")).select("p.*").distinct()
         deeper = named.join(wanted, ["tid", "at"], "left_semi")
         deeper = deeper.select((2 * F.col("tid") + F.col("at") % 3 - 1).alias("tid"), F.floor(F.col("at") / 3).alias("at"), F.col("name").alias("sym"), F.col("size").alias("step"), "first")
-        again = repeated_suffixes(deeper, level + 1)
+        again = repeated_suffixes(deeper, level + 1, keep)
         found = found.unionByName(again.select(F.shiftright("tid", 1).alias("tid"), (3 * F.col("at") + F.pmod("tid", F.lit(2)) + 1).alias("at")))
     # places that are not sampled, against those that are, by what comes before the next name they share
     next_name = lambda k: named.select("tid", (F.col("at") - k).alias("at"), F.col("name").alias("next"), "size")
@@ -276,10 +278,10 @@ def _passing(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.withColumn("k", F.xxhash64("text_key")).mapInArrow(run, "text_key binary, text string")
 
 
-def contexts(keyed: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
+def contexts(keyed: DataFrame, members: DataFrame, texts: DataFrame, keep: Keep = cut) -> DataFrame:
     """``(h, tid, place, start, open, bytes)``: the bytes under the windows of each anchor in ``members``."""
     lists = members.groupBy("tid").agg(F.collect_list(F.struct("h", "place", "start", "last", "open")).alias("anchors"))
-    lists = cut(lists.join(texts.select("tid", "text_key"), "tid"), "suffix-lists")
+    lists = keep(lists.join(texts.select("tid", "text_key"), "tid"), "suffix-lists")
     some = _passing(keyed.where(F.octet_length("text") >= STRING).select("text_key", "text"), lists)
     once = some.groupBy("text_key").agg(F.first("text").alias("text"))
 
@@ -345,17 +347,26 @@ def edge_spans(rows: DataFrame, large: DataFrame) -> DataFrame:
 
 def repeated_spans(keyed: DataFrame) -> DataFrame:
     """``(text_key, spans)``: the byte ranges (start, end; they may overlap) that each text loses."""
-    texts = cut(anchored_texts(keyed), "suffix-texts")
-    hot = cut(hot_anchors(texts), "suffix-anchors")
-    inner = repeated_suffixes(hot.where("sym is not null").select("tid", "at", "sym", "step", F.col("step").alias("first")))
-    rows = cut(settled(hot, inner), "suffix-settled")
+    tables: list[DataFrame] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        """A written table that goes when the spans are written."""
+        tables.append(cut(df, name))
+        return tables[-1]
+
+    texts = keep(anchored_texts(keyed), "suffix-texts")
+    hot = keep(hot_anchors(texts, keep), "suffix-anchors")
+    inner = repeated_suffixes(hot.where("sym is not null").select("tid", "at", "sym", "step", F.col("step").alias("first")), keep=keep)
+    rows = keep(settled(hot, inner), "suffix-settled")
     open_strings = rows.where("open").select("h").distinct()
     members = rows.join(open_strings, "h", "left_semi")
-    large = cut(members.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > LARGE).select("h"), "suffix-large")
-    edges = edge_spans(cut(contexts(keyed, members, texts), "suffix-contexts"), large)
+    large = keep(members.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > LARGE).select("h"), "suffix-large")
+    edges = edge_spans(keep(contexts(keyed, members, texts, keep), "suffix-contexts"), large)
     spans = edges.unionByName(rows.where("from is not null").select("tid", "from", "to")).unionByName(texts.where("copies > 1").select("tid", F.lit(0).cast("long").alias("from"), F.col("n_bytes").alias("to")))
     lists = spans.groupBy("tid").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
-    return cut(lists.join(texts.select("tid", "text_key"), "tid").select("text_key", "spans"), "suffix-spans")
+    out = cut(lists.join(texts.select("tid", "text_key"), "tid").select("text_key", "spans"), "suffix-spans")
+    discard(*tables)
+    return out
 
 
 def _kept(raw: bytes, spans: pa.StructScalar) -> tuple[bytes, int, int]:
