@@ -6,6 +6,7 @@ import struct
 import zipfile
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -105,6 +106,12 @@ def test_regression(spark):
     assert regression.wilcoxon(pairs.limit(5), "a", "b")["p"] is None
     tied = spark.createDataFrame([(1.0 if i % 2 else -1.0, 0.0) for i in range(40)], "a double, b double")
     assert regression.wilcoxon(tied, "a", "b")["p"] == pytest.approx(1.0)
+    many = spark.range(1, 6001).selectExpr("double(id) a", "0.0 b")
+    z = regression.wilcoxon(many, "a", "b", exact_to=0)["z"]
+    simpson = "list_sum(list_transform(range(0, 2001), lambda i: (CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-pow(x * i / 2000, 2) / 2)))"
+    for x in (-z, 0.3, 1.7, 5.0, 27.4, 212.1):  # the sign of a rounded zero included
+        want = duckdb.sql(f"SELECT round(least(1.0, 1 - x / 3000 / sqrt(2 * pi()) * {simpson}), 9) FROM (SELECT {x!r}::DOUBLE AS x)").fetchall()[0][0]
+        assert repr(round(regression.simpson_p(-x), 9)) == repr(want)
     curve = spark.createDataFrame([("k", 0.0, 0.0), ("k", 1.0, 4.0), ("k", 2.0, 2.0), ("j", 0.0, 1.0), ("j", 1.0, 1.5)], "k string, x double, y double")
     assert [tuple(r) for r in regression.crossings(curve, "x", "y", 3.0, ["k"]).collect()] == [("k", 0.75)]
 

@@ -78,8 +78,9 @@ def signed_rank(spark, sf_dir):
     mean = s.agg(F.avg("y_true").alias("mean"))
     rows = s.crossJoin(F.broadcast(mean)).groupBy("subject_id")  # one number
     rows = rows.agg(F.avg(F.abs(F.col("mean") - F.col("y_true"))).alias("a"), F.avg(F.abs(F.col("y_pred") - F.col("y_true"))).alias("b"))
-    found = regression.wilcoxon(rows, "a", "b", exact_to=0)
-    return spark.createDataFrame([(found["n"], found["w"], round(found["p"], 9))], "n long, w double, p double")
+    found = regression.wilcoxon(rows, "a", "b", least=1, exact_to=0)
+    p = regression.simpson_p(found.get("z"))
+    return spark.createDataFrame([(found["n"], found["w"], None if p is None else round(p, 9))], "n long, w double, p double")
 
 
 @query("""
