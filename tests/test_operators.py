@@ -90,6 +90,29 @@ def test_hamming_links_join_the_same_groups(spark):
     assert by_links and sorted(by_links) == sorted(by_pairs)
 
 
+def test_hamming_nearest_does_not_pair_copies(spark):
+    """Copies of a value on both sides: 10^9 pairs of rows, four of values."""
+    import time
+
+    rows = spark.range(64_000).selectExpr("id k", "IF(id < 4, id, IF(id % 2 = 0, 7, 6)) v").unionByName(spark.createDataFrame([(70_000, None)], "k long, v long"))
+    began = time.monotonic()
+    got = {(r["distance"], r["nearest"], r["n"]) for r in similarity.hamming_nearest(rows.where("k % 2 = 0 or k = 70000"), rows.where("k % 2 = 1"), "k", "v", 3).groupBy("distance", "nearest").count().withColumnRenamed("count", "n").collect()}
+    assert got == {(1, 1, 1), (1, 3, 31_999)}
+    assert time.monotonic() - began < 30
+
+
+@pytest.mark.parametrize("cell_rows", [7, 4096])
+def test_near_values_in_blocks_of_cells(spark, monkeypatch, cell_rows):
+    monkeypatch.setattr(similarity, "CELL_ROWS", cell_rows)
+    rng = np.random.default_rng(12)
+    base = rng.integers(-(2**63), 2**63 - 1, 60)
+    values = np.unique(np.concatenate([base, [v ^ sum(1 << int(b) for b in rng.choice(63, rng.integers(1, 13), replace=False)) for v in base for _ in range(3)]]))
+    got = similarity.near_values(spark.createDataFrame(pd.DataFrame({"v": values})), 10).collect()
+    bits = values.astype(np.uint64)
+    want = {(int(values[i]), int(values[j])) for i in range(len(bits)) for j in range(i + 1, len(bits)) if np.bitwise_count(bits[i] ^ bits[j]) <= 10}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
 def test_running_sums(spark):
     from veriscope.operators.running import running_sums
 
