@@ -142,6 +142,21 @@ def test_cosine_nearest(spark):
         assert got == dict(enumerate(cosine.argmax(axis=1).tolist()))
 
 
+def test_cosine_nearest_bounds_the_bytes_of_a_group(spark, monkeypatch):
+    """Groups stay below a size in bytes, whatever the vectors' width and number, and single precision travels as it is."""
+    monkeypatch.setattr(similarity, "BLOCK_BYTES", 40 * 8 * 4)
+    x = np.random.default_rng(4).normal(size=(600, 8)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, v array<float>")
+    got = {r["key"]: r["nearest"] for r in similarity.cosine_nearest(df, "k", "v").collect()}
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    cosine = unit @ unit.T
+    np.fill_diagonal(cosine, -2)
+    assert got == dict(enumerate(cosine.argmax(axis=1).tolist()))
+    plan = similarity.cosine_nearest(df, "k", "v")._jdf.queryExecution().toString()
+    assert "0,1,2,3,4,5,6,7,8,9,10,11,12,13,14" in plan.replace(" ", "") or "sequence(0, 14" in plan
+    assert "array<double>" not in plan
+
+
 def test_screening(spark):
     df = spark.createDataFrame([(1, 1.0, 0), (1, 2.0, 1), (0, 2.0, 0), (0, 3.0, 1), (1, 4.0, 0), (0, 5.0, 1)], "t int, s double, f int")
     row = screening.ranking_metrics(df, "t", "s", []).first()
