@@ -62,3 +62,13 @@ def test_edge_tables(spark):
     two = spark.createDataFrame([(1.0, 2.0, 0), (2.0, 4.0, 1)], schema)
     assert sorted(r["boost_pred"] for r in boosted_trees(two, [], "y", "fold").collect()) == [2.0, 4.0]
     assert boosted_trees(one.limit(0), ["a"], "y", "fold", trees=1).count() == 0
+
+
+def test_passes_read_a_row_for_each_fold_and_combination_of_bins(spark, monkeypatch):
+    from veriscope.operators import boosting
+
+    written, cut = [], boosting.cut
+    monkeypatch.setattr(boosting, "cut", lambda df, name: written.append(cut(df, name)) or written[-1])
+    df = spark.range(5000).selectExpr("double(id % 4) a", "double(id % 3) b", "double(id % 7) y", "id % 2 fold")
+    assert boosted_trees(df, ["a", "b"], "y", "fold", trees=2).where("boost_pred is not null").count() == 5000
+    assert written[0].count() <= 2 * 4 * 3 and written[0].selectExpr("sum(n)").first()[0] == 5000

@@ -1,7 +1,8 @@
 """Gradient-boosted regression trees over whole-group folds, from histograms of residuals.
 
 A check for structure that a linear model misses. Features are cut into bins at exact quantiles of all rows (the truth plays no part in that), so a row is a few small
-numbers, written once. A tree grows level by level: one pass adds up, for each fold's model, node, feature and bin, the residuals and the rows; Spark adds
+numbers. Rows of a fold with equal bins have equal predictions, so a histogram needs their number and the sum of their truths alone: one pass adds those up, and what is written
+once is a row for each fold and combination of bins, as many as the rows only where no two agree. A tree grows level by level: one pass adds up, for each fold's model, node, feature and bin, the residuals and the rows; Spark adds
 the tasks' tables, whose size depends on folds, nodes, features and bins only, and the driver picks the best splits of all folds at once. A pass works out
 residuals from the trees so far, so no column of predictions is kept between passes, and a lost executor costs its part of a pass.
 
@@ -90,35 +91,36 @@ def boosted_trees(df: DataFrame, features: list[str], truth: str, fold: str, out
             x = [pa.array(binned(batch.column(j).to_numpy(zero_copy_only=False).astype(float), edges[j])) for j in range(p)]
             yield pa.RecordBatch.from_arrays([*x, batch.column(p), batch.column(p + 1)], batch.schema.names)
 
-    rows = cut(sources.mapInArrow(to_bins, ", ".join([*(f"x{j} tinyint" for j in range(p)), "y double", "fold long"])), "boost-bins")
+    each = sources.mapInArrow(to_bins, ", ".join([*(f"x{j} tinyint" for j in range(p)), "y double", "fold long"]))
+    rows = cut(each.groupBy(*(f"x{j}" for j in range(p)), "fold").agg(F.sum("y").alias("y"), F.count("*").alias("n")).select(*(f"x{j}" for j in range(p)), "y", "fold", "n"), "boost-bins")
     # folds that only rows without a truth are in have a model too
     folds = [r[0] for r in df.where(F.col(fold).isNotNull()).select(F.col(fold).cast("long").alias("k")).distinct().orderBy("k").collect()]
-    sums = {r["fold"]: (r["y"], r["n"]) for r in rows.groupBy("fold").agg(F.sum("y").alias("y"), F.count("*").alias("n")).collect()}
+    sums = {r["fold"]: (r["y"], r["n"]) for r in rows.groupBy("fold").agg(F.sum("y").alias("y"), F.sum("n").alias("n")).collect()}
     y_all, n_all = (sum(v[k] for v in sums.values()) for k in (0, 1))
     counts = {k: n_all - sums.get(k, (0, 0))[1] for k in folds}
     base = {k: (y_all - sums.get(k, (0.0, 0))[0]) / counts[k] if counts[k] else np.nan for k in folds}
     models: dict[int, list[Tree]] = {k: [] for k in folds}
     growing: dict[int, Tree] = {}
 
-    def read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         x = np.stack([batch.column(j).to_numpy() for j in range(p)], axis=1)
-        return x, batch.column(p).to_numpy(), batch.column(p + 1).to_numpy()
+        return x, *(batch.column(p + k).to_numpy() for k in range(3))
 
     for _ in range(trees if p and rows.head(1) else 0):
         growing = {k: Tree(depth) for k in folds}
         for level in range(depth):
 
             def tables(batch: pa.RecordBatch, level: int = level) -> np.ndarray:
-                x, y, at = read(batch)
+                x, y, at, n = read(batch)
                 total = np.zeros((len(folds), 2**level, p, size, 2))
                 for i, k in enumerate(folds):
                     mine = at != k
                     here = x[mine]
-                    rest = y[mine] - base[k] - rate * sum((t.values(here) for t in models[k]), np.zeros(len(here)))
+                    rest = y[mine] - n[mine] * (base[k] + rate * sum((t.values(here) for t in models[k]), np.zeros(len(here))))
                     node = growing[k].place(here, level)
                     for j in range(p):
                         cell = node * size + here[:, j]
-                        for m, weight in enumerate((rest, None)):
+                        for m, weight in enumerate((rest, n[mine])):
                             total[i, :, j, :, m] = np.bincount(cell, weight, 2**level * size).reshape(2**level, size)
                 return total
 
