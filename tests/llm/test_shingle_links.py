@@ -132,3 +132,26 @@ def test_prefix_filter_loses_no_pair():
         close = 5 * np.intersect1d(a, b).size >= 4 * np.union1d(a, b).size
         assert not close or np.intersect1d(L.prefix(a, sketch), L.prefix(b, sketch)).size
     assert not len(L.prefix(whole[:0], sketch)) and [L.prefix_length(n) for n in (1, 4, 5, 10)] == [1, 1, 2, 3]
+
+
+def test_tables_go_once_nothing_reads_them(spark, monkeypatch):
+    """What the near-copy stage holds at once: the prefixes are gone before sets are written, the first sets before the second ones."""
+    from veriscope.llm import shingle_links
+
+    live, seen, cut, discard = {}, {}, shingle_links.cut, shingle_links.discard
+
+    def write(df, name):
+        seen[name] = sorted(live.values())
+        out = cut(df, name)
+        live[id(out)] = name
+        return out
+
+    monkeypatch.setattr(shingle_links, "cut", write)
+    monkeypatch.setattr(shingle_links, "discard", lambda *dfs: [live.pop(id(d)) for d in dfs] and discard(*dfs))
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text), (2, text + " x"), (3, "other words than those of the first two"), (4, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in shingle_links.components(docs, 5).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert not {"near-prefixes", "near-tokens", "near-pairs", "near-fp"} & set(seen["near-links"]) - {"near-pairs"}
+    assert "near-members" not in seen["near-members"] and "near-lists" not in seen["near-members"]
+    assert [n for n in live.values()] == ["near-components"]

@@ -251,32 +251,43 @@ def components(docs: DataFrame, shingle: int) -> DataFrame:
     """``(doc_id, component_id)`` for every row of ``docs`` (doc_id, text) with a doc_id."""
     from .simhash_dedup import near_links
 
-    tables: list[DataFrame] = []
+    tables: list[tuple[str, DataFrame]] = []
 
     def keep(df: DataFrame, name: str) -> DataFrame:
-        """A written table that goes when the components are written."""
-        tables.append(cut(df, name))
-        return tables[-1]
+        """A written table that goes when ``done`` names it."""
+        out = cut(df, name)
+        tables.append((name, out))
+        return out
+
+    def done(*names: str) -> None:
+        """Delete the tables of these names: nothing that is still to be written reads them."""
+        discard(*[df for name, df in tables if name in names])
+        tables[:] = [t for t in tables if t[0] not in names]
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     first = keep(described(docs, shingle), "near-first")
     found = first.where("segment is null").select("doc_id", "fp", "set_a", "set_b")
     sets = keep(found.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp")), "near-sets")
     rows = keep(shared_prefixes(keep(prefixes(docs, sketch_of(first), shingle), "near-prefixes"), sets, keep), "near-lists")
+    done("near-prefixes", "near-tokens")
     distinct = keep(sets.groupBy("fp").agg(F.min("rep").alias("rep")), "near-fp")
     same = sets.join(distinct.withColumnRenamed("rep", "dst"), "fp").select(F.col("rep").alias("src"), "dst").where("src <> dst")
     close = connected_components(near_links(distinct).unionByName(same)).where("node <> component").select(F.col("node").alias("src"), F.col("component").alias("dst"))
     pairs = keep(leads(rows).unionByName(close).distinct(), "near-pairs")
+    done("near-fp")
     ends = lambda p: p.select(F.explode(F.array("src", "dst")).alias("node"))
     links = keep(similar_pairs(pairs, keep(shingle_sets(docs, ends(pairs).distinct(), shingle), "near-members")), "near-links")
+    done("near-pairs", "near-members")
     groups = connected_components(links)
     pairs, lists = open_lists(rows, groups, keep=keep)
     pairs, lists = keep(pairs, "near-pairs"), keep(lists, "near-wide")
+    done("near-lists", "near-open")
     members = keep(shingle_sets(docs, ends(pairs).unionByName(lists.select("node")).distinct(), shingle), "near-members")
     links = links.unionByName(similar_pairs(pairs, members)).unionByName(block_links(lists, members))
     exact = connected_components(links)
+    done("near-pairs", "near-wide", "near-members", "near-links")
     labels = sets.join(exact.withColumnRenamed("node", "rep"), "rep", "left")
     labels = keep(labels.select("set_a", "set_b", F.coalesce("component", "rep").alias("component_id")), "near-labels")
     out = cut(found.select("doc_id", "set_a", "set_b").join(labels, ["set_a", "set_b"]).select("doc_id", "component_id"), "near-components")
-    discard(*tables)
+    done(*{name for name, _ in tables})
     return out
