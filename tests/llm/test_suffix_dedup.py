@@ -95,3 +95,25 @@ def test_long_empty_and_repeated(spark):
     out = {(r["doc_id"], r["n_bytes"]): (r["n_removed"], r["n_spans"]) for r in S.suffix_report(df).collect()}
     assert out == {(1, len(long)): (400, 1), (2, 400): (400, 1), (3, 1): (0, 0)}
     assert S.suffix_report(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("seen", "large"), [(1 << 16, 5), (1, 5), (1, 2000)])
+def test_equal_contexts_are_dealt_out_once(spark, monkeypatch, seen, large):
+    """A string with many anchors: what is dealt out by windows is its distinct contexts, not its anchors, and no byte less is removed."""
+    rng = random.Random(15)
+    line = words(rng, 40)[:210] + "\n"
+    rows = [(k, words(rng, 12) + "\n" + line * 8 + words(rng, 12)) for k in range(25)]
+    rows += [(40, words(rng, 60) + line[:205] + words(rng, 60)), (41, words(rng, 60))]
+    monkeypatch.setattr(S, "SEEN", seen)
+    monkeypatch.setattr(S, "LARGE", large)
+    dealt, plain = [], S._repeated
+
+    def counted(found, key):
+        if key == ["a", "b"]:
+            dealt.append(found.count())
+        return plain(found, key)
+
+    monkeypatch.setattr(S, "_repeated", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert got(df) == brute(rows)
+    assert dealt[-1] <= 25 * 2 * S.SPAN * 2  # both edges of each text and the line's own contexts; 25 * 8 lines have some 25 * 8 * 211 windows

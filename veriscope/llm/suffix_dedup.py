@@ -14,8 +14,9 @@ A difference-cover suffix sort, bounded to the prefix that is asked for, over a
    (two symbols, name of the place after them) against places 2. Suffixes that share a prefix of the length asked for have equal keys, side by side in the sort: their
    windows are repeated.
 5. **Edges.** Windows that steps 2 to 4 leave open (a match that ends within a symbol) are settled by bytes: anchors of one string that have an open window
-   among them bring the bytes around them together, and windows are compared at each distance from the anchor. A string with over
-   LARGE anchors is dealt out by its windows instead, with partial counts.
+   among them bring the bytes around them together. Anchors with equal bytes around them are one context: all its windows are repeated, and its bytes
+   travel once a task. Windows of different contexts are compared at each distance from the anchor. A string with over LARGE contexts is dealt
+   out by its windows instead, each context once, with partial counts.
 
 Equal texts are one text until the end; two or more of at least STRING bytes are removed whole. The suffixes are not put into one total order: only
 equality of STRING bytes is asked for, and sorting every byte's suffix would shuffle some 30 x the input.
@@ -47,6 +48,8 @@ SPAN = STRING - GRAM + 1
 #: Bytes that are hashed at once, so that tables of powers and temporary arrays stay small.
 BLOCK = 1 << 17
 LARGE = 2000
+#: Contexts that a task remembers, so as not to send their bytes again.
+SEEN = 1 << 16
 #: Writes a table, as ``cut`` does.
 Keep = Callable[[DataFrame, str], DataFrame]
 MAX_LEVELS = 5
@@ -279,22 +282,39 @@ def _passing(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def contexts(keyed: DataFrame, members: DataFrame, texts: DataFrame, keep: Keep = cut) -> DataFrame:
-    """``(h, tid, place, start, open, bytes)``: the bytes under the windows of each anchor in ``members``."""
+    """``(h, c, tid, place, start, open, n, starts, size, bytes)``: a row for each text and distinct context in it, the bytes under the windows of each anchor
+    in ``members``; c is their digest, n how often the text has it, starts where open ones start, place, start and open those of the first. Bytes are null where the task has
+    sent them before; a context that occurs once has them."""
     lists = members.groupBy("tid").agg(F.collect_list(F.struct("h", "place", "start", "last", "open")).alias("anchors"))
     lists = keep(lists.join(texts.select("tid", "text_key"), "tid"), "suffix-lists")
     some = _passing(keyed.where(F.octet_length("text") >= STRING).select("text_key", "text"), lists)
     once = some.groupBy("text_key").agg(F.first("text").alias("text"))
+    schema = "h long, c binary, tid long, place long, start long, open boolean, n long, starts array<bigint>, size long, bytes binary"
+    types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary()]
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "tid", "place", "start", "open", "bytes"]
+        seen: set[bytes] = set()
         for batch in batches:
             for tid, found, text in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 raw, fields = text.as_py().encode("utf-8", "surrogatepass"), found.values
-                h, place, start, last, is_open = (fields.field(k) for k in range(5))
-                part = [raw[a : b + STRING] for a, b in zip(start.to_pylist(), last.to_pylist())]
-                yield pa.RecordBatch.from_arrays([h, pa.array([tid] * len(part), pa.int64()), place, start, is_open, pa.array(part, pa.binary())], names)
-
-    return lists.join(once, "text_key").select("tid", "anchors", "text").mapInArrow(run, "h long, tid long, place long, start long, open boolean, bytes binary")
+                rows: dict[tuple[int, bytes], list] = {}
+                for h, place, start, last, is_open in zip(*(fields.field(k).to_pylist() for k in range(5))):
+                    part = raw[start : last + STRING]
+                    row = rows.setdefault((place - start, part), [h, None, tid, place, start, is_open, 0, [], len(part), None])
+                    row[6] += 1
+                    if is_open:
+                        row[7].append(start)
+                for (back, part), row in rows.items():
+                    row[1] = hashlib.blake2b(bytes([back]) + part, digest_size=16).digest()
+                    if row[1] not in seen:
+                        if len(seen) >= SEEN:
+                            seen.clear()
+                        seen.add(row[1])
+                        row[-1] = part
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows.values()), types)], names)
+
+    return lists.join(once, "text_key").select("tid", "anchors", "text").mapInArrow(run, schema)
 
 
 def _digests(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
@@ -339,10 +359,16 @@ def edge_spans(rows: DataFrame, large: DataFrame) -> DataFrame:
             columns = [a.view(np.int64), b.view(np.int64), batch.column(1).to_numpy()[row], window, np.asarray(batch.column(4).to_pylist(), bool)[row]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "tid", "from", "open"])
 
-    few = rows.join(large, "h", "left_anti").select("h", "tid", "place", "start", "open", "bytes").repartition("h").sortWithinPartitions("h")
-    many = rows.join(large, "h", "left_semi").select("h", "tid", "place", "start", "open", "bytes").mapInArrow(spread, "a long, b long, tid long, from long, open boolean")
+    names = ["h", "tid", "place", "start", "open", "bytes"]
+    sent = rows.where("bytes is not null")
+    few = sent.join(large, "h", "left_anti").select(*names).repartition("h").sortWithinPartitions("h")
+    many = sent.join(large, "h", "left_semi").dropDuplicates(["c"]).select(*names).mapInArrow(spread, "a long, b long, tid long, from long, open boolean")
     met = _repeated(many, ["a", "b"]).where("open").select("tid", "from", (F.col("from") + STRING).alias("to"))
-    return few.mapInArrow(meet, "tid long, from long, to long").unionByName(met)
+    # equal contexts: all their windows are repeated
+    again = rows.groupBy("c").agg(F.sum("n").alias("all")).where("all > 1").drop("all")
+    whole = rows.where(F.size("starts") > 0).join(again, "c", "left_semi").select("tid", F.explode("starts").alias("from"), "size")
+    whole = whole.select("tid", "from", (F.col("from") + F.col("size")).alias("to"))
+    return few.mapInArrow(meet, "tid long, from long, to long").unionByName(met).unionByName(whole)
 
 
 def repeated_spans(keyed: DataFrame) -> DataFrame:
@@ -360,8 +386,9 @@ def repeated_spans(keyed: DataFrame) -> DataFrame:
     rows = keep(settled(hot, inner), "suffix-settled")
     open_strings = rows.where("open").select("h").distinct()
     members = rows.join(open_strings, "h", "left_semi")
-    large = keep(members.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > LARGE).select("h"), "suffix-large")
-    edges = edge_spans(keep(contexts(keyed, members, texts, keep), "suffix-contexts"), large)
+    around = keep(contexts(keyed, members, texts, keep), "suffix-contexts")
+    large = keep(around.where("bytes is not null").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > LARGE).select("h"), "suffix-large")
+    edges = edge_spans(around, large)
     spans = edges.unionByName(rows.where("from is not null").select("tid", "from", "to")).unionByName(texts.where("copies > 1").select("tid", F.lit(0).cast("long").alias("from"), F.col("n_bytes").alias("to")))
     lists = spans.groupBy("tid").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
     out = cut(lists.join(texts.select("tid", "text_key"), "tid").select("text_key", "spans"), "suffix-spans")
