@@ -1,3 +1,4 @@
+import os
 import random
 import zlib
 
@@ -232,3 +233,17 @@ def test_words_and_pieces():
     text = "abc " * 400_000
     assert b"".join(pieces(text)) == text.encode()
     assert [o for o, _ in batched(["a"] * 3)] == [[0, 1, 2]]
+
+
+def test_quality_trains_in_a_task(tables, monkeypatch):
+    """The driver holds neither texts nor features of the sample, and the model is the one that the same rows give anywhere."""
+    _, docs, known = tables
+    want, driver, plain = quality.train(labels_of.training_rows(docs, known, "quality")), os.getpid(), quality.train
+
+    def watched(rows, seed=7):
+        assert os.getpid() != driver
+        return plain(rows, seed)
+
+    monkeypatch.setattr(quality, "train", watched)
+    got = quality.fit(docs, known)
+    assert (got.weight == want.weight).all() and got.bias == want.bias and want.weight.any()

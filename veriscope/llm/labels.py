@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +33,8 @@ def chosen(candidates: list[tuple[int, int]], per_class: int, max_chars: int) ->
     return out
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_CLASS, max_chars: int = MAX_TRAIN_CHARS) -> list[tuple[str, int]]:
-    """(text, label) of at most ``per_class`` rows a class that are not held out, drawn among labelled documents by the hash of
+def training_frame(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_CLASS, max_chars: int = MAX_TRAIN_CHARS) -> DataFrame | None:
+    """``(doc_id, wanted, text)``, or None where there are none, of at most ``per_class`` rows a class that are not held out, drawn among labelled documents by the hash of
     their ids: those of at most ``max_chars`` characters first, then longer ones by length, within a total of
     ``per_class * max_chars`` characters a class (one text at least, whatever its length). Where a doc_id has several labels the largest
     counts; where it has several rows, its longest text trains."""
@@ -46,10 +48,20 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int
         first = sizes.where(F.col("wanted") == k).orderBy("long", "turn", "doc_id").limit(per_class).select("doc_id", "n").collect()
         wanted += [(i, k) for i in chosen([(r["doc_id"], r["n"]) for r in first], per_class, max_chars)]
     if not wanted:
-        return []
+        return None
     sample = F.broadcast(docs.sparkSession.createDataFrame(wanted, f"doc_id {known.schema['doc_id'].dataType.simpleString()}, wanted int"))  # 2 * per_class rows at most
-    rows = texts.join(sample, "doc_id").groupBy("doc_id", "wanted").agg(F.max(F.struct(F.char_length("text"), "text"))["text"].alias("text"))
-    return [(r["text"], r["wanted"]) for r in sorted(rows.collect(), key=lambda r: (r["wanted"], r["doc_id"]))]
+    return texts.join(sample, "doc_id").groupBy("doc_id", "wanted").agg(F.max(F.struct(F.char_length("text"), "text"))["text"].alias("text"))
+
+
+def in_order(rows: Iterable[tuple]) -> list[tuple[str, int]]:
+    """(text, label) of (doc_id, label, text) rows, in the order in which they train."""
+    return [(text, y) for _, y, text in sorted(rows, key=lambda r: (r[1], r[0]))]
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_CLASS, max_chars: int = MAX_TRAIN_CHARS) -> list[tuple[str, int]]:
+    """The rows of ``training_frame`` on the driver."""
+    rows = training_frame(docs, labels, label, per_class, max_chars)
+    return [] if rows is None else in_order(map(tuple, rows.collect()))
 
 
 def unused(columns: list[str], *names: str) -> list[str]:
