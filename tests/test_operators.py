@@ -78,6 +78,19 @@ def test_hamming_pairs_match_brute_force(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("block, pairs", [(3, 50), (256, 1 << 26)])
+def test_hamming_pairs_are_dealt_in_bounded_tasks(spark, monkeypatch, block, pairs):
+    """Copies of few values: blocks of keys meet, and the pairs are spread over as many tasks as they need."""
+    monkeypatch.setattr(similarity, "KEY_BLOCK", block)
+    monkeypatch.setattr(similarity, "TASK_PAIRS", pairs)
+    values = [7] * 20 + [6] * 9 + [1 << 40] * 5 + [None, 4]
+    keys = [f"k{i:02}" for i in range(len(values) - 1)] + [None]
+    found = similarity.hamming_pairs(spark.createDataFrame(list(zip(keys, values)), "k string, v long"), "k", "v", 1)
+    want = sorted((keys[i], keys[j], (values[i] ^ values[j]).bit_count()) for i in range(34) for j in range(i + 1, 34) if (values[i] ^ values[j]).bit_count() <= 1)
+    assert sorted(tuple(r) for r in found.collect()) == want
+    assert found.rdd.getNumPartitions() == (math.ceil((20 * 20 + 20 * 9 + 9 * 9 + 5 * 5) / 50) if pairs == 50 else 4)
+
+
 def test_hamming_links_join_the_same_groups(spark):
     from veriscope.operators.components import connected_components
 
