@@ -127,3 +127,17 @@ def test_mutual_information_uses_all_rows(spark):
     rows = pd.DataFrame({"y": np.concatenate([rng.normal(size=3000), np.linspace(90, 50, 60)]), "x0": z, "x1": rng.normal(size=3060)})
     mi, null = information.information_and_null(spark.createDataFrame(rows), 2, 1)
     assert mi[0] > max(null) and mi[0] > mi[1] and len(null) == 2 * information.NULL_REPEATS and not math.isnan(mi[1])
+
+
+def test_mutual_information_is_dealt_in_parts(spark, monkeypatch):
+    """No task walks from all points, and the parts add up to the whole estimate."""
+    monkeypatch.setattr(information, "SLICE_POINTS", 100)
+    rng = np.random.default_rng(6)
+    rows = pd.DataFrame({"y": np.round(rng.normal(size=730), 1)})
+    rows["x0"] = rows["y"] + rng.normal(size=730)
+    rows = rows.sort_values(["y", "x0"], ignore_index=True)
+    x, y = rows["x0"].to_numpy(), rows["y"].to_numpy()
+    mi, null = information.information_and_null(spark.createDataFrame(rows), 1, 9)
+    assert mi == [pytest.approx(information.mutual_information(x, y, seed=9))] and mi[0] > max(null)
+    assert null == [pytest.approx(information.mutual_information(x, np.random.default_rng([9, t]).permutation(y), seed=9 + t)) for t in range(1, 6)]
+    assert information.information_and_null(spark.createDataFrame(rows.head(4)), 1, 9) == ([0.0], [0.0] * 5)

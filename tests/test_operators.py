@@ -91,6 +91,24 @@ def test_hamming_pairs_are_dealt_in_bounded_tasks(spark, monkeypatch, block, pai
     assert found.rdd.getNumPartitions() == (math.ceil((20 * 20 + 20 * 9 + 9 * 9 + 5 * 5) / 50) if pairs == 50 else 4)
 
 
+def test_permutations_go_through_gathered_batches(spark):
+    """Subjects are ordered once a permutation for a task's rows, however many batches these come in."""
+    batches = [pd.DataFrame({"a": range(i, i + 50)}) for i in range(0, 1000, 50)]
+    assert [len(b) for b in resample.gathered(iter(batches), 120)] == [150] * 6 + [100]
+    assert pd.concat(resample.gathered(iter(batches), 120))["a"].tolist() == list(range(1000))
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "50")
+    try:
+        rows = spark.range(0, 3000).selectExpr("CAST(id AS STRING) s", "id * 1.0D y", "id + 1.0D p", "id")
+        null = resample.permuted_errors(rows, "s", "y", "id", {"p": "p"}, 5).collect()
+    finally:
+        spark.conf.set(setting, before)
+    y = np.arange(3000.0)[np.argsort([str(i) for i in range(3000)])]
+    for r in null:
+        assert r["p"] == pytest.approx(np.abs(y + 1 - y[resample.subject_order(3000, r["replicate"])]).mean())
+
+
 def test_hamming_links_join_the_same_groups(spark):
     from veriscope.operators.components import connected_components
 

@@ -13,6 +13,9 @@ from . import metrics
 
 NEIGHBOURS = 3
 NULL_REPEATS = 5
+#: Points of an estimate that one task walks from, and the most tasks that an estimate is dealt to.
+SLICE_POINTS = 1 << 14
+SLICES = 64
 
 
 def incomplete_beta(a: float, b: float, x: float) -> float:
@@ -69,16 +72,14 @@ def digamma(x: np.ndarray) -> np.ndarray:
     return out + np.log(x) - 0.5 / x - z * (1 / 12 - z * (1 / 120 - z * (1 / 252 - z / 240)))
 
 
-def neighbour_distances(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
-    """Max-norm distance of each point to its k-th nearest other one.
+def walked(xs: np.ndarray, ys: np.ndarray, k: int, start: int, stop: int) -> np.ndarray:
+    """Max-norm distance of the points from ``start`` up to ``stop`` to their k-th nearest other ones; ``xs`` ascends.
 
     Points walk outwards along x, all at once and one step a side at a time; a point stops when the next ones are farther
     along x than its k-th best so far. With evenly spread points that takes about sqrt(k n) steps, not n."""
-    n = len(x)
-    order = np.argsort(x, kind="stable")
-    xs, ys = x[order], y[order]
-    best = np.full((n, k), np.inf)
-    live = np.arange(n)
+    n = len(xs)
+    best = np.full((stop - start, k), np.inf)
+    live = np.arange(start, stop)
     step = 0
     while len(live):
         step += 1
@@ -88,48 +89,67 @@ def neighbour_distances(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
             there = (other >= 0) & (other < n)
             mine, other = live[there], other[there]
             along = np.abs(xs[other] - xs[mine])
-            near = along < best[mine, -1]
+            near = along < best[mine - start, -1]
             going[np.nonzero(there)[0][near]] = True
             mine, other, along = mine[near], other[near], along[near]
             found = np.maximum(along, np.abs(ys[other] - ys[mine]))
-            better = found < best[mine, -1]
-            rows = best[mine[better]]
+            better = found < best[mine - start, -1]
+            mine = mine[better] - start
+            rows = best[mine]
             rows[:, -1] = found[better]
-            best[mine[better]] = np.sort(rows, axis=1)
+            best[mine] = np.sort(rows, axis=1)
         live = live[going]
-    out = np.empty(n)
-    out[order] = best[:, -1]
+    return best[:, -1]
+
+
+def neighbour_distances(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
+    """Max-norm distance of each point to its k-th nearest other one."""
+    order = np.argsort(x, kind="stable")
+    out = np.empty(len(x))
+    out[order] = walked(x[order], y[order], k, 0, len(x))
     return out
 
 
-def mutual_information(x: np.ndarray, y: np.ndarray, k: int = NEIGHBOURS, seed: int = 0) -> float:
-    """Nearest-neighbour estimate for two continuous columns (max-norm balls), never below 0. Ties are broken
-    by noise of a ten-billionth of the spread."""
+def crowding(x: np.ndarray, y: np.ndarray, k: int, seed: int, part: int = 0, parts: int = 1) -> float:
+    """Sum of the digammas of the points that lie along x and along y within reach of each point's k-th neighbour, over one part of
+    the points. Ties are broken by noise of a ten-billionth of the spread."""
     rng = np.random.default_rng(seed)
     n = len(x)
-    if n <= k + 1:
-        return 0.0
     if len(np.unique(x)) < len(np.unique(y)):  # the estimate is symmetric, and along a column of few values no walk would end early
         x, y = y, x
     x, y = (v / (v.std() or 1) for v in (x, y))
     x, y = (v + 1e-10 * np.maximum(1, np.abs(v).mean()) * rng.normal(size=n) for v in (x, y))
-    xs, ys = np.sort(x), np.sort(y)
-    radius = neighbour_distances(x, y, k)
+    order = np.argsort(x, kind="stable")
+    x, y = x[order], y[order]
+    start, stop = n * part // parts, n * (part + 1) // parts
+    radius = walked(x, y, k, start, stop)
     inside = lambda v, s: np.searchsorted(s, v + radius * (1 - 1e-12), "left") - np.searchsorted(s, v - radius * (1 - 1e-12), "right")
-    nx, ny = np.maximum(inside(x, xs), 1), np.maximum(inside(y, ys), 1)
-    value = float(digamma(np.array([n]))[0] + digamma(np.array([k]))[0] - np.mean(digamma(nx) + digamma(ny)))
-    return max(0.0, value)
+    nx, ny = np.maximum(inside(x[start:stop], x), 1), np.maximum(inside(y[start:stop], np.sort(y)), 1)
+    return float(np.sum(digamma(nx) + digamma(ny)))
+
+
+def information_of(crowded: float, n: int, k: int = NEIGHBOURS) -> float:
+    """The estimate from the sum of ``crowding`` over all n points, never below 0."""
+    return max(0.0, float(digamma(np.array([n]))[0] + digamma(np.array([k]))[0] - crowded / n))
+
+
+def mutual_information(x: np.ndarray, y: np.ndarray, k: int = NEIGHBOURS, seed: int = 0) -> float:
+    """Nearest-neighbour estimate for two continuous columns (max-norm balls), never below 0."""
+    return information_of(crowding(x, y, k, seed), len(x), k) if len(x) > k + 1 else 0.0
 
 
 def information_and_null(whole: DataFrame, n_features: int, seed: int) -> tuple[list[float], list[float]]:
-    """Mutual information of y and each x over all rows, and of NULL_REPEATS shuffled y with each; a task for each estimate.
+    """Mutual information of y and each x over all rows, and of NULL_REPEATS shuffled y with each; a task walks from SLICE_POINTS of
+    an estimate's points, or a SLICES-th of them if these are more.
 
     Every estimate needs all rows of two columns; the table is broadcast, and refused beyond ``resample.MAX_SUBJECTS`` rows."""
     from ..operators import resample
 
     names = [f"x{i}" for i in range(n_features)]
     rows = resample.bounded(whole.orderBy("y", *names), ["y", *names], "rows")
-    spark = whole.sparkSession
+    if len(rows) <= NEIGHBOURS + 1:
+        return [0.0] * n_features, [0.0] * n_features * NULL_REPEATS
+    spark, parts = whole.sparkSession, min(SLICES, -(-len(rows) // SLICE_POINTS))
     shared = spark.sparkContext.broadcast((rows["y"].to_numpy(float), [rows[c].to_numpy(float) for c in names]))
 
     def estimate(batches):
@@ -137,13 +157,15 @@ def information_and_null(whole: DataFrame, n_features: int, seed: int) -> tuple[
         for pdf in batches:
             out = []
             for i in pdf["id"].tolist():
+                i, part = divmod(i, parts)
                 turn, feature = divmod(i, n_features)
                 moved = y if turn == 0 else np.random.default_rng([seed, turn]).permutation(y)
-                out.append(mutual_information(columns[feature], moved, seed=seed + turn))
+                out.append(crowding(columns[feature], moved, NEIGHBOURS, seed + turn, part, parts))
             yield pdf.assign(value=out)
 
-    n = n_features * (1 + NULL_REPEATS)
-    found = spark.range(0, n, 1, n).mapInPandas(estimate, "id long, value double").orderBy("id").toPandas()["value"].tolist()
+    n = n_features * (1 + NULL_REPEATS) * parts
+    sums = spark.range(0, n, 1, n).mapInPandas(estimate, "id long, value double").orderBy("id").toPandas()["value"].to_numpy()
+    found = [information_of(s, len(rows)) for s in sums.reshape(-1, parts).sum(axis=1)]
     return found[:n_features], found[n_features:]
 
 

@@ -11,7 +11,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from fractions import Fraction
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,8 +20,8 @@ from pyspark.sql import functions as F
 
 #: Subjects that a replicate may hold in memory; larger tables are refused, not cut.
 MAX_SUBJECTS = 5_000_000
-#: Places of permutations that a task keeps between batches.
-ORDERS_HELD = 4_000_000
+#: Rows that a task gathers before it goes through the permutations, each of which orders all subjects.
+ROWS_HELD = 1 << 20
 PERMUTATION_SEED = 770_000
 BOOTSTRAP_SEED = 20_260_911
 #: The odd constants of the 64-bit mixing function.
@@ -108,6 +107,19 @@ def subject_order(n: int, i: int) -> np.ndarray:
     return np.argsort(scattered(PERMUTATION_SEED, i, n), kind="stable")
 
 
+def gathered(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """The same rows in batches of ``rows`` or more, and a rest."""
+    held, n = [], 0
+    for pdf in batches:
+        held.append(pdf)
+        n += len(pdf)
+        if n >= rows:
+            yield pd.concat(held)
+            held, n = [], 0
+    if n:
+        yield pd.concat(held)
+
+
 def permuted_errors(rows: DataFrame, subject: str, truth: str, order: str, candidates: dict[str, str], n: int) -> DataFrame:
     """(replicate, *candidates): mean absolute error of each candidate (name to column) under truths that whole subjects swap.
 
@@ -123,14 +135,13 @@ def permuted_errors(rows: DataFrame, subject: str, truth: str, order: str, candi
     shared = spark.sparkContext.broadcast((held["subject"].to_numpy()[by_hash], by_hash, held["truth"].to_numpy(float)))
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        order_of = lru_cache(maxsize=max(1, ORDERS_HELD // max(len(shared.value[0]), 1)))(subject_order)
         known, place, truths = shared.value
         total, seen = np.zeros((n, len(names))), 0
-        for pdf in batches:
+        for pdf in gathered(batches, ROWS_HELD):
             at, preds = place[np.searchsorted(known, pdf["subject"].to_numpy())], pdf[names].to_numpy(float)
             seen += len(at)
             for i in range(n):
-                total[i] += np.abs(preds - truths[order_of(len(known), i)][at][:, None]).sum(axis=0)
+                total[i] += np.abs(preds - truths[subject_order(len(known), i)][at][:, None]).sum(axis=0)
         if seen:
             yield pd.DataFrame([[i, seen, *total[i]] for i in range(n)], columns=["replicate", "n", *names])
 
