@@ -91,6 +91,14 @@ def test_hamming_pairs_are_dealt_in_bounded_tasks(spark, monkeypatch, block, pai
     assert found.rdd.getNumPartitions() == (math.ceil((20 * 20 + 20 * 9 + 9 * 9 + 5 * 5) / 50) if pairs == 50 else 4)
 
 
+def test_rounding_does_not_decide_a_permutation_test(spark):
+    """A model that is always below the truth has the same error under every permutation, up to the order of the sums."""
+    null = spark.createDataFrame([(16479.8745 * (1 + k * 1e-15),) for k in range(1, 100)], "e double")
+    assert resample.empirical_p(null, "e", 16479.8745)["p"] == 1.0
+    assert resample.empirical_p(null, "e", 16479.8745 * (1 + 2e-13), lower=False)["p"] == 1.0
+    assert resample.empirical_p(null, "e", 16479.0)["p"] == 0.01
+
+
 def test_permutations_go_through_gathered_batches(spark):
     """Subjects are ordered once a permutation for a task's rows, however many batches these come in."""
     batches = [pd.DataFrame({"a": range(i, i + 50)}) for i in range(0, 1000, 50)]

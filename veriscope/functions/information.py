@@ -164,7 +164,8 @@ def information_and_null(whole: DataFrame, n_features: int, seed: int) -> tuple[
             yield pdf.assign(value=out)
 
     n = n_features * (1 + NULL_REPEATS) * parts
-    sums = spark.range(0, n, 1, n).mapInPandas(estimate, "id long, value double").orderBy("id").toPandas()["value"].to_numpy()
+    sums = spark.range(0, n, 1, n).mapInPandas(estimate, "id long, value double").toPandas()  # sorted here: a sort in Spark would sample, and so estimate, twice
+    sums = sums.sort_values("id")["value"].to_numpy()
     found = [information_of(s, len(rows)) for s in sums.reshape(-1, parts).sum(axis=1)]
     return found[:n_features], found[n_features:]
 

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Subjects that a replicate may hold in memory; larger tables are refused, not cut.
 MAX_SUBJECTS = 5_000_000
+#: Relative difference of two means that comes of the order in which their terms were added.
+ROUNDING = 1e-10
 #: Rows that a task gathers before it goes through the permutations, each of which orders all subjects.
 ROWS_HELD = 1 << 20
 PERMUTATION_SEED = 770_000
@@ -151,8 +153,10 @@ def permuted_errors(rows: DataFrame, subject: str, truth: str, order: str, candi
 
 
 def empirical_p(null: DataFrame, column: str, real: float, lower: bool = True) -> dict:
-    """(k + 1) / (n + 1) with its floor, null mean, SD and z; ``lower`` when small values are extreme."""
-    hit = F.col(column) <= real if lower else F.col(column) >= real
+    """(k + 1) / (n + 1) with its floor, null mean, SD and z; ``lower`` when small values are extreme. Errors that differ by the
+    rounding of their sums only are ties, whatever order tasks added in."""
+    slack = ROUNDING * abs(real)
+    hit = F.col(column) <= real + slack if lower else F.col(column) >= real - slack
     row = null.agg(F.count_if(hit).alias("k"), F.count(column).alias("n"), F.avg(column).alias("m"), F.stddev_pop(column).alias("s")).first()
     n = row["n"]
     if not n:
