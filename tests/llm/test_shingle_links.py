@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from veriscope.llm import shingle_links as L
@@ -134,6 +136,25 @@ def test_prefix_filter_loses_no_pair():
     assert not len(L.prefix(whole[:0], sketch)) and [L.prefix_length(n) for n in (1, 4, 5, 10)] == [1, 1, 2, 3]
 
 
+def test_the_first_pass_counts_in_bytes():
+    """Counters stop at 255, and a task's take their own 4 MB and little more."""
+
+    class Rows:
+        mapInArrow = staticmethod(lambda run, schema: run)  # noqa: N815
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(301)), pa.array(["a b c d e"] * 300 + ["a b c d e f g"])], ["doc_id", "text"])
+    tracemalloc.start()
+    try:
+        out = list(L.described(Rows(), 5)(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert [b.num_rows for b in out[:-1]] == [301]
+    counts = np.frombuffer(b"".join(out[-1].column("counts").to_pylist()), np.uint8)
+    assert sorted(counts[counts > 0]) == [1, 1, 255]
+    assert peak < 5 * L.SKETCH
+
+
 def test_tables_go_once_nothing_reads_them(spark, monkeypatch):
     """What the near-copy stage holds at once: the prefixes are gone before sets are written, the first sets before the second ones."""
     from veriscope.llm import shingle_links

@@ -74,6 +74,12 @@ def similar(sets: list[np.ndarray]) -> np.ndarray:
     return label
 
 
+def tally(counts: np.ndarray, places: list[np.ndarray]) -> None:
+    """Add one for each of ``places`` to counters of a byte, which stop at 255."""
+    at, more = np.unique(np.concatenate(places), return_counts=True)
+    counts[at] = np.minimum(counts[at] + more, 255)
+
+
 def described(docs: DataFrame, shingle: int) -> DataFrame:
     """A row of _FIRST for each document (fingerprint and set digest), and SEGMENTS rows of each task's part of the sketch."""
     from .simhash_dedup import shingle_hashes, simhash
@@ -82,7 +88,7 @@ def described(docs: DataFrame, shingle: int) -> DataFrame:
         import xxhash
 
         names = ["doc_id", "fp", "set_a", "set_b", "segment", "counts"]
-        counts, held, size = np.zeros(SKETCH, np.int64), [], 0
+        counts, held, size = np.zeros(SKETCH, np.uint8), [], 0
         for batch in batches:
             fps, digests = [], []
             for text in batch.column(1):
@@ -90,17 +96,17 @@ def described(docs: DataFrame, shingle: int) -> DataFrame:
                 fps.append(simhash(hashes))
                 hashes = np.unique(hashes)
                 digests.append(np.frombuffer(xxhash.xxh128_digest(hashes.tobytes()), np.int64))
-                held.append((hashes & np.uint64(SKETCH - 1)).astype(np.int64))
+                held.append((hashes & np.uint64(SKETCH - 1)).astype(np.uint32))
                 size += len(hashes)
                 if size >= 1 << 20:
-                    counts += np.bincount(np.concatenate(held), minlength=SKETCH)
+                    tally(counts, held)
                     held, size = [], 0
             both = np.array(digests, np.int64).reshape(-1, 2)
             null = pa.nulls(batch.num_rows, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), null, pa.nulls(batch.num_rows, pa.binary())], names)
         if held:
-            counts += np.bincount(np.concatenate(held), minlength=SKETCH)
-        parts = np.minimum(counts, 255).astype(np.uint8).reshape(SEGMENTS, -1)
+            tally(counts, held)
+        parts = counts.reshape(SEGMENTS, -1)
         some = np.nonzero(parts.any(axis=1))[0]
         null = pa.nulls(len(some), pa.int64())
         yield pa.RecordBatch.from_arrays([null, null, null, null, pa.array(some), pa.array([parts[k].tobytes() for k in some], pa.binary())], names)
