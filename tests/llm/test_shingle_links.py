@@ -176,3 +176,31 @@ def test_tables_go_once_nothing_reads_them(spark, monkeypatch):
     assert not {"near-prefixes", "near-tokens", "near-pairs", "near-fp"} & set(seen["near-links"]) - {"near-pairs"}
     assert "near-members" not in seen["near-members"] and "near-lists" not in seen["near-members"]
     assert [n for n in live.values()] == ["near-components"]
+
+
+def test_counters_of_many_tasks_do_not_stop_at_a_byte(spark):
+    """A rare shingle's counter is 300 and a common one's 1,020 where four tasks each have 75 and 255: the rare one still comes first."""
+    part = np.full(L.SKETCH // L.SEGMENTS, 75, np.uint8)
+    part[1] = 255
+    first = spark.createDataFrame([(None, None, None, None, 0, part.tobytes())] * 4, L._FIRST)
+    sketch = L.sketch_of(first)
+    assert sketch[:3].tolist() == [300, 1020, 300]
+    assert L.prefix(np.array([1, 2 + (1 << 40)], np.uint64), sketch).tolist() == [2 + (1 << 40)]
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    """Shuffle files of a finished write would else stay until the driver collects its garbage."""
+    import glob
+    import time
+
+    from veriscope.session import CLEANUP, cut
+
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f for d in folders for f in glob.glob(f"{d}/**/shuffle_*", recursive=True)}
+    before, set_before = files(), spark.conf.get(CLEANUP, None)
+    out = cut(spark.range(5000).groupBy((F.col("id") % 7).alias("k")).count(), "shuffled")
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and out.count() == 7 and spark.conf.get(CLEANUP, None) == set_before

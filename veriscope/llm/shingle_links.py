@@ -115,7 +115,8 @@ def described(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def sketch_of(first: DataFrame) -> np.ndarray:
-    """The sum of all tasks' counters, up to 255 each."""
+    """The sum of all tasks' counters. A task's stop at 255, their sum at 2^32 - 1: counters that all stand at their limit would leave the order to the
+    hashes, and blocks that many pages have in common would fall into prefixes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, total = None, None
@@ -123,16 +124,16 @@ def sketch_of(first: DataFrame) -> np.ndarray:
             for segment, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if segment != at:
                     if total is not None:
-                        yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([total.astype(np.uint8).tobytes()], pa.binary())], ["segment", "counts"])
+                        yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([total.astype(np.uint32).tobytes()], pa.binary())], ["segment", "counts"])
                     at, total = segment, np.zeros(SKETCH // SEGMENTS, np.int64)
-                total = np.minimum(total + np.frombuffer(counts, np.uint8), 255)
+                total = np.minimum(total + np.frombuffer(counts, np.uint8), 2**32 - 1)
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([total.astype(np.uint8).tobytes()], pa.binary())], ["segment", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([total.astype(np.uint32).tobytes()], pa.binary())], ["segment", "counts"])
 
     parts = first.where("segment is not null").select("segment", "counts").repartition("segment").sortWithinPartitions("segment")
-    out = np.zeros((SEGMENTS, SKETCH // SEGMENTS), np.uint8)
+    out = np.zeros((SEGMENTS, SKETCH // SEGMENTS), np.uint32)
     for segment, counts in zip(*(c.to_pylist() for c in parts.mapInArrow(run, "segment long, counts binary").toArrow().columns)):
-        out[segment] = np.frombuffer(counts, np.uint8)
+        out[segment] = np.frombuffer(counts, np.uint32)
     return out.ravel()
 
 
