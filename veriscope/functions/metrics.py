@@ -56,7 +56,8 @@ def average_ranks(df: DataFrame, column: str, out: str, by: list[str] | None = N
 def with_average_ranks(df: DataFrame, columns: dict[str, str], by: list[str] | None = None) -> DataFrame:
     """``df`` with the average rank of each column under its name in ``columns``; rows without a value are left out.
 
-    Ranks join by value, each from ``df`` itself, so no rank is computed on top of another's joins."""
+    Ranks join by value, each from ``df`` itself, so no rank is computed on top of another's joins. ``df`` is read more than once and has to give
+    the same values each time, to the bit: columns of a table, or means that were written by ``cut``."""
     out = df
     for column, name in columns.items():
         out = out.join(average_ranks(df, column, name, by), [*(by or []), column])
